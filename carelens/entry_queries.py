@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carelens.plans.line_list import LineListParams, line_list
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from carelens.operators import corrections as C
+from carelens.operators import investigate as I
+from carelens.operators import latest as LT
+from carelens.operators import quality as Q
+from carelens.operators.dictionary import coded_value_names
+from carelens.plans import specs as S
+from carelens.plans.line_list import SECTIONS, LineListParams, line_list, observation_answers, population, render
+from carelens.functions.dates import end_of_day, quarter_end
 from carelens.session import ensure_checkpoint_dir
-from carelens.sources.driver import REPORT_DAY, TODAY, build_tables
+from carelens.sources.driver import REPORT_DAY, TODAY, build_corrections, build_tables, read_driver
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, Callable[[], str]] = {}
@@ -39,3 +50,197 @@ def _ll_sql():
 @register("line_list", _ll_sql)
 def q_line_list(spark, sf_dir):
     return line_list(spark, _tables(spark, sf_dir), PARAMS)
+
+
+def _section(key: str, cols: list[str]):
+    def q(spark, sf_dir):
+        return line_list(spark, _tables(spark, sf_dir), PARAMS).select(*[F.col(f"`{c}`") for c in cols])
+
+    def sql():
+        from sqloracle.line_list import line_list_sql
+        quoted = ", ".join(f'"{c}"' for c in cols)
+        return f"SELECT {quoted} FROM ({line_list_sql(REPORT_DAY, TODAY)}) ll"
+
+    register(key, sql)(q)
+
+
+for _k, _cols in SECTIONS.items():
+    _section(_k, _cols)
+
+
+DATE_COLUMNS = ["patient_id", "PEPID", "DateConfirmedHIV+", "ARTStartDate", "DOB", "LastDateOfSampleCollection",
+                "Next_Ap_by_careCard", "DateofCurrent_TBStatus", "IIT_Date", "CurrentCD4Date", "PBS_Recapture_Date",
+                "EstimatedNextAppointmentPharmacy", "Pharmacy_LastPickupdate", "First_TPT_Pickupdate"]
+
+
+def _sql(name: str):
+    def f():
+        from sqloracle import queries as SQ
+        return getattr(SQ, name)()
+    return f
+
+
+@register("date_format_edges", _sql("date_format_edges"))
+def q_date_format_edges(spark, sf_dir):
+    df = line_list(spark, _tables(spark, sf_dir), PARAMS).select(*[F.col(f"`{c}`") for c in DATE_COLUMNS])
+    return render(df)
+
+
+@register("population_gate", _sql("population_gate"))
+def q_population_gate(spark, sf_dir):
+    return population(_tables(spark, sf_dir), PARAMS)
+
+
+END_AT = end_of_day(REPORT_DAY)
+
+
+@register("latest_obs_per_concept", _sql("latest_obs_per_concept"))
+def q_latest_obs_per_concept(spark, sf_dir):
+    return LT.rows_at_extreme(_tables(spark, sf_dir).obs, END_AT).select(
+        "person_id", "concept_id", "obs_id", "obs_datetime", "value_coded", "value_numeric")
+
+
+@register("first_obs_per_concept", _sql("first_obs_per_concept"))
+def q_first_obs_per_concept(spark, sf_dir):
+    return LT.rows_at_extreme(_tables(spark, sf_dir).obs, END_AT, first=True).select(
+        "person_id", "concept_id", "obs_id", "obs_datetime", "value_coded", "value_numeric")
+
+
+@register("latest_obs_id", _sql("latest_obs_id"))
+def q_latest_obs_id(spark, sf_dir):
+    return LT.latest_obs_id(_tables(spark, sf_dir).obs, END_AT)
+
+
+@register("first_last_dates", _sql("first_last_dates"))
+def q_first_last_dates(spark, sf_dir):
+    return LT.first_last_dates(_tables(spark, sf_dir).obs, END_AT)
+
+
+@register("obs_value_lookup", _sql("obs_value_lookup"))
+def q_obs_value_lookup(spark, sf_dir):
+    obs = _tables(spark, sf_dir).obs
+    ids = LT.latest_obs_id(obs, END_AT, concepts=[159599, 160554, 160534, 165469])
+    return LT.value_by_obs_id(ids, obs)
+
+
+@register("coded_value_names", _sql("coded_value_names"))
+def q_coded_value_names(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return coded_value_names(t.obs.filter(F.col("voided") == 0).select("obs_id", "concept_id", "value_coded"),
+                             t.concept_name)
+
+
+@register("latest_value_spec", _sql("latest_value_spec"))
+def q_latest_value_spec(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    from carelens.operators.picks import pick
+    plan = S.line_list_plan()
+    tall = pick(spark, t.obs, t.encounter, t.concept_name, plan, PARAMS.cutoffs(), extra_forms=[S.FORM_CARE_CARD])
+    keys = F.create_map(*[x for i, s in enumerate(plan.specs) for x in (F.lit(i), F.lit(s.key))])
+    return tall.select("person_id", keys[F.col("spec_idx")].alias("spec"), "obs_id", "obs_datetime", "value_coded",
+                       "value_numeric", "value_datetime", "encounter_datetime", "name")
+
+
+@register("quarter_end", _sql("quarter_end"))
+def q_quarter_end(spark, sf_dir):
+    e = _tables(spark, sf_dir).encounter
+    d = F.col("encounter_datetime").cast("date")
+    return e.select("encounter_id", d.alias("encounter_date"), quarter_end(d).alias("quarter_end"),
+                    quarter_end(F.add_months(d, -3)).alias("prev_quarter_end"))
+
+
+def _corrections(spark, sf_dir):
+    return build_corrections(read_driver(spark, sf_dir, ["orders"])["orders"])
+
+
+@register("correct_encounters", _sql("correct_encounters"))
+def q_correct_encounters(spark, sf_dir):
+    enc_req, _ = _corrections(spark, sf_dir)
+    return C.correct_encounters(_tables(spark, sf_dir).encounter, enc_req)
+
+
+@register("correct_visits", _sql("correct_visits"))
+def q_correct_visits(spark, sf_dir):
+    _, vis_req = _corrections(spark, sf_dir)
+    return C.correct_visits(_tables(spark, sf_dir).visit, vis_req)
+
+
+@register("correction_backup", _sql("correction_backup"))
+def q_correction_backup(spark, sf_dir):
+    enc_req, _ = _corrections(spark, sf_dir)
+    return C.backup(_tables(spark, sf_dir).encounter, enc_req, "visit_id", "before")
+
+
+@register("correction_verify", _sql("correction_verify"))
+def q_correction_verify(spark, sf_dir):
+    enc_req, vis_req = _corrections(spark, sf_dir)
+    t = _tables(spark, sf_dir)
+    return C.correction_report(t.encounter, t.visit, enc_req, vis_req)
+
+
+@register("biometric_purge", _sql("biometric_purge"))
+def q_biometric_purge(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    dupes = Q.duplicate_biometrics(t.biometricinfo)
+    cap, ver = C.purge_biometrics(t.biometricinfo, t.biometricverificationinfo, dupes)
+    return I.biometric_records(cap, ver)
+
+
+@register("encounter_outside_visit", _sql("encounter_outside_visit"))
+def q_encounter_outside_visit(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return Q.encounters_outside_visit(t.encounter, t.visit)
+
+
+IMPLAUSIBLE_BEFORE = dt.date(1990, 1, 1)
+
+
+@register("implausible_datetime", _sql("implausible_datetime"))
+def q_implausible_datetime(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return Q.implausible_datetimes(t.encounter, t.visit, t.obs, IMPLAUSIBLE_BEFORE, TODAY)
+
+
+@register("duplicate_biometrics", _sql("duplicate_biometrics"))
+def q_duplicate_biometrics(spark, sf_dir):
+    return Q.duplicate_biometrics(_tables(spark, sf_dir).biometricinfo)
+
+
+@register("invalid_visit_bounds", _sql("invalid_visit_bounds"))
+def q_invalid_visit_bounds(spark, sf_dir):
+    return Q.invalid_visit_bounds(_tables(spark, sf_dir).visit)
+
+
+def _outside(t):
+    return Q.encounters_outside_visit(t.encounter, t.visit)
+
+
+@register("patient_visits", _sql("patient_visits"))
+def q_patient_visits(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return I.patient_visits(t.visit, _outside(t).select("patient_id"))
+
+
+@register("encounter_chronology", _sql("encounter_chronology"))
+def q_encounter_chronology(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return I.encounter_chronology(t.encounter, _outside(t).select("visit_id"))
+
+
+@register("visit_details", _sql("visit_details"))
+def q_visit_details(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return I.visit_details(t.visit, _outside(t).select("visit_id"))
+
+
+@register("start_encounters", _sql("start_encounters"))
+def q_start_encounters(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return I.start_encounters(t.encounter, t.patient.filter(F.col("voided") == 0).select("patient_id"))
+
+
+@register("biometric_records", _sql("biometric_records"))
+def q_biometric_records(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return I.biometric_records(t.biometricinfo, t.biometricverificationinfo,
+                               Q.duplicate_biometrics(t.biometricinfo).select("patient_id"))

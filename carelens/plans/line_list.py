@@ -407,3 +407,52 @@ def render(df: DataFrame, legacy_text_max: bool = False) -> DataFrame:
         fmt = DISPLAY_FORMATS.get(c)
         out.append(F.date_format(F.col(f"`{c}`"), fmt).alias(c) if fmt else F.col(f"`{c}`"))
     return df.select(*out)
+
+
+def population(t: ClinicalTables, params: LineListParams) -> DataFrame:
+    """Patients the report lists: non-voided, with a person row, a non-voided gate-form
+    encounter (any date) and a non-voided latest-set observation on or before the report day."""
+    obs_ok = t.obs.filter((F.col("voided") == 0) & F.col("concept_id").isin(list(S.LATEST_SET))
+                          & (F.col("obs_datetime") < day_after(params.end))).select(F.col("person_id").alias("patient_id"))
+    gate = t.encounter.filter((F.col("voided") == 0) & (F.col("form_id") == S.FORM_CARE_CARD_GATE)).select("patient_id")
+    return (P.active_patients(t.patient, t.person).select("patient_id")
+            .join(obs_ok, "patient_id", "left_semi").join(gate, "patient_id", "left_semi"))
+
+
+# Columns of each report section (registered as their own queries).
+SECTIONS = {
+    "site_config_attach": ["patient_id", "PEPID", "IP", "State", "LGA", "Datim_Code", "FacilityName", "Unique_Id"],
+    "patient_demographics": ["patient_id", "PEPID", "PatientHospitalNo", "uuid", "Sex", "Surname", "Firstname",
+                             "PhoneNo", "State_of_Residence", "LGA_of_Residence", "DOB"],
+    "address_fallback": ["patient_id", "PEPID", "Address"],
+    "care_entry_point": ["patient_id", "PEPID", "CareEntryPoint"],
+    "age_bands": ["patient_id", "PEPID", "AgeAtStartofART", "AgeinMonths", "Current_Age", "CurrentAge_Months"],
+    "first_event_date": ["patient_id", "PEPID", "DateConfirmedHIV+", "ARTStartDate", "DaysOnART"],
+    "last_pickup": ["patient_id", "PEPID", "Pharmacy_LastPickupdate", "DaysOfARVRefill"],
+    "prev_quarter_pickup": ["patient_id", "PEPID", "Pharmacy_LastPickupdate_PreviousQuarter"],
+    "regimen_at_start": ["patient_id", "PEPID", "RegimenLineAtARTStart", "RegimenAtARTStart", "CurrentRegimenLine",
+                         "CurrentARTRegimen", "DSD_Model", "DSD_Model_Type", "CurrentPregnancyStatus"],
+    "latest_viral_load": ["patient_id", "PEPID", "CurrentViralLoad", "DateofCurrentViralLoad",
+                          "DateResultReceivedFacility", "Alphanumeric_Viral_Load_Result", "LastDateOfSampleCollection",
+                          "ViralLoadIndication", "CurrentCD4", "CurrentCD4Date", "AHD_Indication",
+                          "Current_CD4_LFA_Result", "Other_Test_(TB-LAM_LF-LAM_etc)", "Serology_for_CrAg_Result",
+                          "CSF_for_CrAg_Result"],
+    "treatment_outcome": ["patient_id", "PEPID", "Outcomes", "Outcomes_Date", "Cause_of_Death", "VA_Cause_of_Death",
+                          "CurrentARTStatus"],
+    "refill_due_dates": ["patient_id", "PEPID", "IIT_Date", "CurrentARTStatus_Pharmacy"],
+    "prev_quarter_status": ["patient_id", "PEPID", "ARTStatus_PreviousQuarter"],
+    "transfer_in_flag": ["patient_id", "PEPID", "TransferredIn", "Date_Transfered_In"],
+    "latest_vitals": ["patient_id", "PEPID", "Educationallevel", "MaritalStatus", "JobStatus", "Weight", "Height",
+                      "BMI", "BP", "Whostage", "DateofFirstTLD_Pickup"],
+    "next_appointment": ["patient_id", "PEPID", "EstimatedNextAppointmentPharmacy", "Next_Ap_by_careCard",
+                         "Days_To_Schedule"],
+    "tb_screening": ["patient_id", "PEPID", *TB_COLUMNS],
+    "obs_pivot": ["patient_id", "PEPID", "First_TPT_Pickupdate", "Last_TPT_Pickupdate", "Current_TPT_Received",
+                  "TPT_Outcomes", "Date_of_TPT_Outcome", "Current_TB_Status", "DateofCurrent_TBStatus",
+                  "TB_Treatment_Start_Date", "TB_Treatment_Stop_Date", "Date_Enrolled_Into_OTZ",
+                  "Date_Enrolled_Into_OTZ_Plus", "Positive_living", "Treatment_Literacy", "Adolescents_participation",
+                  "Leadership_training", "Peer_To_Peer_Mentoship", "Role_of_OTZ", "OTZ_Champion_Oreintation",
+                  "Transitioned_Adult_Clinic", "OTZ_Outcome", "OTZ_Outcome_Date"],
+    "biometric_status": ["patient_id", "PEPID", "PBS_Capturee", "PBS_Capture_Date", "PBS_Recapture",
+                         "PBS_Recapture_Date", "PBS_Recapture_Count", "Date_Generated"],
+}
