@@ -19,7 +19,7 @@ from carelens.plans import specs as S
 from carelens.plans.line_list import SECTIONS, LineListParams, line_list, observation_answers, population, render
 from carelens.functions.dates import end_of_day, quarter_end
 from carelens.session import ensure_checkpoint_dir
-from carelens.sources.driver import REPORT_DAY, TODAY, build_corrections, build_tables, read_driver
+from carelens.sources.driver import REPORT_DAY, TODAY, build_corrections, prepared_tables, read_driver
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, Callable[[], str]] = {}
@@ -35,8 +35,9 @@ def register(key: str, oracle: Callable[[], str] | None = None):
 
 
 def _tables(spark: SparkSession, sf_dir: str):
+    """Clinical tables adapted from the driver tables (materialized once per session)."""
     ensure_checkpoint_dir(spark)
-    return build_tables(spark, sf_dir)
+    return prepared_tables(spark, sf_dir)
 
 
 PARAMS = LineListParams(end=REPORT_DAY, today=TODAY)
@@ -181,7 +182,7 @@ def q_correction_verify(spark, sf_dir):
 @register("biometric_purge", _sql("biometric_purge"))
 def q_biometric_purge(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    dupes = Q.duplicate_biometrics(t.biometricinfo)
+    dupes = Q.duplicate_biometrics(t.biometricinfo, same_day=True)
     cap, ver = C.purge_biometrics(t.biometricinfo, t.biometricverificationinfo, dupes)
     return I.biometric_records(cap, ver)
 

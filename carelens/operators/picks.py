@@ -126,16 +126,20 @@ OBS_COLUMNS = ["obs_id", "person_id", "encounter_id", "concept_id", "obs_datetim
 
 
 def enrich_obs(obs: DataFrame, encounter: DataFrame, concept_name: DataFrame, concepts: list[int],
-               encounter_types: list[int], forms: list[int]) -> DataFrame:
+               encounter_types: list[int], forms: list[int], encounter_facts: DataFrame | None = None) -> DataFrame:
     """Non-voided observations of ``concepts`` with their (non-voided) encounter and coded-value name.
 
     The encounter side is cut to the types and forms any spec can use before the join.
+    ``encounter_facts`` (one row per encounter_id) is joined on the same key, so at scale
+    both joins share the one shuffle of ``obs`` by encounter_id.
     """
     o = obs.filter((F.col("voided") == 0) & F.col("concept_id").isin(concepts)).select(*OBS_COLUMNS)
     enc_filter = F.col("encounter_type").isin(encounter_types) | F.col("form_id").isin(forms)
     e = encounter.filter((F.col("voided") == 0) & enc_filter).select(
         "encounter_id", "encounter_type", "form_id", "encounter_datetime")
     joined = o.join(e, "encounter_id", "left")
+    if encounter_facts is not None:
+        joined = joined.join(encounter_facts, "encounter_id", "left")
     return coded_value_names(joined, concept_name)
 
 
@@ -177,7 +181,7 @@ CARRIED = ["obs_id", "encounter_id", "obs_datetime", "value_coded", "value_numer
 
 def pick(spark: SparkSession, obs: DataFrame, encounter: DataFrame, concept_name: DataFrame,
          plan: PickPlan, cutoffs: dict[str, dt.datetime], carried: list[str] = CARRIED,
-         extra_forms: list[int] = ()) -> DataFrame:
+         extra_forms: list[int] = (), encounter_facts: DataFrame | None = None) -> DataFrame:
     """Tall answers: (person_id, spec_idx, carried columns...) for every spec in ``plan``.
 
     ``extra_forms``: encounter forms whose id must be visible on chosen rows even though no
@@ -185,7 +189,9 @@ def pick(spark: SparkSession, obs: DataFrame, encounter: DataFrame, concept_name
     """
     types = sorted({s.encounter_type for s in plan.specs if s.encounter_type is not None})
     forms = sorted({s.form_id for s in plan.specs if s.form_id is not None} | set(extra_forms))
-    enriched = enrich_obs(obs, encounter, concept_name, plan.concepts, types, forms)
+    enriched = enrich_obs(obs, encounter, concept_name, plan.concepts, types, forms, encounter_facts)
+    if encounter_facts is not None:
+        carried = list(carried) + [c for c in encounter_facts.columns if c != "encounter_id"]
     return choose(enriched, plan.spec_frame(spark, cutoffs), carried)
 
 

@@ -40,8 +40,12 @@ def implausible_datetimes(encounter: DataFrame, visit: DataFrame, obs: DataFrame
     )
 
 
-def duplicate_biometrics(biometricinfo: DataFrame) -> DataFrame:
-    """Patients with more than one enrollment row."""
+def duplicate_biometrics(biometricinfo: DataFrame, same_day: bool = False) -> DataFrame:
+    """Patients with more than one enrollment row (``same_day``: more than one on one calendar day)."""
+    if same_day:
+        per_day = (biometricinfo.groupBy("patient_id", F.col("date_created").cast("date").alias("day"))
+                   .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+        biometricinfo = biometricinfo.join(per_day.select("patient_id").distinct(), "patient_id", "left_semi")
     return (
         biometricinfo.groupBy("patient_id")
         .agg(F.count(F.lit(1)).alias("n_records"), F.min("date_created").alias("first_at"),

@@ -113,7 +113,8 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
     Returns (answers, tall chosen rows, plan).
     """
     plan = plan or S.line_list_plan(params.extended_concepts)
-    tall = pick(spark, t.obs, t.encounter, t.concept_name, plan, params.cutoffs(), extra_forms=[S.FORM_CARE_CARD])
+    tall = pick(spark, t.obs, t.encounter, t.concept_name, plan, params.cutoffs(), extra_forms=[S.FORM_CARE_CARD],
+                encounter_facts=encounter_facts(t.obs))
     v = plan.value
     latest_keys = [f"L{c}" for c in S.LATEST_SET]
     aggs: dict[str, Column] = {
@@ -169,6 +170,8 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
         "prevq_pickup_at": v("prevq_pickup", "obs_datetime"),
         "prevq_pickup_encounter": v("prevq_pickup", "encounter_id"),
         "prevq_outcome_name": v("prevq_outcome", "name"),
+        "encounter_refill": v("prevq_pickup", "encounter_refill"),
+        "care_entry_text": v("care_entry", "encounter_text"),
         "OTZ_Outcome_Date": v("O166275", "value_datetime"),
     }
     for name, c in S.VITALS_NAMES:
@@ -196,19 +199,16 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
     return answers, tall, plan
 
 
-def refill_in_encounter(obs: DataFrame) -> DataFrame:
-    """Refill days recorded in each encounter (largest non-voided value of the refill concept)."""
+def encounter_facts(obs: DataFrame) -> DataFrame:
+    """Per encounter: refill days recorded in it (largest non-voided value) and the free text of
+    the "other" care entry point (lowest obs id; voided rows count, as in the report)."""
+    refill = (F.col("concept_id") == S.REFILL_DAYS) & (F.col("voided") == 0)
+    text = F.col("concept_id") == S.CARE_ENTRY_OTHER_TEXT
     return (
-        obs.filter((F.col("voided") == 0) & (F.col("concept_id") == S.REFILL_DAYS) & F.col("encounter_id").isNotNull())
-        .groupBy("encounter_id").agg(F.max("value_numeric").alias("encounter_refill"))
-    )
-
-
-def care_entry_texts(obs: DataFrame) -> DataFrame:
-    """Free text of the "other" care entry point per encounter (lowest obs id; voided rows count)."""
-    return (
-        obs.filter(F.col("concept_id") == S.CARE_ENTRY_OTHER_TEXT)
-        .groupBy("encounter_id").agg(F.min_by("value_text", "obs_id").alias("care_entry_text"))
+        obs.filter(F.col("concept_id").isin(S.REFILL_DAYS, S.CARE_ENTRY_OTHER_TEXT) & F.col("encounter_id").isNotNull())
+        .groupBy("encounter_id")
+        .agg(F.max(F.when(refill, F.col("value_numeric"))).alias("encounter_refill"),
+             F.min_by(F.when(text, F.col("value_text")), F.when(text, F.col("obs_id"))).alias("encounter_text"))
     )
 
 
@@ -247,15 +247,6 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
     """
     answers, tall, _ = observation_answers(spark, t, params)
     answers = answers.withColumnRenamed("person_id", "patient_id")
-    # Two lookups keyed by an encounter of the chosen rows. They run on a narrow
-    # (patient, encounter) frame so the wide answers keep their patient partitioning.
-    keys = answers.select("patient_id", "prevq_pickup_encounter", "care_entry_encounter")
-    prevq_refill = keys.join(
-        refill_in_encounter(t.obs).withColumnRenamed("encounter_id", "prevq_pickup_encounter"),
-        "prevq_pickup_encounter").select("patient_id", "encounter_refill")
-    care_text = keys.join(
-        care_entry_texts(t.obs).withColumnRenamed("encounter_id", "care_entry_encounter"),
-        "care_entry_encounter").select("patient_id", "care_entry_text")
     enc = encounter_dates(t.encounter, params)
     base = P.active_patients(t.patient, t.person)
     wide = (
@@ -268,8 +259,6 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
         .join(P.program_enrolment(t.patient_program, 5, "otz_enrolled_at"), "patient_id", "left")
         .join(P.biometric_capture(t.biometricinfo), "patient_id", "left")
         .join(P.biometric_recapture(t.biometricverificationinfo), "patient_id", "left")
-        .join(prevq_refill, "patient_id", "left")
-        .join(care_text, "patient_id", "left")
     )
     end = F.lit(params.end)
     today = F.lit(params.as_of)

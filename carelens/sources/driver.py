@@ -58,13 +58,8 @@ def read_driver(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> dict[s
 
 
 def _cycle(values: list[int], key: Column) -> Column:
-    """values[key % len(values)] as a CASE chain (keeps the expression codegen-friendly)."""
-    n = len(values)
-    idx = key % F.lit(n)
-    expr = None
-    for i, v in enumerate(values):
-        expr = F.when(idx == i, F.lit(v)) if expr is None else expr.when(idx == i, F.lit(v))
-    return expr
+    """values[key % len(values)] via a literal array (folded to a constant by the optimizer)."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (key % F.lit(len(values))).cast("int") + 1)
 
 
 def _flag(cond: Column) -> Column:
@@ -79,12 +74,14 @@ def form_of(orderkey: Column) -> Column:
     return _cycle(FORM_CYCLE, orderkey).cast("int")
 
 
-def concept_of(encounter_type: Column, partkey: Column) -> Column:
-    expr = None
-    for etype, concepts in CONCEPTS_BY_TYPE.items():
-        pick = _cycle(concepts, partkey)
-        expr = F.when(encounter_type == etype, pick) if expr is None else expr.when(encounter_type == etype, pick)
-    return expr.cast("long")
+def concept_of(orderkey: Column, partkey: Column) -> Column:
+    """CONCEPTS_BY_TYPE[type of the order][partkey % len] as two literal-array lookups."""
+    lists = [CONCEPTS_BY_TYPE[t] for t in ENCOUNTER_TYPE_CYCLE]
+    by_type = F.array(*[F.array(*[F.lit(c) for c in cs]) for cs in lists])
+    sizes = F.array(*[F.lit(len(cs)) for cs in lists])
+    t = (orderkey % F.lit(len(lists))).cast("int") + 1
+    slot = (partkey % F.element_at(sizes, t)).cast("int") + 1
+    return F.element_at(F.element_at(by_type, t), slot).cast("long")
 
 
 def answer_of(partkey: Column, suppkey: Column) -> Column:
@@ -112,13 +109,12 @@ def build_obs(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
                          "l_returnflag", "l_linestatus")
     od = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     j = li.join(od, "l_orderkey")
-    etype = encounter_type_of(F.col("l_orderkey"))
     obs_id = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
     return j.select(
         obs_id.cast("long").alias("obs_id"),
         F.col("o_custkey").alias("person_id"),
         F.col("l_orderkey").alias("encounter_id"),
-        concept_of(etype, F.col("l_partkey")).alias("concept_id"),
+        concept_of(F.col("l_orderkey"), F.col("l_partkey")).alias("concept_id"),
         F.col("l_shipdate").alias("obs_datetime"),
         answer_of(F.col("l_partkey"), F.col("l_suppkey")).alias("value_coded"),
         F.col("l_quantity").alias("value_numeric"),
@@ -254,3 +250,40 @@ def build_corrections(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     vis = sel.select(k.alias("visit_id"), new_day.alias("new_start"),
                      F.expr("timestampadd(SECOND, 86399, timestampadd(DAY, 30, o_orderdate))").alias("new_stop"))
     return enc, vis
+
+
+_PREPARED: dict[tuple, str] = {}
+
+
+def _fingerprint(sf_dir: str) -> tuple:
+    stats = []
+    for n in DRIVER_TABLES:
+        p = os.path.join(sf_dir, f"{n}.parquet")
+        st = os.stat(p)
+        stats.append((n, st.st_size, int(st.st_mtime)))
+    return (os.path.abspath(sf_dir), tuple(stats))
+
+
+def prepared_tables(spark: SparkSession, sf_dir: str, files_per_table: int | None = None) -> ClinicalTables:
+    """The adapted clinical tables, written once per session as Parquet and read back.
+
+    The folder is the cluster's shared ``spark.checkpoint.dir`` (a scratch folder only when
+    the session has none, as in tests). Reading stored tables is what a deployment does;
+    it also gives every later scan as many splits as there are files.
+    """
+    from carelens.session import ensure_checkpoint_dir
+    from carelens.sources.schemas import SCHEMAS
+
+    root_dir = ensure_checkpoint_dir(spark)
+    key = _fingerprint(sf_dir)
+    root = _PREPARED.get(key)
+    if root is None:
+        import hashlib
+        digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
+        root = os.path.join(root_dir, f"carelens-clinical-{digest}")
+        n = files_per_table or max(1, spark.sparkContext.defaultParallelism)
+        for name, df in build_tables(spark, sf_dir).as_dict().items():
+            out = df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
+            out.repartition(n).write.mode("overwrite").parquet(os.path.join(root, name))
+        _PREPARED[key] = root
+    return ClinicalTables.read_parquet(spark, root)

@@ -190,12 +190,14 @@ def _dupes() -> str:
 
 
 def biometric_purge() -> str:
+    same_day = ("SELECT DISTINCT patient_id FROM biometricinfo GROUP BY patient_id, CAST(date_created AS DATE) "
+                "HAVING count(*) > 1")
     return f"""{_w('biometricinfo', 'biometricverificationinfo')}
 SELECT 'biometricinfo' AS source, patient_id, date_created, CAST(NULL AS INTEGER) AS recapture_count
-FROM biometricinfo WHERE patient_id NOT IN ({_dupes()})
+FROM biometricinfo WHERE patient_id NOT IN ({same_day})
 UNION ALL
 SELECT 'biometricverificationinfo', patient_id, date_created, recapture_count
-FROM biometricverificationinfo WHERE patient_id NOT IN ({_dupes()})"""
+FROM biometricverificationinfo WHERE patient_id NOT IN ({same_day})"""
 
 
 def biometric_records() -> str:
