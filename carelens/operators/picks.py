@@ -6,16 +6,20 @@ on or before a cutoff"*, each as its own correlated subquery. Here every such qu
 is a row of a small spec table, and all of them are answered together:
 
 1. one scan of ``obs`` restricted to the concepts of all specs (pushed to Parquet),
-2. one join with ``encounter`` on ``encounter_id`` (only for rows that can need it),
+2. one join with ``encounter`` on ``encounter_id`` (plus per-encounter facts on the same key),
 3. a broadcast join with the spec table (a fixed, code-defined list) on ``concept_id``,
-4. one ``rank()`` window per (patient, spec) whose partial group limit trims rows before
-   the shuffle, so a patient with a huge history ships at most one row per spec per
-   map task,
+4. one grouped aggregation per (patient, spec) that keeps the best row,
 5. one grouped pivot per patient (``max(when(spec = k, value))``).
 
-Ties: specs with ``keep_ties`` keep every row at the best time (the report aggregates
-them with MAX); all other specs break ties on ``obs_id`` (highest for "latest", lowest
-for "first"/"any"), which makes results deterministic.
+Every row gets a rank key (the ordering time as signed microseconds: larger is better,
+NULL is worst) and a tie key (``obs_id``, negated for "first"/"any"; constant for specs
+that keep ties). ``max(struct(rank, tie, columns...))`` is then the best row; for
+``keep_ties`` specs each column is instead ``max(struct(rank, column))``, the largest value
+among the rows at the best time, which is what the report's MAX over tied rows gives.
+Both aggregations are partial before their shuffle, so a patient with a huge history, or a
+huge set of rows stamped with one instant, ships at most one row per spec per map task.
+
+``choose`` keeps the tall form instead (all best rows, ties included) with a ranked window.
 """
 
 from __future__ import annotations
@@ -86,17 +90,19 @@ class PickPlan:
     def concepts(self) -> list[int]:
         return sorted({c for s in self.specs for c in s.concepts})
 
+    # Wide reports need a few hundred expressions; they are built from SQL text (one JVM
+    # call each) rather than chained Column calls (tens of JVM calls each).
     def is_spec(self, key: str) -> Column:
-        return F.col("spec_idx") == F.lit(self.index[key])
+        return F.expr(f"spec_idx = {self.index[key]}")
 
-    def value(self, key: str, col: str | Column, when: Column | None = None) -> Column:
-        """Aggregate for the pivot: max of ``col`` over the rows chosen for ``key``."""
-        c = F.col(col) if isinstance(col, str) else col
-        cond = self.is_spec(key) if when is None else (self.is_spec(key) & when)
-        return F.max(F.when(cond, c))
+    def value(self, key: str, col: str | Column) -> Column:
+        """Pivot aggregate: ``col`` of the row chosen for spec ``key`` (see ``best_per_spec``)."""
+        if isinstance(col, str):
+            return F.expr(f"max(CASE WHEN spec_idx = {self.index[key]} THEN `{col}` END)")
+        return F.max(F.when(self.is_spec(key), col))
 
     def any_of(self, keys: list[str]) -> Column:
-        return F.col("spec_idx").isin([self.index[k] for k in keys])
+        return F.expr(f"spec_idx IN ({', '.join(str(self.index[k]) for k in keys)})")
 
     def spec_frame(self, spark: SparkSession, cutoffs: dict[str, dt.datetime]) -> DataFrame:
         """The spec table: one row per (spec, concept); fixed size, defined in code."""
@@ -151,8 +157,16 @@ def _pick_column(code_col: str, names: tuple[str, ...], offset: int) -> Column:
     return expr
 
 
-def choose(enriched: DataFrame, spec_df: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows that answer each spec: one per (person, spec), or all tied rows for ``keep_ties`` specs."""
+_EPOCH = dt.datetime(1970, 1, 1)
+
+
+def _micros(c: Column) -> Column:
+    """Microseconds since 1970 of a wall-clock timestamp (no time zone involved)."""
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), c)
+
+
+def candidates(enriched: DataFrame, spec_df: DataFrame) -> DataFrame:
+    """Rows that qualify for each spec, with rank key ``_k`` and tie key ``_tb`` (larger is better)."""
     x = enriched.join(F.broadcast(spec_df), "concept_id")
     cut_value = _pick_column("s_cut_col", CUTOFF_COLUMNS, 1)
     passes = (
@@ -164,37 +178,64 @@ def choose(enriched: DataFrame, spec_df: DataFrame, keep: list[str]) -> DataFram
         & (~F.col("s_named_only") | F.col("name").isNotNull())
     )
     x = x.filter(passes)
-    order_value = F.when(F.col("s_order_col") < 3, _pick_column("s_order_col", ORDER_COLUMNS[:3], 0))
-    tie = F.when(~F.col("s_ties"), F.col("obs_id"))
-    w = Window.partitionBy("person_id", "spec_idx").orderBy(
-        F.when(F.col("s_desc"), order_value).desc_nulls_last(),
-        F.when(~F.col("s_desc"), order_value).asc_nulls_last(),
-        F.when(F.col("s_desc"), tie).desc_nulls_last(),
-        F.when(~F.col("s_desc"), tie).asc_nulls_last(),
-    )
-    return x.withColumn("_rank", F.rank().over(w)).filter(F.col("_rank") == 1).select("person_id", "spec_idx", *keep)
+    order_value = _micros(_pick_column("s_order_col", ORDER_COLUMNS[:3], 0))
+    k = (F.when(F.col("s_order_col") == 3, F.lit(0).cast("long"))
+         .when(F.col("s_desc"), order_value).otherwise(-order_value))
+    tb = (F.when(F.col("s_ties"), F.lit(0).cast("long"))
+          .when(F.col("s_desc"), F.col("obs_id")).otherwise(-F.col("obs_id")))
+    return x.withColumn("_k", k).withColumn("_tb", tb)
+
+
+def best_per_spec(cands: DataFrame, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """One row per (person, spec): the best row's ``columns``; for ``keep_ties`` specs each
+    column is the largest value among the rows at the best time.
+
+    ``derived`` columns are computed on every candidate row first, so conditions on a row
+    (e.g. "the name, if the answer is X") are applied before ties are merged.
+    """
+    derived = derived or {}
+    cols = list(columns) + list(derived)
+    x = cands.select("person_id", "spec_idx", "s_ties", "_k", "_tb", *columns,
+                     *[e.alias(n) for n, e in derived.items()])
+    best = ", ".join(f"`{c}`" for c in ["_k", "_tb", *cols])
+    aggs = [F.expr(f"max(struct({best})) AS _best"), F.expr("max(s_ties) AS _ties")]
+    aggs += [F.expr(f"max(struct(_k, `{c}` AS v)) AS `_t_{c}`") for c in cols]
+    g = x.groupBy("person_id", "spec_idx").agg(*aggs)
+    return g.selectExpr("person_id", "spec_idx", *[
+        f"CASE WHEN _ties THEN `_t_{c}`.v ELSE _best.`{c}` END AS `{c}`" for c in cols])
+
+
+def choose(cands: DataFrame, keep: list[str]) -> DataFrame:
+    """Tall answers: the best row per (person, spec), every tied row for ``keep_ties`` specs."""
+    w = Window.partitionBy("person_id", "spec_idx").orderBy(F.col("_k").desc_nulls_last(), F.col("_tb").desc_nulls_last())
+    return cands.withColumn("_rank", F.rank().over(w)).filter(F.col("_rank") == 1).select("person_id", "spec_idx", *keep)
 
 
 CARRIED = ["obs_id", "encounter_id", "obs_datetime", "value_coded", "value_numeric", "value_text",
            "value_datetime", "encounter_datetime", "form_id", "name"]
 
 
-def pick(spark: SparkSession, obs: DataFrame, encounter: DataFrame, concept_name: DataFrame,
-         plan: PickPlan, cutoffs: dict[str, dt.datetime], carried: list[str] = CARRIED,
-         extra_forms: list[int] = (), encounter_facts: DataFrame | None = None) -> DataFrame:
-    """Tall answers: (person_id, spec_idx, carried columns...) for every spec in ``plan``.
+def plan_candidates(spark: SparkSession, obs: DataFrame, encounter: DataFrame, concept_name: DataFrame,
+                    plan: PickPlan, cutoffs: dict[str, dt.datetime], extra_forms: list[int] = (),
+                    encounter_facts: DataFrame | None = None) -> DataFrame:
+    """Qualifying rows of every spec in ``plan`` (see ``candidates``).
 
-    ``extra_forms``: encounter forms whose id must be visible on chosen rows even though no
-    spec filters on them.
+    ``extra_forms``: encounter forms whose id must be visible on rows even though no spec
+    filters on them.
     """
     types = sorted({s.encounter_type for s in plan.specs if s.encounter_type is not None})
     forms = sorted({s.form_id for s in plan.specs if s.form_id is not None} | set(extra_forms))
     enriched = enrich_obs(obs, encounter, concept_name, plan.concepts, types, forms, encounter_facts)
-    if encounter_facts is not None:
-        carried = list(carried) + [c for c in encounter_facts.columns if c != "encounter_id"]
-    return choose(enriched, plan.spec_frame(spark, cutoffs), carried)
+    return candidates(enriched, plan.spec_frame(spark, cutoffs))
+
+
+def pick(spark: SparkSession, obs: DataFrame, encounter: DataFrame, concept_name: DataFrame,
+         plan: PickPlan, cutoffs: dict[str, dt.datetime], carried: list[str] = CARRIED,
+         extra_forms: list[int] = ()) -> DataFrame:
+    """Tall answers: (person_id, spec_idx, carried columns...) for every spec in ``plan``."""
+    return choose(plan_candidates(spark, obs, encounter, concept_name, plan, cutoffs, extra_forms), carried)
 
 
-def pivot(tall: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
-    """One row per person with the named aggregates over that person's chosen rows."""
-    return tall.groupBy("person_id").agg(*[expr.alias(name) for name, expr in aggregates.items()])
+def pivot(best: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
+    """One row per person with the named aggregates (``PickPlan.value`` and friends)."""
+    return best.groupBy("person_id").agg(*[expr.alias(name) for name, expr in aggregates.items()])

@@ -21,7 +21,7 @@ from carelens.functions.dates import (
 )
 from carelens.functions.text import non_empty, number_text, text_is
 from carelens.operators import patients as P
-from carelens.operators.picks import PickPlan, pick, pivot
+from carelens.operators.picks import CARRIED, PickPlan, best_per_spec, plan_candidates, pivot
 from carelens.plans import specs as S
 from carelens.sources.tables import ClinicalTables
 
@@ -103,24 +103,36 @@ DISPLAY_FORMATS = {
 
 
 def _d(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("date")
+    return F.expr(f"CAST(`{c}` AS DATE)") if isinstance(c, str) else c.cast("date")
+
+
+def _c(name: str) -> Column:
+    """A column reference built from SQL text (far fewer JVM calls than ``F.col``)."""
+    return F.expr(f"`{name}`")
 
 
 def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineListParams,
                         plan: PickPlan | None = None) -> tuple[DataFrame, DataFrame, PickPlan]:
     """Every observation-derived value of the report, one row per person (``person_id``).
 
-    Returns (answers, tall chosen rows, plan).
+    Returns (answers, qualifying rows, plan).
     """
     plan = plan or S.line_list_plan(params.extended_concepts)
-    tall = pick(spark, t.obs, t.encounter, t.concept_name, plan, params.cutoffs(), extra_forms=[S.FORM_CARE_CARD],
-                encounter_facts=encounter_facts(t.obs))
+    cands = plan_candidates(spark, t.obs, t.encounter, t.concept_name, plan, params.cutoffs(),
+                            extra_forms=[S.FORM_CARE_CARD], encounter_facts=encounter_facts(t.obs))
+    # row-level conditions the report applies before taking MAX over tied rows
+    derived = {
+        "tpt_received_name": F.when(F.col("value_coded") == S.TPT_RECEIVED_ANSWER, F.col("name")),
+        "care_card_next_at": F.when(F.col("form_id") == S.FORM_CARE_CARD, F.col("value_datetime")),
+        "transferred_out_flag": F.when(F.col("value_coded") == S.TRANSFERRED_OUT_ANSWER, F.lit(1)),
+    }
+    best = best_per_spec(cands, CARRIED + ["encounter_refill", "encounter_text"], derived)
     v = plan.value
     latest_keys = [f"L{c}" for c in S.LATEST_SET]
     aggs: dict[str, Column] = {
         "has_latest": F.max(F.when(plan.any_of(latest_keys), F.lit(1))),
-        "transferred_out": F.max(F.when(plan.any_of(latest_keys) & (F.col("value_coded") == S.TRANSFERRED_OUT_ANSWER),
-                                        F.lit(1))),
+        # any row at the latest time of any latest-set concept carries the "transferred out" answer
+        "transferred_out": F.max(F.when(plan.any_of(latest_keys), F.col("transferred_out_flag"))),
         "has_pickup_line": v("L165708", F.lit(1)),
         "last_regimen_line_at": v("L165708", "obs_datetime"),
         "refill": v("L159368", "value_numeric"),
@@ -132,12 +144,12 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
         "t165242": v("L165242", "name"),
         "First_TPT_Pickupdate": v("L164852", "value_datetime"),
         "Last_TPT_Pickupdate": v("L166096", "value_datetime"),
-        "Current_TPT_Received": v("L165727", "name", F.col("value_coded") == S.TPT_RECEIVED_ANSWER),
+        "Current_TPT_Received": v("L165727", "tpt_received_name"),
         "Current_TB_Status": v("L1659", "name"),
         "DateofCurrent_TBStatus": v("L1659", "obs_datetime"),
         "TB_Treatment_Start_Date": v("L1113", "obs_datetime"),
         "TB_Treatment_Stop_Date": v("L159431", "obs_datetime"),
-        "Next_Ap_by_careCard": v("L5096", "value_datetime", F.col("form_id") == S.FORM_CARE_CARD),
+        "Next_Ap_by_careCard": v("L5096", "care_card_next_at"),
         "RegimenLineAtARTStart": v(f"F{S.REGIMEN_LINE}", "name"),
         "RegimenAtARTStart": F.max(F.when(plan.any_of([f"F{c}" for c in S.REGIMEN_CONCEPTS]), F.col("name"))),
         "bp_systolic": v("V5085", "value_numeric"),
@@ -191,12 +203,12 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
         aggs["TPT_Outcomes"] = v("L166007", "name")
         aggs["Date_of_TPT_Outcome"] = v("L166008", "value_datetime")
         aggs["Date_Enrolled_Into_OTZ_Plus"] = v("L166350", "value_datetime")
-    answers = pivot(tall, aggs)
+    answers = pivot(best, aggs)
     if not params.extended_concepts:
         answers = (answers.withColumn("TPT_Outcomes", F.lit(None).cast("string"))
                    .withColumn("Date_of_TPT_Outcome", F.lit(None).cast("timestamp_ntz"))
                    .withColumn("Date_Enrolled_Into_OTZ_Plus", F.lit(None).cast("timestamp_ntz")))
-    return answers, tall, plan
+    return answers, cands, plan
 
 
 def encounter_facts(obs: DataFrame) -> DataFrame:
@@ -250,8 +262,8 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
     enc = encounter_dates(t.encounter, params)
     base = P.active_patients(t.patient, t.person)
     wide = (
-        base.join(answers.filter(F.col("has_latest") == 1), "patient_id")
-        .join(enc.filter(F.col("has_gate_form") == 1), "patient_id")
+        base.join(answers.filter(_c("has_latest") == 1), "patient_id")
+        .join(enc.filter(_c("has_gate_form") == 1), "patient_id")
         .join(P.first_identifier(t.patient_identifier, 5, "PatientHospitalNo"), "patient_id", "left")
         .join(P.preferred_name(t.person_name), "patient_id", "left")
         .join(P.preferred_address(t.person_address), "patient_id", "left")
@@ -263,126 +275,125 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
     end = F.lit(params.end)
     today = F.lit(params.as_of)
     pq_end = F.lit(params.prev_quarter_end)
-    pickup = F.when(F.col("has_pickup_line") == 1, _d("pickup_at"))
-    iit = add_whole_days(pickup, F.col("refill") + S.LTFU_GRACE_DAYS)
-    outcome_text = F.col("outcome_name")
+    pickup = F.when(_c("has_pickup_line") == 1, _d("pickup_at"))
+    iit = add_whole_days(pickup, _c("refill") + S.LTFU_GRACE_DAYS)
+    outcome_text = _c("outcome_name")
     outcomes = F.when(non_empty(outcome_text), outcome_text).otherwise(
-        F.when(F.col("transferred_out") == 1, F.lit("Transferred Out")))
-    art_years = whole_years(F.col("birthdate"), F.col("art_start_at"))
-    age_years = whole_years(F.col("birthdate"), today)
-    transfer_flag = text_is(F.col("t160540"), "Transferred in") | text_is(F.col("t165242"), "Transfer in with records")
-    transfer_date_flag = text_is(F.col("t160540"), "Transfer in") | text_is(F.col("t165242"), "Transfer in with records")
+        F.when(_c("transferred_out") == 1, F.lit("Transferred Out")))
+    art_years = whole_years(_c("birthdate"), _c("art_start_at"))
+    age_years = whole_years(_c("birthdate"), today)
+    transfer_flag = text_is(_c("t160540"), "Transferred in") | text_is(_c("t165242"), "Transfer in with records")
+    transfer_date_flag = text_is(_c("t160540"), "Transfer in") | text_is(_c("t165242"), "Transfer in with records")
     if legacy_text_max:
-        outcome_else = F.when(F.col("transferred_out") == 1, F.to_date(F.col("tracking_text_max"), FORMAT_DMY))
+        outcome_else = F.when(_c("transferred_out") == 1, F.to_date(_c("tracking_text_max"), FORMAT_DMY))
     else:
-        outcome_else = F.when(F.col("transferred_out") == 1, _d("tracking_at"))
+        outcome_else = F.when(_c("transferred_out") == 1, _d("tracking_at"))
     cols: dict[str, Column] = {
-        "patient_id": F.col("patient_id"),
-        "PatientHospitalNo": F.col("PatientHospitalNo"),
-        "Sex": F.col("gender"),
-        "CareEntryPoint": _care_entry_point(F.col("care_entry_code"), F.col("care_entry_text")),
-        "KPType": F.col("KPType"),
-        "AgeAtStartofART": F.when(F.col("art_start_at").isNotNull(),
+        "patient_id": _c("patient_id"),
+        "PatientHospitalNo": _c("PatientHospitalNo"),
+        "Sex": _c("gender"),
+        "CareEntryPoint": _care_entry_point(_c("care_entry_code"), _c("care_entry_text")),
+        "KPType": _c("KPType"),
+        "AgeAtStartofART": F.when(_c("art_start_at").isNotNull(),
                                   F.when(art_years >= 5, art_years).otherwise(F.lit(0))),
-        "AgeinMonths": F.when(F.col("art_start_at").isNotNull() & (art_years < 5),
-                              whole_months(F.col("birthdate"), F.col("art_start_at"))),
+        "AgeinMonths": F.when(_c("art_start_at").isNotNull() & (art_years < 5),
+                              whole_months(_c("birthdate"), _c("art_start_at"))),
         "DateConfirmedHIV+": _d("hiv_confirmed_at"),
         "ARTStartDate": _d("art_start_at"),
         "DaysOnART": F.datediff(end, _d("art_start_at")),
         "Pharmacy_LastPickupdate": pickup,
         "Pharmacy_LastPickupdate_PreviousQuarter": _d("prevq_pickup_at"),
-        "DaysOfARVRefill": F.col("refill"),
-        "RegimenLineAtARTStart": F.col("RegimenLineAtARTStart"),
-        "RegimenAtARTStart": F.col("RegimenAtARTStart"),
-        "CurrentRegimenLine": F.col("CurrentRegimenLine"),
-        "CurrentARTRegimen": F.col("CurrentARTRegimen"),
-        "DSD_Model": F.col("DSD_Model"),
-        "DSD_Model_Type": F.col("DSD_Model_Type"),
-        "CurrentPregnancyStatus": F.col("CurrentPregnancyStatus"),
-        "CurrentViralLoad": F.col("CurrentViralLoad"),
+        "DaysOfARVRefill": _c("refill"),
+        "RegimenLineAtARTStart": _c("RegimenLineAtARTStart"),
+        "RegimenAtARTStart": _c("RegimenAtARTStart"),
+        "CurrentRegimenLine": _c("CurrentRegimenLine"),
+        "CurrentARTRegimen": _c("CurrentARTRegimen"),
+        "DSD_Model": _c("DSD_Model"),
+        "DSD_Model_Type": _c("DSD_Model_Type"),
+        "CurrentPregnancyStatus": _c("CurrentPregnancyStatus"),
+        "CurrentViralLoad": _c("CurrentViralLoad"),
         "DateofCurrentViralLoad": _d("DateofCurrentViralLoad"),
         "DateResultReceivedFacility": _d("DateResultReceivedFacility"),
-        "Alphanumeric_Viral_Load_Result": F.col("Alphanumeric_Viral_Load_Result"),
+        "Alphanumeric_Viral_Load_Result": _c("Alphanumeric_Viral_Load_Result"),
         "LastDateOfSampleCollection": _d("LastDateOfSampleCollection"),
-        "ViralLoadIndication": F.col("ViralLoadIndication"),
+        "ViralLoadIndication": _c("ViralLoadIndication"),
         "Outcomes": outcomes,
         "Outcomes_Date": F.coalesce(_d("outcome_date_value"), outcome_else),
-        "Cause_of_Death": F.when(text_is(outcome_text, "Death"), F.col("cause_of_death")),
-        "VA_Cause_of_Death": F.when(non_empty(F.col("va_166349")) & non_empty(F.col("va_166348")), F.col("va_166348"))
-        .otherwise(F.col("va_166347")),
+        "Cause_of_Death": F.when(text_is(outcome_text, "Death"), _c("cause_of_death")),
+        "VA_Cause_of_Death": F.when(non_empty(_c("va_166349")) & non_empty(_c("va_166348")), _c("va_166348"))
+        .otherwise(_c("va_166347")),
         "IIT_Date": iit,
         "CurrentARTStatus_Pharmacy": F.when(iit > end, F.lit("Active")).otherwise(F.lit("LTFU")),
         "ARTStatus_PreviousQuarter": F.coalesce(
-            F.col("prevq_outcome_name"),
-            outcome_status(_d("prevq_pickup_at"), F.col("encounter_refill"), S.LTFU_GRACE_DAYS, pq_end)),
-        "DOB": F.col("birthdate"),
+            _c("prevq_outcome_name"),
+            outcome_status(_d("prevq_pickup_at"), _c("encounter_refill"), S.LTFU_GRACE_DAYS, pq_end)),
+        "DOB": _c("birthdate"),
         "Current_Age": F.when(age_years >= 5, age_years),
-        "CurrentAge_Months": F.when(age_years < 5, whole_months(F.col("birthdate"), today)),
+        "CurrentAge_Months": F.when(age_years < 5, whole_months(_c("birthdate"), today)),
         "TransferredIn": F.when(transfer_flag, F.lit("Yes")).otherwise(F.lit("No")),
         "Date_Transfered_In": F.when(transfer_date_flag, _d("transfer_in_at")),
-        "Surname": F.col("family_name"),
-        "Firstname": F.col("given_name"),
-        "Educationallevel": F.col("Educationallevel"),
-        "MaritalStatus": F.col("MaritalStatus"),
-        "JobStatus": F.col("JobStatus"),
-        "PhoneNo": F.col("PhoneNo"),
-        "Address": F.when(non_empty(F.col("address2")), F.col("address2")).otherwise(F.col("address1")),
-        "State_of_Residence": F.col("state_province"),
-        "LGA_of_Residence": F.col("city_village"),
-        "Weight": F.col("Weight"),
-        "Height": F.col("Height"),
-        "BMI": F.col("BMI"),
-        "BP": F.concat(number_text(F.col("bp_systolic")), F.lit("/"), number_text(F.col("bp_diastolic"))),
-        "Whostage": F.col("Whostage"),
+        "Surname": _c("family_name"),
+        "Firstname": _c("given_name"),
+        "Educationallevel": _c("Educationallevel"),
+        "MaritalStatus": _c("MaritalStatus"),
+        "JobStatus": _c("JobStatus"),
+        "PhoneNo": _c("PhoneNo"),
+        "Address": F.when(non_empty(_c("address2")), _c("address2")).otherwise(_c("address1")),
+        "State_of_Residence": _c("state_province"),
+        "LGA_of_Residence": _c("city_village"),
+        "Weight": _c("Weight"),
+        "Height": _c("Height"),
+        "BMI": _c("BMI"),
+        "BP": F.concat(number_text(_c("bp_systolic")), F.lit("/"), number_text(_c("bp_diastolic"))),
+        "Whostage": _c("Whostage"),
         "DateofFirstTLD_Pickup": _d("first_tld_at"),
-        "CurrentCD4": F.col("CurrentCD4"),
+        "CurrentCD4": _c("CurrentCD4"),
         "CurrentCD4Date": _d("cd4_encounter_at"),
-        **{name: F.col(name) for name, _ in S.AHD_COLUMNS},
-        "EstimatedNextAppointmentPharmacy": add_whole_days(pickup, F.col("refill")),
+        **{name: _c(name) for name, _ in S.AHD_COLUMNS},
+        "EstimatedNextAppointmentPharmacy": add_whole_days(pickup, _c("refill")),
         "Next_Ap_by_careCard": _d("Next_Ap_by_careCard"),
-        "Days_To_Schedule": F.datediff(add_whole_days(_d("last_regimen_line_at"), F.col("refill")), today),
+        "Days_To_Schedule": F.datediff(add_whole_days(_d("last_regimen_line_at"), _c("refill")), today),
         "IPT_Screening_Date": _d("tb_screen_at"),
-        **{name: F.col(name) for name, _ in S.TB_NAMED + S.TB_YES_NO + S.TB_YES},
+        **{name: _c(name) for name, _ in S.TB_NAMED + S.TB_YES_NO + S.TB_YES},
         "First_TPT_Pickupdate": _d("First_TPT_Pickupdate"),
         "Last_TPT_Pickupdate": _d("Last_TPT_Pickupdate"),
-        "Current_TPT_Received": F.col("Current_TPT_Received"),
-        "TPT_Outcomes": F.col("TPT_Outcomes"),
+        "Current_TPT_Received": _c("Current_TPT_Received"),
+        "TPT_Outcomes": _c("TPT_Outcomes"),
         "Date_of_TPT_Outcome": _d("Date_of_TPT_Outcome"),
-        "Current_TB_Status": F.col("Current_TB_Status"),
+        "Current_TB_Status": _c("Current_TB_Status"),
         "DateofCurrent_TBStatus": _d("DateofCurrent_TBStatus"),
         "TB_Treatment_Start_Date": _d("TB_Treatment_Start_Date"),
         "TB_Treatment_Stop_Date": _d("TB_Treatment_Stop_Date"),
         "Date_Enrolled_Into_OTZ": _d("otz_enrolled_at"),
         "Date_Enrolled_Into_OTZ_Plus": _d("Date_Enrolled_Into_OTZ_Plus"),
-        **{name: F.col(name) for name, _ in S.OTZ_COLUMNS},
+        **{name: _c(name) for name, _ in S.OTZ_COLUMNS},
         "OTZ_Outcome_Date": _d("OTZ_Outcome_Date"),
-        "PBS_Capturee": F.when(F.col("capture_at").isNotNull(), F.lit("Yes")).otherwise(F.lit("No")),
+        "PBS_Capturee": F.when(_c("capture_at").isNotNull(), F.lit("Yes")).otherwise(F.lit("No")),
         "PBS_Capture_Date": _d("capture_at"),
-        "PBS_Recapture": F.when(F.col("recapture_at").isNotNull(), F.lit("Yes")).otherwise(F.lit("")),
+        "PBS_Recapture": F.when(_c("recapture_at").isNotNull(), F.lit("Yes")).otherwise(F.lit("")),
         "PBS_Recapture_Date": _d("recapture_at"),
-        "PBS_Recapture_Count": F.col("recapture_count"),
+        "PBS_Recapture_Count": _c("recapture_count"),
     }
     per_patient = wide.select(*[c.alias(n) for n, c in cols.items()])
     pepid = P.identifier_rows(t.patient_identifier, 4).withColumnRenamed("identifier", "PEPID")
     rows = per_patient.join(pepid, "patient_id", "left")
     # the TB screening block exists only for patients with a type-4 identifier
-    has_pepid = F.col("PEPID").isNotNull()
-    rows = rows.select("*", *[F.when(has_pepid, F.col(c)).alias(f"__{c}") for c in TB_COLUMNS]).drop(*TB_COLUMNS)
-    for c in TB_COLUMNS:
-        rows = rows.withColumnRenamed(f"__{c}", c)
+    has_pepid = _c("PEPID").isNotNull()
+    rows = rows.selectExpr(*[f"CASE WHEN PEPID IS NOT NULL THEN `{c}` END AS `{c}`" if c in TB_COLUMNS else f"`{c}`"
+                             for c in rows.columns])
     site = P.site_config(t.global_property, t.location, t.address_hierarchy_entry, params.state_location_id)
     rows = rows.crossJoin(F.broadcast(site))
-    pharmacy_status = F.when(F.col("IIT_Date") > end, F.lit("Active")).otherwise(F.lit("LTFU"))
+    pharmacy_status = F.when(_c("IIT_Date") > end, F.lit("Active")).otherwise(F.lit("LTFU"))
     final = rows.select(
         F.lit(params.implementing_partner).alias("IP"),
-        *[F.col(c) for c in ("State", "LGA", "Datim_Code", "FacilityName", "patient_id", "PEPID",
-                             "PatientHospitalNo", "uuid", "Sex")],
-        *[F.col(f"`{c}`") for c in COLUMNS[10:COLUMNS.index("CurrentARTStatus")]],
-        F.coalesce(F.col("Outcomes"), pharmacy_status).alias("CurrentARTStatus"),
-        *[F.col(f"`{c}`") for c in COLUMNS[COLUMNS.index("ARTStatus_PreviousQuarter"):COLUMNS.index("Date_Generated")]],
+        *[_c(c) for c in ("State", "LGA", "Datim_Code", "FacilityName", "patient_id", "PEPID",
+                          "PatientHospitalNo", "uuid", "Sex")],
+        *[_c(c) for c in COLUMNS[10:COLUMNS.index("CurrentARTStatus")]],
+        F.coalesce(_c("Outcomes"), pharmacy_status).alias("CurrentARTStatus"),
+        *[_c(c) for c in COLUMNS[COLUMNS.index("ARTStatus_PreviousQuarter"):COLUMNS.index("Date_Generated")]],
         F.lit(f"{params.end:%Y-%m-%d}{params.version_tag}").alias("Date_Generated"),
-        F.concat(F.col("Datim_Code"), F.lit("_"), F.col("PEPID")).alias("Unique_Id"),
-        *[F.col(c) for c in ("PBS_Recapture", "PBS_Recapture_Date", "PBS_Recapture_Count")],
+        F.concat(_c("Datim_Code"), F.lit("_"), _c("PEPID")).alias("Unique_Id"),
+        *[_c(c) for c in ("PBS_Recapture", "PBS_Recapture_Date", "PBS_Recapture_Count")],
     )
     if display:
         final = render(final, legacy_text_max)
