@@ -8,6 +8,8 @@ join, and verification is a full outer join of before and after on the row id.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +103,28 @@ def purge_biometrics(biometricinfo: DataFrame, biometricverificationinfo: DataFr
     ids = bounded_broadcast(patients.select("patient_id").distinct(), CORRECTIONS_BROADCAST_ROWS)
     return (biometricinfo.join(ids, "patient_id", "left_anti"),
             biometricverificationinfo.join(ids, "patient_id", "left_anti"))
+
+
+def apply_corrections(encounter: DataFrame, visit: DataFrame, enc_requests: DataFrame, visit_requests: DataFrame,
+                      out_root: str, run_id: str) -> dict[str, str]:
+    """The whole correction workflow as one job sequence, each step a written table:
+
+    1. back up every encounter and visit row of the requested visits (``backups/``),
+    2. write the corrected encounter and visit snapshots to new paths (``<run_id>/``),
+    3. write the verification report computed from the stored before image (``<run_id>/report``).
+
+    Nothing is changed in place; the old snapshot stays where it was. Returns the paths.
+    """
+    from carelens.sources.sinks import append_backup, save_table
+
+    targets = enc_requests.select("visit_id").union(visit_requests.select("visit_id")).distinct()
+    backups = os.path.join(out_root, "backups")
+    append_backup(backup(encounter, targets, "visit_id", run_id), backups, "encounter")
+    append_backup(backup(visit, targets, "visit_id", run_id), backups, "visit")
+    run = os.path.join(out_root, run_id)
+    paths = {"encounter": os.path.join(run, "encounter"), "visit": os.path.join(run, "visit"),
+             "report": os.path.join(run, "report"), "backups": backups}
+    save_table(correct_encounters(encounter, enc_requests).drop("corrected"), paths["encounter"])
+    save_table(correct_visits(visit, visit_requests).drop("corrected"), paths["visit"])
+    save_table(correction_report(encounter, visit, enc_requests, visit_requests), paths["report"])
+    return paths

@@ -27,11 +27,16 @@ def _eligible(obs: DataFrame, cutoff: dt.datetime | Column | None, concepts=None
 
 def rows_at_extreme(obs: DataFrame, cutoff=None, concepts=None, first: bool = False,
                     keys=("person_id", "concept_id")) -> DataFrame:
-    """All non-voided rows at the latest (or first) ``obs_datetime`` of each key, ties kept."""
+    """All non-voided rows at the latest (or first) ``obs_datetime`` of each key, ties kept.
+
+    Written as the report writes it: a grouped MAX (or MIN), partial before the shuffle,
+    then a semi join on (key, time). A huge tie group is then one hot join key, which
+    adaptive execution splits across tasks, instead of one window partition in one task.
+    """
     o = _eligible(obs, cutoff, concepts)
-    order = F.col("obs_datetime").asc() if first else F.col("obs_datetime").desc()
-    w = Window.partitionBy(*keys).orderBy(order)
-    return o.withColumn("_r", F.rank().over(w)).filter(F.col("_r") == 1).drop("_r")
+    agg = F.min("obs_datetime") if first else F.max("obs_datetime")
+    extreme = o.groupBy(*keys).agg(agg.alias("obs_datetime"))
+    return o.join(extreme, [*keys, "obs_datetime"], "left_semi")
 
 
 def best_row(obs: DataFrame, cutoff=None, concepts=None, first: bool = False,

@@ -186,23 +186,27 @@ def candidates(enriched: DataFrame, spec_df: DataFrame) -> DataFrame:
     return x.withColumn("_k", k).withColumn("_tb", tb)
 
 
-def best_per_spec(cands: DataFrame, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+def best_per_spec(cands: DataFrame, columns: list[str], derived: dict[str, Column] | None = None,
+                  tie_columns: list[str] | None = None) -> DataFrame:
     """One row per (person, spec): the best row's ``columns``; for ``keep_ties`` specs each
-    column is the largest value among the rows at the best time.
+    of ``tie_columns`` (default: all) is the largest value among the rows at the best time,
+    and the other columns are NULL.
 
     ``derived`` columns are computed on every candidate row first, so conditions on a row
     (e.g. "the name, if the answer is X") are applied before ties are merged.
     """
     derived = derived or {}
     cols = list(columns) + list(derived)
+    ties = cols if tie_columns is None else [c for c in cols if c in set(tie_columns) | set(derived)]
     x = cands.select("person_id", "spec_idx", "s_ties", "_k", "_tb", *columns,
                      *[e.alias(n) for n, e in derived.items()])
     best = ", ".join(f"`{c}`" for c in ["_k", "_tb", *cols])
     aggs = [F.expr(f"max(struct({best})) AS _best"), F.expr("max(s_ties) AS _ties")]
-    aggs += [F.expr(f"max(struct(_k, `{c}` AS v)) AS `_t_{c}`") for c in cols]
+    aggs += [F.expr(f"max(struct(_k, `{c}` AS v)) AS `_t_{c}`") for c in ties]
     g = x.groupBy("person_id", "spec_idx").agg(*aggs)
     return g.selectExpr("person_id", "spec_idx", *[
-        f"CASE WHEN _ties THEN `_t_{c}`.v ELSE _best.`{c}` END AS `{c}`" for c in cols])
+        (f"CASE WHEN _ties THEN `_t_{c}`.v ELSE _best.`{c}` END AS `{c}`" if c in ties
+         else f"CASE WHEN _ties THEN NULL ELSE _best.`{c}` END AS `{c}`") for c in cols])
 
 
 def choose(cands: DataFrame, keep: list[str]) -> DataFrame:

@@ -126,7 +126,9 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
         "care_card_next_at": F.when(F.col("form_id") == S.FORM_CARE_CARD, F.col("value_datetime")),
         "transferred_out_flag": F.when(F.col("value_coded") == S.TRANSFERRED_OUT_ANSWER, F.lit(1)),
     }
-    best = best_per_spec(cands, CARRIED + ["encounter_refill", "encounter_text"], derived)
+    # tie-keeping specs (latest / first sets) are read for these columns only
+    best = best_per_spec(cands, CARRIED + ["encounter_refill", "encounter_text"], derived,
+                         tie_columns=["name", "value_numeric", "value_datetime", "obs_datetime"])
     v = plan.value
     latest_keys = [f"L{c}" for c in S.LATEST_SET]
     aggs: dict[str, Column] = {

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The source scripts have no streaming, watermark, event-time window or stateful logic, so
+nothing is built here (adding streaming operators would invent capabilities). A caller who
+receives clinical tables as a stream can run any operator of this package per micro-batch
+from ``foreachBatch``, since every operator is a function of DataFrames.
+"""

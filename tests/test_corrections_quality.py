@@ -108,3 +108,16 @@ def test_investigation_chain(spark):
     assert [r["visit_id"] for r in det] == [10]
     starts = I.start_encounters(t.encounter, spark.createDataFrame([(2,)], "patient_id long")).collect()
     assert [(r["encounter_id"], r["voided"]) for r in starts] == [(103, 1)]
+
+
+def test_apply_corrections_writes_new_snapshots(spark, tmp_path):
+    t = tables(spark)
+    enc, vis = requests(spark)
+    paths = C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path), "run1")
+    after = {r["encounter_id"]: r["encounter_datetime"] for r in spark.read.parquet(paths["encounter"]).collect()}
+    assert after[100] == T(2015, 6, 24) and len(after) == 4
+    backup = spark.read.parquet(paths["backups"] + "/encounter")
+    assert sorted(r["encounter_id"] for r in backup.collect()) == [100, 101]
+    assert backup.first()["backup_run"] == "run1"
+    report = spark.read.parquet(paths["report"]).collect()
+    assert report[0]["status"] == "applied"
