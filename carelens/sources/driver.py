@@ -256,12 +256,15 @@ _PREPARED: dict[tuple, str] = {}
 
 
 def _fingerprint(sf_dir: str) -> tuple:
+    """Identity of a driver directory: its path plus file sizes and times when it is local."""
     stats = []
     for n in DRIVER_TABLES:
-        p = os.path.join(sf_dir, f"{n}.parquet")
-        st = os.stat(p)
-        stats.append((n, st.st_size, int(st.st_mtime)))
-    return (os.path.abspath(sf_dir), tuple(stats))
+        try:
+            st = os.stat(os.path.join(sf_dir, f"{n}.parquet"))
+            stats.append((n, st.st_size, int(st.st_mtime)))
+        except OSError:
+            stats.append((n, None, None))
+    return (sf_dir.rstrip("/"), tuple(stats))
 
 
 def prepared_tables(spark: SparkSession, sf_dir: str, files_per_table: int | None = None) -> ClinicalTables:
