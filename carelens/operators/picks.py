@@ -210,9 +210,17 @@ def best_per_spec(cands: DataFrame, columns: list[str], derived: dict[str, Colum
 
 
 def choose(cands: DataFrame, keep: list[str]) -> DataFrame:
-    """Tall answers: the best row per (person, spec), every tied row for ``keep_ties`` specs."""
-    w = Window.partitionBy("person_id", "spec_idx").orderBy(F.col("_k").desc_nulls_last(), F.col("_tb").desc_nulls_last())
-    return cands.withColumn("_rank", F.rank().over(w)).filter(F.col("_rank") == 1).select("person_id", "spec_idx", *keep)
+    """Tall answers: the best row per (person, spec), every tied row for ``keep_ties`` specs.
+
+    The best (rank, tie) key per (person, spec) is a partial aggregate; the rows are then
+    found by a null-safe semi join on (person, spec, rank, tie). A huge tie group is one hot
+    join key that adaptive execution splits, never one window partition in one task.
+    """
+    best = (cands.groupBy("person_id", "spec_idx").agg(F.expr("max(struct(_k, _tb)) AS _b"))
+            .selectExpr("person_id AS _p", "spec_idx AS _s", "_b._k AS _bk", "_b._tb AS _btb"))
+    on = [cands.person_id == best._p, cands.spec_idx == best._s,
+          cands._k.eqNullSafe(best._bk), cands._tb.eqNullSafe(best._btb)]
+    return cands.join(best, on, "left_semi").select("person_id", "spec_idx", *keep)
 
 
 CARRIED = ["obs_id", "encounter_id", "obs_datetime", "value_coded", "value_numeric", "value_text",

@@ -36,6 +36,10 @@ class LineListParams:
     extended_concepts: bool = False
     version_tag: str = "_v1.2"
     state_location_id: int = 8
+    # Cut the lineage after the per-patient answers (a reliable checkpoint in the cluster's
+    # spark.checkpoint.dir): the expensive obs pipeline is then never recomputed when an
+    # executor is lost later in the job. Eager, so it runs when the plan is built.
+    checkpoint_answers: bool = False
 
     @property
     def as_of(self) -> dt.date:
@@ -259,7 +263,11 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
     reproduces the report's text maximum for the outcome date (``31/01/2020`` beats
     ``01/12/2024``).
     """
-    answers, tall, _ = observation_answers(spark, t, params)
+    answers, _, _ = observation_answers(spark, t, params)
+    if params.checkpoint_answers:
+        from carelens.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        answers = answers.checkpoint(eager=True)
     answers = answers.withColumnRenamed("person_id", "patient_id")
     enc = encounter_dates(t.encounter, params)
     base = P.active_patients(t.patient, t.person)

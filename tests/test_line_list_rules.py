@@ -322,3 +322,11 @@ def test_display_formats(spark):
     assert row["Pharmacy_LastPickupdate"] == "27/10/2024"
     assert row["IIT_Date"] == "2024-12-25"
     assert row["DOB"] == "01/01/1990"
+
+
+def test_checkpointed_answers_give_the_same_list(spark, ll):
+    t = build().tables(spark)
+    p = LineListParams(end=END, today=TODAY, checkpoint_answers=True)
+    got = {r["patient_id"]: r.asDict() for r in line_list(spark, t, p).collect() if r["patient_id"] != 16}
+    want = {pid: rows[0] for pid, rows in ll.items() if pid != 16}
+    assert got == want
