@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from carelens.functions.dates import FORMAT_RAW
 from carelens.operators.dictionary import bounded_broadcast
+from carelens.operators.ordered import ordered_within
 
 COHORT_BROADCAST_ROWS = 1_000_000
 
@@ -29,27 +30,41 @@ def raw_text(c: str) -> F.Column:
     return F.date_format(F.col(c), FORMAT_RAW)
 
 
-def patient_visits(visit: DataFrame, cohort: DataFrame | None = None) -> DataFrame:
-    """Visit history of each cohort patient, numbered in start order."""
-    v = _in_cohort(visit, cohort, "patient_id")
-    w = Window.partitionBy("patient_id").orderBy(F.col("date_started").asc_nulls_first(), F.col("visit_id"))
+def patient_visits(visit: DataFrame, cohort: DataFrame | None = None, skew_safe: bool = True) -> DataFrame:
+    """Visit history of each cohort patient, numbered in start order.
+
+    ``skew_safe`` numbers rows with a range-partitioned ordered scan (a patient with a huge
+    history is spread over many tasks); ``False`` uses a plain window.
+    """
+    v = _in_cohort(visit, cohort, "patient_id").filter(F.col("patient_id").isNotNull())
+    order = ["date_started", "visit_id"]
+    if skew_safe:
+        v = ordered_within(v, "patient_id", order, "visit_seq")
+    else:
+        w = Window.partitionBy("patient_id").orderBy(F.col("date_started").asc_nulls_first(), F.col("visit_id"))
+        v = v.withColumn("visit_seq", F.row_number().over(w))
     return v.select(
         "patient_id", "visit_id", "visit_type_id", "date_started", raw_text("date_started").alias("raw_date_started"),
         "date_stopped", raw_text("date_stopped").alias("raw_date_stopped"), "location_id", "voided",
-        F.row_number().over(w).alias("visit_seq"),
+        F.col("visit_seq").cast("int").alias("visit_seq"),
     )
 
 
-def encounter_chronology(encounter: DataFrame, visits: DataFrame | None = None) -> DataFrame:
-    """Encounters of each visit in time order, with the gap to the previous encounter."""
+def encounter_chronology(encounter: DataFrame, visits: DataFrame | None = None, skew_safe: bool = True) -> DataFrame:
+    """Encounters of each visit in time order, with the gap to the previous encounter
+    (the stated use of the source script: check chronology against the visit)."""
     e = _in_cohort(encounter.filter(F.col("visit_id").isNotNull()), visits, "visit_id")
-    w = Window.partitionBy("visit_id").orderBy(F.col("encounter_datetime").asc_nulls_first(), F.col("encounter_id"))
-    prev = F.lag("encounter_datetime").over(w)
+    order = ["encounter_datetime", "encounter_id"]
+    if skew_safe:
+        e = ordered_within(e, "visit_id", order, "encounter_seq", {"encounter_datetime": "_prev_at"})
+    else:
+        w = Window.partitionBy("visit_id").orderBy(F.col("encounter_datetime").asc_nulls_first(), F.col("encounter_id"))
+        e = e.withColumn("encounter_seq", F.row_number().over(w)).withColumn("_prev_at", F.lag("encounter_datetime").over(w))
     return e.select(
         "visit_id", "encounter_id", "encounter_type", "encounter_datetime",
         raw_text("encounter_datetime").alias("raw_encounter_datetime"), "form_id", "provider_id", "location_id",
-        "voided", F.row_number().over(w).alias("encounter_seq"),
-        F.timestamp_diff("MICROSECOND", prev, F.col("encounter_datetime")).alias("gap_micros"),
+        "voided", F.col("encounter_seq").cast("int").alias("encounter_seq"),
+        F.timestamp_diff("MICROSECOND", F.col("_prev_at"), F.col("encounter_datetime")).alias("gap_micros"),
     )
 
 
