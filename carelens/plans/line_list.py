@@ -21,7 +21,7 @@ from carelens.functions.dates import (
 )
 from carelens.functions.text import non_empty, number_text, text_is
 from carelens.operators import patients as P
-from carelens.operators.picks import CARRIED, PickPlan, best_per_spec, plan_candidates, pivot
+from carelens.operators.picks import PickPlan, best_per_spec, plan_candidates, pivot
 from carelens.plans import specs as S
 from carelens.sources.tables import ClinicalTables
 
@@ -130,9 +130,11 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
         "care_card_next_at": F.when(F.col("form_id") == S.FORM_CARE_CARD, F.col("value_datetime")),
         "transferred_out_flag": F.when(F.col("value_coded") == S.TRANSFERRED_OUT_ANSWER, F.lit(1)),
     }
-    # tie-keeping specs (latest / first sets) are read for these columns only
-    best = best_per_spec(cands, CARRIED + ["encounter_refill", "encounter_text"], derived,
-                         tie_columns=["name", "value_numeric", "value_datetime", "obs_datetime"])
+    # the columns the report reads from chosen rows; tie-keeping specs (latest / first sets)
+    # are read for the tie columns only
+    read = ["obs_datetime", "value_coded", "value_numeric", "value_datetime", "encounter_datetime", "name",
+            "encounter_refill", "encounter_text"]
+    best = best_per_spec(cands, read, derived, tie_columns=["name", "value_numeric", "value_datetime", "obs_datetime"])
     v = plan.value
     latest_keys = [f"L{c}" for c in S.LATEST_SET]
     aggs: dict[str, Column] = {
@@ -184,9 +186,7 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
         "CurrentCD4": v("cd4", "value_numeric"),
         "cd4_encounter_at": v("cd4", "encounter_datetime"),
         "care_entry_code": v("care_entry", "value_coded"),
-        "care_entry_encounter": v("care_entry", "encounter_id"),
         "prevq_pickup_at": v("prevq_pickup", "obs_datetime"),
-        "prevq_pickup_encounter": v("prevq_pickup", "encounter_id"),
         "prevq_outcome_name": v("prevq_outcome", "name"),
         "encounter_refill": v("prevq_pickup", "encounter_refill"),
         "care_entry_text": v("care_entry", "encounter_text"),
