@@ -23,3 +23,29 @@ def test_line_list_plan_shape(spark):
     assert len(re.findall(r"FileScan parquet|Scan ExistingRDD\[obs_id", plan)) >= 1
     # nested-loop joins only attach the one-row site header
     assert len(re.findall(r"BroadcastNestedLoopJoin", plan)) <= 3
+
+
+def test_obs_scan_has_pushed_concept_filter(spark, tmp_path):
+    from carelens.sources.tables import ClinicalTables
+    t = build().tables(spark)
+    t.write_parquet(str(tmp_path))
+    stored = ClinicalTables.read_parquet(spark, str(tmp_path))
+    df = line_list(spark, stored, LineListParams(end=D(2024, 12, 25), today=D(2025, 1, 1)))
+    text = df._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    obs_scans = [blk for blk in text.split("Scan parquet")[1:] if "/obs]" in blk.split("\n\n")[0]]
+    assert obs_scans, "obs is read"
+    for blk in obs_scans:
+        head = blk.split("\n\n")[0]
+        assert "PushedFilters: [" in head and "concept_id" in head.split("PushedFilters:")[1].split("\n")[0]
+        # only the needed columns are read
+        schema = head.split("ReadSchema:")[1].split("\n")[0]
+        assert "value_text" not in schema or "165966" in head
+
+
+def test_bounded_broadcast_falls_back_to_a_shuffle_join(spark):
+    from carelens.operators.dictionary import bounded_broadcast
+    small = spark.range(10).withColumnRenamed("id", "k")
+    assert "ResolvedHint" in small.hint("broadcast")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in bounded_broadcast(small, 100)._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in bounded_broadcast(small, 5)._jdf.queryExecution().analyzed().toString().lower()
