@@ -36,17 +36,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+LOCAL_FALLBACK = os.path.join(tempfile.gettempdir(), "carelens-checkpoints")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when it is unset (local tests) is a fresh scratch folder created.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. Only when
+    it is unset (local runs and tests) is a local folder used; it is stable across local
+    sessions so prepared inputs can be reused (Spark puts its own checkpoints in a fresh
+    sub-folder per application).
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not current:
-        current = tempfile.mkdtemp(prefix="carelens-ckpt-", dir="/tmp")
+        os.makedirs(LOCAL_FALLBACK, exist_ok=True)
+        current = LOCAL_FALLBACK
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current

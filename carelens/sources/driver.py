@@ -282,11 +282,24 @@ def prepared_tables(spark: SparkSession, sf_dir: str, files_per_table: int | Non
     root = _PREPARED.get(key)
     if root is None:
         import hashlib
-        digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
-        root = os.path.join(root_dir, f"carelens-clinical-{digest}")
-        n = files_per_table or max(1, spark.sparkContext.defaultParallelism)
-        for name, df in build_tables(spark, sf_dir).as_dict().items():
-            out = df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
-            out.repartition(n).write.mode("overwrite").parquet(os.path.join(root, name))
+        # the mapping's own code is part of the key: a changed adapter never reads stale tables
+        with open(__file__, "rb") as fh:
+            code = hashlib.sha1(fh.read()).hexdigest()
+        digest = hashlib.sha1((repr(key) + code).encode()).hexdigest()[:16]
+        marker = os.path.join(root_dir, f"carelens-clinical-{digest}.ready")
+        local = "://" not in root_dir or root_dir.startswith("file:")
+        if local and os.path.exists(marker):
+            with open(marker) as fh:
+                root = fh.read().strip()
+        else:
+            # a fresh folder per writer; the marker names the finished one
+            root = os.path.join(root_dir, f"carelens-clinical-{digest}-{os.getpid()}-{id(spark)}")
+            n = files_per_table or max(1, spark.sparkContext.defaultParallelism)
+            for name, df in build_tables(spark, sf_dir).as_dict().items():
+                out = df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
+                out.repartition(n).write.mode("overwrite").parquet(os.path.join(root, name))
+            if local:
+                with open(marker, "w") as fh:
+                    fh.write(root)
         _PREPARED[key] = root
     return ClinicalTables.read_parquet(spark, root)
