@@ -16,7 +16,7 @@ from carelens.operators import latest as LT
 from carelens.operators import quality as Q
 from carelens.operators.dictionary import coded_value_names
 from carelens.plans import specs as S
-from carelens.plans.line_list import SECTIONS, LineListParams, line_list, observation_answers, population, render
+from carelens.plans.line_list import SECTIONS, LineListParams, line_list, population, render
 from carelens.functions.dates import end_of_day, quarter_end
 from carelens.session import ensure_checkpoint_dir
 from carelens.sources.driver import REPORT_DAY, TODAY, build_corrections, prepared_tables, read_driver

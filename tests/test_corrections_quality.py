@@ -1,8 +1,6 @@
 """Corrections (with backup and verification), quality checks and cohort investigation."""
 
-import datetime as dt
 
-from pyspark.sql import functions as F
 
 from carelens.operators import corrections as C
 from carelens.operators import investigate as I
