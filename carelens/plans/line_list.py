@@ -115,8 +115,14 @@ def _c(name: str) -> Column:
     return F.expr(f"`{name}`")
 
 
+# Columns whose report value is the MAX of formatted text over tied rows (legacy mode).
+LEGACY_TEXT_TIES = {"First_TPT_Pickupdate": "L164852", "Last_TPT_Pickupdate": "L166096",
+                    "Date_of_TPT_Outcome": "L166008", "Next_Ap_by_careCard": "L5096"}
+
+
 def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineListParams,
-                        plan: PickPlan | None = None) -> tuple[DataFrame, DataFrame, PickPlan]:
+                        plan: PickPlan | None = None, legacy_text_max: bool = False
+                        ) -> tuple[DataFrame, DataFrame, PickPlan]:
     """Every observation-derived value of the report, one row per person (``person_id``).
 
     Returns (answers, qualifying rows, plan).
@@ -130,6 +136,10 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
         "care_card_next_at": F.when(F.col("form_id") == S.FORM_CARE_CARD, F.col("value_datetime")),
         "transferred_out_flag": F.when(F.col("value_coded") == S.TRANSFERRED_OUT_ANSWER, F.lit(1)),
     }
+    if legacy_text_max:
+        derived["value_dmony_text"] = F.date_format("value_datetime", FORMAT_DMONY)
+        derived["care_card_next_text"] = F.when(F.col("form_id") == S.FORM_CARE_CARD,
+                                                F.date_format("value_datetime", FORMAT_DMONY))
     # the columns the report reads from chosen rows; tie-keeping specs (latest / first sets)
     # are read for the tie columns only
     read = ["obs_datetime", "value_coded", "value_numeric", "value_datetime", "encounter_datetime", "name",
@@ -209,6 +219,11 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
         aggs["TPT_Outcomes"] = v("L166007", "name")
         aggs["Date_of_TPT_Outcome"] = v("L166008", "value_datetime")
         aggs["Date_Enrolled_Into_OTZ_Plus"] = v("L166350", "value_datetime")
+    if legacy_text_max:
+        for out, key in LEGACY_TEXT_TIES.items():
+            if key in plan.index:
+                src = "care_card_next_text" if key == "L5096" else "value_dmony_text"
+                aggs[f"{out}__text"] = v(key, src)
     answers = pivot(best, aggs)
     if not params.extended_concepts:
         answers = (answers.withColumn("TPT_Outcomes", F.lit(None).cast("string"))
@@ -263,7 +278,7 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
     reproduces the report's text maximum for the outcome date (``31/01/2020`` beats
     ``01/12/2024``).
     """
-    answers, _, _ = observation_answers(spark, t, params)
+    answers, _, _ = observation_answers(spark, t, params, legacy_text_max=legacy_text_max)
     if params.checkpoint_answers:
         from carelens.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(spark)
@@ -384,6 +399,11 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
         "PBS_Recapture_Date": _d("recapture_at"),
         "PBS_Recapture_Count": _c("recapture_count"),
     }
+    if legacy_text_max:
+        # the report keeps the largest *text* among tied rows; typed output parses it back
+        for out in LEGACY_TEXT_TIES:
+            if f"{out}__text" in answers.columns:
+                cols[out] = F.to_date(_c(f"{out}__text"), FORMAT_DMONY)
     per_patient = wide.select(*[c.alias(n) for n, c in cols.items()])
     pepid = P.identifier_rows(t.patient_identifier, 4).withColumnRenamed("identifier", "PEPID")
     rows = per_patient.join(pepid, "patient_id", "left")

@@ -330,3 +330,20 @@ def test_checkpointed_answers_give_the_same_list(spark, ll):
     got = {r["patient_id"]: r.asDict() for r in line_list(spark, t, p).collect() if r["patient_id"] != 16}
     want = {pid: rows[0] for pid, rows in ll.items() if pid != 16}
     assert got == want
+
+
+def test_legacy_text_max_over_tied_rows(spark):
+    r = build()
+    r.patient(900)
+    e = r.encounter(900, 23, 13, T(2024, 3, 1))
+    r.obs(900, 165050, T(2024, 3, 1), e, coded=1)
+    r.obs(900, 164852, T(2024, 3, 1), e, vdt=T(2020, 1, 31))
+    r.obs(900, 164852, T(2024, 3, 1), e, vdt=T(2024, 12, 1))
+    t = r.tables(spark)
+    p = LineListParams(end=END, today=TODAY)
+    fixed = line_list(spark, t, p).filter("patient_id = 900").first()
+    legacy = line_list(spark, t, p, legacy_text_max=True).filter("patient_id = 900").first()
+    shown = line_list(spark, t, p, display=True, legacy_text_max=True).filter("patient_id = 900").first()
+    assert fixed["First_TPT_Pickupdate"] == D(2024, 12, 1)
+    assert legacy["First_TPT_Pickupdate"] == D(2020, 1, 31)
+    assert shown["First_TPT_Pickupdate"] == "31-Jan-2020"
