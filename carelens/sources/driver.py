@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -253,6 +254,12 @@ def build_corrections(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 _PREPARED: dict[tuple, str] = {}
+_PREPARE_LOCK = threading.Lock()
+
+
+def _complete(root: str) -> bool:
+    from carelens.sources.schemas import TABLE_NAMES
+    return all(os.path.exists(os.path.join(root, n, "_SUCCESS")) for n in TABLE_NAMES)
 
 
 def _fingerprint(sf_dir: str) -> tuple:
@@ -275,10 +282,18 @@ def prepared_tables(spark: SparkSession, sf_dir: str, files_per_table: int | Non
     it also gives every later scan as many splits as there are files.
     """
     from carelens.session import ensure_checkpoint_dir
-    from carelens.sources.schemas import SCHEMAS
 
     root_dir = ensure_checkpoint_dir(spark)
+    if root_dir.startswith("file:"):
+        root_dir = "/" + root_dir[len("file:"):].lstrip("/")
     key = _fingerprint(sf_dir)
+    with _PREPARE_LOCK:
+        return ClinicalTables.read_parquet(spark, _prepare(spark, sf_dir, root_dir, key, files_per_table))
+
+
+def _prepare(spark: SparkSession, sf_dir: str, root_dir: str, key: tuple, files_per_table: int | None) -> str:
+    from carelens.sources.schemas import SCHEMAS
+
     root = _PREPARED.get(key)
     if root is None:
         import hashlib
@@ -287,11 +302,13 @@ def prepared_tables(spark: SparkSession, sf_dir: str, files_per_table: int | Non
             code = hashlib.sha1(fh.read()).hexdigest()
         digest = hashlib.sha1((repr(key) + code).encode()).hexdigest()[:16]
         marker = os.path.join(root_dir, f"carelens-clinical-{digest}.ready")
-        local = "://" not in root_dir or root_dir.startswith("file:")
+        local = "://" not in root_dir
         if local and os.path.exists(marker):
             with open(marker) as fh:
                 root = fh.read().strip()
-        else:
+            if not _complete(root):
+                root = None
+        if root is None:
             # a fresh folder per writer; the marker names the finished one
             root = os.path.join(root_dir, f"carelens-clinical-{digest}-{os.getpid()}-{id(spark)}")
             n = files_per_table or max(1, spark.sparkContext.defaultParallelism)
@@ -302,4 +319,4 @@ def prepared_tables(spark: SparkSession, sf_dir: str, files_per_table: int | Non
                 with open(marker, "w") as fh:
                     fh.write(root)
         _PREPARED[key] = root
-    return ClinicalTables.read_parquet(spark, root)
+    return root

@@ -29,3 +29,19 @@ def test_matches_window_with_hot_group(spark):
                                              F.lag("d").over(w).alias("prev_d"))
     assert got.columns == want.columns
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(0, 50))), min_size=1, max_size=120),
+       st.integers(1, 9))
+def test_property_matches_window(spark, rows, parts):
+    data = [(i, g, None if t is None else dt.datetime(2020, 1, 1) + dt.timedelta(days=t)) for i, (g, t) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, g long, t timestamp_ntz")
+    got = ordered_within(df, "g", ["t", "id"], "seq", {"t": "prev_t"}, partitions=parts)
+    w = Window.partitionBy("g").orderBy(F.col("t").asc_nulls_first(), "id")
+    want = df.select("*", F.row_number().over(w).cast("long").alias("seq"), F.lag("t").over(w).alias("prev_t"))
+    assert sorted(got.collect()) == sorted(want.collect())
