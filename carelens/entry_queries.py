@@ -55,7 +55,7 @@ def q_line_list(spark, sf_dir):
 
 def _section(key: str, cols: list[str]):
     def q(spark, sf_dir):
-        return line_list(spark, _tables(spark, sf_dir), PARAMS).select(*[F.col(f"`{c}`") for c in cols])
+        return line_list(spark, _tables(spark, sf_dir), PARAMS, section=key)
 
     def sql():
         from sqloracle.line_list import line_list_sql

@@ -96,13 +96,18 @@ class PickPlan:
         return F.expr(f"spec_idx = {self.index[key]}")
 
     def value(self, key: str, col: str | Column) -> Column:
-        """Pivot aggregate: ``col`` of the row chosen for spec ``key`` (see ``best_per_spec``)."""
+        """Pivot aggregate: ``col`` of the row chosen for spec ``key`` (see ``best_per_spec``).
+
+        A spec left out of this plan answers a typed NULL.
+        """
+        cond = f"spec_idx = {self.index[key]}" if key in self.index else "false"
         if isinstance(col, str):
-            return F.expr(f"max(CASE WHEN spec_idx = {self.index[key]} THEN `{col}` END)")
-        return F.max(F.when(self.is_spec(key), col))
+            return F.expr(f"max(CASE WHEN {cond} THEN `{col}` END)")
+        return F.max(F.when(F.expr(cond), col))
 
     def any_of(self, keys: list[str]) -> Column:
-        return F.expr(f"spec_idx IN ({', '.join(str(self.index[k]) for k in keys)})")
+        ids = [str(self.index[k]) for k in keys if k in self.index]
+        return F.expr(f"spec_idx IN ({', '.join(ids)})" if ids else "false")
 
     def spec_frame(self, spark: SparkSession, cutoffs: dict[str, dt.datetime]) -> DataFrame:
         """The spec table: one row per (spec, concept); fixed size, defined in code."""

@@ -121,13 +121,13 @@ LEGACY_TEXT_TIES = {"First_TPT_Pickupdate": "L164852", "Last_TPT_Pickupdate": "L
 
 
 def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineListParams,
-                        plan: PickPlan | None = None, legacy_text_max: bool = False
-                        ) -> tuple[DataFrame, DataFrame, PickPlan]:
+                        plan: PickPlan | None = None, legacy_text_max: bool = False,
+                        keep: set[str] | None = None) -> tuple[DataFrame, DataFrame, PickPlan]:
     """Every observation-derived value of the report, one row per person (``person_id``).
 
     Returns (answers, qualifying rows, plan).
     """
-    plan = plan or S.line_list_plan(params.extended_concepts)
+    plan = plan or S.line_list_plan(params.extended_concepts, keep)
     cands = plan_candidates(spark, t.obs, t.encounter, t.concept_name, plan, params.cutoffs(),
                             extra_forms=[S.FORM_CARE_CARD], encounter_facts=encounter_facts(t.obs))
     # row-level conditions the report applies before taking MAX over tied rows
@@ -271,14 +271,16 @@ def _care_entry_point(code: Column, text: Column) -> Column:
 
 
 def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, display: bool = False,
-              legacy_text_max: bool = False) -> DataFrame:
+              legacy_text_max: bool = False, section: str | None = None) -> DataFrame:
     """The 114-column line list: one row per listed patient and type-4 identifier.
 
     ``display=True`` renders dates as the report's text formats; ``legacy_text_max``
     reproduces the report's text maximum for the outcome date (``31/01/2020`` beats
-    ``01/12/2024``).
+    ``01/12/2024``). ``section`` (a key of ``SECTIONS``) computes only the observation
+    questions that section reads and returns its columns.
     """
-    answers, _, _ = observation_answers(spark, t, params, legacy_text_max=legacy_text_max)
+    keep = set(S.SECTION_SPECS[section]) if section else None
+    answers, _, _ = observation_answers(spark, t, params, legacy_text_max=legacy_text_max, keep=keep)
     if params.checkpoint_answers:
         from carelens.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(spark)
@@ -427,6 +429,8 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
     )
     if display:
         final = render(final, legacy_text_max)
+    if section:
+        final = final.select(*[_c(c) for c in SECTIONS[section]])
     return final
 
 

@@ -73,7 +73,31 @@ AHD_COLUMNS = (
 )
 
 
-def line_list_plan(extended_concepts: bool = False) -> PickPlan:
+def line_list_plan(extended_concepts: bool = False, keep: set[str] | None = None) -> PickPlan:
+    """All questions of the line list; with ``keep``, only the questions whose key starts with
+    one of its prefixes, plus the latest set (the population gate needs it)."""
+    plan = _all_specs(extended_concepts)
+    if keep is None:
+        return PickPlan(plan)
+    prefixes = tuple(keep) + ("L",)
+    return PickPlan([s for s in plan if s.key.startswith(prefixes)])
+
+
+# Questions each report section reads (key prefixes); the latest set is always included.
+SECTION_SPECS = {
+    "site_config_attach": (), "patient_demographics": (), "address_fallback": (), "biometric_status": (),
+    "refill_due_dates": (), "care_entry_point": ("care_entry",), "age_bands": ("art_start",),
+    "first_event_date": ("art_start", "hiv_confirmed"), "last_pickup": (), "prev_quarter_pickup": ("prevq_pickup",),
+    "regimen_at_start": ("F", "current_regimen", "dsd_model"),
+    "latest_viral_load": ("viral_load", "vl_", "sample_collection", "cd4", "ahd_"),
+    "treatment_outcome": ("outcome_date", "cause_of_death", "va_"),
+    "prev_quarter_status": ("prevq_",), "transfer_in_flag": ("transfer_in_date",),
+    "latest_vitals": ("V", "weight", "height", "bmi", "first_tld"), "next_appointment": (),
+    "tb_screening": ("tb_",), "obs_pivot": ("O",),
+}
+
+
+def _all_specs(extended_concepts: bool) -> list[PickSpec]:
     S = PickSpec
     specs: list[PickSpec] = []
     latest = LATEST_SET + (EXTENDED_LATEST if extended_concepts else ())
@@ -122,4 +146,4 @@ def line_list_plan(extended_concepts: bool = False) -> PickPlan:
         specs.append(S(f"tb_{c}", (c,), ENC_TB_SCREEN, cutoff_on=None, named_only=True))
     for name, c in TB_YES_NO + TB_YES:
         specs.append(S(f"tb_{c}", (c,), ENC_TB_SCREEN, cutoff_on=None))
-    return PickPlan(specs)
+    return specs
