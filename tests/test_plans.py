@@ -49,3 +49,21 @@ def test_bounded_broadcast_falls_back_to_a_shuffle_join(spark):
     assert "ResolvedHint" in small.hint("broadcast")._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in bounded_broadcast(small, 100)._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in bounded_broadcast(small, 5)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_partitioned_layout_prunes_obs_by_concept(spark, tmp_path):
+    from carelens.sources.layout import write_clinical
+    from carelens.sources.tables import ClinicalTables
+    t = build().tables(spark)
+    write_clinical(t, str(tmp_path), files=2)
+    stored = ClinicalTables.read_parquet(spark, str(tmp_path))
+    p = LineListParams(end=D(2024, 12, 25), today=D(2025, 1, 1))
+    df = line_list(spark, stored, p)
+    text = df._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    obs_scans = [blk.split("\n\n")[0] for blk in text.split("Scan parquet")[1:] if "/obs]" in blk.split("\n\n")[0]]
+    assert obs_scans and all("PartitionFilters: [" in b and "concept_id" in b.split("PartitionFilters:")[1].split("\n")[0]
+                             for b in obs_scans)
+    # same answers as the unpartitioned tables
+    want = sorted(map(str, line_list(spark, t, p).collect()))
+    assert sorted(map(str, df.collect())) == want
