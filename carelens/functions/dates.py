@@ -97,3 +97,8 @@ def outcome_status(last_pickup, refill_days, grace_days, end) -> Column:
 
 def display_date(c: Column, fmt: str = FORMAT_DMY) -> Column:
     return F.date_format(c, fmt)
+
+
+def parse_report_date(text, fmt: str = FORMAT_DMY) -> Column:
+    """A report's text date back to DATE; malformed text gives NULL (never a runtime error)."""
+    return F.try_to_date(as_column(text), fmt)

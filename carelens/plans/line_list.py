@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from carelens.functions.dates import (
     FORMAT_DMONY, FORMAT_DMY, FORMAT_ISO, add_whole_days, day_after, end_of_day, midnight, minus_months_py,
-    outcome_status, quarter_end_py, whole_months, whole_years,
+    outcome_status, parse_report_date, quarter_end_py, whole_months, whole_years,
 )
 from carelens.functions.text import non_empty, number_text, text_is
 from carelens.operators import patients as P
@@ -312,7 +312,7 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
     transfer_flag = text_is(_c("t160540"), "Transferred in") | text_is(_c("t165242"), "Transfer in with records")
     transfer_date_flag = text_is(_c("t160540"), "Transfer in") | text_is(_c("t165242"), "Transfer in with records")
     if legacy_text_max:
-        outcome_else = F.when(_c("transferred_out") == 1, F.to_date(_c("tracking_text_max"), FORMAT_DMY))
+        outcome_else = F.when(_c("transferred_out") == 1, parse_report_date(_c("tracking_text_max"), FORMAT_DMY))
     else:
         outcome_else = F.when(_c("transferred_out") == 1, _d("tracking_at"))
     cols: dict[str, Column] = {
@@ -405,7 +405,7 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
         # the report keeps the largest *text* among tied rows; typed output parses it back
         for out in LEGACY_TEXT_TIES:
             if f"{out}__text" in answers.columns:
-                cols[out] = F.to_date(_c(f"{out}__text"), FORMAT_DMONY)
+                cols[out] = parse_report_date(_c(f"{out}__text"), FORMAT_DMONY)
     per_patient = wide.select(*[c.alias(n) for n, c in cols.items()])
     pepid = P.identifier_rows(t.patient_identifier, 4).withColumnRenamed("identifier", "PEPID")
     rows = per_patient.join(pepid, "patient_id", "left")

@@ -67,3 +67,10 @@ def test_text_rules_q17_f7(spark):
 def test_number_text_e17(spark):
     assert one(spark, number_text(F.lit(120.0))) == "120"
     assert one(spark, number_text(F.lit(120.5))) == "120.5"
+
+
+def test_parse_report_date_x3(spark):
+    from carelens.functions.dates import parse_report_date
+    assert one(spark, parse_report_date(F.lit("31/01/2020"))) == dt.date(2020, 1, 31)
+    assert one(spark, parse_report_date(F.lit("01-Dec-2024"), "dd-MMM-yyyy")) == dt.date(2024, 12, 1)
+    assert one(spark, parse_report_date(F.lit("not a date"))) is None
