@@ -6,6 +6,7 @@ import os
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from carelens.sources.schemas import SCHEMAS, TABLE_NAMES
 
@@ -39,11 +40,16 @@ class ClinicalTables:
 
     @classmethod
     def read_parquet(cls, spark: SparkSession, root: str) -> "ClinicalTables":
-        """Read ``root/<table>`` Parquet datasets with the declared schemas (no inference)."""
+        """Read ``root/<table>`` Parquet datasets and conform them to the declared schemas.
+
+        Columns are read as stored and cast to the declared type (e.g. a UTC-adjusted
+        timestamp becomes wall-clock time in the session zone, a tinyint flag an int); a
+        declared column the files lack is NULL. Casts to the stored type are no-ops, so
+        filters still reach the Parquet reader.
+        """
         frames = {}
         for name in TABLE_NAMES:
-            path = os.path.join(root, name)
-            frames[name] = spark.read.schema(SCHEMAS[name]).parquet(path)
+            frames[name] = conform(spark.read.parquet(os.path.join(root, name)), name)
         return cls(**frames)
 
     def write_parquet(self, root: str, mode: str = "overwrite") -> None:
@@ -51,6 +57,16 @@ class ClinicalTables:
             df.write.mode(mode).parquet(os.path.join(root, name))
 
 
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with exactly the declared columns of table ``name``, in order and type."""
+    have = {c.lower(): c for c in df.columns}
+    cols = []
+    for f in SCHEMAS[name].fields:
+        src = have.get(f.name.lower())
+        cols.append((F.col(f"`{src}`") if src else F.lit(None)).cast(f.dataType).alias(f.name))
+    return df.select(*cols)
+
+
 def empty_frame(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 

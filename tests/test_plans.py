@@ -67,3 +67,18 @@ def test_partitioned_layout_prunes_obs_by_concept(spark, tmp_path):
     # same answers as the unpartitioned tables
     want = sorted(map(str, line_list(spark, t, p).collect()))
     assert sorted(map(str, df.collect())) == want
+
+
+def test_reader_conforms_stored_types(spark, tmp_path):
+    from carelens.sources.tables import ClinicalTables
+    t = build().tables(spark)
+    t.write_parquet(str(tmp_path))
+    # rewrite patient with a tinyint flag and without one declared column elsewhere
+    spark.createDataFrame([(1, 0)], "patient_id long, voided tinyint").write.mode("overwrite").parquet(
+        str(tmp_path / "patient"))
+    spark.createDataFrame([(1, 5)], "PATIENT_ID long, program_id int").write.mode("overwrite").parquet(
+        str(tmp_path / "patient_program"))
+    stored = ClinicalTables.read_parquet(spark, str(tmp_path))
+    assert dict(stored.patient.dtypes)["voided"] == "int"
+    row = stored.patient_program.first()
+    assert row["patient_id"] == 1 and row["date_enrolled"] is None and row["voided"] is None
