@@ -254,6 +254,7 @@ def build_corrections(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 _PREPARED: dict[tuple, str] = {}
+_READ: dict[tuple, ClinicalTables] = {}
 _PREPARE_LOCK = threading.Lock()
 
 
@@ -288,7 +289,11 @@ def prepared_tables(spark: SparkSession, sf_dir: str, files_per_table: int | Non
         root_dir = "/" + root_dir[len("file:"):].lstrip("/")
     key = _fingerprint(sf_dir)
     with _PREPARE_LOCK:
-        return ClinicalTables.read_parquet(spark, _prepare(spark, sf_dir, root_dir, key, files_per_table))
+        root = _prepare(spark, sf_dir, root_dir, key, files_per_table)
+        cached = _READ.get((root, id(spark)))
+        if cached is None:
+            cached = _READ[(root, id(spark))] = ClinicalTables.read_parquet(spark, root)
+        return cached
 
 
 def _prepare(spark: SparkSession, sf_dir: str, root_dir: str, key: tuple, files_per_table: int | None) -> str:

@@ -6,7 +6,6 @@ import os
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from carelens.sources.schemas import SCHEMAS, TABLE_NAMES
 
@@ -60,11 +59,11 @@ class ClinicalTables:
 def conform(df: DataFrame, name: str) -> DataFrame:
     """``df`` with exactly the declared columns of table ``name``, in order and type."""
     have = {c.lower(): c for c in df.columns}
-    cols = []
+    exprs = []
     for f in SCHEMAS[name].fields:
         src = have.get(f.name.lower())
-        cols.append((F.col(f"`{src}`") if src else F.lit(None)).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+        exprs.append(f"CAST({'`' + src + '`' if src else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`")
+    return df.selectExpr(*exprs)
 
 
 def empty_frame(spark: SparkSession, name: str) -> DataFrame:
