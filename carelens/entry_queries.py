@@ -19,7 +19,7 @@ from carelens.plans import specs as S
 from carelens.plans.line_list import SECTIONS, LineListParams, line_list, population, render
 from carelens.functions.dates import end_of_day, quarter_end
 from carelens.session import ensure_checkpoint_dir
-from carelens.sources.driver import REPORT_DAY, TODAY, build_corrections, prepared_tables, read_driver
+from carelens.sources.driver import REPORT_DAY, TODAY, prepared_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, Callable[[], str]] = {}
@@ -151,7 +151,9 @@ def q_quarter_end(spark, sf_dir):
 
 
 def _corrections(spark, sf_dir):
-    return build_corrections(read_driver(spark, sf_dir, ["orders"])["orders"])
+    """Correction requests derived from the data: one per encounter found outside its visit."""
+    t = _tables(spark, sf_dir)
+    return C.requests_from_findings(Q.encounters_outside_visit(t.encounter, t.visit))
 
 
 @register("correct_encounters", _sql("correct_encounters"))

@@ -25,6 +25,19 @@ def _requests(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
                              CORRECTIONS_BROADCAST_ROWS)
 
 
+def requests_from_findings(outside: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Correction requests for encounters found outside their visit's bounds
+    (``quality.encounters_outside_visit``): move each such encounter to its visit's start,
+    and make the visit span the whole day it started (00:00:00 to 23:59:59), as the source
+    fix does for one visit."""
+    enc = outside.select("visit_id", F.col("encounter_datetime").alias("bad_datetime"),
+                         F.col("date_started").alias("new_datetime")).distinct()
+    day = F.col("date_started").cast("date").cast("timestamp_ntz")
+    vis = outside.select("visit_id", day.alias("new_start"),
+                         F.timestamp_add("SECOND", F.lit(86399), day).alias("new_stop")).distinct()
+    return enc, vis
+
+
 def correct_encounters(encounter: DataFrame, corrections: DataFrame) -> DataFrame:
     """Encounter snapshot where ``encounter_datetime`` equal to a request's ``bad_datetime`` in
     the request's visit becomes ``new_datetime``; every other row is unchanged.

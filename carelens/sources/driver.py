@@ -211,13 +211,16 @@ def build_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
         F.col("user_id").alias("patient_id"), F.col("ts").alias("date_created"),
         F.get_json_object("props", "$.k").cast("int").alias("recapture_count"))
     n, r = d["nation"], d["region"]
-    global_property = n.filter(F.col("n_nationkey") == 0).select(
+    # the facility's settings, derived from the whole nation table (one row of aggregates)
+    site = n.groupBy().agg(F.min("n_regionkey").alias("rk"), F.count(F.lit(1)).alias("cnt"),
+                           F.min("n_name").alias("nm"))
+    global_property = site.select(
         F.explode(F.array(
             F.struct(F.lit("partner_reporting_lga_code").alias("property"),
-                     F.concat(F.lit("LGA-"), F.col("n_regionkey").cast("string")).alias("property_value")),
+                     F.concat(F.lit("LGA-"), F.col("rk").cast("string")).alias("property_value")),
             F.struct(F.lit("Facility_Datim_Code").alias("property"),
-                     F.concat(F.lit("DATIM-"), F.col("n_nationkey").cast("string")).alias("property_value")),
-            F.struct(F.lit("Facility_Name").alias("property"), F.col("n_name").alias("property_value")),
+                     F.concat(F.lit("DATIM-"), F.col("cnt").cast("string")).alias("property_value")),
+            F.struct(F.lit("Facility_Name").alias("property"), F.col("nm").alias("property_value")),
         )).alias("p")).select("p.property", "p.property_value")
     location = r.select((F.col("r_regionkey") + 8).cast("int").alias("location_id"), F.col("r_name").alias("state_province"))
     address_hierarchy_entry = n.select(F.concat(F.lit("LGA-"), F.col("n_regionkey").cast("string")).alias("user_generated_id"),
@@ -232,27 +235,6 @@ def build_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
     )
 
 
-def build_corrections(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Correction requests for visits with o_orderkey % 100 = 7.
-
-    Half of them name the encounter's true datetime (they apply); the other half name a
-    datetime one hour off (nothing matches, nothing changes).
-    """
-    k = F.col("o_orderkey")
-    sel = orders.filter(k % 100 == 7)
-    actual = F.expr("timestampadd(HOUR, o_orderkey % 24, o_orderdate)")
-    new_day = F.expr("timestampadd(DAY, 30, o_orderdate)")
-    enc = sel.select(
-        k.alias("visit_id"),
-        F.when(k % 200 == 7, actual).otherwise(F.expr("timestampadd(HOUR, 1, timestampadd(HOUR, o_orderkey % 24, o_orderdate))"))
-        .alias("bad_datetime"),
-        new_day.alias("new_datetime"),
-    )
-    vis = sel.select(k.alias("visit_id"), new_day.alias("new_start"),
-                     F.expr("timestampadd(SECOND, 86399, timestampadd(DAY, 30, o_orderdate))").alias("new_stop"))
-    return enc, vis
-
-
 _PREPARED: dict[tuple, str] = {}
 _READ: dict[tuple, ClinicalTables] = {}
 _PREPARE_LOCK = threading.Lock()

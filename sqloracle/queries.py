@@ -140,7 +140,7 @@ FROM encounter"""
 
 
 def correct_encounters() -> str:
-    return f"""{_w('encounter', 'encounter_corrections')}
+    return f"""{_w('encounter', 'visit', 'encounter_corrections')}
 SELECT e.encounter_id, e.patient_id, e.visit_id, e.encounter_type, e.form_id, e.provider_id, e.location_id,
   coalesce((SELECT min(c.new_datetime) FROM encounter_corrections c WHERE c.visit_id = e.visit_id
             AND c.bad_datetime = e.encounter_datetime), e.encounter_datetime) AS encounter_datetime,
@@ -151,7 +151,7 @@ FROM encounter e"""
 
 
 def correct_visits() -> str:
-    return f"""{_w('visit', 'visit_corrections')},
+    return f"""{_w('encounter', 'visit', 'visit_corrections')},
 req AS (SELECT visit_id, arg_min(new_start, (new_start, new_stop)) AS new_start,
                arg_min(new_stop, (new_start, new_stop)) AS new_stop FROM visit_corrections GROUP BY visit_id)
 SELECT v.visit_id, v.patient_id, v.visit_type_id,
@@ -162,7 +162,7 @@ FROM visit v LEFT JOIN req r ON r.visit_id = v.visit_id"""
 
 
 def correction_backup() -> str:
-    return f"""{_w('encounter', 'encounter_corrections')}
+    return f"""{_w('encounter', 'visit', 'encounter_corrections')}
 SELECT e.*, 'before' AS backup_run FROM encounter e
 WHERE e.visit_id IN (SELECT visit_id FROM encounter_corrections)"""
 

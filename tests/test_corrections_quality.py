@@ -119,3 +119,12 @@ def test_apply_corrections_writes_new_snapshots(spark, tmp_path):
     assert backup.first()["backup_run"] == "run1"
     report = spark.read.parquet(paths["report"]).collect()
     assert report[0]["status"] == "applied"
+
+
+def test_requests_from_findings_reproduce_the_source_fix(spark):
+    t = tables(spark)
+    enc, vis = C.requests_from_findings(Q.encounters_outside_visit(t.encounter, t.visit))
+    assert [tuple(r) for r in enc.collect()] == [(10, BAD, T(2015, 6, 24))]
+    assert [tuple(r) for r in vis.collect()] == [(10, T(2015, 6, 24), T(2015, 6, 24, 23, 59, 59))]
+    fixed = {r["encounter_id"]: r["encounter_datetime"] for r in C.correct_encounters(t.encounter, enc).collect()}
+    assert fixed[100] == T(2015, 6, 24) and fixed[101] == T(2015, 6, 24, 10)
