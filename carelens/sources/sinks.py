@@ -26,8 +26,10 @@ def save_line_list(df: DataFrame, path: str) -> None:
 
 
 def append_backup(before: DataFrame, root: str, table: str) -> str:
-    """Append a before image to ``root/<table>``, partitioned by its ``backup_run`` id, so
-    every correction run keeps its own restorable slice."""
+    """Add a before image to ``root/<table>``, partitioned by its ``backup_run`` id, so every
+    correction run keeps its own restorable slice. Re-running a run replaces only that run's
+    slice (dynamic partition overwrite), so a retried job never duplicates its backup."""
     path = os.path.join(root, table)
-    before.write.mode("append").partitionBy("backup_run").parquet(path)
+    (before.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("backup_run").parquet(path))
     return path

@@ -128,3 +128,14 @@ def test_requests_from_findings_reproduce_the_source_fix(spark):
     assert [tuple(r) for r in vis.collect()] == [(10, T(2015, 6, 24), T(2015, 6, 24, 23, 59, 59))]
     fixed = {r["encounter_id"]: r["encounter_datetime"] for r in C.correct_encounters(t.encounter, enc).collect()}
     assert fixed[100] == T(2015, 6, 24) and fixed[101] == T(2015, 6, 24, 10)
+
+
+def test_rerunning_a_correction_run_keeps_one_backup(spark, tmp_path):
+    t = tables(spark)
+    enc, vis = requests(spark)
+    C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path), "run1")
+    C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path), "run1")
+    C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path), "run2")
+    backup = spark.read.parquet(str(tmp_path / "backups" / "encounter"))
+    assert backup.filter("backup_run = 'run1'").count() == 2
+    assert backup.filter("backup_run = 'run2'").count() == 2
