@@ -151,9 +151,14 @@ def q_quarter_end(spark, sf_dir):
 
 
 def _corrections(spark, sf_dir):
-    """Correction requests derived from the data: one per encounter found outside its visit."""
+    """Correction requests derived from the data: one per encounter found outside its visit.
+
+    The findings are checkpointed (reliably, in spark.checkpoint.dir) so the size checks and
+    the joins of the correction steps read them instead of re-running the detection join.
+    """
     t = _tables(spark, sf_dir)
-    return C.requests_from_findings(Q.encounters_outside_visit(t.encounter, t.visit))
+    findings = Q.encounters_outside_visit(t.encounter, t.visit).checkpoint(eager=True)
+    return C.requests_from_findings(findings)
 
 
 @register("correct_encounters", _sql("correct_encounters"))

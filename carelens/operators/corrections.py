@@ -88,19 +88,24 @@ def verify(before: DataFrame, after: DataFrame, row_id: str, compare: list[str])
 
 def correction_report(encounter: DataFrame, visit: DataFrame, enc_requests: DataFrame,
                       visit_requests: DataFrame) -> DataFrame:
-    """Per requested visit: encounters seen, encounters changed, and whether the visit changed."""
+    """Per requested visit: encounters seen, encounters changed, and whether the visit changed.
+
+    The corrected rows are derived row by row from the before image, so old and new values
+    sit side by side and one pass counts the changes (no snapshot-to-snapshot join).
+    ``verify`` compares two independent snapshots, e.g. a written one read back.
+    """
     targets = enc_requests.select("visit_id").union(visit_requests.select("visit_id")).distinct()
-    enc_before = backup(encounter, targets, "visit_id", "before")
+    enc_before = backup(encounter, targets, "visit_id", "before").withColumn("_old", F.col("encounter_datetime"))
     enc_after = correct_encounters(enc_before.drop("backup_run"), enc_requests)
-    enc_diff = verify(enc_before, enc_after, "encounter_id", ["encounter_datetime"]).join(
-        enc_before.select("encounter_id", "visit_id"), "encounter_id")
-    per_visit = enc_diff.groupBy("visit_id").agg(
+    per_visit = enc_after.groupBy("visit_id").agg(
         F.count(F.lit(1)).alias("n_encounters"),
-        F.sum(F.when(F.col("status") == "changed", 1).otherwise(0)).alias("n_encounters_changed"))
-    vis_before = backup(visit, targets, "visit_id", "before")
+        F.sum(F.when(~F.col("encounter_datetime").eqNullSafe(F.col("_old")), 1).otherwise(0)).alias("n_encounters_changed"))
+    vis_before = (backup(visit, targets, "visit_id", "before")
+                  .withColumn("_old_start", F.col("date_started")).withColumn("_old_stop", F.col("date_stopped")))
     vis_after = correct_visits(vis_before.drop("backup_run"), visit_requests)
-    vis_diff = verify(vis_before, vis_after, "visit_id", ["date_started", "date_stopped"]).select(
-        "visit_id", (F.col("status") == "changed").alias("visit_changed"))
+    vis_diff = vis_after.select(
+        "visit_id", (~F.col("date_started").eqNullSafe(F.col("_old_start"))
+                     | ~F.col("date_stopped").eqNullSafe(F.col("_old_stop"))).alias("visit_changed"))
     out = targets.join(per_visit, "visit_id", "left").join(vis_diff, "visit_id", "left")
     return out.select(
         "visit_id", F.coalesce(F.col("n_encounters"), F.lit(0)).cast("long").alias("n_encounters"),
@@ -140,4 +145,11 @@ def apply_corrections(encounter: DataFrame, visit: DataFrame, enc_requests: Data
     save_table(correct_encounters(encounter, enc_requests).drop("corrected"), paths["encounter"])
     save_table(correct_visits(visit, visit_requests).drop("corrected"), paths["visit"])
     save_table(correction_report(encounter, visit, enc_requests, visit_requests), paths["report"])
+    # the source scripts' last step: read the stored result back and compare with the backup
+    spark = encounter.sparkSession
+    stored = spark.read.parquet(paths["encounter"])
+    before = spark.read.parquet(os.path.join(backups, "encounter")).filter(F.col("backup_run") == run_id)
+    after = stored.join(before.select("encounter_id"), "encounter_id", "left_semi")
+    paths["verification"] = os.path.join(run, "verification")
+    save_table(verify(before, after, "encounter_id", ["encounter_datetime"]), paths["verification"])
     return paths

@@ -139,3 +139,11 @@ def test_rerunning_a_correction_run_keeps_one_backup(spark, tmp_path):
     backup = spark.read.parquet(str(tmp_path / "backups" / "encounter"))
     assert backup.filter("backup_run = 'run1'").count() == 2
     assert backup.filter("backup_run = 'run2'").count() == 2
+
+
+def test_apply_corrections_verifies_the_stored_snapshot(spark, tmp_path):
+    t = tables(spark)
+    enc, vis = requests(spark)
+    paths = C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path), "r9")
+    got = {r["encounter_id"]: r["status"] for r in spark.read.parquet(paths["verification"]).collect()}
+    assert got == {100: "changed", 101: "unchanged"}
