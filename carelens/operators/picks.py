@@ -95,14 +95,15 @@ class PickPlan:
     def is_spec(self, key: str) -> Column:
         return F.expr(f"spec_idx = {self.index[key]}")
 
-    def value(self, key: str, col: str | Column) -> Column:
+    def value(self, key: str, col: str | Column) -> Column | str:
         """Pivot aggregate: ``col`` of the row chosen for spec ``key`` (see ``best_per_spec``).
 
-        A spec left out of this plan answers a typed NULL.
+        For a column name the aggregate is returned as SQL text (``pivot`` aliases it inside
+        the same text); a spec left out of this plan answers a typed NULL.
         """
         cond = f"spec_idx = {self.index[key]}" if key in self.index else "false"
         if isinstance(col, str):
-            return F.expr(f"max(CASE WHEN {cond} THEN `{col}` END)")
+            return f"max(CASE WHEN {cond} THEN `{col}` END)"
         return F.max(F.when(F.expr(cond), col))
 
     def any_of(self, keys: list[str]) -> Column:
@@ -253,6 +254,8 @@ def pick(spark: SparkSession, obs: DataFrame, encounter: DataFrame, concept_name
     return choose(plan_candidates(spark, obs, encounter, concept_name, plan, cutoffs, extra_forms), carried)
 
 
-def pivot(best: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
-    """One row per person with the named aggregates (``PickPlan.value`` and friends)."""
-    return best.groupBy("person_id").agg(*[expr.alias(name) for name, expr in aggregates.items()])
+def pivot(best: DataFrame, aggregates: dict[str, Column | str]) -> DataFrame:
+    """One row per person with the named aggregates (``PickPlan.value`` and friends);
+    aggregates given as SQL text are aliased in the text itself (one JVM call each)."""
+    return best.groupBy("person_id").agg(*[
+        F.expr(f"{e} AS `{n}`") if isinstance(e, str) else e.alias(n) for n, e in aggregates.items()])
