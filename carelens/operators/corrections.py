@@ -12,6 +12,7 @@ import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carelens.operators.dictionary import bounded_broadcast
 
@@ -147,8 +148,11 @@ def apply_corrections(encounter: DataFrame, visit: DataFrame, enc_requests: Data
     save_table(correction_report(encounter, visit, enc_requests, visit_requests), paths["report"])
     # the source scripts' last step: read the stored result back and compare with the backup
     spark = encounter.sparkSession
-    stored = spark.read.parquet(paths["encounter"])
-    before = spark.read.parquet(os.path.join(backups, "encounter")).filter(F.col("backup_run") == run_id)
+    # read back with the known schemas (an empty backup has no data files to infer from)
+    stored = spark.read.schema(encounter.schema).parquet(paths["encounter"])
+    backup_schema = T.StructType(list(encounter.schema.fields) + [T.StructField("backup_run", T.StringType())])
+    before = (spark.read.schema(backup_schema).parquet(os.path.join(backups, "encounter"))
+              .filter(F.col("backup_run") == run_id))
     after = stored.join(before.select("encounter_id"), "encounter_id", "left_semi")
     paths["verification"] = os.path.join(run, "verification")
     save_table(verify(before, after, "encounter_id", ["encounter_datetime"]), paths["verification"])
