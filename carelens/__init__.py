@@ -1,6 +1,6 @@
 """carelens: clinical line lists, record investigation and audited corrections on Spark.
 
-The library works on an OpenMRS-style schema (``obs`` entity-attribute-value rows plus
+The library works on an electronic-medical-record schema (``obs`` entity-attribute-value rows plus
 encounters, visits, identifiers and a concept dictionary). Every operator is DataFrame
 code: joins, grouped aggregates and window functions that Catalyst plans and executors run.
 """

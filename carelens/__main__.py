@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     ll.add_argument("--tables", required=True)
     ll.add_argument("--end", required=True, type=dt.date.fromisoformat)
     ll.add_argument("--today", type=dt.date.fromisoformat)
-    ll.add_argument("--partner", default="IHVN_GF-NTHRIP")
+    ll.add_argument("--partner", default=None, help="implementing partner printed in the IP column")
     ll.add_argument("--extended", action="store_true")
     ll.add_argument("--display", action="store_true")
     ll.add_argument("--legacy-text-max", action="store_true")

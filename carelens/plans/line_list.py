@@ -32,7 +32,8 @@ class LineListParams:
 
     end: dt.date
     today: dt.date | None = None
-    implementing_partner: str = "IHVN_GF-NTHRIP"
+    # the implementing partner printed in the first column (a site setting; NULL when not given)
+    implementing_partner: str | None = None
     extended_concepts: bool = False
     version_tag: str = "_v1.2"
     state_location_id: int = 8
@@ -417,7 +418,7 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
     rows = rows.crossJoin(F.broadcast(site))
     pharmacy_status = F.when(_c("IIT_Date") > end, F.lit("Active")).otherwise(F.lit("LTFU"))
     final = rows.select(
-        F.lit(params.implementing_partner).alias("IP"),
+        F.lit(params.implementing_partner).cast("string").alias("IP"),
         *[_c(c) for c in ("State", "LGA", "Datim_Code", "FacilityName", "patient_id", "PEPID",
                           "PatientHospitalNo", "uuid", "Sex")],
         *[_c(c) for c in COLUMNS[10:COLUMNS.index("CurrentARTStatus")]],

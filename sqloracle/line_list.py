@@ -68,7 +68,7 @@ def lookup(value: str, concepts, enc_type=None, form=None, cutoff_col=None, cuto
     return f"(SELECT {value} FROM ox o WHERE {' AND '.join(cond)} ORDER BY {order_by} LIMIT 1)"
 
 
-def line_list_sql(end: dt.date, today: dt.date, partner: str = "IHVN_GF-NTHRIP", version_tag: str = "_v1.2") -> str:
+def line_list_sql(end: dt.date, today: dt.date, partner: str | None = None, version_tag: str = "_v1.2") -> str:
     end_ts = dt.datetime.combine(end, dt.time(23, 59, 59, 999999))
     pq_day = minus_months_py(end, 3)
     pq_end = quarter_end_py(pq_day)
@@ -232,7 +232,7 @@ pid AS (SELECT patient_id, identifier AS PEPID, min(uuid) AS uuid FROM patient_i
         GROUP BY patient_id, identifier),
 rws AS (SELECT w.*, pid.PEPID, pid.uuid AS pid_uuid FROM w LEFT JOIN pid ON pid.patient_id = w.patient_id)
 SELECT
-  '{partner}' AS IP, site.State, site.LGA, site.Datim_Code, site.FacilityName,
+  {"CAST(NULL AS VARCHAR)" if partner is None else "'" + partner.replace("'", "''") + "'"} AS IP, site.State, site.LGA, site.Datim_Code, site.FacilityName,
   w.patient_id, w.PEPID, w.hospital_no AS PatientHospitalNo, w.pid_uuid AS uuid, w.gender AS Sex,
   CASE {care_whens} WHEN w.care_entry_code = {S.CARE_ENTRY_OTHER} THEN w.care_entry_text END AS CareEntryPoint,
   w.kp_type AS KPType,

@@ -189,7 +189,7 @@ def test_columns(spark, ll):
 def test_site_header(ll):
     r = one(ll, 1)
     assert (r["IP"], r["State"], r["LGA"], r["Datim_Code"], r["FacilityName"]) == (
-        "IHVN_GF-NTHRIP", "Lagos", "Ikeja", "D9", "Clinic")
+        None, "Lagos", "Ikeja", "D9", "Clinic")
     assert r["Unique_Id"] == "D9_PEP1"
     assert r["Date_Generated"] == "2024-12-25_v1.2"
 
@@ -347,3 +347,9 @@ def test_legacy_text_max_over_tied_rows(spark):
     assert fixed["First_TPT_Pickupdate"] == D(2024, 12, 1)
     assert legacy["First_TPT_Pickupdate"] == D(2020, 1, 31)
     assert shown["First_TPT_Pickupdate"] == "31-Jan-2020"
+
+
+def test_implementing_partner_parameter(spark):
+    t = build().tables(spark)
+    p = LineListParams(end=END, today=TODAY, implementing_partner="Partner A")
+    assert line_list(spark, t, p).filter("patient_id = 1").first()["IP"] == "Partner A"
