@@ -48,11 +48,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sub-folder per application).
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    sc = _context(spark)
+    if not current and sc is not None and hasattr(sc, "getCheckpointDir"):
+        current = sc.getCheckpointDir()
     if not current:
         os.makedirs(LOCAL_FALLBACK, exist_ok=True)
         current = LOCAL_FALLBACK
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if sc is not None:
+        sc.setCheckpointDir(current)
     return current
+
+
+def _context(spark: SparkSession):
+    """The SparkContext, or None for sessions without one (e.g. Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Default parallelism of the session (shuffle partitions when there is no SparkContext)."""
+    sc = _context(spark)
+    if sc is not None:
+        return max(1, sc.defaultParallelism)
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -298,7 +298,8 @@ def _prepare(spark: SparkSession, sf_dir: str, root_dir: str, key: tuple, files_
         if root is None:
             # a fresh folder per writer; the marker names the finished one
             root = os.path.join(root_dir, f"carelens-clinical-{digest}-{os.getpid()}-{id(spark)}")
-            n = files_per_table or max(1, spark.sparkContext.defaultParallelism)
+            from carelens.session import parallelism
+            n = files_per_table or parallelism(spark)
             for name, df in build_tables(spark, sf_dir).as_dict().items():
                 out = df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
                 out.repartition(n).write.mode("overwrite").parquet(os.path.join(root, name))

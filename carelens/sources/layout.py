@@ -30,7 +30,8 @@ def _write_partitioned(df: DataFrame, path: str, part: str, order: tuple[str, ..
 def write_clinical(tables: ClinicalTables, root: str, files: int | None = None) -> None:
     """Write every table under ``root/<name>``; obs and encounter in the pruning layout."""
     spark = tables.obs.sparkSession
-    n = files or max(1, spark.sparkContext.defaultParallelism)
+    from carelens.session import parallelism
+    n = files or parallelism(spark)
     for name, df in tables.as_dict().items():
         path = os.path.join(root, name)
         if name in PARTITIONED:
