@@ -264,11 +264,10 @@ def encounter_dates(encounter: DataFrame, params: LineListParams) -> DataFrame:
     )
 
 
-def _care_entry_point(code: Column, text: Column) -> Column:
-    expr = None
-    for answer, label in S.CARE_ENTRY_LABELS:
-        expr = F.when(code == answer, F.lit(label)) if expr is None else expr.when(code == answer, F.lit(label))
-    return expr.when(code == S.CARE_ENTRY_OTHER, text)
+def _care_entry_point(code: str, text: str) -> Column:
+    """Label of the care entry answer; the "other" answer reads the free text instead."""
+    whens = " ".join(f"WHEN `{code}` = {answer} THEN '{label}'" for answer, label in S.CARE_ENTRY_LABELS)
+    return F.expr(f"CASE {whens} WHEN `{code}` = {S.CARE_ENTRY_OTHER} THEN `{text}` END")
 
 
 def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, display: bool = False,
@@ -320,7 +319,7 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
         "patient_id": _c("patient_id"),
         "PatientHospitalNo": _c("PatientHospitalNo"),
         "Sex": _c("gender"),
-        "CareEntryPoint": _care_entry_point(_c("care_entry_code"), _c("care_entry_text")),
+        "CareEntryPoint": _care_entry_point("care_entry_code", "care_entry_text"),
         "KPType": _c("KPType"),
         "AgeAtStartofART": F.when(_c("art_start_at").isNotNull(),
                                   F.when(art_years >= 5, art_years).otherwise(F.lit(0))),
