@@ -30,9 +30,10 @@ def english_names(concept_name: DataFrame, key: str = "concept_id", name: str =
 
 
 def coded_value_names(obs: DataFrame, concept_name: DataFrame, value_col: str = "value_coded",
-                      name_col: str = "name", broadcast_check: bool = True) -> DataFrame:
+                      name_col: str = "name", broadcast_check: bool = True,
+                      max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Attach the English preferred name of each coded value (NULL when it has none)."""
     names = english_names(concept_name, key=value_col, name=name_col)
     if broadcast_check:
-        names = bounded_broadcast(names)
+        names = bounded_broadcast(names, max_broadcast_rows)
     return obs.join(names, value_col, "left")

@@ -82,3 +82,23 @@ def test_reader_conforms_stored_types(spark, tmp_path):
     assert dict(stored.patient.dtypes)["voided"] == "int"
     row = stored.patient_program.first()
     assert row["patient_id"] == 1 and row["date_enrolled"] is None and row["voided"] is None
+
+
+def test_dictionary_join_same_with_and_without_broadcast(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from carelens.operators.dictionary import coded_value_names
+    from carelens.sources.driver import prepared_tables
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        return
+    t = prepared_tables(spark, sf)
+    obs = t.obs.filter(F.col("voided") == 0).select("obs_id", "value_coded")
+    small = coded_value_names(obs, t.concept_name)
+    forced = coded_value_names(obs, t.concept_name, max_broadcast_rows=0)   # over the limit: shuffle join
+    # over the limit no broadcast hint is added; Spark is free to plan a shuffle join
+    assert "broadcast" not in forced._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
+    assert sorted(small.collect()) == sorted(forced.collect())
