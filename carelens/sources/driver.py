@@ -236,7 +236,7 @@ def build_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
 
 
 _PREPARED: dict[tuple, str] = {}
-_READ: dict[tuple, ClinicalTables] = {}
+_READ: dict[tuple, tuple[SparkSession, ClinicalTables]] = {}
 _PREPARE_LOCK = threading.Lock()
 
 
@@ -272,10 +272,11 @@ def prepared_tables(spark: SparkSession, sf_dir: str, files_per_table: int | Non
     key = _fingerprint(sf_dir)
     with _PREPARE_LOCK:
         root = _prepare(spark, sf_dir, root_dir, key, files_per_table)
-        cached = _READ.get((root, id(spark)))
-        if cached is None:
-            cached = _READ[(root, id(spark))] = ClinicalTables.read_parquet(spark, root)
-        return cached
+        # the entry keeps its session alive, so a new session can never reuse its id
+        entry = _READ.get((root, id(spark)))
+        if entry is None or entry[0] is not spark:
+            entry = _READ[(root, id(spark))] = (spark, ClinicalTables.read_parquet(spark, root))
+        return entry[1]
 
 
 def _prepare(spark: SparkSession, sf_dir: str, root_dir: str, key: tuple, files_per_table: int | None) -> str:
