@@ -283,6 +283,8 @@ def _prepare(spark: SparkSession, sf_dir: str, root_dir: str, key: tuple, files_
     from carelens.sources.schemas import SCHEMAS
 
     root = _PREPARED.get(key)
+    if root is not None and "://" not in root and not _complete(root):
+        root = None  # the folder went away (e.g. a cleaned scratch disk): prepare again
     if root is None:
         import hashlib
         # the mapping's own code is part of the key: a changed adapter never reads stale tables
