@@ -490,3 +490,16 @@ SECTIONS = {
     "biometric_status": ["patient_id", "PEPID", "PBS_Capturee", "PBS_Capture_Date", "PBS_Recapture",
                          "PBS_Recapture_Date", "PBS_Recapture_Count", "Date_Generated"],
 }
+
+
+def line_list_sections(spark: SparkSession, t: ClinicalTables, params: LineListParams,
+                       sections: list[str]) -> dict[str, DataFrame]:
+    """Several report sections from one observation pass: the per-patient answers are
+    computed once and checkpointed (reliably, in ``spark.checkpoint.dir``); every section
+    then reads them and only redoes the small per-patient joins."""
+    from dataclasses import replace
+    unknown = [s for s in sections if s not in SECTIONS]
+    if unknown:
+        raise ValueError(f"unknown sections: {unknown}")
+    full = line_list(spark, t, replace(params, checkpoint_answers=True))
+    return {s: full.select(*[_c(c) for c in SECTIONS[s]]) for s in sections}

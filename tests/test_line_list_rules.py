@@ -353,3 +353,13 @@ def test_implementing_partner_parameter(spark):
     t = build().tables(spark)
     p = LineListParams(end=END, today=TODAY, implementing_partner="Partner A")
     assert line_list(spark, t, p).filter("patient_id = 1").first()["IP"] == "Partner A"
+
+
+def test_sections_from_one_pass_equal_single_sections(spark):
+    from carelens.plans.line_list import line_list_sections
+    t = build().tables(spark)
+    p = LineListParams(end=END, today=TODAY)
+    many = line_list_sections(spark, t, p, ["age_bands", "latest_vitals", "tb_screening"])
+    for name, df in many.items():
+        one_section = line_list(spark, t, p, section=name)
+        assert sorted(map(str, df.collect())) == sorted(map(str, one_section.collect()))
