@@ -78,6 +78,12 @@ def main(argv: list[str] | None = None) -> int:
     pur.add_argument("--out", required=True)
     pur.add_argument("--run-id", required=True)
 
+    ree = sub.add_parser("check-reenrolment")
+    ree.add_argument("--tables", required=True)
+    ree.add_argument("--purged", required=True, help="Parquet: patient_id, purged_at")
+    ree.add_argument("--out", required=True)
+    ree.add_argument("--csv", action="store_true")
+
     chk = sub.add_parser("check")
     chk.add_argument("what", choices=["outside-visit", "implausible", "duplicates", "visit-bounds"])
     chk.add_argument("--tables", required=True)
@@ -115,20 +121,12 @@ def main(argv: list[str] | None = None) -> int:
                                   spark.read.parquet(a.visit_requests), a.out, a.run_id)
         print(paths)
     elif a.cmd == "purge-biometrics":
-        from pyspark.sql import functions as F
-
-        from carelens.operators import corrections as C
-        from carelens.sources.sinks import append_backup, save_table
-        ids = _ids(spark, a.ids, "patient_id")
-        backups = os.path.join(a.out, "backups")
-        append_backup(C.backup(t.biometricverificationinfo, ids, "patient_id", a.run_id), backups,
-                      "biometricverificationinfo")
-        append_backup(C.backup(t.biometricinfo, ids, "patient_id", a.run_id), backups, "biometricinfo")
-        cap, ver = C.purge_biometrics(t.biometricinfo, t.biometricverificationinfo, ids)
-        save_table(ver, os.path.join(a.out, a.run_id, "biometricverificationinfo"))
-        save_table(cap, os.path.join(a.out, a.run_id, "biometricinfo"))
-        left = spark.read.parquet(os.path.join(a.out, a.run_id, "biometricinfo")).join(ids, "patient_id", "left_semi")
-        print({"remaining_rows_for_ids": left.select(F.count(F.lit(1))).first()[0]})
+        from carelens.operators.corrections import apply_purge
+        paths = apply_purge(t.biometricinfo, t.biometricverificationinfo, _ids(spark, a.ids, "patient_id"), a.out, a.run_id)
+        print({"patients_with_rows_left": spark.read.parquet(paths["report"]).filter("status <> 'purged'").count(), **paths})
+    elif a.cmd == "check-reenrolment":
+        from carelens.operators.corrections import reenrolment_check
+        _write(reenrolment_check(spark.read.parquet(a.purged), t.biometricinfo), a.out, a.csv)
     else:
         from carelens.operators import quality as Q
         if a.what == "outside-visit":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,9 @@ from carelens.operators import latest as LT
 from carelens.operators import quality as Q
 from carelens.operators.dictionary import coded_value_names
 from carelens.plans import specs as S
-from carelens.plans.line_list import SECTIONS, LineListParams, line_list, population, render
+from carelens.plans.line_list import DISPLAY_FORMATS, SECTIONS, LineListParams, line_list, population, render
 from carelens.session import ensure_checkpoint_dir
-from carelens.sources.driver import REPORT_DAY, TODAY, prepared_tables
+from carelens.sources.driver import REPORT_DAY, TODAY, build_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, Callable[[], str]] = {}
@@ -33,9 +34,8 @@ def register(key: str, oracle: Callable[[], str] | None = None):
 
 
 def _tables(spark: SparkSession, sf_dir: str):
-    """Clinical tables adapted from the driver tables (materialized once per session)."""
-    ensure_checkpoint_dir(spark)
-    return prepared_tables(spark, sf_dir)
+    """Clinical tables adapted from the driver tables, read anew by each query."""
+    return build_tables(spark, sf_dir)
 
 
 PARAMS = LineListParams(end=REPORT_DAY, today=TODAY)
@@ -67,9 +67,7 @@ for _k, _cols in SECTIONS.items():
     _section(_k, _cols)
 
 
-DATE_COLUMNS = ["patient_id", "PEPID", "DateConfirmedHIV+", "ARTStartDate", "DOB", "LastDateOfSampleCollection",
-                "Next_Ap_by_careCard", "DateofCurrent_TBStatus", "IIT_Date", "CurrentCD4Date", "PBS_Recapture_Date",
-                "EstimatedNextAppointmentPharmacy", "Pharmacy_LastPickupdate", "First_TPT_Pickupdate"]
+DATE_COLUMNS = ["patient_id", "PEPID", *DISPLAY_FORMATS]
 
 
 def _sql(name: str):
@@ -118,8 +116,7 @@ def q_first_last_dates(spark, sf_dir):
 @register("obs_value_lookup", _sql("obs_value_lookup"))
 def q_obs_value_lookup(spark, sf_dir):
     obs = _tables(spark, sf_dir).obs
-    ids = LT.latest_obs_id(obs, END_AT, concepts=[159599, 160554, 160534, 165469])
-    return LT.value_by_obs_id(ids, obs)
+    return LT.value_by_obs_id(LT.latest_obs_id(obs, END_AT), obs)
 
 
 @register("coded_value_names", _sql("coded_value_names"))
@@ -149,49 +146,68 @@ def q_quarter_end(spark, sf_dir):
 
 
 def _corrections(spark, sf_dir):
-    """Correction requests derived from the data: one per encounter found outside its visit.
-
-    The findings are checkpointed (reliably, in spark.checkpoint.dir) so the size checks and
-    the joins of the correction steps read them instead of re-running the detection join.
-    """
+    """Correction requests derived from the data: one per encounter found outside its visit, each
+    such visit, each visit without a stop, and each whose bounds already are those of one day
+    (a request that changes nothing)."""
     t = _tables(spark, sf_dir)
-    findings = Q.encounters_outside_visit(t.encounter, t.visit).checkpoint(eager=True)
-    return C.requests_from_findings(findings)
+    enc, vis = C.requests_from_findings(Q.encounters_outside_visit(t.encounter, t.visit))
+    day = F.col("date_started").cast("date").cast("timestamp_ntz")
+    stop = F.timestamp_add("SECOND", F.lit(86399), day)
+    more = t.visit.filter(F.col("date_started").isNotNull() & (
+        F.col("date_stopped").isNull() | ((F.col("date_started") == day) & (F.col("date_stopped") == stop))))
+    return enc, vis.unionByName(more.select("visit_id", day.alias("new_start"), stop.alias("new_stop"))).distinct()
 
 
 @register("correct_encounters", _sql("correct_encounters"))
 def q_correct_encounters(spark, sf_dir):
-    enc_req, _ = _corrections(spark, sf_dir)
-    return C.correct_encounters(_tables(spark, sf_dir).encounter, enc_req)
+    return C.correct_encounters(_tables(spark, sf_dir).encounter, _corrections(spark, sf_dir)[0])
 
 
 @register("correct_visits", _sql("correct_visits"))
 def q_correct_visits(spark, sf_dir):
-    _, vis_req = _corrections(spark, sf_dir)
-    return C.correct_visits(_tables(spark, sf_dir).visit, vis_req)
+    return C.correct_visits(_tables(spark, sf_dir).visit, _corrections(spark, sf_dir)[1])
 
 
 @register("correction_backup", _sql("correction_backup"))
 def q_correction_backup(spark, sf_dir):
-    enc_req, _ = _corrections(spark, sf_dir)
-    return C.backup(_tables(spark, sf_dir).encounter, enc_req, "visit_id", "before")
+    return C.backup(_tables(spark, sf_dir).encounter, _corrections(spark, sf_dir)[0], "visit_id", "before")
 
 
 @register("correction_verify", _sql("correction_verify"))
 def q_correction_verify(spark, sf_dir):
-    enc_req, vis_req = _corrections(spark, sf_dir)
+    """Applies the requests as written tables in the shared folder and compares what is stored."""
     t = _tables(spark, sf_dir)
-    return C.correction_report(t.encounter, t.visit, enc_req, vis_req)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/carelens-{uuid.uuid4().hex}"
+    return spark.read.parquet(C.apply_corrections(t.encounter, t.visit, *_corrections(spark, sf_dir), root, "check")["report"])
+
+
+def _same_day_duplicates(t):
+    return Q.duplicate_biometrics(t.biometricinfo, same_day=True)
 
 
 @register("biometric_purge", _sql("biometric_purge"))
 def q_biometric_purge(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    dupes = Q.duplicate_biometrics(t.biometricinfo, same_day=True)
-    cap, ver = C.purge_biometrics(t.biometricinfo, t.biometricverificationinfo, dupes)
+    cap, ver = C.purge_biometrics(t.biometricinfo, t.biometricverificationinfo, _same_day_duplicates(t))
     return I.biometric_records(cap, ver)
 
 
+@register("purge_verify", _sql("purge_verify"))
+def q_purge_verify(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    dupes = _same_day_duplicates(t)
+    cap, ver = C.purge_biometrics(t.biometricinfo, t.biometricverificationinfo, dupes)
+    return C.purge_report(t.biometricinfo, t.biometricverificationinfo, cap, ver, dupes)
+
+
+@register("reenrolment_check", _sql("reenrolment_check"))
+def q_reenrolment_check(spark, sf_dir):
+    """Patients with duplicates count as purged right after their first capture; later rows are new ones."""
+    t = _tables(spark, sf_dir)
+    purged = Q.duplicate_biometrics(t.biometricinfo).select("patient_id", F.col("first_at").alias("purged_at"))
+    return C.reenrolment_check(purged, t.biometricinfo)
+
+
 @register("encounter_outside_visit", _sql("encounter_outside_visit"))
 def q_encounter_outside_visit(spark, sf_dir):
     t = _tables(spark, sf_dir)

@@ -3,27 +3,20 @@
 The source scripts back up rows with a SELECT, run an UPDATE or DELETE for one id, and
 re-run the SELECT to check. Here a corrections table drives one join per table; the
 result is a new snapshot (Parquet has no in-place UPDATE), the before image is a semi
-join, and verification is a full outer join of before and after on the row id.
+join, and verification is a full outer join of the stored rows before and after.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelens.operators.dictionary import bounded_broadcast
-
-CORRECTIONS_BROADCAST_ROWS = 1_000_000
-
 
 def _requests(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """One request per key (duplicates resolved to the smallest values, deterministically)."""
     best = df.groupBy(*keys).agg(F.min(F.struct(*values)).alias("_v"))
-    return bounded_broadcast(best.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values]),
-                             CORRECTIONS_BROADCAST_ROWS)
+    return best.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
 def requests_from_findings(outside: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +44,7 @@ def correct_encounters(encounter: DataFrame, corrections: DataFrame) -> DataFram
         (encounter.visit_id == F.col("_vid")) & (encounter.encounter_datetime == F.col("bad_datetime")), "left")
     hit = F.col("_vid").isNotNull()
     cols = [F.when(hit, F.col("new_datetime")).otherwise(F.col("encounter_datetime")).alias(c)
-            if c == "encounter_datetime" else F.col(c) for c in encounter.columns]
+            if c == "encounter_datetime" else F.col(f"`{c}`") for c in encounter.columns]
     return j.select(*cols, hit.alias("corrected"))
 
 
@@ -73,8 +66,8 @@ def correct_visits(visit: DataFrame, corrections: DataFrame) -> DataFrame:
 
 def backup(table: DataFrame, targets: DataFrame, key: str, run_id: str) -> DataFrame:
     """Before image: every row of ``table`` whose ``key`` is targeted, stamped with the run."""
-    ids = bounded_broadcast(targets.select(key).distinct(), CORRECTIONS_BROADCAST_ROWS)
-    return table.join(ids, key, "left_semi").withColumn("backup_run", F.lit(run_id))
+    kept = table.join(targets.select(key).distinct(), key, "left_semi").select(table.columns)
+    return kept.withColumn("backup_run", F.lit(run_id))
 
 
 def verify(before: DataFrame, after: DataFrame, row_id: str, compare: list[str]) -> DataFrame:
@@ -87,41 +80,87 @@ def verify(before: DataFrame, after: DataFrame, row_id: str, compare: list[str])
     return j.select(row_id, status.alias("status"))
 
 
-def correction_report(encounter: DataFrame, visit: DataFrame, enc_requests: DataFrame,
-                      visit_requests: DataFrame) -> DataFrame:
-    """Per requested visit: encounters seen, encounters changed, and whether the visit changed.
+def requested_visits(enc_requests: DataFrame, visit_requests: DataFrame) -> DataFrame:
+    return enc_requests.select("visit_id").union(visit_requests.select("visit_id")).distinct()
 
-    The corrected rows are derived row by row from the before image, so old and new values
-    sit side by side and one pass counts the changes (no snapshot-to-snapshot join).
-    ``verify`` compares two independent snapshots, e.g. a written one read back.
+
+def correction_report(enc_before: DataFrame, enc_after: DataFrame, vis_before: DataFrame, vis_after: DataFrame,
+                      targets: DataFrame) -> DataFrame:
+    """Per requested visit, what a correction did: the rows of ``targets`` before and after it are
+    compared for both tables, so rows that appeared or vanished are seen as well.
+
+    status: ``applied`` (an encounter or the visit changed), ``damaged`` (rows were added or lost)
+    or ``no_change``. The four inputs may be snapshots read back from storage.
     """
-    targets = enc_requests.select("visit_id").union(visit_requests.select("visit_id")).distinct()
-    enc_before = backup(encounter, targets, "visit_id", "before").withColumn("_old", F.col("encounter_datetime"))
-    enc_after = correct_encounters(enc_before.drop("backup_run"), enc_requests)
-    per_visit = enc_after.groupBy("visit_id").agg(
-        F.count(F.lit(1)).alias("n_encounters"),
-        F.sum(F.when(~F.col("encounter_datetime").eqNullSafe(F.col("_old")), 1).otherwise(0)).alias("n_encounters_changed"))
-    vis_before = (backup(visit, targets, "visit_id", "before")
-                  .withColumn("_old_start", F.col("date_started")).withColumn("_old_stop", F.col("date_stopped")))
-    vis_after = correct_visits(vis_before.drop("backup_run"), visit_requests)
-    vis_diff = vis_after.select(
-        "visit_id", (~F.col("date_started").eqNullSafe(F.col("_old_start"))
-                     | ~F.col("date_stopped").eqNullSafe(F.col("_old_stop"))).alias("visit_changed"))
-    out = targets.join(per_visit, "visit_id", "left").join(vis_diff, "visit_id", "left")
+    ids = targets.select("visit_id").distinct()
+
+    def compared(before: DataFrame, after: DataFrame, row_id: str, columns: list[str], prefix: str) -> DataFrame:
+        old = before.join(ids, "visit_id", "left_semi").select(F.col("visit_id").alias("_vb"), F.col(row_id).alias("_b"), F.struct(*columns).alias("_old"))
+        new = after.join(ids, "visit_id", "left_semi").select(F.col("visit_id").alias("_va"), F.col(row_id).alias("_a"), F.struct(*columns).alias("_new"))
+        j = old.join(new, F.col("_b") == F.col("_a"), "full")
+        both = F.col("_b").isNotNull() & F.col("_a").isNotNull()
+
+        def total(condition):
+            return F.sum(F.when(condition, 1).otherwise(0)).cast("long")
+
+        return j.groupBy(F.coalesce("_vb", "_va").alias("visit_id")).agg(
+            total(F.col("_b").isNotNull()).alias(f"n_{prefix}"),
+            total(both & ~F.col("_old").eqNullSafe(F.col("_new"))).alias(f"n_{prefix}_changed"),
+            total(F.col("_a").isNull()).alias(f"n_{prefix}_lost"), total(F.col("_b").isNull()).alias(f"n_{prefix}_added"))
+
+    enc = compared(enc_before, enc_after, "encounter_id", ["encounter_datetime"], "encounters")
+    vis = compared(vis_before, vis_after, "visit_id", ["date_started", "date_stopped"], "visits")
+    out = ids.join(enc, "visit_id", "left").join(vis, "visit_id", "left").fillna(0)
     return out.select(
-        "visit_id", F.coalesce(F.col("n_encounters"), F.lit(0)).cast("long").alias("n_encounters"),
-        F.coalesce(F.col("n_encounters_changed"), F.lit(0)).cast("long").alias("n_encounters_changed"),
-        F.coalesce(F.col("visit_changed"), F.lit(False)).alias("visit_changed"),
-        F.when(F.coalesce(F.col("n_encounters_changed"), F.lit(0)) > 0, "applied").otherwise("no_match").alias("status"),
-    )
+        "visit_id", "n_encounters", "n_encounters_changed", (F.col("n_visits_changed") > 0).alias("visit_changed"),
+        F.expr("CASE WHEN n_encounters_lost + n_encounters_added + n_visits_lost + n_visits_added > 0 THEN 'damaged' "
+               "WHEN n_encounters_changed + n_visits_changed > 0 THEN 'applied' ELSE 'no_change' END").alias("status"))
 
 
 def purge_biometrics(biometricinfo: DataFrame, biometricverificationinfo: DataFrame,
                      patients: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both biometric tables without the given patients (verification first, then enrollment)."""
-    ids = bounded_broadcast(patients.select("patient_id").distinct(), CORRECTIONS_BROADCAST_ROWS)
-    return (biometricinfo.join(ids, "patient_id", "left_anti"),
-            biometricverificationinfo.join(ids, "patient_id", "left_anti"))
+    ids = patients.select("patient_id").distinct()
+    return (biometricinfo.join(ids, "patient_id", "left_anti").select(biometricinfo.columns),
+            biometricverificationinfo.join(ids, "patient_id", "left_anti").select(biometricverificationinfo.columns))
+
+
+def purge_report(cap_before: DataFrame, ver_before: DataFrame, cap_after: DataFrame, ver_after: DataFrame,
+                 patients: DataFrame) -> DataFrame:
+    """Per purged patient the rows of both biometric tables before and after; none may be left."""
+    parts = [(cap_before, "n_enrolled"), (cap_after, "n_enrolled_left"), (ver_before, "n_verified"), (ver_after, "n_verified_left")]
+    names = [n for _, n in parts]
+    out = patients.select("patient_id").distinct()
+    for df, name in parts:
+        out = out.join(df.groupBy("patient_id").agg(F.count(F.lit(1)).alias(name)), "patient_id", "left")
+    return out.fillna(0, names).select(
+        "patient_id", *names, F.expr("CASE WHEN n_enrolled_left + n_verified_left = 0 THEN 'purged' ELSE 'rows_left' END").alias("status"))
+
+
+def reenrolment_check(purged: DataFrame, biometricinfo: DataFrame) -> DataFrame:
+    """Whether purged patients were captured again: enrollment rows after their purge.
+
+    ``purged``: patient_id, purged_at (the last purge counts).
+    """
+    p = purged.groupBy("patient_id").agg(F.max("purged_at").alias("purged_at"))
+    later = biometricinfo.select("patient_id", "date_created").join(p, "patient_id").filter("date_created > purged_at")
+    found = later.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_new"), F.min("date_created").alias("first_new_at"))
+    return p.join(found, "patient_id", "left").select(
+        "patient_id", "purged_at", F.coalesce("n_new", F.lit(0)).cast("long").alias("n_new"), "first_new_at",
+        F.when(F.col("n_new") > 0, "re_enrolled").otherwise("missing").alias("status"))
+
+
+def _stored(spark, schema: T.StructType, path: str) -> DataFrame:
+    """A written table with its known schema (one without rows may have no file to infer it from)."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def _same_columns(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``after``, if it has the columns and types of ``before``."""
+    old, new = [(f.name, f.dataType) for f in before.schema], [(f.name, f.dataType) for f in after.schema]
+    if old != new:
+        raise ValueError(f"a snapshot must have the columns of its table: {sorted(set(map(str, old)) ^ set(map(str, new)))}")
+    return after
 
 
 def apply_corrections(encounter: DataFrame, visit: DataFrame, enc_requests: DataFrame, visit_requests: DataFrame,
@@ -130,30 +169,47 @@ def apply_corrections(encounter: DataFrame, visit: DataFrame, enc_requests: Data
 
     1. back up every encounter and visit row of the requested visits (``backups/``),
     2. write the corrected encounter and visit snapshots to new paths (``<run_id>/``),
-    3. write the verification report computed from the stored before image (``<run_id>/report``).
+    3. read backups and snapshots back and write what changed for each visit (``<run_id>/report``).
 
-    Nothing is changed in place; the old snapshot stays where it was. Returns the paths.
+    Nothing is changed in place, and a run id can be used once. Returns the paths.
     """
     from carelens.sources.sinks import append_backup, save_table
 
-    targets = enc_requests.select("visit_id").union(visit_requests.select("visit_id")).distinct()
-    backups = os.path.join(out_root, "backups")
-    append_backup(backup(encounter, targets, "visit_id", run_id), backups, "encounter")
-    append_backup(backup(visit, targets, "visit_id", run_id), backups, "visit")
-    run = os.path.join(out_root, run_id)
-    paths = {"encounter": os.path.join(run, "encounter"), "visit": os.path.join(run, "visit"),
-             "report": os.path.join(run, "report"), "backups": backups}
-    save_table(correct_encounters(encounter, enc_requests).drop("corrected"), paths["encounter"])
-    save_table(correct_visits(visit, visit_requests).drop("corrected"), paths["visit"])
-    save_table(correction_report(encounter, visit, enc_requests, visit_requests), paths["report"])
-    # the source scripts' last step: read the stored result back and compare with the backup
     spark = encounter.sparkSession
-    # read back with the known schemas (an empty backup has no data files to infer from)
-    stored = spark.read.schema(encounter.schema).parquet(paths["encounter"])
-    backup_schema = T.StructType(list(encounter.schema.fields) + [T.StructField("backup_run", T.StringType())])
-    before = (spark.read.schema(backup_schema).parquet(os.path.join(backups, "encounter"))
-              .filter(F.col("backup_run") == run_id))
-    after = stored.join(before.select("encounter_id"), "encounter_id", "left_semi")
-    paths["verification"] = os.path.join(run, "verification")
-    save_table(verify(before, after, "encounter_id", ["encounter_datetime"]), paths["verification"])
+    targets = requested_visits(enc_requests, visit_requests)
+    run, backups = f"{out_root.rstrip('/')}/{run_id}", f"{out_root.rstrip('/')}/backups"
+    paths = {"encounter": f"{run}/encounter", "visit": f"{run}/visit", "report": f"{run}/report", "backups": backups}
+    for name, table in (("encounter", encounter), ("visit", visit)):
+        append_backup(backup(table, targets, "visit_id", run_id), backups, name, run_id)
+    corrected = {"encounter": _same_columns(encounter, correct_encounters(encounter, enc_requests).drop("corrected")),
+                 "visit": _same_columns(visit, correct_visits(visit, visit_requests).drop("corrected"))}
+    for name, df in corrected.items():
+        save_table(df, paths[name], mode="error")
+
+    def before(name, table):
+        return _stored(spark, table.schema, f"{backups}/{name}/backup_run={run_id}")
+
+    save_table(correction_report(before("encounter", encounter), _stored(spark, encounter.schema, paths["encounter"]),
+                                 before("visit", visit), _stored(spark, visit.schema, paths["visit"]), targets),
+               paths["report"], mode="error")
     return paths
+
+
+def apply_purge(biometricinfo: DataFrame, biometricverificationinfo: DataFrame, patients: DataFrame, out_root: str,
+                run_id: str) -> dict[str, str]:
+    """Back up, purge and verify both biometric tables as written tables; a run id can be used once."""
+    from carelens.sources.sinks import append_backup, save_table
+
+    spark = biometricinfo.sparkSession
+    run, backups = f"{out_root.rstrip('/')}/{run_id}", f"{out_root.rstrip('/')}/backups"
+    tables = {"biometricverificationinfo": biometricverificationinfo, "biometricinfo": biometricinfo}
+    for name, table in tables.items():
+        append_backup(backup(table, patients, "patient_id", run_id), backups, name, run_id)
+    cap, ver = purge_biometrics(biometricinfo, biometricverificationinfo, patients)
+    for name, df in (("biometricverificationinfo", ver), ("biometricinfo", cap)):
+        save_table(_same_columns(tables[name], df), f"{run}/{name}", mode="error")
+    old = {n: _stored(spark, t.schema, f"{backups}/{n}/backup_run={run_id}") for n, t in tables.items()}
+    new = {n: _stored(spark, t.schema, f"{run}/{n}") for n, t in tables.items()}
+    save_table(purge_report(old["biometricinfo"], old["biometricverificationinfo"], new["biometricinfo"],
+                            new["biometricverificationinfo"], patients), f"{run}/report", mode="error")
+    return {"report": f"{run}/report", "backups": backups, **{n: f"{run}/{n}" for n in tables}}

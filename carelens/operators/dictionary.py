@@ -1,25 +1,14 @@
-"""Concept dictionary lookups and size-checked broadcasting."""
+"""Concept dictionary lookups.
+
+Joins carry no broadcast hints: Spark broadcasts a side whose measured size is below its
+threshold and shuffles (and splits hot keys) otherwise.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when a count proves it is below this many rows; above
-# it the join falls back to a shuffle join planned by Spark.
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
-
-    The check reads at most ``max_rows + 1`` rows of an already filtered and projected
-    dimension, so it is cheap exactly when broadcasting is the right choice.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def english_names(concept_name: DataFrame, key: str = "concept_id", name: str = "name") -> DataFrame:
     """One preferred English name per concept (the smallest if a concept has several)."""
     return (
@@ -30,10 +19,6 @@ def english_names(concept_name: DataFrame, key: str = "concept_id", name: str =
 
 
 def coded_value_names(obs: DataFrame, concept_name: DataFrame, value_col: str = "value_coded",
-                      name_col: str = "name", broadcast_check: bool = True,
-                      max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+                      name_col: str = "name") -> DataFrame:
     """Attach the English preferred name of each coded value (NULL when it has none)."""
-    names = english_names(concept_name, key=value_col, name=name_col)
-    if broadcast_check:
-        names = bounded_broadcast(names, max_broadcast_rows)
-    return obs.join(names, value_col, "left")
+    return obs.join(english_names(concept_name, key=value_col, name=name_col), value_col, "left")

@@ -3,26 +3,22 @@
 The source scripts look at one hard-coded patient or visit at a time and chain ids by
 hand (visit history -> encounters in a visit -> visit bounds). Here each step takes a
 cohort DataFrame of ids, so the chain is a sequence of semi joins over the whole table.
-A cohort is broadcast only when a count proves it small; otherwise the semi join shuffles.
+Without a cohort every row is returned, also those whose patient or visit is NULL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.functions.dates import FORMAT_RAW
-from carelens.operators.dictionary import bounded_broadcast
 from carelens.operators.ordered import ordered_within
 
-COHORT_BROADCAST_ROWS = 1_000_000
-
 
 def _in_cohort(df: DataFrame, cohort: DataFrame | None, key: str) -> DataFrame:
     if cohort is None:
         return df
-    ids = bounded_broadcast(cohort.select(key).distinct(), COHORT_BROADCAST_ROWS)
-    return df.join(ids, key, "left_semi")
+    return df.join(cohort.select(key).distinct(), key, "left_semi")
 
 
 def raw_text(c: str) -> F.Column:
@@ -30,19 +26,9 @@ def raw_text(c: str) -> F.Column:
     return F.date_format(F.col(c), FORMAT_RAW)
 
 
-def patient_visits(visit: DataFrame, cohort: DataFrame | None = None, skew_safe: bool = True) -> DataFrame:
-    """Visit history of each cohort patient, numbered in start order.
-
-    ``skew_safe`` numbers rows with a range-partitioned ordered scan (a patient with a huge
-    history is spread over many tasks); ``False`` uses a plain window.
-    """
-    v = _in_cohort(visit, cohort, "patient_id").filter(F.col("patient_id").isNotNull())
-    order = ["date_started", "visit_id"]
-    if skew_safe:
-        v = ordered_within(v, "patient_id", order, "visit_seq")
-    else:
-        w = Window.partitionBy("patient_id").orderBy(F.col("date_started").asc_nulls_first(), F.col("visit_id"))
-        v = v.withColumn("visit_seq", F.row_number().over(w))
+def patient_visits(visit: DataFrame, cohort: DataFrame | None = None) -> DataFrame:
+    """Visit history of each cohort patient, numbered in start order (visits of no patient form one group)."""
+    v = ordered_within(_in_cohort(visit, cohort, "patient_id"), "patient_id", ["date_started", "visit_id"], "visit_seq")
     return v.select(
         "patient_id", "visit_id", "visit_type_id", "date_started", raw_text("date_started").alias("raw_date_started"),
         "date_stopped", raw_text("date_stopped").alias("raw_date_stopped"), "location_id", "voided",
@@ -50,16 +36,12 @@ def patient_visits(visit: DataFrame, cohort: DataFrame | None = None, skew_safe:
     )
 
 
-def encounter_chronology(encounter: DataFrame, visits: DataFrame | None = None, skew_safe: bool = True) -> DataFrame:
+def encounter_chronology(encounter: DataFrame, visits: DataFrame | None = None) -> DataFrame:
     """Encounters of each visit in time order, with the gap to the previous encounter
-    (the stated use of the source script: check chronology against the visit)."""
-    e = _in_cohort(encounter.filter(F.col("visit_id").isNotNull()), visits, "visit_id")
-    order = ["encounter_datetime", "encounter_id"]
-    if skew_safe:
-        e = ordered_within(e, "visit_id", order, "encounter_seq", {"encounter_datetime": "_prev_at"})
-    else:
-        w = Window.partitionBy("visit_id").orderBy(F.col("encounter_datetime").asc_nulls_first(), F.col("encounter_id"))
-        e = e.withColumn("encounter_seq", F.row_number().over(w)).withColumn("_prev_at", F.lag("encounter_datetime").over(w))
+    (the stated use of the source script: check chronology against the visit).
+    Encounters without a visit form one group when no visits are given."""
+    e = ordered_within(_in_cohort(encounter, visits, "visit_id"), "visit_id", ["encounter_datetime", "encounter_id"],
+                       "encounter_seq", {"encounter_datetime": "_prev_at"})
     return e.select(
         "visit_id", "encounter_id", "encounter_type", "encounter_datetime",
         raw_text("encounter_datetime").alias("raw_encounter_datetime"), "form_id", "provider_id", "location_id",
@@ -86,10 +68,8 @@ def start_encounters(encounter: DataFrame, cohort: DataFrame | None = None, enco
 
 def biometric_records(biometricinfo: DataFrame, biometricverificationinfo: DataFrame,
                       cohort: DataFrame | None = None) -> DataFrame:
-    """Enrollment and verification rows of the cohort, tagged with their table."""
-    cap = _in_cohort(biometricinfo, cohort, "patient_id").select(
-        F.lit("biometricinfo").alias("source"), "patient_id", "date_created",
-        F.lit(None).cast("int").alias("recapture_count"))
-    ver = _in_cohort(biometricverificationinfo, cohort, "patient_id").select(
-        F.lit("biometricverificationinfo").alias("source"), "patient_id", "date_created", "recapture_count")
-    return cap.unionByName(ver)
+    """Whole enrollment and verification rows of the cohort, tagged with their table; columns
+    that only one of the tables has are NULL in rows of the other."""
+    cap = _in_cohort(biometricinfo, cohort, "patient_id").withColumn("source", F.lit("biometricinfo"))
+    ver = _in_cohort(biometricverificationinfo, cohort, "patient_id").withColumn("source", F.lit("biometricverificationinfo"))
+    return cap.unionByName(ver, allowMissingColumns=True)

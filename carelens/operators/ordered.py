@@ -2,179 +2,62 @@
 
 A window ``partitionBy(group).orderBy(...)`` sends every row of a group to one task, so a
 single hot group (a placeholder patient, a visit that collected a third of all encounters)
-becomes one straggler. Here the rows are range-partitioned on (group, order) instead, so a
-hot group is spread over consecutive partitions, and the per-group state is carried across
-partition borders:
-
-1. range-partition and sort on (group, order), then a reliable checkpoint (in the shared
-   ``spark.checkpoint.dir``) fixes the partition borders for the next two passes;
-2. each partition reports its first and last group, the length of its last run and the
-   last row's values (one summary row per partition);
-3. one small task turns the summaries (one row per partition: bounded by the partition
-   count, not by the data) into a carry per partition: rows of its first group seen in
-   earlier partitions, and the values of the row just before it;
-4. every partition numbers its rows and shifts values, starting from its carry.
-
-Only the group key and the lagged values (as non-null integers plus a null flag;
-timestamps as microseconds) reach pandas; the rest of each row travels as one JSON text
-column and is restored by Spark, so any year (e.g. a mistyped 1019) and any type is safe.
+becomes one straggler. Here rows are range-partitioned and sorted on (group, order) first, so a
+hot group is spread over consecutive partitions, its buckets:
+
+1. a table in the shared ``spark.checkpoint.dir`` fixes the partitions, each row with its
+   bucket (the partition's number);
+2. a window over (group, bucket) numbers the rows of a bucket;
+3. an aggregate over (group, bucket) gives each bucket's row count and last row's values, and
+   a window over those few rows (at most one per group and partition) gives what came before;
+4. both are joined on (group, bucket).
+
+All of it is built-in expressions on the columns as they are, so no value changes its type or
+precision.
 """
 
 from __future__ import annotations
 
-import datetime as dt
+import uuid
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_EPOCH = dt.datetime(1970, 1, 1)
-
-
-def _to_micros(c: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), c)
-
-
-def _from_micros(c: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", c, F.lit(_EPOCH).cast("timestamp_ntz"))
 
 
 def ordered_within(df: DataFrame, group: str, order: list[str], seq_col: str,
                    lag: dict[str, str] | None = None, partitions: int | None = None) -> DataFrame:
     """Add ``seq_col`` (1, 2, ... in ``order`` inside each ``group``) and, for each
-    ``lag`` item ``column -> name``, the previous row's value inside the group
-    (integer, date or timestamp columns).
+    ``lag`` item ``column -> name``, the previous row's value inside the group.
 
-    Rows with a NULL group are dropped (they belong to no group). ``order`` sorts ascending
-    with NULLs first; end it with a unique column to make the order total.
+    Rows with a NULL group form a group of their own. ``order`` sorts ascending with NULLs
+    first; end it with a unique column to make the order total.
     """
     from carelens.session import ensure_checkpoint_dir
 
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     lag = lag or {}
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    types = {f.name: f.dataType for f in df.schema.fields}
-    lags = [f"_l{i}" for i in range(len(lag))]
-
-    def as_long(c: str) -> Column:
-        t = types[c]
-        if isinstance(t, (T.TimestampNTZType, T.TimestampType)):
-            return _to_micros(F.col(c).cast("timestamp_ntz"))
-        if isinstance(t, T.DateType):
-            return F.datediff(F.col(c), F.lit(_EPOCH.date())).cast("long")
-        return F.col(c).cast("long")
-
-    payload_schema = T.StructType([f for f in df.schema.fields])
-    keys = [group, *order]
-    ranged = (
-        df.filter(F.col(group).isNotNull())
-        .repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-        .select(group,
-                *[F.coalesce(as_long(c), F.lit(0)).alias(x) for c, x in zip(lag, lags)],
-                *[as_long(c).isNull().alias(f"{x}n") for c, x in zip(lag, lags)],
-                F.to_json(F.struct(*df.columns)).alias("_payload"))
-        .checkpoint(eager=True)
-    )
-    gtype = types[group].simpleString()
-    val_cols = [*lags, *[f"{x}n" for x in lags]]
-    val_types = [*["long"] * len(lags), *["boolean"] * len(lags)]
-
-    def typed(names, kinds):
-        return ", ".join(f"{a} {b}" for a, b in zip(names, kinds))
-
-    summary_schema = ", ".join(x for x in ("_p int, first_key " + gtype + ", last_key " + gtype + ", last_n long",
-                                           typed(val_cols, val_types)) if x)
-
-    def summarize(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        first = last = None
-        last_n = total = 0
-        last_vals = [None] * len(val_cols)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            k = pdf[group]
-            if first is None:
-                first = k.iloc[0]
-            tail = k.iloc[-1]
-            tail_run = int((k == tail)[::-1].cumprod().sum())
-            last_n = last_n + tail_run if (tail == last and tail_run == len(pdf)) else tail_run
-            last = tail
-            last_vals = [pdf[c].iloc[-1] for c in val_cols]
-            total += len(pdf)
-        if total:
-            yield pd.DataFrame([[pid, first, last, last_n, *last_vals]],
-                               columns=["_p", "first_key", "last_key", "last_n", *val_cols])
-
-    summaries = ranged.select(group, *val_cols).mapInPandas(summarize, summary_schema)
-    carry_cols = [f"c{c}" for c in val_cols]
-    carry_schema = ", ".join(x for x in ("_p int, carry_n long", typed(carry_cols, val_types)) if x)
-    empty_vals = [0] * len(lags) + [True] * len(lags)
-
-    def carries(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, prev_key, run, prev_vals = [], None, 0, list(empty_vals)
-        for r in pdf.sort_values("_p").to_dict("records"):
-            cont = prev_key is not None and r["first_key"] == prev_key
-            carry_n = run if cont else 0
-            out.append([r["_p"], carry_n, *(prev_vals if cont else empty_vals)])
-            run = carry_n + r["last_n"] if (cont and r["first_key"] == r["last_key"]) else r["last_n"]
-            prev_key, prev_vals = r["last_key"], [r[c] for c in val_cols]
-        return pd.DataFrame(out, columns=["_p", "carry_n", *carry_cols])
-
-    # all summaries form one group of (number of partitions) rows
-    carry = summaries.groupBy().applyInPandas(carries, carry_schema)
-
-    out_schema = ", ".join(x for x in (f"{group} {gtype}, _payload string, {seq_col} long",
-                                       typed([f"p{c}" for c in val_cols], val_types)) if x)
-
-    def apply(batches):
-        state_key, state_n, state_vals, started = None, 0, list(empty_vals), False
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            if not started:
-                started = True
-                if int(pdf["carry_n"].iloc[0]) > 0:
-                    state_key, state_n = pdf[group].iloc[0], int(pdf["carry_n"].iloc[0])
-                    state_vals = [pdf[c].iloc[0] for c in carry_cols]
-            k = pdf[group]
-            new_run = k.ne(k.shift())
-            new_run.iloc[0] = k.iloc[0] != state_key
-            run_id = new_run.cumsum()
-            pos = k.groupby(run_id).cumcount()
-            continues = not bool(new_run.iloc[0])
-            offset = (run_id == run_id.iloc[0]).astype("int64") * state_n if continues else 0
-            res = pd.DataFrame({group: k, "_payload": pdf["_payload"], seq_col: (pos + 1 + offset).astype("int64")})
-            for j, c in enumerate(val_cols):
-                fill = empty_vals[j]
-                prev = pdf[c].shift(1, fill_value=fill)
-                prev[new_run] = fill
-                if continues:
-                    prev.iloc[0] = state_vals[j]
-                res[f"p{c}"] = prev.astype("int64" if j < len(lags) else "bool")
-            state_key = k.iloc[-1]
-            state_n = int(res[seq_col].iloc[-1])
-            state_vals = [pdf[c].iloc[-1] for c in val_cols]
-            yield res
-
-    tagged = (ranged.withColumn("_p", F.spark_partition_id()).join(F.broadcast(carry), "_p", "left")
-              .fillna({"carry_n": 0}))
-    done = tagged.select(group, "_payload", *val_cols, "carry_n", *carry_cols).mapInPandas(apply, out_schema)
-    restored = done.select(F.from_json("_payload", payload_schema).alias("_r"), seq_col,
-                           *[f"p{c}" for c in val_cols])
-    out = [F.col(f"_r.`{c}`").alias(c) for c in df.columns] + [F.col(seq_col)]
-    for (c, name), x in zip(lag.items(), lags):
-        v = F.when(~F.col(f"p{x}n"), F.col(f"p{x}"))
-        t = types[c]
-        if isinstance(t, (T.TimestampNTZType, T.TimestampType)):
-            v = _from_micros(v).cast(t)
-        elif isinstance(t, T.DateType):
-            v = F.date_add(F.lit(_EPOCH.date()), v.cast("int"))
-        else:
-            v = v.cast(t)
-        out.append(v.alias(name))
-    return restored.select(*out)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/carelens-{uuid.uuid4().hex}/ordered"
+    ranged = df.repartitionByRange(n, group, *order).withColumn("_bucket", F.spark_partition_id())
+    ranged.write.parquet(path)
+    stored = spark.read.schema(ranged.schema).parquet(path)
+
+    within = Window.partitionBy(group, "_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    numbered = stored.withColumn("_n", F.row_number().over(within))
+    for column, name in lag.items():
+        numbered = numbered.withColumn(name, F.lag(column).over(within))
+
+    last = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order], *[F.col(c).alias(f"_v{i}") for i, c in enumerate(lag)])
+    edges = stored.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(last).alias("_last"))
+    buckets = Window.partitionBy("_g").orderBy("_b")
+    edges = edges.withColumn("_before", F.sum("_rows").over(buckets.rowsBetween(Window.unboundedPreceding, -1)))
+    edges = edges.withColumn("_prior", F.lag("_last").over(buckets)).filter("_before IS NOT NULL")
+    carry = edges.select("_g", "_b", "_before", *[F.col(f"_prior._v{i}").alias(f"_c{i}") for i in range(len(lag))])
+
+    out = numbered.join(carry, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")), "left")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    columns.append((F.col("_n") + F.coalesce("_before", F.lit(0))).cast("long").alias(seq_col))
+    for i, name in enumerate(lag.values()):
+        columns.append(F.when(F.col("_n") == 1, F.col(f"_c{i}")).otherwise(F.col(name)).alias(name))
+    return out.select(*columns)

@@ -76,8 +76,8 @@ def program_enrolment(patient_program: DataFrame, program_id: int, alias: str) -
 
 
 def biometric_capture(biometricinfo: DataFrame) -> DataFrame:
-    """Capture status per patient: earliest capture time."""
-    return biometricinfo.groupBy("patient_id").agg(F.min("date_created").alias("capture_at"))
+    """Capture status per patient: that a row exists, and the earliest capture time (may be NULL)."""
+    return biometricinfo.groupBy("patient_id").agg(F.lit(1).alias("captured"), F.min("date_created").alias("capture_at"))
 
 
 def biometric_recapture(biometricverificationinfo: DataFrame) -> DataFrame:
@@ -105,5 +105,5 @@ def site_config(global_property: DataFrame, location: DataFrame, address_hierarc
                                      F.col("user_generated_id") == F.col("lga_code"), "left_semi")
         .groupBy().agg(F.min("name").alias("LGA"))
     )
-    # every input is a one-row global aggregate, so these cross joins stay one row
-    return gp.crossJoin(state).crossJoin(lga).select("State", "LGA", "Datim_Code", "FacilityName")
+    # one-row aggregates as scalar subqueries of the one-row property frame
+    return gp.select(state.scalar().alias("State"), lga.scalar().alias("LGA"), "Datim_Code", "FacilityName")

@@ -99,16 +99,15 @@ class PickPlan:
         """Pivot aggregate: ``col`` of the row chosen for spec ``key`` (see ``best_per_spec``).
 
         For a column name the aggregate is returned as SQL text (``pivot`` aliases it inside
-        the same text); a spec left out of this plan answers a typed NULL.
+        the same text).
         """
-        cond = f"spec_idx = {self.index[key]}" if key in self.index else "false"
+        cond = f"spec_idx = {self.index[key]}"
         if isinstance(col, str):
             return f"max(CASE WHEN {cond} THEN `{col}` END)"
         return F.max(F.when(F.expr(cond), col))
 
     def any_of(self, keys: list[str]) -> Column:
-        ids = [str(self.index[k]) for k in keys if k in self.index]
-        return F.expr(f"spec_idx IN ({', '.join(ids)})" if ids else "false")
+        return F.expr(f"spec_idx IN ({', '.join(str(self.index[k]) for k in keys)})")
 
     def spec_frame(self, spark: SparkSession, cutoffs: dict[str, dt.datetime]) -> DataFrame:
         """The spec table: one row per (spec, concept); fixed size, defined in code."""
@@ -142,8 +141,9 @@ def enrich_obs(obs: DataFrame, encounter: DataFrame, concept_name: DataFrame, co
     """Non-voided observations of ``concepts`` with their (non-voided) encounter and coded-value name.
 
     The encounter side is cut to the types and forms any spec can use before the join.
-    ``encounter_facts`` (one row per encounter_id) is joined on the same key, so at scale
-    both joins share the one shuffle of ``obs`` by encounter_id.
+    ``encounter_facts`` (one row per encounter_id) is attached to it first, so ``obs`` is joined
+    once, on a shuffle of its own: adaptive execution can split a hot or NULL encounter_id there
+    (two joins in a row on one shuffle would not be split).
     """
     def listed(values) -> str:
         return ", ".join(str(int(v)) for v in values) or "NULL"
@@ -153,10 +153,9 @@ def enrich_obs(obs: DataFrame, encounter: DataFrame, concept_name: DataFrame, co
     e = encounter.filter(F.expr(f"voided = 0 AND (encounter_type IN ({listed(encounter_types)}) "
                                 f"OR form_id IN ({listed(forms)}))")).select(
         "encounter_id", "encounter_type", "form_id", "encounter_datetime")
-    joined = o.join(e, "encounter_id", "left")
     if encounter_facts is not None:
-        joined = joined.join(encounter_facts, "encounter_id", "left")
-    return coded_value_names(joined, concept_name)
+        e = e.join(encounter_facts, "encounter_id", "full")
+    return coded_value_names(o.join(e, "encounter_id", "left"), concept_name)
 
 
 def _pick_column(code_col: str, names: tuple[str, ...], offset: int) -> Column:

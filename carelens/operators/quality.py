@@ -26,17 +26,17 @@ def implausible_datetimes(encounter: DataFrame, visit: DataFrame, obs: DataFrame
     """Datetimes outside [earliest, latest] (e.g. a year typed as 1019) in the three tables."""
     lo, hi = as_column(earliest).cast("timestamp_ntz"), F.to_timestamp_ntz(F.date_add(as_column(latest), 1).cast("string"))
 
-    def check(df, table, id_col, col):
-        bad = (F.col(col) < lo) | (F.col(col) >= hi)
-        return df.filter(bad).select(F.lit(table).alias("table_name"), F.col(id_col).cast("long").alias("row_id"),
-                                     F.col("_pid").cast("long").alias("patient_id"), F.lit(col).alias("column_name"),
-                                     F.col(col).alias("value"))
+    def check(df, table, id_col, person_col, cols):
+        values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in cols])
+        x = df.select(F.lit(table).alias("table_name"), F.col(id_col).cast("long").alias("row_id"),
+                      F.col(person_col).cast("long").alias("patient_id"), F.explode(values).alias("v"))
+        return x.select("table_name", "row_id", "patient_id", "v.column_name", "v.value").filter(
+            (F.col("value") < lo) | (F.col("value") >= hi))
 
     return (
-        check(encounter.withColumnRenamed("patient_id", "_pid"), "encounter", "encounter_id", "encounter_datetime")
-        .unionByName(check(visit.withColumnRenamed("patient_id", "_pid"), "visit", "visit_id", "date_started"))
-        .unionByName(check(visit.withColumnRenamed("patient_id", "_pid"), "visit", "visit_id", "date_stopped"))
-        .unionByName(check(obs.withColumnRenamed("person_id", "_pid"), "obs", "obs_id", "obs_datetime"))
+        check(encounter, "encounter", "encounter_id", "patient_id", ["encounter_datetime"])
+        .unionByName(check(visit, "visit", "visit_id", "patient_id", ["date_started", "date_stopped"]))
+        .unionByName(check(obs, "obs", "obs_id", "person_id", ["obs_datetime"]))
     )
 
 

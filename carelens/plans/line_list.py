@@ -90,6 +90,7 @@ COLUMNS = [
     "Unique_Id", "PBS_Recapture", "PBS_Recapture_Date", "PBS_Recapture_Count",
 ]
 
+PICKUP_COLUMNS = ["Pharmacy_LastPickupdate", "IIT_Date", "CurrentARTStatus_Pharmacy", "EstimatedNextAppointmentPharmacy"]
 TB_COLUMNS = ["IPT_Screening_Date"] + [n for n, _ in S.TB_NAMED + S.TB_YES_NO + S.TB_YES]
 
 # Text formats of the date columns when rendered for display (typed output keeps DATE).
@@ -123,7 +124,7 @@ LEGACY_TEXT_TIES = {"First_TPT_Pickupdate": "L164852", "Last_TPT_Pickupdate": "L
 
 def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineListParams,
                         plan: PickPlan | None = None, legacy_text_max: bool = False,
-                        keep: set[str] | None = None) -> tuple[DataFrame, DataFrame, PickPlan]:
+                        keep: frozenset[str] | None = None) -> tuple[DataFrame, DataFrame, PickPlan]:
     """Every observation-derived value of the report, one row per person (``person_id``).
 
     Returns (answers, qualifying rows, plan).
@@ -147,84 +148,59 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
             "encounter_refill", "encounter_text"]
     best = best_per_spec(cands, read, derived, tie_columns=["name", "value_numeric", "value_datetime", "obs_datetime"])
     v = plan.value
-    latest_keys = [f"L{c}" for c in S.LATEST_SET]
-    aggs: dict[str, Column] = {
-        "has_latest": F.max(F.when(plan.any_of(latest_keys), F.lit(1))),
-        # any row at the latest time of any latest-set concept carries the "transferred out" answer
-        "transferred_out": F.max(F.when(plan.any_of(latest_keys), F.col("transferred_out_flag"))),
-        "has_pickup_line": v("L165708", F.lit(1)),
-        "last_regimen_line_at": v("L165708", "obs_datetime"),
-        "refill": v("L159368", "value_numeric"),
-        "CurrentRegimenLine": v("L165708", "name"),
-        "CurrentPregnancyStatus": v("L165050", "name"),
-        "ViralLoadIndication": v("L164980", "name"),
-        "outcome_name": v("L165470", "name"),
-        "t160540": v("L160540", "name"),
-        "t165242": v("L165242", "name"),
-        "First_TPT_Pickupdate": v("L164852", "value_datetime"),
-        "Last_TPT_Pickupdate": v("L166096", "value_datetime"),
-        "Current_TPT_Received": v("L165727", "tpt_received_name"),
-        "Current_TB_Status": v("L1659", "name"),
-        "DateofCurrent_TBStatus": v("L1659", "obs_datetime"),
-        "TB_Treatment_Start_Date": v("L1113", "obs_datetime"),
-        "TB_Treatment_Stop_Date": v("L159431", "obs_datetime"),
-        "Next_Ap_by_careCard": v("L5096", "care_card_next_at"),
-        "RegimenLineAtARTStart": v(f"F{S.REGIMEN_LINE}", "name"),
-        "RegimenAtARTStart": F.max(F.when(plan.any_of([f"F{c}" for c in S.REGIMEN_CONCEPTS]), F.col("name"))),
-        "bp_systolic": v("V5085", "value_numeric"),
-        "bp_diastolic": v("V5086", "value_numeric"),
-        "KPType": v("kp_type", "name"),
-        "art_start_at": v("art_start", "value_datetime"),
-        "hiv_confirmed_at": v("hiv_confirmed", "value_datetime"),
-        "CurrentARTRegimen": v("current_regimen", "name"),
-        "DSD_Model": v("dsd_model", "name"),
-        "DSD_Model_Type": v("dsd_model_type", "name"),
-        "CurrentViralLoad": v("viral_load", "value_numeric"),
-        "DateofCurrentViralLoad": v("viral_load_date", "encounter_datetime"),
-        "DateResultReceivedFacility": v("vl_result_received", "value_datetime"),
-        "Alphanumeric_Viral_Load_Result": v("vl_alphanumeric", "name"),
-        "LastDateOfSampleCollection": v("sample_collection", "value_datetime"),
-        "outcome_date_value": v("outcome_date", "value_datetime"),
-        "cause_of_death": v("cause_of_death", "name"),
-        "va_166349": v("va_166349", "name"),
-        "va_166348": v("va_166348", "name"),
-        "va_166347": v("va_166347", "name"),
-        "transfer_in_at": v("transfer_in_date", "value_datetime"),
-        "Weight": v("weight", "value_numeric"),
-        "Height": v("height", "value_numeric"),
-        "BMI": v("bmi", "value_numeric"),
-        "first_tld_at": v("first_tld", "obs_datetime"),
-        "CurrentCD4": v("cd4", "value_numeric"),
-        "cd4_encounter_at": v("cd4", "encounter_datetime"),
-        "care_entry_code": v("care_entry", "value_coded"),
-        "prevq_pickup_at": v("prevq_pickup", "obs_datetime"),
-        "prevq_outcome_name": v("prevq_outcome", "name"),
-        "encounter_refill": v("prevq_pickup", "encounter_refill"),
-        "care_entry_text": v("care_entry", "encounter_text"),
-        "OTZ_Outcome_Date": v("O166275", "value_datetime"),
-    }
-    for name, c in S.VITALS_NAMES:
-        aggs[name] = v(f"V{c}", "name")
-    for name, c in S.OTZ_COLUMNS:
-        aggs[name] = v(f"O{c}", "name")
-    for name, c in S.AHD_COLUMNS:
-        aggs[name] = v(f"ahd_{c}", "name")
-    for name, c in S.TB_NAMED:
-        aggs[name] = v(f"tb_{c}", "name")
+    has = plan.index.__contains__
+    aggs: dict[str, Column | str] = {}
+
+    def add(name: str, keys: list[str], column: str | Column | None = None, build=None) -> None:
+        """An answer that reads the questions ``keys``; left out where the plan does not ask them."""
+        if all(map(has, keys)):
+            aggs[name] = build() if build else v(keys[0], column)
+
+    latest_keys = list(S.LATEST_KEYS)
+    add("has_latest", latest_keys, build=lambda: F.max(F.when(plan.any_of(latest_keys), F.lit(1))))
+    # any row at the latest time of any latest-set concept carries the "transferred out" answer
+    add("transferred_out", latest_keys, build=lambda: F.max(F.when(plan.any_of(latest_keys), F.col("transferred_out_flag"))))
+    starts = [f"F{c}" for c in S.REGIMEN_CONCEPTS]
+    add("RegimenAtARTStart", starts, build=lambda: F.max(F.when(plan.any_of(starts), F.col("name"))))
+    for name, key, column in (
+        ("has_pickup_line", "L165708", F.lit(1)), ("last_regimen_line_at", "L165708", "obs_datetime"),
+        ("refill", "L159368", "value_numeric"), ("CurrentRegimenLine", "L165708", "name"),
+        ("CurrentPregnancyStatus", "L165050", "name"), ("ViralLoadIndication", "L164980", "name"),
+        ("outcome_name", "L165470", "name"), ("t160540", "L160540", "name"), ("t165242", "L165242", "name"),
+        ("First_TPT_Pickupdate", "L164852", "value_datetime"), ("Last_TPT_Pickupdate", "L166096", "value_datetime"),
+        ("Current_TPT_Received", "L165727", "tpt_received_name"), ("Current_TB_Status", "L1659", "name"),
+        ("DateofCurrent_TBStatus", "L1659", "obs_datetime"), ("TB_Treatment_Start_Date", "L1113", "obs_datetime"),
+        ("TB_Treatment_Stop_Date", "L159431", "obs_datetime"), ("Next_Ap_by_careCard", "L5096", "care_card_next_at"),
+        ("RegimenLineAtARTStart", f"F{S.REGIMEN_LINE}", "name"), ("bp_systolic", "V5085", "value_numeric"),
+        ("bp_diastolic", "V5086", "value_numeric"), ("KPType", "kp_type", "name"),
+        ("art_start_at", "art_start", "value_datetime"), ("hiv_confirmed_at", "hiv_confirmed", "value_datetime"),
+        ("CurrentARTRegimen", "current_regimen", "name"), ("DSD_Model", "dsd_model", "name"),
+        ("DSD_Model_Type", "dsd_model_type", "name"), ("CurrentViralLoad", "viral_load", "value_numeric"),
+        ("DateofCurrentViralLoad", "viral_load_date", "encounter_datetime"),
+        ("DateResultReceivedFacility", "vl_result_received", "value_datetime"),
+        ("Alphanumeric_Viral_Load_Result", "vl_alphanumeric", "name"),
+        ("LastDateOfSampleCollection", "sample_collection", "value_datetime"),
+        ("outcome_date_value", "outcome_date", "value_datetime"), ("cause_of_death", "cause_of_death", "name"),
+        ("va_166349", "va_166349", "name"), ("va_166348", "va_166348", "name"), ("va_166347", "va_166347", "name"),
+        ("transfer_in_at", "transfer_in_date", "value_datetime"), ("Weight", "weight", "value_numeric"),
+        ("Height", "height", "value_numeric"), ("BMI", "bmi", "value_numeric"), ("first_tld_at", "first_tld", "obs_datetime"),
+        ("CurrentCD4", "cd4", "value_numeric"), ("cd4_encounter_at", "cd4", "encounter_datetime"),
+        ("care_entry_code", "care_entry", "value_coded"), ("care_entry_text", "care_entry", "encounter_text"),
+        ("prevq_pickup_at", "prevq_pickup", "obs_datetime"), ("encounter_refill", "prevq_pickup", "encounter_refill"),
+        ("prevq_outcome_name", "prevq_outcome", "name"), ("OTZ_Outcome_Date", "O166275", "value_datetime"),
+        ("TPT_Outcomes", "L166007", "name"), ("Date_of_TPT_Outcome", "L166008", "value_datetime"),
+        ("Date_Enrolled_Into_OTZ_Plus", "L166350", "value_datetime"),
+        *((n, f"V{c}", "name") for n, c in S.VITALS_NAMES), *((n, f"O{c}", "name") for n, c in S.OTZ_COLUMNS),
+        *((n, f"ahd_{c}", "name") for n, c in S.AHD_COLUMNS), *((n, f"tb_{c}", "name") for n, c in S.TB_NAMED),
+    ):
+        add(name, [key], column)
     for name, c in S.TB_YES_NO:
-        aggs[name] = v(f"tb_{c}", F.when(F.col("value_coded") == 2, "No").when(F.col("value_coded") == 1, "Yes")
-                       .otherwise(""))
+        add(name, [f"tb_{c}"], F.when(F.col("value_coded") == 2, "No").when(F.col("value_coded") == 1, "Yes").otherwise(""))
     for name, c in S.TB_YES:
-        aggs[name] = v(f"tb_{c}", F.when(F.col("value_coded") == 1, "Yes").otherwise(""))
-    if params.extended_concepts:
-        aggs["TPT_Outcomes"] = v("L166007", "name")
-        aggs["Date_of_TPT_Outcome"] = v("L166008", "value_datetime")
-        aggs["Date_Enrolled_Into_OTZ_Plus"] = v("L166350", "value_datetime")
+        add(name, [f"tb_{c}"], F.when(F.col("value_coded") == 1, "Yes").otherwise(""))
     if legacy_text_max:
         for out, key in LEGACY_TEXT_TIES.items():
-            if key in plan.index:
-                src = "care_card_next_text" if key == "L5096" else "value_dmony_text"
-                aggs[f"{out}__text"] = v(key, src)
+            add(f"{out}__text", [key], "care_card_next_text" if key == "L5096" else "value_dmony_text")
     answers = pivot(best, aggs)
     if not params.extended_concepts:
         answers = (answers.withColumn("TPT_Outcomes", F.lit(None).cast("string"))
@@ -279,26 +255,40 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
     ``01/12/2024``). ``section`` (a key of ``SECTIONS``) computes only the observation
     questions that section reads and returns its columns.
     """
-    keep = set(S.SECTION_SPECS[section]) if section else None
-    answers, _, _ = observation_answers(spark, t, params, legacy_text_max=legacy_text_max, keep=keep)
-    if params.checkpoint_answers:
-        from carelens.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        answers = answers.checkpoint(eager=True)
-    answers = answers.withColumnRenamed("person_id", "patient_id")
-    enc = encounter_dates(t.encounter, params)
+    wanted = set(SECTIONS[section]) if section else set(COLUMNS)
+    if section:
+        keep = S.SECTION_SPECS[section] | (S.EXTENDED_SECTION_SPECS.get(section, frozenset()) if params.extended_concepts else frozenset())
+    else:
+        keep = None
+    answers = None
+    if keep is None or keep:
+        answers, _, _ = observation_answers(spark, t, params, legacy_text_max=legacy_text_max, keep=keep)
+        if params.checkpoint_answers:
+            from carelens.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(spark)
+            answers = answers.checkpoint(eager=True)
+        answers = answers.withColumnRenamed("person_id", "patient_id")
     base = P.active_patients(t.patient, t.person)
-    wide = (
-        base.join(answers.filter(_c("has_latest") == 1), "patient_id")
-        .join(enc.filter(_c("has_gate_form") == 1), "patient_id")
-        .join(P.first_identifier(t.patient_identifier, 5, "PatientHospitalNo"), "patient_id", "left")
-        .join(P.preferred_name(t.person_name), "patient_id", "left")
-        .join(P.preferred_address(t.person_address), "patient_id", "left")
-        .join(P.attribute_value(t.person_attribute, 8, "PhoneNo"), "patient_id", "left")
-        .join(P.program_enrolment(t.patient_program, 5, "otz_enrolled_at"), "patient_id", "left")
-        .join(P.biometric_capture(t.biometricinfo), "patient_id", "left")
-        .join(P.biometric_recapture(t.biometricverificationinfo), "patient_id", "left")
-    )
+    if section:
+        wide = base.join(population(t, params), "patient_id", "left_semi")
+        wide = wide.join(answers, "patient_id", "left") if answers is not None else wide
+        if wanted & {*PICKUP_COLUMNS, "Outcomes_Date", "CurrentARTStatus", "IPT_Screening_Date"}:
+            wide = wide.join(encounter_dates(t.encounter, params), "patient_id", "left")
+    else:
+        enc = encounter_dates(t.encounter, params).filter(_c("has_gate_form") == 1)
+        wide = base.join(answers.filter(_c("has_latest") == 1), "patient_id").join(enc, "patient_id")
+    # one row per patient each; joined where a wanted column reads it
+    for reads, frame in (
+        ({"PatientHospitalNo"}, lambda: P.first_identifier(t.patient_identifier, 5, "PatientHospitalNo")),
+        ({"Surname", "Firstname"}, lambda: P.preferred_name(t.person_name)),
+        ({"Address", "State_of_Residence", "LGA_of_Residence"}, lambda: P.preferred_address(t.person_address)),
+        ({"PhoneNo"}, lambda: P.attribute_value(t.person_attribute, 8, "PhoneNo")),
+        ({"Date_Enrolled_Into_OTZ"}, lambda: P.program_enrolment(t.patient_program, 5, "otz_enrolled_at")),
+        ({"PBS_Capturee", "PBS_Capture_Date"}, lambda: P.biometric_capture(t.biometricinfo)),
+        ({"PBS_Recapture", "PBS_Recapture_Date", "PBS_Recapture_Count"}, lambda: P.biometric_recapture(t.biometricverificationinfo)),
+    ):
+        if reads & wanted:
+            wide = wide.join(frame(), "patient_id", "left")
     end = F.lit(params.end)
     today = F.lit(params.as_of)
     pq_end = F.lit(params.prev_quarter_end)
@@ -395,43 +385,39 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
         "Date_Enrolled_Into_OTZ_Plus": _d("Date_Enrolled_Into_OTZ_Plus"),
         **{name: _c(name) for name, _ in S.OTZ_COLUMNS},
         "OTZ_Outcome_Date": _d("OTZ_Outcome_Date"),
-        "PBS_Capturee": F.when(_c("capture_at").isNotNull(), F.lit("Yes")).otherwise(F.lit("No")),
+        # the patient has a row, with or without a time
+        "PBS_Capturee": F.when(_c("captured") == 1, F.lit("Yes")).otherwise(F.lit("No")),
         "PBS_Capture_Date": _d("capture_at"),
         "PBS_Recapture": F.when(_c("recapture_at").isNotNull(), F.lit("Yes")).otherwise(F.lit("")),
         "PBS_Recapture_Date": _d("recapture_at"),
         "PBS_Recapture_Count": _c("recapture_count"),
     }
-    if legacy_text_max:
+    if legacy_text_max and answers is not None:
         # the report keeps the largest *text* among tied rows; typed output parses it back
         for out in LEGACY_TEXT_TIES:
             if f"{out}__text" in answers.columns:
                 cols[out] = parse_report_date(_c(f"{out}__text"), FORMAT_DMONY)
-    per_patient = wide.select(*[c.alias(n) for n, c in cols.items()])
+    # the current status reads two other columns
+    read = wanted | ({"Outcomes", "IIT_Date"} if "CurrentARTStatus" in wanted else set()) | {"patient_id"}
+    per_patient = wide.select(*[c.alias(n) for n, c in cols.items() if n in read])
     pepid = P.identifier_rows(t.patient_identifier, 4).withColumnRenamed("identifier", "PEPID")
     rows = per_patient.join(pepid, "patient_id", "left")
     # the TB screening block exists only for patients with a type-4 identifier
-    has_pepid = _c("PEPID").isNotNull()
     rows = rows.selectExpr(*[f"CASE WHEN PEPID IS NOT NULL THEN `{c}` END AS `{c}`" if c in TB_COLUMNS else f"`{c}`"
                              for c in rows.columns])
-    site = P.site_config(t.global_property, t.location, t.address_hierarchy_entry, params.state_location_id)
-    rows = rows.crossJoin(F.broadcast(site))
-    pharmacy_status = F.when(_c("IIT_Date") > end, F.lit("Active")).otherwise(F.lit("LTFU"))
-    final = rows.select(
-        F.lit(params.implementing_partner).cast("string").alias("IP"),
-        *[_c(c) for c in ("State", "LGA", "Datim_Code", "FacilityName", "patient_id", "PEPID",
-                          "PatientHospitalNo", "uuid", "Sex")],
-        *[_c(c) for c in COLUMNS[10:COLUMNS.index("CurrentARTStatus")]],
-        F.coalesce(_c("Outcomes"), pharmacy_status).alias("CurrentARTStatus"),
-        *[_c(c) for c in COLUMNS[COLUMNS.index("ARTStatus_PreviousQuarter"):COLUMNS.index("Date_Generated")]],
-        F.lit(f"{params.end:%Y-%m-%d}{params.version_tag}").alias("Date_Generated"),
-        F.concat(_c("Datim_Code"), F.lit("_"), _c("PEPID")).alias("Unique_Id"),
-        *[_c(c) for c in ("PBS_Recapture", "PBS_Recapture_Date", "PBS_Recapture_Count")],
-    )
-    if display:
-        final = render(final, legacy_text_max)
-    if section:
-        final = final.select(*[_c(c) for c in SECTIONS[section]])
-    return final
+    if wanted & {"State", "LGA", "Datim_Code", "FacilityName", "Unique_Id"}:
+        # exactly one row
+        rows = rows.crossJoin(F.broadcast(P.site_config(t.global_property, t.location, t.address_hierarchy_entry,
+                                                        params.state_location_id)))
+    added = {
+        "IP": F.lit(params.implementing_partner).cast("string"),
+        "CurrentARTStatus": F.coalesce(_c("Outcomes"), F.when(_c("IIT_Date") > end, F.lit("Active")).otherwise(F.lit("LTFU"))),
+        "Date_Generated": F.lit(f"{params.end:%Y-%m-%d}{params.version_tag}"),
+        "Unique_Id": F.concat(_c("Datim_Code"), F.lit("_"), _c("PEPID")),
+    }
+    order = SECTIONS[section] if section else COLUMNS
+    final = rows.select(*[(added[c] if c in added else _c(c)).alias(c) for c in order])
+    return render(final, legacy_text_max) if display else final
 
 
 def render(df: DataFrame, legacy_text_max: bool = False) -> DataFrame:

@@ -73,28 +73,38 @@ AHD_COLUMNS = (
 )
 
 
-def line_list_plan(extended_concepts: bool = False, keep: set[str] | None = None) -> PickPlan:
-    """All questions of the line list; with ``keep``, only the questions whose key starts with
-    one of its prefixes, plus the latest set (the population gate needs it)."""
-    plan = _all_specs(extended_concepts)
+def line_list_plan(extended_concepts: bool = False, keep: frozenset[str] | None = None) -> PickPlan:
+    """All questions of the line list, or only those whose keys are in ``keep``."""
+    specs = _all_specs(extended_concepts)
     if keep is None:
-        return PickPlan(plan)
-    prefixes = tuple(keep) + ("L",)
-    return PickPlan([s for s in plan if s.key.startswith(prefixes)])
+        return PickPlan(specs)
+    unknown = keep - {s.key for s in specs}
+    if unknown:
+        raise KeyError(f"no such questions: {sorted(unknown)}")
+    return PickPlan([s for s in specs if s.key in keep])
 
 
-# Questions each report section reads (key prefixes); the latest set is always included.
-SECTION_SPECS = {
+LATEST_KEYS = tuple(f"L{c}" for c in LATEST_SET)
+PICKUP_KEYS = ("L165708", "L159368")
+# The questions each report section reads.
+SECTION_SPECS: dict[str, frozenset[str]] = {k: frozenset(v) for k, v in {
     "site_config_attach": (), "patient_demographics": (), "address_fallback": (), "biometric_status": (),
-    "refill_due_dates": (), "care_entry_point": ("care_entry",), "age_bands": ("art_start",),
-    "first_event_date": ("art_start", "hiv_confirmed"), "last_pickup": (), "prev_quarter_pickup": ("prevq_pickup",),
-    "regimen_at_start": ("F", "current_regimen", "dsd_model"),
-    "latest_viral_load": ("viral_load", "vl_", "sample_collection", "cd4", "ahd_"),
-    "treatment_outcome": ("outcome_date", "cause_of_death", "va_"),
-    "prev_quarter_status": ("prevq_",), "transfer_in_flag": ("transfer_in_date",),
-    "latest_vitals": ("V", "weight", "height", "bmi", "first_tld"), "next_appointment": (),
-    "tb_screening": ("tb_",), "obs_pivot": ("O",),
-}
+    "refill_due_dates": PICKUP_KEYS, "last_pickup": PICKUP_KEYS, "next_appointment": (*PICKUP_KEYS, "L5096"),
+    "care_entry_point": ("care_entry",), "age_bands": ("art_start",),
+    "first_event_date": ("art_start", "hiv_confirmed"), "prev_quarter_pickup": ("prevq_pickup",),
+    "regimen_at_start": (f"F{REGIMEN_LINE}", *(f"F{c}" for c in REGIMEN_CONCEPTS), "L165708", "L165050",
+                         "current_regimen", "dsd_model", "dsd_model_type"),
+    "latest_viral_load": ("viral_load", "viral_load_date", "vl_result_received", "vl_alphanumeric", "sample_collection",
+                          "L164980", "cd4", *(f"ahd_{c}" for _, c in AHD_COLUMNS)),
+    "treatment_outcome": (*LATEST_KEYS, "outcome_date", "cause_of_death", "va_166349", "va_166348", "va_166347"),
+    "prev_quarter_status": ("prevq_pickup", "prevq_outcome"),
+    "transfer_in_flag": ("L160540", "L165242", "transfer_in_date"),
+    "latest_vitals": (*(f"V{c}" for _, c in VITALS_NAMES), "V5085", "V5086", "weight", "height", "bmi", "first_tld"),
+    "tb_screening": tuple(f"tb_{c}" for _, c in TB_NAMED + TB_YES_NO + TB_YES),
+    "obs_pivot": ("L164852", "L166096", "L165727", "L1659", "L1113", "L159431", *(f"O{c}" for c in OTZ)),
+}.items()}
+# Asked in addition where extended concepts are requested.
+EXTENDED_SECTION_SPECS = {"obs_pivot": frozenset(f"L{c}" for c in EXTENDED_LATEST)}
 
 
 def _all_specs(extended_concepts: bool) -> list[PickSpec]:

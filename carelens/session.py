@@ -38,26 +38,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-LOCAL_FALLBACK = os.path.join(tempfile.gettempdir(), "carelens-checkpoints")
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """The shared checkpoint folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. Only when
-    it is unset (local runs and tests) is a local folder used; it is stable across local
-    sessions so prepared inputs can be reused (Spark puts its own checkpoints in a fresh
-    sub-folder per application).
+    A local session (one JVM, as in tests) without the setting gets a scratch folder of its own;
+    on a cluster a missing setting is an error, as executors share no local folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
-    if not current and sc is not None and hasattr(sc, "getCheckpointDir"):
-        current = sc.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        os.makedirs(LOCAL_FALLBACK, exist_ok=True)
-        current = LOCAL_FALLBACK
+        if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="carelens-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if sc is not None:
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current
 
@@ -68,11 +62,3 @@ def _context(spark: SparkSession):
         return spark.sparkContext
     except Exception:
         return None
-
-
-def parallelism(spark: SparkSession) -> int:
-    """Default parallelism of the session (shuffle partitions when there is no SparkContext)."""
-    sc = _context(spark)
-    if sc is not None:
-        return max(1, sc.defaultParallelism)
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -4,15 +4,13 @@ The driver ships TPC-H-like tables (customer, orders, lineitem, part, nation, re
 events). Reports and checks in this repo run on them through a *concept-coded* mapping:
 customers are patients, orders are encounters (and visits), line items are
 observations, parts are the concept dictionary and events are biometric captures.
-Every mapping is a deterministic column expression, so the same rows can be rebuilt
-in another SQL engine for oracle comparisons.
+Every mapping is a deterministic column expression over the given tables, read anew by every
+query, so the same rows can be rebuilt in another SQL engine for oracle comparisons.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import os
-import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,24 +25,29 @@ ENCOUNTER_TYPE_CYCLE = [11, 12, 13, 14, 15, 23, 25]
 FORM_CYCLE = [23, 27, 30, 13, 14]
 # Concepts recorded in each encounter type; a line item takes list[l_partkey % len].
 CONCEPTS_BY_TYPE = {
-    11: [856, 165987, 166422, 5497, 167079, 167088, 166697, 167090, 167082, 164980],
-    12: [5089, 5090, 1342, 5085, 5086, 5356, 1659, 5096],
-    13: [165708, 159368, 164506, 164513, 164507, 164514, 165702, 165703, 166148, 165050, 162240],
-    14: [166369, 160554, 160540, 165242, 160534, 165839],
-    15: [165470, 165469, 165889, 166349, 166348, 166347],
-    23: [143264, 140238, 832, 133027, 165967, 166141, 165968, 164852, 166096, 165727],
+    11: [856, 165987, 166422, 5497, 167079, 167088, 166697, 167090, 167082, 164980, 159951],
+    12: [5089, 5090, 1342, 5085, 5086, 5356, 1659, 5096, 166256, 166257, 166258, 166259, 166260],
+    13: [165708, 159368, 164506, 164513, 164507, 164514, 165702, 165703, 166148, 165050, 162240, 166276, 166363],
+    14: [166369, 160554, 160540, 165242, 160534, 165839, 165966, 1113, 159431],
+    15: [165470, 165469, 165889, 166349, 166348, 166347, 166255, 166267, 166272, 166275, 166008],
+    23: [143264, 140238, 832, 133027, 165967, 166141, 165968, 164852, 166096, 165727, 165975, 165972, 165969, 165986,
+         166142, 166143, 166144],
     25: [159599, 1712, 1054, 1542],
 }
-# Coded answers: a line item with l_suppkey % 3 = 0 answers ANSWER_CODES[l_suppkey % 16],
+# Coded answers: a line item with l_suppkey % 3 = 0 answers ANSWER_CODES[(l_suppkey + l_partkey) % 25],
 # every other one answers its part key.
-ANSWER_CODES = [1, 2, 1679, 159492, 160578, 166285, 166276, 166363,
-                165681, 165692, 160529, 5622, 160034, 160563, 165240, 165241]
+ANSWER_CODES = [1, 2, 1679, 159492, 160578, 166285, 166276, 166363, 165681, 165692, 160529, 5622, 160034, 160563,
+                165240, 165241, 160546, 5271, 160542, 161629, 165788, 160545, 165838, 160539, 165512]
+# Orders with o_orderkey % 10 = 3 fall into one placeholder visit, those with % 50 = 7 into none.
+PLACEHOLDER_VISIT = 1
 # English preferred names of the answers (165692 deliberately has none).
 ANSWER_NAMES = {
     1: "Yes", 2: "No", 1679: "Yes", 159492: "Transferred out", 160578: "Female sex worker",
     166285: "Men who have sex with men", 166276: "Community based model", 166363: "Facility based model",
     165681: "TDF-3TC-DTG", 160529: "TB clinic", 5622: "Other", 160034: "Death",
-    160563: "Transferred in", 165240: "TRANSFER IN ", 165241: "Transfer in with records",
+    160563: "Transferred in", 165240: "TRANSFER IN ", 165241: "Transfer in with records", 160546: "STI clinic",
+    5271: "Family planning", 160542: "Outpatient", 161629: "Ward", 165788: "Blood bank", 160545: "Outreach",
+    165838: "Standalone", 160539: "VCT centre", 165512: "PMTCT",
 }
 REPORT_DAY = dt.date(1999, 6, 30)
 TODAY = dt.date(2001, 1, 1)
@@ -55,7 +58,7 @@ DRIVER_TABLES = ("customer", "orders", "lineitem", "part", "nation", "region", "
 
 
 def read_driver(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet")) for n in names}
+    return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
 
 
 def _cycle(values: list[int], key: Column) -> Column:
@@ -86,7 +89,13 @@ def concept_of(orderkey: Column, partkey: Column) -> Column:
 
 
 def answer_of(partkey: Column, suppkey: Column) -> Column:
-    return F.when(suppkey % 3 == 0, _cycle(ANSWER_CODES, suppkey)).otherwise(partkey).cast("long")
+    return F.when(suppkey % 3 == 0, _cycle(ANSWER_CODES, suppkey + partkey)).otherwise(partkey).cast("long")
+
+
+def visit_of() -> Column:
+    """Visit of an order: one per customer and year, but for the placeholder and the orders of none."""
+    return F.expr(f"CASE WHEN o_orderkey % 50 = 7 THEN NULL WHEN o_orderkey % 10 = 3 THEN {PLACEHOLDER_VISIT}L "
+                  "ELSE o_custkey * 10000 + year(o_orderdate) END")
 
 
 def build_encounter(orders: DataFrame) -> DataFrame:
@@ -94,14 +103,18 @@ def build_encounter(orders: DataFrame) -> DataFrame:
     return orders.select(
         k.alias("encounter_id"),
         F.col("o_custkey").alias("patient_id"),
-        k.alias("visit_id"),
+        visit_of().alias("visit_id"),
         encounter_type_of(k).alias("encounter_type"),
         form_of(k).alias("form_id"),
         (k % 5 + 1).cast("int").alias("provider_id"),
         F.lit(8).cast("int").alias("location_id"),
-        F.expr("timestampadd(HOUR, o_orderkey % 24, o_orderdate)").alias("encounter_datetime"),
+        F.expr("timestampadd(MICROSECOND, o_orderkey * 7919 % 1000000, timestampadd(HOUR, o_orderkey % 24, o_orderdate))")
+        .alias("encounter_datetime"),
         F.col("o_orderdate").alias("date_created"),
         _flag(k % 11 == 0).alias("voided"),
+        # columns that no report declares; corrections and backups carry them along
+        F.concat(F.lit("enc-"), k.cast("string")).alias("uuid"),
+        F.col("o_orderpriority").alias("creator"),
     )
 
 
@@ -114,7 +127,7 @@ def build_obs(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     return j.select(
         obs_id.cast("long").alias("obs_id"),
         F.col("o_custkey").alias("person_id"),
-        F.col("l_orderkey").alias("encounter_id"),
+        F.when(F.col("l_orderkey") % 29 != 5, F.col("l_orderkey")).alias("encounter_id"),
         concept_of(F.col("l_orderkey"), F.col("l_partkey")).alias("concept_id"),
         F.col("l_shipdate").alias("obs_datetime"),
         answer_of(F.col("l_partkey"), F.col("l_suppkey")).alias("value_coded"),
@@ -145,19 +158,22 @@ def build_concept_name(spark: SparkSession, part: DataFrame) -> DataFrame:
 
 
 def build_visit(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    bounds = lineitem.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"))
-    j = orders.select("o_orderkey", "o_custkey").join(bounds, orders.o_orderkey == bounds.l_orderkey)
-    k = F.col("o_orderkey")
+    """One row per visit of any order, from its first to its last shipping day."""
+    o = orders.select("o_orderkey", "o_custkey", visit_of().alias("visit_id")).filter("visit_id IS NOT NULL")
+    j = o.join(lineitem.select("l_orderkey", "l_shipdate"), F.col("o_orderkey") == F.col("l_orderkey"))
+    v = j.groupBy("visit_id").agg(F.min("o_custkey").alias("patient_id"), F.min("l_shipdate").alias("lo"),
+                                  F.max("l_shipdate").alias("hi"))
+    k = F.col("visit_id")
     inverted = k % 17 == 0
-    return j.select(
-        k.alias("visit_id"),
-        F.col("o_custkey").alias("patient_id"),
+    return v.select(
+        "visit_id", F.when(k % 101 != 50, F.col("patient_id")).alias("patient_id"),
         (k % 3 + 1).cast("int").alias("visit_type_id"),
         F.when(inverted, F.col("hi")).otherwise(F.col("lo")).alias("date_started"),
         F.when(k % 13 == 0, F.lit(None)).when(inverted, F.col("lo"))
         .otherwise(F.expr("timestampadd(SECOND, 86399, hi)")).alias("date_stopped"),
         F.lit(8).cast("int").alias("location_id"),
         _flag(k % 19 == 0).alias("voided"),
+        F.concat(F.lit("vis-"), k.cast("string")).alias("uuid"),
     )
 
 
@@ -205,11 +221,13 @@ def build_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
         F.expr(f"timestampadd(DAY, CAST(c_custkey % 365 AS INT), TIMESTAMP_NTZ '{PROGRAM_BASE:%Y-%m-%d %H:%M:%S}')").alias("date_enrolled"),
         F.lit(0).cast("int").alias("voided"))
     ev = d["events"]
-    biometricinfo = ev.filter(F.col("event_type") == "signup").select(F.col("user_id").alias("patient_id"),
-                                                                      F.col("ts").alias("date_created"))
+    biometricinfo = ev.filter(F.col("event_type") == "signup").select(
+        F.col("user_id").alias("patient_id"), F.when(F.col("event_id") % 4 != 0, F.col("ts")).alias("date_created"),
+        F.concat(F.lit("tpl-"), F.col("event_id").cast("string")).alias("template"), F.col("value").alias("quality"))
     biometricverificationinfo = ev.filter(F.col("event_type") == "view").select(
         F.col("user_id").alias("patient_id"), F.col("ts").alias("date_created"),
-        F.get_json_object("props", "$.k").cast("int").alias("recapture_count"))
+        F.get_json_object("props", "$.k").cast("int").alias("recapture_count"),
+        F.concat(F.lit("ver-"), F.col("event_id").cast("string")).alias("template"))
     n, r = d["nation"], d["region"]
     # the facility's settings, derived from the whole nation table (one row of aggregates)
     site = n.groupBy().agg(F.min("n_regionkey").alias("rk"), F.count(F.lit(1)).alias("cnt"),
@@ -233,81 +251,3 @@ def build_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
         biometricinfo=biometricinfo, biometricverificationinfo=biometricverificationinfo,
         global_property=global_property, location=location, address_hierarchy_entry=address_hierarchy_entry,
     )
-
-
-_PREPARED: dict[tuple, str] = {}
-_READ: dict[tuple, tuple[SparkSession, ClinicalTables]] = {}
-_PREPARE_LOCK = threading.Lock()
-
-
-def _complete(root: str) -> bool:
-    from carelens.sources.schemas import TABLE_NAMES
-    return all(os.path.exists(os.path.join(root, n, "_SUCCESS")) for n in TABLE_NAMES)
-
-
-def _fingerprint(sf_dir: str) -> tuple:
-    """Identity of a driver directory: its path plus file sizes and times when it is local."""
-    stats = []
-    for n in DRIVER_TABLES:
-        try:
-            st = os.stat(os.path.join(sf_dir, f"{n}.parquet"))
-            stats.append((n, st.st_size, int(st.st_mtime)))
-        except OSError:
-            stats.append((n, None, None))
-    return (sf_dir.rstrip("/"), tuple(stats))
-
-
-def prepared_tables(spark: SparkSession, sf_dir: str, files_per_table: int | None = None) -> ClinicalTables:
-    """The adapted clinical tables, written once per session as Parquet and read back.
-
-    The folder is the cluster's shared ``spark.checkpoint.dir`` (a scratch folder only when
-    the session has none, as in tests). Reading stored tables is what a deployment does;
-    it also gives every later scan as many splits as there are files.
-    """
-    from carelens.session import ensure_checkpoint_dir
-
-    root_dir = ensure_checkpoint_dir(spark)
-    if root_dir.startswith("file:"):
-        root_dir = "/" + root_dir[len("file:"):].lstrip("/")
-    key = _fingerprint(sf_dir)
-    with _PREPARE_LOCK:
-        root = _prepare(spark, sf_dir, root_dir, key, files_per_table)
-        # the entry keeps its session alive, so a new session can never reuse its id
-        entry = _READ.get((root, id(spark)))
-        if entry is None or entry[0] is not spark:
-            entry = _READ[(root, id(spark))] = (spark, ClinicalTables.read_parquet(spark, root))
-        return entry[1]
-
-
-def _prepare(spark: SparkSession, sf_dir: str, root_dir: str, key: tuple, files_per_table: int | None) -> str:
-    from carelens.sources.schemas import SCHEMAS
-
-    root = _PREPARED.get(key)
-    if root is not None and "://" not in root and not _complete(root):
-        root = None  # the folder went away (e.g. a cleaned scratch disk): prepare again
-    if root is None:
-        import hashlib
-        # the mapping's own code is part of the key: a changed adapter never reads stale tables
-        with open(__file__, "rb") as fh:
-            code = hashlib.sha1(fh.read()).hexdigest()
-        digest = hashlib.sha1((repr(key) + code).encode()).hexdigest()[:16]
-        marker = os.path.join(root_dir, f"carelens-clinical-{digest}.ready")
-        local = "://" not in root_dir
-        if local and os.path.exists(marker):
-            with open(marker) as fh:
-                root = fh.read().strip()
-            if not _complete(root):
-                root = None
-        if root is None:
-            # a fresh folder per writer; the marker names the finished one
-            root = os.path.join(root_dir, f"carelens-clinical-{digest}-{os.getpid()}-{id(spark)}")
-            from carelens.session import parallelism
-            n = files_per_table or parallelism(spark)
-            for name, df in build_tables(spark, sf_dir).as_dict().items():
-                out = df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
-                out.repartition(n).write.mode("overwrite").parquet(os.path.join(root, name))
-            if local:
-                with open(marker, "w") as fh:
-                    fh.write(root)
-        _PREPARED[key] = root
-    return root

@@ -11,8 +11,6 @@ patient and time, which keeps row groups selective for per-patient reads.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 
 from carelens.sources.tables import ClinicalTables
@@ -21,21 +19,21 @@ PARTITIONED = {"obs": ("concept_id", "person_id", "obs_datetime"),
                "encounter": ("encounter_type", "patient_id", "encounter_datetime")}
 
 
-def _write_partitioned(df: DataFrame, path: str, part: str, order: tuple[str, ...], files: int) -> None:
-    (df.repartitionByRange(files, part, order[0])
-     .sortWithinPartitions(part, *order)
-     .write.mode("overwrite").partitionBy(part).parquet(path))
+ROWS_PER_FILE = 2_000_000
+
+
+def _files(df: DataFrame, rows_per_file: int) -> int:
+    """Files for a table, from its rows (for stored Parquet the count comes from the footers)."""
+    return max(1, -(-df.count() // rows_per_file))
 
 
-def write_clinical(tables: ClinicalTables, root: str, files: int | None = None) -> None:
+def write_clinical(tables: ClinicalTables, root: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Write every table under ``root/<name>``; obs and encounter in the pruning layout."""
-    spark = tables.obs.sparkSession
-    from carelens.session import parallelism
-    n = files or parallelism(spark)
     for name, df in tables.as_dict().items():
-        path = os.path.join(root, name)
+        path, files = f"{root.rstrip('/')}/{name}", _files(df, rows_per_file)
         if name in PARTITIONED:
             part, *order = PARTITIONED[name]
-            _write_partitioned(df, path, part, tuple(order), n)
+            (df.repartitionByRange(files, part, order[0]).sortWithinPartitions(part, *order)
+             .write.mode("overwrite").partitionBy(part).parquet(path))
         else:
-            df.repartition(n).write.mode("overwrite").parquet(path)
+            df.repartition(files).write.mode("overwrite").parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 
 from carelens.plans.line_list import COLUMNS
@@ -25,11 +23,12 @@ def save_line_list(df: DataFrame, path: str) -> None:
     save_table(df, path)
 
 
-def append_backup(before: DataFrame, root: str, table: str) -> str:
-    """Add a before image to ``root/<table>``, partitioned by its ``backup_run`` id, so every
-    correction run keeps its own restorable slice. Re-running a run replaces only that run's
-    slice (dynamic partition overwrite), so a retried job never duplicates its backup."""
-    path = os.path.join(root, table)
-    (before.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("backup_run").parquet(path))
+def append_backup(before: DataFrame, root: str, table: str, run_id: str) -> str:
+    """Write the before image of one run to ``root/<table>/backup_run=<run_id>``.
+
+    A run's slice is written once: a run id that has one already is an error, so a second run can
+    never replace the rows from before the first one by those after it.
+    """
+    path = f"{root.rstrip('/')}/{table}"
+    before.drop("backup_run").write.mode("error").parquet(f"{path}/backup_run={run_id}")
     return path

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,22 +47,23 @@ class ClinicalTables:
         """
         frames = {}
         for name in TABLE_NAMES:
-            frames[name] = conform(spark.read.parquet(os.path.join(root, name)), name)
+            frames[name] = conform(spark.read.parquet(f"{root.rstrip('/')}/{name}"), name)
         return cls(**frames)
 
     def write_parquet(self, root: str, mode: str = "overwrite") -> None:
         for name, df in self.as_dict().items():
-            df.write.mode(mode).parquet(os.path.join(root, name))
+            df.write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with exactly the declared columns of table ``name``, in order and type."""
+    """``df`` with the declared columns of table ``name`` in order and type, then all other
+    columns as they are (whole rows reach backups and corrections; reports read what they need)."""
     have = {c.lower(): c for c in df.columns}
     exprs = []
     for f in SCHEMAS[name].fields:
-        src = have.get(f.name.lower())
+        src = have.pop(f.name.lower(), None)
         exprs.append(f"CAST({'`' + src + '`' if src else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`")
-    return df.selectExpr(*exprs)
+    return df.selectExpr(*exprs, *[f"`{c}`" for c in df.columns if have.get(c.lower()) == c])
 
 
 def empty_frame(spark: SparkSession, name: str) -> DataFrame:

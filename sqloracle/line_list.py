@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from carelens.functions.dates import minus_months_py, quarter_end_py
-from carelens.plans import specs as S
+from sqloracle import codes as S
 from sqloracle.adapters import ALL, with_tables
 
 
@@ -70,10 +69,11 @@ def lookup(value: str, concepts, enc_type=None, form=None, cutoff_col=None, cuto
 
 def line_list_sql(end: dt.date, today: dt.date, partner: str | None = None, version_tag: str = "_v1.2") -> str:
     end_ts = dt.datetime.combine(end, dt.time(23, 59, 59, 999999))
-    pq_day = minus_months_py(end, 3)
-    pq_end = quarter_end_py(pq_day)
-    pq_day_ts = dt.datetime.combine(pq_day, dt.time())
-    pq_end_ts = dt.datetime.combine(pq_end, dt.time())
+    if f"{end}" != S.CUTOFFS["end"][:10]:
+        raise ValueError("the oracle's cutoffs are written out for one report day")
+    pq_day_ts = dt.datetime.fromisoformat(S.CUTOFFS["prev_quarter_day"])
+    pq_end_ts = dt.datetime.fromisoformat(S.CUTOFFS["prev_quarter_end"])
+    pq_end = pq_end_ts.date()
     E = ts(end_ts)
     latest = ", ".join(map(str, S.LATEST_SET))
     first = ", ".join(map(str, (S.REGIMEN_LINE, *S.REGIMEN_CONCEPTS)))
@@ -211,6 +211,7 @@ w AS (SELECT gl.*, lsa.*, fsa.*, vta.*, oza.*,
             AND pa.voided = 0) AS phone,
         (SELECT min(date_enrolled) FROM patient_program pp WHERE pp.patient_id = gl.patient_id AND pp.program_id = 5
             AND pp.voided = 0) AS otz_enrolled_at,
+        EXISTS (SELECT 1 FROM biometricinfo b WHERE b.patient_id = gl.patient_id) AS captured,
         (SELECT min(date_created) FROM biometricinfo b WHERE b.patient_id = gl.patient_id) AS capture_at,
         (SELECT max(date_created) FROM biometricverificationinfo b WHERE b.patient_id = gl.patient_id) AS recapture_at,
         (SELECT recapture_count FROM biometricverificationinfo b WHERE b.patient_id = gl.patient_id
@@ -286,7 +287,7 @@ SELECT
   CAST(w.otz_enrolled_at AS DATE) AS Date_Enrolled_Into_OTZ, CAST(NULL AS DATE) AS Date_Enrolled_Into_OTZ_Plus,
   {', '.join(f'w.z{c}_name AS {n}' for n, c in S.OTZ_COLUMNS)},
   CAST(w.z166275_vdt AS DATE) AS OTZ_Outcome_Date,
-  CASE WHEN w.capture_at IS NOT NULL THEN 'Yes' ELSE 'No' END AS PBS_Capturee,
+  CASE WHEN w.captured THEN 'Yes' ELSE 'No' END AS PBS_Capturee,
   CAST(w.capture_at AS DATE) AS PBS_Capture_Date,
   '{end:%Y-%m-%d}{version_tag}' AS Date_Generated,
   site.Datim_Code || '_' || w.PEPID AS Unique_Id,

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from carelens.plans import specs as S
 from carelens.sources.driver import REPORT_DAY, TODAY
+from sqloracle import codes as S
 from sqloracle.adapters import with_tables
 from sqloracle.line_list import line_list_sql, ts
 
@@ -18,12 +18,16 @@ def _w(*names: str) -> str:
 
 
 def date_format_edges() -> str:
-    f = {"DateConfirmedHIV+": "%d/%m/%Y", "ARTStartDate": "%d/%m/%Y", "DOB": "%d/%m/%Y",
-         "LastDateOfSampleCollection": "%d-%b-%Y", "Next_Ap_by_careCard": "%d-%b-%Y",
-         "DateofCurrent_TBStatus": "%d-%b-%Y", "IIT_Date": "%Y-%m-%d", "CurrentCD4Date": "%Y-%m-%d",
-         "PBS_Recapture_Date": "%Y-%m-%d", "EstimatedNextAppointmentPharmacy": "%Y-%m-%d",
-         "Pharmacy_LastPickupdate": "%d/%m/%Y", "First_TPT_Pickupdate": "%d-%b-%Y"}
-    cols = ", ".join(f"strftime(\"{c}\", '{fmt}') AS \"{c}\"" for c, fmt in f.items())
+    formats = {
+        "%d/%m/%Y": ["DateConfirmedHIV+", "ARTStartDate", "Pharmacy_LastPickupdate", "Pharmacy_LastPickupdate_PreviousQuarter",
+                     "DateofCurrentViralLoad", "DateResultReceivedFacility", "Outcomes_Date", "DOB", "Date_Transfered_In",
+                     "DateofFirstTLD_Pickup", "IPT_Screening_Date", "Date_Enrolled_Into_OTZ", "OTZ_Outcome_Date", "PBS_Capture_Date"],
+        "%d-%b-%Y": ["LastDateOfSampleCollection", "Next_Ap_by_careCard", "First_TPT_Pickupdate", "Last_TPT_Pickupdate",
+                     "Date_of_TPT_Outcome", "DateofCurrent_TBStatus", "TB_Treatment_Start_Date", "TB_Treatment_Stop_Date",
+                     "Date_Enrolled_Into_OTZ_Plus"],
+        "%Y-%m-%d": ["IIT_Date", "CurrentCD4Date", "EstimatedNextAppointmentPharmacy", "PBS_Recapture_Date"],
+    }
+    cols = ", ".join(f"strftime(\"{c}\", '{fmt}') AS \"{c}\"" for fmt, names in formats.items() for c in names)
     return f"SELECT patient_id, PEPID, {cols} FROM ({line_list_sql(REPORT_DAY, TODAY)}) ll"
 
 
@@ -71,7 +75,7 @@ FROM obs WHERE voided = 0 AND obs_datetime <= {END} GROUP BY person_id, concept_
 def obs_value_lookup() -> str:
     return f"""{_w('encounter', 'obs')},
 ids AS (SELECT person_id, concept_id, max(obs_id) AS obs_id FROM obs o
-        WHERE voided = 0 AND obs_datetime <= {END} AND concept_id IN (159599, 160554, 160534, 165469)
+        WHERE voided = 0 AND obs_datetime <= {END}
           AND obs_datetime = (SELECT max(obs_datetime) FROM obs o2 WHERE o2.person_id = o.person_id
                               AND o2.concept_id = o.concept_id AND o2.voided = 0 AND o2.obs_datetime <= {END})
         GROUP BY person_id, concept_id)
@@ -90,36 +94,20 @@ FROM obs o WHERE o.voided = 0"""
 
 
 def latest_value_spec() -> str:
-    """Every spec of the line list as its own windowed query, unioned."""
-    plan = S.line_list_plan()
-    end_ts = dt.datetime.combine(REPORT_DAY, dt.time(23, 59, 59, 999999))
-    from carelens.functions.dates import minus_months_py, quarter_end_py
-    pq_day = minus_months_py(REPORT_DAY, 3)
-    cut = {"end": end_ts, "prev_quarter_day": dt.datetime.combine(pq_day, dt.time()),
-           "prev_quarter_end": dt.datetime.combine(quarter_end_py(pq_day), dt.time())}
-    parts = []
-    for s in plan.specs:
-        cond = [f"concept_id IN ({', '.join(map(str, s.concepts))})"]
-        if s.encounter_type is not None:
-            cond.append(f"encounter_type = {s.encounter_type}")
-        if s.form_id is not None:
-            cond.append(f"form_id = {s.form_id}")
-        if s.cutoff_on:
-            cond.append(f"{s.cutoff_on} <= {ts(cut[s.cutoff])}")
-        if s.coded_in:
-            cond.append(f"value_coded IN ({', '.join(map(str, s.coded_in))})")
-        if s.named_only:
-            cond.append("name IS NOT NULL")
-        d = "DESC" if s.descending else "ASC"
-        if s.order_on == "obs_id":
-            order = "obs_id ASC"
-        elif s.keep_ties:
-            order = f"{s.order_on} {d} NULLS LAST"
-        else:
-            order = f"{s.order_on} {d} NULLS LAST, obs_id {d}"
-        parts.append(f"""SELECT person_id, '{s.key}' AS spec, obs_id, obs_datetime, value_coded, value_numeric,
-  value_datetime, encounter_datetime, name FROM ox WHERE {' AND '.join(cond)}
-  QUALIFY rank() OVER (PARTITION BY person_id ORDER BY {order}) = 1""")
+    """Every looked-up value as its own windowed query, unioned; the latest and first sets keep ties."""
+    end = f"obs_datetime <= TIMESTAMP '{S.CUTOFFS['end']}'"
+    asked = [(f"L{c}", f"concept_id = {c} AND {end}", "obs_datetime DESC NULLS LAST") for c in S.LATEST_SET]
+    asked += [(f"F{c}", f"concept_id = {c} AND {end}", "obs_datetime ASC NULLS LAST") for c in (S.REGIMEN_LINE, *S.REGIMEN_CONCEPTS)]
+    asked += [(f"V{c}", f"concept_id = {c} AND {end}", "obs_datetime DESC NULLS LAST, obs_id DESC") for c in S.VITALS]
+    asked += [(f"O{c}", f"concept_id = {c} AND {end}", "obs_datetime ASC NULLS LAST, obs_id ASC") for c in S.OTZ]
+    for key, concepts, condition, cut_on, cut, order, way in S.LOOKUPS:
+        where = f"concept_id IN ({', '.join(map(str, concepts))}) AND {condition}"
+        if cut_on:
+            where += f" AND {cut_on} <= TIMESTAMP '{S.CUTOFFS[cut]}'"
+        asked.append((key, where, "obs_id ASC" if order == "obs_id" else f"{order} {way} NULLS LAST, obs_id {way}"))
+    parts = [f"""SELECT person_id, '{key}' AS spec, obs_id, obs_datetime, value_coded, value_numeric,
+  value_datetime, encounter_datetime, name FROM ox WHERE {where}
+  QUALIFY rank() OVER (PARTITION BY person_id ORDER BY {order}) = 1""" for key, where, order in asked]
     union = "\nUNION ALL\n".join(f"({p})" for p in parts)
     return f"""{_w('encounter', 'obs', 'concept_name')},
 en AS (SELECT concept_id, min(name) AS name FROM concept_name
@@ -144,7 +132,7 @@ def correct_encounters() -> str:
 SELECT e.encounter_id, e.patient_id, e.visit_id, e.encounter_type, e.form_id, e.provider_id, e.location_id,
   coalesce((SELECT min(c.new_datetime) FROM encounter_corrections c WHERE c.visit_id = e.visit_id
             AND c.bad_datetime = e.encounter_datetime), e.encounter_datetime) AS encounter_datetime,
-  e.date_created, e.voided,
+  e.date_created, e.voided, e.uuid, e.creator,
   EXISTS (SELECT 1 FROM encounter_corrections c WHERE c.visit_id = e.visit_id AND c.bad_datetime = e.encounter_datetime)
     AS corrected
 FROM encounter e"""
@@ -157,7 +145,7 @@ req AS (SELECT visit_id, arg_min(new_start, (new_start, new_stop)) AS new_start,
 SELECT v.visit_id, v.patient_id, v.visit_type_id,
   CASE WHEN r.visit_id IS NOT NULL THEN r.new_start ELSE v.date_started END AS date_started,
   CASE WHEN r.visit_id IS NOT NULL THEN r.new_stop ELSE v.date_stopped END AS date_stopped,
-  v.location_id, v.voided, r.visit_id IS NOT NULL AS corrected
+  v.location_id, v.voided, v.uuid, r.visit_id IS NOT NULL AS corrected
 FROM visit v LEFT JOIN req r ON r.visit_id = v.visit_id"""
 
 
@@ -181,7 +169,7 @@ vis AS (
   FROM visit v WHERE v.visit_id IN (SELECT visit_id FROM targets))
 SELECT t.visit_id, CAST(coalesce(p.n, 0) AS BIGINT) AS n_encounters,
   CAST(coalesce(p.changed, 0) AS BIGINT) AS n_encounters_changed, coalesce(vis.changed, false) AS visit_changed,
-  CASE WHEN coalesce(p.changed, 0) > 0 THEN 'applied' ELSE 'no_match' END AS status
+  CASE WHEN coalesce(p.changed, 0) > 0 OR coalesce(vis.changed, false) THEN 'applied' ELSE 'no_change' END AS status
 FROM targets t LEFT JOIN per_visit p ON p.visit_id = t.visit_id LEFT JOIN vis ON vis.visit_id = t.visit_id"""
 
 
@@ -189,24 +177,43 @@ def _dupes() -> str:
     return "SELECT patient_id FROM biometricinfo GROUP BY patient_id HAVING count(*) > 1"
 
 
-def biometric_purge() -> str:
-    same_day = ("SELECT DISTINCT patient_id FROM biometricinfo GROUP BY patient_id, CAST(date_created AS DATE) "
-                "HAVING count(*) > 1")
+SAME_DAY = ("SELECT DISTINCT patient_id FROM biometricinfo WHERE patient_id IN (SELECT patient_id FROM biometricinfo "
+            "GROUP BY patient_id, CAST(date_created AS DATE) HAVING count(*) > 1)")
+
+
+def _biometric_rows(where: str) -> str:
     return f"""{_w('biometricinfo', 'biometricverificationinfo')}
-SELECT 'biometricinfo' AS source, patient_id, date_created, CAST(NULL AS INTEGER) AS recapture_count
-FROM biometricinfo WHERE patient_id NOT IN ({same_day})
+SELECT 'biometricinfo' AS source, patient_id, date_created, template, quality, CAST(NULL AS INTEGER) AS recapture_count
+FROM biometricinfo WHERE patient_id {where}
 UNION ALL
-SELECT 'biometricverificationinfo', patient_id, date_created, recapture_count
-FROM biometricverificationinfo WHERE patient_id NOT IN ({same_day})"""
+SELECT 'biometricverificationinfo', patient_id, date_created, template, NULL, recapture_count
+FROM biometricverificationinfo WHERE patient_id {where}"""
+
+
+def biometric_purge() -> str:
+    return _biometric_rows(f"NOT IN ({SAME_DAY})")
 
 
 def biometric_records() -> str:
+    return _biometric_rows(f"IN ({_dupes()})")
+
+
+def purge_verify() -> str:
     return f"""{_w('biometricinfo', 'biometricverificationinfo')}
-SELECT 'biometricinfo' AS source, patient_id, date_created, CAST(NULL AS INTEGER) AS recapture_count
-FROM biometricinfo WHERE patient_id IN ({_dupes()})
-UNION ALL
-SELECT 'biometricverificationinfo', patient_id, date_created, recapture_count
-FROM biometricverificationinfo WHERE patient_id IN ({_dupes()})"""
+SELECT d.patient_id, (SELECT count(*) FROM biometricinfo b WHERE b.patient_id = d.patient_id) AS n_enrolled,
+  CAST(0 AS BIGINT) AS n_enrolled_left,
+  (SELECT count(*) FROM biometricverificationinfo b WHERE b.patient_id = d.patient_id) AS n_verified,
+  CAST(0 AS BIGINT) AS n_verified_left, 'purged' AS status
+FROM ({SAME_DAY}) d"""
+
+
+def reenrolment_check() -> str:
+    return f"""{_w('biometricinfo')},
+p AS (SELECT patient_id, min(date_created) AS purged_at FROM biometricinfo GROUP BY patient_id HAVING count(*) > 1)
+SELECT p.patient_id, p.purged_at, count(b.patient_id) AS n_new, min(b.date_created) AS first_new_at,
+  CASE WHEN count(b.patient_id) > 0 THEN 're_enrolled' ELSE 'missing' END AS status
+FROM p LEFT JOIN biometricinfo b ON b.patient_id = p.patient_id AND b.date_created > p.purged_at
+GROUP BY p.patient_id, p.purged_at"""
 
 
 def duplicate_biometrics() -> str:

@@ -1,6 +1,8 @@
 """Corrections (with backup and verification), quality checks and cohort investigation."""
 
-
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from carelens.operators import corrections as C
 from carelens.operators import investigate as I
@@ -59,14 +61,33 @@ def test_corrections_idempotent_and_backup_restores(spark):
     assert sorted(restored.collect()) == sorted(t.encounter.collect())
 
 
+def report(spark, t, enc, vis):
+    after = C.correct_encounters(t.encounter, enc), C.correct_visits(t.visit, vis)
+    out = C.correction_report(t.encounter, after[0], t.visit, after[1], C.requested_visits(enc, vis))
+    return {r["visit_id"]: (r["n_encounters"], r["n_encounters_changed"], r["visit_changed"], r["status"]) for r in out.collect()}
+
+
 def test_correction_report(spark):
     t = tables(spark)
     enc, vis = requests(spark)
-    rep = C.correction_report(t.encounter, t.visit, enc, vis).collect()
-    assert len(rep) == 1
-    r = rep[0]
-    assert (r["visit_id"], r["n_encounters"], r["n_encounters_changed"], r["status"]) == (10, 2, 1, "applied")
-    assert r["visit_changed"] is False  # requested bounds equal the stored ones
+    # requested bounds equal the stored ones
+    assert report(spark, t, enc, vis) == {10: (2, 1, False, "applied")}
+
+
+def test_report_sees_visit_only_and_empty_corrections(spark):
+    t = tables(spark)
+    enc, vis = requests(spark)
+    only = spark.createDataFrame([(11, T(2016, 1, 1), T(2016, 1, 1, 23, 59, 59)), (10, T(2015, 6, 24), T(2015, 6, 24, 23, 59, 59))], vis.schema)
+    assert report(spark, t, enc.filter("false"), only) == {10: (2, 0, False, "no_change"), 11: (1, 0, True, "applied")}
+
+
+def test_report_sees_lost_and_added_rows(spark):
+    t = tables(spark)
+    ids = spark.createDataFrame([(10,)], "visit_id long")
+    added = t.encounter.unionByName(t.encounter.filter("encounter_id = 101").withColumn("encounter_id", F.lit(999).cast("long")))
+    for after in (t.encounter.filter("encounter_id <> 101"), added):
+        r = C.correction_report(t.encounter, after, t.visit, t.visit, ids).first()
+        assert r["status"] == "damaged"
 
 
 def test_e19_purge(spark):
@@ -76,6 +97,18 @@ def test_e19_purge(spark):
     assert [r["patient_id"] for r in ver.collect()] == [2]
     left = I.biometric_records(cap, ver, spark.createDataFrame([(1,)], "patient_id long"))
     assert left.count() == 0  # the verification step expects 0 rows
+    ids = spark.createDataFrame([(1,)], "patient_id long")
+    check = C.purge_report(t.biometricinfo, t.biometricverificationinfo, cap, ver, ids).collect()
+    assert [tuple(r) for r in check] == [(1, 2, 0, 1, 0, "purged")]
+    left = C.purge_report(t.biometricinfo, t.biometricverificationinfo, cap, t.biometricverificationinfo, ids).first()
+    assert left["status"] == "rows_left" and left["n_verified_left"] == 1
+
+
+def test_reenrolment(spark):
+    t = tables(spark)
+    purged = spark.createDataFrame([(1, T(2023, 1, 1, 2)), (2, T(2023, 2, 1)), (3, T(2023, 2, 1))], "patient_id long, purged_at timestamp_ntz")
+    got = {r["patient_id"]: (r["n_new"], r["status"]) for r in C.reenrolment_check(purged, t.biometricinfo).collect()}
+    assert got == {1: (1, "re_enrolled"), 2: (0, "missing"), 3: (0, "missing")}
 
 
 def test_quality_checks(spark):
@@ -130,20 +163,34 @@ def test_requests_from_findings_reproduce_the_source_fix(spark):
     assert fixed[100] == T(2015, 6, 24) and fixed[101] == T(2015, 6, 24, 10)
 
 
-def test_rerunning_a_correction_run_keeps_one_backup(spark, tmp_path):
+def test_a_run_id_is_used_once(spark, tmp_path):
     t = tables(spark)
     enc, vis = requests(spark)
-    C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path), "run1")
-    C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path), "run1")
+    paths = C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path), "run1")
+    fixed = spark.read.parquet(paths["encounter"])
+    with pytest.raises(AnalysisException):
+        C.apply_corrections(fixed, t.visit, enc, vis, str(tmp_path), "run1")
     C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path), "run2")
     backup = spark.read.parquet(str(tmp_path / "backups" / "encounter"))
-    assert backup.filter("backup_run = 'run1'").count() == 2
-    assert backup.filter("backup_run = 'run2'").count() == 2
+    assert backup.filter("backup_run = 'run1' AND encounter_datetime = timestamp_ntz'1019-10-30 00:00:00'").count() == 1
+    assert backup.groupBy("backup_run").count().filter("count = 2").count() == 2
 
 
-def test_apply_corrections_verifies_the_stored_snapshot(spark, tmp_path):
+def test_whole_rows_are_kept(spark, tmp_path):
+    """Columns that no report declares reach snapshots and backups."""
     t = tables(spark)
     enc, vis = requests(spark)
-    paths = C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path), "r9")
-    got = {r["encounter_id"]: r["status"] for r in spark.read.parquet(paths["verification"]).collect()}
-    assert got == {100: "changed", 101: "unchanged"}
+    more = t.encounter.withColumn("uuid", F.concat(F.lit("u"), F.col("encounter_id").cast("string"))).withColumn("`odd name", F.lit(1))
+    more = more.withColumnRenamed("`odd name", "odd name")
+    v = t.visit.withColumn("creator", F.lit("c"))
+    paths = C.apply_corrections(more, v, enc, vis, str(tmp_path), "r")
+    assert spark.read.parquet(paths["encounter"]).schema == more.schema
+    assert spark.read.parquet(paths["visit"]).columns == v.columns
+    assert set(more.columns) < set(spark.read.parquet(paths["backups"] + "/encounter").columns)
+    cap = t.biometricinfo.withColumn("template", F.lit("x"))
+    ids = spark.createDataFrame([(1,)], "patient_id long")
+    out = C.apply_purge(cap, t.biometricverificationinfo, ids, str(tmp_path), "p")
+    assert spark.read.parquet(out["biometricinfo"]).columns == cap.columns
+    assert spark.read.parquet(out["backups"] + "/biometricinfo").filter("template = 'x'").count() == 2
+    assert spark.read.parquet(out["report"]).first()["status"] == "purged"
+    assert "template" in I.biometric_records(cap, t.biometricverificationinfo).columns

@@ -43,19 +43,71 @@ def test_obs_scan_has_pushed_concept_filter(spark, tmp_path):
         assert "value_text" not in schema or "165966" in head
 
 
-def test_bounded_broadcast_falls_back_to_a_shuffle_join(spark):
-    from carelens.operators.dictionary import bounded_broadcast
-    small = spark.range(10).withColumnRenamed("id", "k")
-    assert "ResolvedHint" in small.hint("broadcast")._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in bounded_broadcast(small, 100)._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in bounded_broadcast(small, 5)._jdf.queryExecution().analyzed().toString().lower()
+def test_no_join_is_forced_to_broadcast(spark):
+    from carelens.operators.dictionary import coded_value_names
+    t = build().tables(spark)
+    assert "hint" not in coded_value_names(t.obs, t.concept_name)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_null_heavy_encounter_key_is_split(spark):
+    """60 % of the observations have no encounter: adaptive execution splits that partition of the join."""
+    from pyspark.sql import functions as F
+
+    from carelens.operators.picks import enrich_obs
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.shuffle.partitions": "8",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings if k != "spark.sql.adaptive.autoBroadcastJoinThreshold"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        ids = spark.range(0, 60_000, 1, 6)
+        obs = ids.select(F.col("id").alias("obs_id"), (F.col("id") % 500).alias("person_id"),
+                         F.when(F.col("id") % 10 >= 6, F.col("id") % 4000).alias("encounter_id"),
+                         F.lit(856).cast("long").alias("concept_id"), F.expr("TIMESTAMP_NTZ '2020-01-01 00:00:00'").alias("obs_datetime"),
+                         (F.col("id") % 50).alias("value_coded"), F.col("id").cast("double").alias("value_numeric"),
+                         F.col("id").cast("string").alias("value_text"), F.expr("TIMESTAMP_NTZ '2020-01-01 00:00:00'").alias("value_datetime"),
+                         F.lit(0).alias("voided"))
+        enc = spark.range(4000).select(F.col("id").alias("encounter_id"), F.lit(11).alias("encounter_type"), F.lit(14).alias("form_id"),
+                                       F.expr("TIMESTAMP_NTZ '2020-01-01 00:00:00'").alias("encounter_datetime"), F.lit(0).alias("voided"))
+        facts = obs.groupBy("encounter_id").agg(F.max("value_numeric").alias("encounter_refill")).filter("encounter_id IS NOT NULL")
+        names = spark.range(50).select(F.col("id").alias("concept_id"), F.lit("n").alias("name"), F.lit("en").alias("locale"),
+                                       F.lit(1).alias("locale_preferred"))
+        out = enrich_obs(obs, enc, names, [856], [11], [14], facts).groupBy("person_id").agg(F.max("encounter_refill"), F.count("name"))
+        assert out.count() == 500
+        out.collect()
+        assert "SortMergeJoin(skew=true)" in plan_text(out)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_a_section_joins_only_what_it_reads(spark, tmp_path):
+    from carelens.sources.tables import ClinicalTables
+    build().tables(spark).write_parquet(str(tmp_path))
+    t = ClinicalTables.read_parquet(spark, str(tmp_path))
+    plan = plan_text(line_list(spark, t, LineListParams(end=D(2024, 12, 25), today=D(2025, 1, 1)), section="address_fallback"))
+    read = sorted(set(re.findall(r"FileScan parquet .*?/(\w+)\]", plan)))
+    assert read == ["encounter", "obs", "patient", "patient_identifier", "person", "person_address"]
+
+
+def test_unknown_questions_are_an_error():
+    import pytest
+
+    from carelens.plans import specs as S
+    with pytest.raises(KeyError):
+        S.line_list_plan(keep=frozenset({"L"}))
+    with pytest.raises(KeyError):
+        S.line_list_plan(keep=frozenset({"weight"})).value("height", "value_numeric")
 
 
 def test_partitioned_layout_prunes_obs_by_concept(spark, tmp_path):
     from carelens.sources.layout import write_clinical
     from carelens.sources.tables import ClinicalTables
     t = build().tables(spark)
-    write_clinical(t, str(tmp_path), files=2)
+    write_clinical(t, str(tmp_path), rows_per_file=10)
     stored = ClinicalTables.read_parquet(spark, str(tmp_path))
     p = LineListParams(end=D(2024, 12, 25), today=D(2025, 1, 1))
     df = line_list(spark, stored, p)
@@ -84,21 +136,39 @@ def test_reader_conforms_stored_types(spark, tmp_path):
     assert row["patient_id"] == 1 and row["date_enrolled"] is None and row["voided"] is None
 
 
-def test_dictionary_join_same_with_and_without_broadcast(spark):
-    import os
+def test_reader_keeps_undeclared_columns(spark, tmp_path):
+    from carelens.sources.tables import ClinicalTables
+    t = build().tables(spark)
+    t.write_parquet(str(tmp_path))
+    spark.createDataFrame([(b"x", 1, "u")], "template binary, patient_id long, uuid string").write.mode("overwrite").parquet(
+        str(tmp_path / "biometricinfo"))
+    assert ClinicalTables.read_parquet(spark, str(tmp_path)).biometricinfo.columns == ["patient_id", "date_created", "template", "uuid"]
+
 
-    from pyspark.sql import functions as F
+def test_replaced_tables_are_read_anew(spark, tmp_path):
+    """A query sees new contents of a table under the same path, also by a file: path."""
+    import shutil
 
-    from carelens.operators.dictionary import coded_value_names
-    from carelens.sources.driver import prepared_tables
+    import __spark_entry__ as E
     sf = "/root/testdata/sf0.001"
-    if not os.path.exists(sf):
-        return
-    t = prepared_tables(spark, sf)
-    obs = t.obs.filter(F.col("voided") == 0).select("obs_id", "value_coded")
-    small = coded_value_names(obs, t.concept_name)
-    forced = coded_value_names(obs, t.concept_name, max_broadcast_rows=0)   # over the limit: shuffle join
-    # over the limit no broadcast hint is added; Spark is free to plan a shuffle join
-    assert "broadcast" not in forced._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
-    assert sorted(small.collect()) == sorted(forced.collect())
+    for name in ("customer", "orders", "lineitem", "part", "nation", "region", "events"):
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    query = E.queries()["duplicate_biometrics"]
+    first = query(spark, f"file://{tmp_path}").count()
+    events = spark.read.parquet(f"{sf}/events.parquet").filter("user_id % 5 = 0")
+    (tmp_path / "events.parquet").unlink()
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    second = query(spark, f"file://{tmp_path}").count()
+    assert 0 < second < first
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from carelens.session import ensure_checkpoint_dir
+    conf = SimpleNamespace(get=lambda k, d=None: d, set=lambda k, v: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(cluster)

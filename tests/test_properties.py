@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carelens.plans.line_list import TB_COLUMNS, LineListParams, line_list, population
-from carelens.sources.driver import REPORT_DAY, TODAY, prepared_tables
+from carelens.sources.driver import REPORT_DAY, TODAY, build_tables
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
@@ -30,7 +30,7 @@ def as_set(df):
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return prepared_tables(spark, SF)
+    return build_tables(spark, SF)
 
 
 def test_cohort_independence(spark, tables):
