@@ -211,7 +211,7 @@ def best_per_spec(cands: DataFrame, columns: list[str], derived: dict[str, Colum
                      *[e.alias(n) for n, e in derived.items()])
     best = ", ".join(f"`{c}`" for c in ["_k", "_tb", *cols])
     aggs = [F.expr(f"max(struct({best})) AS _best"), F.expr("max(s_ties) AS _ties")]
-    aggs += [F.expr(f"max(struct(_k, `{c}` AS v)) AS `_t_{c}`") for c in ties]
+    aggs += [F.expr(f"max(CASE WHEN s_ties THEN struct(_k, `{c}` AS v) END) AS `_t_{c}`") for c in ties]
     g = x.groupBy("person_id", "spec_idx").agg(*aggs)
     return g.selectExpr("person_id", "spec_idx", *[
         (f"CASE WHEN _ties THEN `_t_{c}`.v ELSE _best.`{c}` END AS `{c}`" if c in ties

@@ -88,8 +88,10 @@ def test_a_section_joins_only_what_it_reads(spark, tmp_path):
     from carelens.sources.tables import ClinicalTables
     build().tables(spark).write_parquet(str(tmp_path))
     t = ClinicalTables.read_parquet(spark, str(tmp_path))
-    plan = plan_text(line_list(spark, t, LineListParams(end=D(2024, 12, 25), today=D(2025, 1, 1)), section="address_fallback"))
-    read = sorted(set(re.findall(r"FileScan parquet .*?/(\w+)\]", plan)))
+    df = line_list(spark, t, LineListParams(end=D(2024, 12, 25), today=D(2025, 1, 1)), section="address_fallback")
+    text = df._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    read = sorted(set(re.findall(r"Location: \w+ \[.*/(\w+)\]", text)))
     assert read == ["encounter", "obs", "patient", "patient_identifier", "person", "person_address"]
 
 
