@@ -17,6 +17,8 @@ are packed each on its own; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +37,11 @@ PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_token
 SEQUENCES_PER_TASK = 1 << 40
 #: Longer words are not kept in the cache.
 LONG_WORD = 200
+#: Where Python and tokenizers may disagree on what is white space, only ASCII spaces cut words.
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
+#: ASCII marks that are neither letters nor digits, without the apostrophe (it begins contractions).
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class CapacityTree:
@@ -121,34 +128,66 @@ def pack(pieces: list[tuple[int, int]], window: int, fill: float) -> list[tuple[
 class WordIds:
     """Token ids (as little-endian uint32 bytes) of texts, cached by white-space separated word.
 
-    Only for tokenizers that drop white space and never join across it, so that a text's ids are
-    its words' ids in a row. The cache is emptied when it holds ``limit`` words.
+    Only for tokenizers that drop white space, never join across it, fold case, and cut between
+    letters or digits and other characters: then a text's ids are its words' ids in a row, and a
+    word's those of its lower case without its trailing punctuation, then of that punctuation.
+    Words that may hold a special token are encoded as they are. A cache that holds ``limit``
+    words is emptied.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = tuple({t.content[:1] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.limit = limit
-        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # by word as it stands
+        self.parts: dict[str, bytes] = {"": b""}  # by folded word or punctuation
+
+    def _split(self, word: str) -> tuple[str, str]:
+        """A word as two parts that are encoded alone."""
+        if any(c in word for c in self.special):
+            return word, ""
+        if word.isascii():
+            word = word.lower()
+        stem = word.rstrip(PUNCTUATION)
+        # The stem must end in a letter or digit after normalisation and lower-casing too.
+        last = unicodedata.normalize("NFC", stem[-1:]).lower()
+        return (stem, word[len(stem):]) if len(last) == 1 and (last.isalpha() or last.isdigit()) else (word, "")
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode new parts, many in one text; their ids are told apart by where tokens begin."""
+        for at in range(0, len(parts), 1000):
+            some = parts[at:at + 1000]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            begins = np.cumsum(np.fromiter((len(p) + 1 for p in some), np.int64, len(some)))
+            place = np.searchsorted(begins, np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets)), "right")
+            cut = (4 * np.searchsorted(place, np.arange(len(some) + 1))).tolist()
+            ids = np.asarray(e.ids, "<u4").tobytes()
+            self.parts.update(zip(some, [ids[a:b] for a, b in zip(cut, cut[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        cache = self.cache
-        missing = list(set().union(*words).difference(cache)) if words else []
-        if len(cache) + len(missing) > self.limit:
-            cache.clear()
-            missing = list(set().union(*words))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at:at + 20_000]
-            for word, enc in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                cache[word] = np.asarray(enc.ids, "<u4").tobytes()
-        out = [b"".join([cache[w] for w in ws]) for ws in words]
-        for w in missing:
-            if len(w) > LONG_WORD:
-                del cache[w]
+        rows = [ASCII_SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in texts]
+        words, parts = self.words, self.parts
+        missing = set().union(*rows).difference(words)
+        if len(words) + len(missing) > self.limit:
+            words.clear()
+            missing = set().union(*rows)
+        split = {w: self._split(w) for w in missing}
+        new = set().union(*split.values()).difference(parts)
+        if len(parts) + len(new) > self.limit:
+            parts.clear()
+            parts[""] = b""
+            new = set().union(*split.values()).difference(parts)
+        self._learn(list(new))
+        words.update({w: parts[a] + parts[b] if b else parts[a] for w, (a, b) in split.items()})
+        out = [b"".join([words[w] for w in r]) for r in rows]
+        for cache, added in ((words, missing), (parts, new)):
+            for w in added:
+                if len(w) > LONG_WORD:
+                    del cache[w]
         return out
 
 

@@ -84,3 +84,22 @@ def test_best_fit_is_tightest(lengths):
     got = packing.best_fit_decreasing(np.asarray(lengths, np.int64), window)
     assert sorted(i for w in got for i in w) == list(range(len(lengths)))
     assert sorted(window - sum(lengths[i] for i in w) for w in got) == sorted(capacities)
+
+
+TRICKY = st.lists(st.sampled_from(list("abZ'stre  \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u0301\u030aÅéßİς漢字🙂1²٣.,!-_<|>*\x00\u200d") + [
+    "<|endoftext|>", "<|startoftext|>", "'ll", "Ab.,", "x9!!", "\u0958.", "\ufb2e!"]), max_size=60).map("".join)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.one_of(TRICKY, st.text(max_size=30)), min_size=1, max_size=4))
+def test_ids_like_the_library(library, texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    got = packing.word_ids(PATH).encode(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_caches_are_bounded(library):
+    small = packing.WordIds(PATH, limit=8)
+    for text in ("one two three four five six", "Seven, eight. nine ten! eleven 12 13", "x" * 900 + " one"):
+        assert np.frombuffer(small.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(small.words) < 20 and len(small.parts) < 20
