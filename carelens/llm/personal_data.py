@@ -42,6 +42,7 @@ AT = re.compile(r" ?[(\[]at[)\]] ?", re.IGNORECASE)
 SPELLED = re.compile(r"[A-Za-z0-9-]++(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++", re.IGNORECASE)
 NATIONAL = re.compile(r"(?:\([0-9]{3}\) ?|(?<![0-9])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 NOT_DIGIT = re.compile(r"[^0-9]")
+HAS_DIGIT = re.compile(r"[0-9]")
 
 #: Gazetteers and context words (English, German, French, Spanish).
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co me app dev de fr es uk eu us ca ch at it nl be pt mx ar jp cn in br au".split())
@@ -139,9 +140,6 @@ def candidates(text: str) -> dict[str, list[tuple[int, int, bool]]]:
     return out
 
 
-HAS_DIGIT = re.compile(r"[0-9]")
-
-
 def overlaps(start: int, end: int, spans: list[tuple]) -> bool:
     return any(s[0] < end and start < s[1] for s in spans)
 
@@ -150,12 +148,8 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int,
     """The five labelers' votes: 1 personal, -1 not, 0 none."""
     span = text[start:end]
     digits = NOT_DIGIT.sub("", span)
-    if kind == "phone" and not base:
-        strict = 0
-    elif kind == "email" and not base:
-        strict = 0
-    else:
-        strict = 1 if base else -1
+    # A failed checksum speaks against a span; an unusual spelling says nothing.
+    strict = 1 if base else 0 if kind in ("email", "phone") else -1
     if kind == "email":
         tail = re.split(r"[.\])( ]", span)[-1].lower()
         listed = 1 if tail in TOP_LEVEL else -1
@@ -171,7 +165,7 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int,
         listed = (1 if digits.startswith(CALLING) else -1) if base else (1 if digits[0] in "23456789" else -1)
         shape = 1 if re.search(r"[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$", span) else 0
     before, after = text[start - 1:start], text[end:end + 1]
-    if before.isalnum() or after.isalnum() or (kind != "email" and (before in ("_", "/", "=", "#") and before)):
+    if before.isalnum() or after.isalnum() or (kind != "email" and before in ("_", "/", "=", "#")):
         shape = -1
     near = re.findall(r"[a-z-]+", text[max(0, start - 40):start].lower())[-4:]
     context = 1 if HINTS[kind].intersection(near) else -1 if AGAINST.intersection(near) else 0
