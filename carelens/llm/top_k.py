@@ -48,7 +48,8 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
                 m = m / max(1.0, float(np.abs(m).max(initial=0)))
                 sums[dim] = sums.get(dim, 0) + m.T @ m
         rows = [(d, i, r) for d, g in sums.items() for i, r in enumerate(g)]
-        yield pd.DataFrame({"dim": [r[0] for r in rows], "i": [r[1] for r in rows], "row": [r[2] for r in rows]})
+        if rows:
+            yield pd.DataFrame({"dim": [r[0] for r in rows], "i": [r[1] for r in rows], "row": [r[2] for r in rows]})
 
     parts = vectors.select("dim", "x").mapInPandas(gram, "dim int, i int, row array<double>")
     total = parts.select("dim", "i", F.posexplode("row").alias("j", "v")).groupBy("dim", "i", "j").agg(F.sum("v").alias("v"))
