@@ -23,13 +23,14 @@ from carelens.sources.tables import ClinicalTables
 # Encounter type and form of an order, chosen by o_orderkey % 7 and % 5.
 ENCOUNTER_TYPE_CYCLE = [11, 12, 13, 14, 15, 23, 25]
 FORM_CYCLE = [23, 27, 30, 13, 14]
-# Concepts recorded in each encounter type; a line item takes list[l_partkey % len].
+# Concepts recorded in each encounter type; a line item takes list[l_partkey % len]
+# (no list of 13: parts divisible by 13 are voided).
 CONCEPTS_BY_TYPE = {
     11: [856, 165987, 166422, 5497, 167079, 167088, 166697, 167090, 167082, 164980, 159951],
-    12: [5089, 5090, 1342, 5085, 5086, 5356, 1659, 5096, 166256, 166257, 166258, 166259, 166260],
-    13: [165708, 159368, 164506, 164513, 164507, 164514, 165702, 165703, 166148, 165050, 162240, 166276, 166363],
-    14: [166369, 160554, 160540, 165242, 160534, 165839, 165966, 1113, 159431],
-    15: [165470, 165469, 165889, 166349, 166348, 166347, 166255, 166267, 166272, 166275, 166008],
+    12: [5089, 5090, 1342, 5085, 5086, 5356, 1659, 5096, 166256, 166257, 166258, 166259, 166260, 166008],
+    13: [165708, 159368, 164506, 164513, 164507, 164514, 165702, 165703, 166148, 165050, 162240, 166276, 166363, 1113],
+    14: [166369, 160554, 160540, 165242, 160534, 165839, 165966, 159431],
+    15: [165470, 165469, 165889, 166349, 166348, 166347, 166255, 166267, 166272, 166275],
     23: [143264, 140238, 832, 133027, 165967, 166141, 165968, 164852, 166096, 165727, 165975, 165972, 165969, 165986,
          166142, 166143, 166144],
     25: [159599, 1712, 1054, 1542],
@@ -39,7 +40,7 @@ CONCEPTS_BY_TYPE = {
 ANSWER_CODES = [1, 2, 1679, 159492, 160578, 166285, 166276, 166363, 165681, 165692, 160529, 5622, 160034, 160563,
                 165240, 165241, 160546, 5271, 160542, 161629, 165788, 160545, 165838, 160539, 165512]
 # Orders with o_orderkey % 10 = 3 fall into one placeholder visit, those with % 50 = 7 into none.
-PLACEHOLDER_VISIT = 1
+PLACEHOLDER_VISIT = 17  # its bounds are inverted, so all its encounters are findings
 # English preferred names of the answers (165692 deliberately has none).
 ANSWER_NAMES = {
     1: "Yes", 2: "No", 1679: "Yes", 159492: "Transferred out", 160578: "Female sex worker",

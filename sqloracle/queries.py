@@ -79,10 +79,8 @@ ids AS (SELECT person_id, concept_id, max(obs_id) AS obs_id FROM obs o
           AND obs_datetime = (SELECT max(obs_datetime) FROM obs o2 WHERE o2.person_id = o.person_id
                               AND o2.concept_id = o.concept_id AND o2.voided = 0 AND o2.obs_datetime <= {END})
         GROUP BY person_id, concept_id)
-SELECT ids.obs_id, ids.person_id, ids.concept_id,
-       (SELECT CAST(value_datetime AS DATE) FROM obs WHERE obs.obs_id = ids.obs_id) AS value_date,
-       (SELECT CAST(obs_datetime AS DATE) FROM obs WHERE obs.obs_id = ids.obs_id) AS obs_date
-FROM ids"""
+SELECT ids.obs_id, ids.person_id, ids.concept_id, CAST(v.value_datetime AS DATE) AS value_date, CAST(v.obs_datetime AS DATE) AS obs_date
+FROM ids LEFT JOIN obs v ON v.obs_id = ids.obs_id"""
 
 
 def coded_value_names() -> str:
