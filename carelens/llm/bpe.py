@@ -2,7 +2,8 @@
 
 A text is cut into pre-tokens. New pre-tokens of a batch are encoded together: the symbols of
 all of them lie in one flat array; in each round every word finds its pair of lowest rank by
-binary search over the sorted pair keys, all its places of that pair are merged (left to right,
+binary search over the sorted pair keys (a rank is looked up again only where a symbol is new),
+all its places of that pair are merged (left to right,
 without overlap), and words without a known pair leave the array. Merging all places at once
 equals merging one by one, as each merge of the vocabulary makes a symbol of its own, so a
 symbol's later pairs always have higher ranks than the merge that made it (checked on loading).
@@ -47,7 +48,7 @@ def byte_symbols() -> list[str]:
 class ByteBPE:
     """A byte-level BPE vocabulary with numpy encoding and exact decoding."""
 
-    def __init__(self, path: str, cache_limit: int = 300_000):
+    def __init__(self, path: str, cache_limit: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab: dict[str, int] = spec["model"]["vocab"]
@@ -76,45 +77,58 @@ class ByteBPE:
         self.pattern = regex.compile(PRE_TOKEN)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache_limit = cache_limit
+        self.id_text = [str(i) for i in range(size)]
+        # (ids as text, number of ids, decoded bytes) by part of a text, and by pre-token
         self.cache: dict[str, tuple[str, int, bytes]] = {}
-
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word (its bytes), all words together."""
-        out: list[np.ndarray | None] = [None] * len(words)
+        self.words: dict[str, tuple[str, int, bytes]] = {}
+
+    def _ranks(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at places ``at`` (NO_RANK for unknown ones and word ends)."""
+        out = np.full(len(at), NO_RANK)
+        inside = np.flatnonzero(at + 1 < len(sym))
+        inside = inside[word[at[inside]] == word[at[inside] + 1]]
+        key = sym[at[inside]] * self.base + sym[at[inside] + 1]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[found] == key
+        out[inside[known]] = self.ranks[found[known]]
+        return out
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (given as bytes) in a row, and where each word's begin and end."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
-        for i in np.flatnonzero(sizes == 0).tolist():
-            out[i] = sym[:0]
+        rank = self._ranks(sym, word, np.arange(len(sym)))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
-            rank = np.full(len(sym), NO_RANK)  # of the pair that begins here
-            same = np.flatnonzero(word[:-1] == word[1:])
-            key = sym[same] * self.base + sym[same + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
-            rank[same[known]] = self.ranks[at[known]]
             begins = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             best = np.minimum.reduceat(rank, begins)
-            counts = np.diff(np.append(begins, len(sym)))
-            over = np.repeat(best == NO_RANK, counts)
+            best_here = np.repeat(best, np.diff(np.append(begins, len(sym))))
+            over = best_here == NO_RANK
             if over.any():
-                for b, n in zip(begins[best == NO_RANK].tolist(), counts[best == NO_RANK].tolist()):
-                    out[word[b]] = sym[b:b + n]
-                sym, word, rank = sym[~over], word[~over], rank[~over]
-                best, counts = best[best != NO_RANK], counts[best != NO_RANK]
+                done.append((word[over], sym[over]))
+                live = ~over
+                sym, word, rank, best_here = sym[live], word[live], rank[live], best_here[live]
                 if not len(sym):
                     break
-            hit = np.flatnonzero(rank == np.repeat(best, counts))
+            hit = np.flatnonzero(rank == best_here)
             # Of places in a row (as in "aaa"), every second one overlaps the one before it.
             run = np.concatenate(([True], np.diff(hit) != 1))
             first = hit[np.flatnonzero(run)[np.cumsum(run) - 1]]
             hit = hit[(hit - first) % 2 == 0]
-            sym = sym.copy()
             sym[hit] = self.made[rank[hit]]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
-            sym, word = sym[keep], word[keep]
-        return out  # type: ignore[return-value]
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            now = hit - np.arange(len(hit))  # one symbol went for each merge before it
+            changed = np.concatenate((now, now[now > 0] - 1))  # only pairs with a new symbol differ
+            rank[changed] = self._ranks(sym, word, changed)
+        ids, owner = np.empty(0, np.int64), np.empty(0, np.int64)
+        if done:
+            owner, ids = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+            order = np.argsort(owner, kind="stable")
+            owner, ids = owner[order], ids[order]
+        return ids, np.searchsorted(owner, np.arange(len(words) + 1))
 
     def chunks(self, text: str) -> list[str]:
         """Parts of ``text`` that pre-tokenize alike alone and in place.
@@ -125,12 +139,27 @@ class ByteBPE:
         return [first, *[" " + p for p in rest]]
 
     def _learn(self, chunks: list[str]) -> None:
-        words = [self.pattern.findall(c) for c in chunks]
-        distinct = list(set().union(*words)) if words else []
-        ids = dict(zip(distinct, (a.tolist() for a in self.merge([w.encode() for w in distinct]))))
+        """Encode new parts; their pre-tokens that are new, too, are merged together."""
+        find = self.pattern.findall
+        words = [find(c) for c in chunks]
+        known = self.words
+        new = list(set().union(*words).difference(known)) if words else []
+        if len(known) + len(new) > self.cache_limit:
+            known.clear()
+            new = list(set().union(*words))
+        ids, cut = self.merge([w.encode() for w in new])
+        flat, at = ids.tolist(), cut.tolist()
+        text, raw = [self.id_text[i] for i in flat], [self.bytes_of[i] for i in flat]
+        known.update({w: (",".join(text[a:b]), b - a, b"".join(raw[a:b])) for w, a, b in zip(new, at, at[1:])})
         for c, ws in zip(chunks, words):
-            all_ids = [i for w in ws for i in ids[w]]
-            self.cache[c] = (",".join(map(str, all_ids)), len(all_ids), b"".join([self.bytes_of[i] for i in all_ids]))
+            if len(ws) == 1:
+                self.cache[c] = known[ws[0]]
+            else:
+                parts = [known[w] for w in ws]
+                self.cache[c] = (",".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts]))
+        for w in new:
+            if len(w) > LONG_PART:
+                del known[w]
 
     def encode_parts(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
         """For each text the (ids as text, number, decoded bytes) of its parts in order."""
