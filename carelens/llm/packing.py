@@ -135,7 +135,7 @@ class WordIds:
     words is emptied.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -148,11 +148,16 @@ class WordIds:
 
     def _split(self, word: str) -> tuple[str, str]:
         """A word as two parts that are encoded alone."""
-        if any(c in word for c in self.special):
-            return word, ""
+        for c in self.special:
+            if c in word:
+                return word, ""
         if word.isascii():
             word = word.lower()
+            stem = word.rstrip(PUNCTUATION)
+            return (stem, word[len(stem):]) if stem[-1:].isalnum() else (word, "")
         stem = word.rstrip(PUNCTUATION)
+        if len(stem) == len(word):
+            return word, ""
         # The stem must end in a letter or digit after normalisation and lower-casing too.
         last = unicodedata.normalize("NFC", stem[-1:]).lower()
         return (stem, word[len(stem):]) if len(last) == 1 and (last.isalpha() or last.isdigit()) else (word, "")
