@@ -82,3 +82,23 @@ def test_edges(spark, frame):
     assert L.lm_scores(spark, frame([])).count() == 0
     r = L.lm_scores(spark, frame([(None, "a b", "en", "s", 1)])).collect()[0]
     assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (False, 3, 0, 0, 0.0)
+
+
+def test_words_beyond_the_seeds_get_classes(spark, frame):
+    """Both halves of a strict alternation, in the dictionary or outside it, separate into the seeds' classes."""
+    left, right = [b"l%d" % i for i in range(30)], [b"r%d" % i for i in range(30)]
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        pick = np.minimum(rng.geometric(0.2, 40) - 1, 29)
+        rows.append((i, " ".join(f"l{a} r{b}" for a, b in zip(pick[::2], pick[1::2])), "en", "s", 1))
+    model, rare, coded = L.learned(spark, frame(rows), 7, 2, dictionary=40, class_words=6, classes=4)
+    of = {w: int(model.cls[i]) for w, i in model.index.items()}
+    assert model.seeds == 6 < len(of)
+    more = {bytes(r["word"]): (r["n"], r["cls"]) for r in rare.collect()}
+    learned = Counter(w for i, t, *_ in rows if not held(i) for w in words(t))
+    assert {w: n for w, (n, _) in more.items()} == {w: n for w, n in learned.items() if w not in of}
+    of |= {w: k for w, (n, k) in more.items() if n >= L.LEAST}
+    assert sum(n >= L.LEAST for n, _ in more.values()) > 2 and set(of) == {w for w, n in learned.items() if w in model.index or n >= L.LEAST}
+    assert not {of[w] for w in left if w in of} & {of[w] for w in right if w in of}
+    assert all(k != model.open for k in of.values())
