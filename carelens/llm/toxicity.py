@@ -199,8 +199,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """
     ids = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    there = ids.join(own.select("doc_id"), "doc_id", "left_semi")  # ids without a text take no place in the sample
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
     return saved(docs.sparkSession, rows, "labelled")
 

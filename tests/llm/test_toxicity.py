@@ -73,3 +73,10 @@ def test_spans_and_filter(spark, frame):
     assert spans and any("idiotfool" in text[a:b] for a, b, _ in spans) and model.spans(rows[1][1]) == []
     left = T.without_toxic(spark, docs, model)
     assert left.columns == docs.columns and {r["doc_id"] % 4 for r in left.collect()} == {1, 2, 3}
+
+
+def test_labels_without_a_text_take_no_place_in_the_sample(spark, frame):
+    docs = frame([(i, f"text {i}", "en", "s", 1) for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    rows = T.labelled_sample(docs, labels, 10).collect()
+    assert len(rows) == 10 and all(r["text"] == f"text {r['doc_id']}" and r["toxic"] == r["doc_id"] % 2 for r in rows)
