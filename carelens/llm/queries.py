@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm import (bpe, class_lm, exact_dedup, host_reputation, language, near_dups, packing, personal_data, top_k,
+from carelens.llm import (bpe, byte_bpe, class_lm, exact_dedup, host_reputation, language, near_dups, packing, personal_data, top_k,
                           toxicity)
 from carelens.llm.common import LOWER, UPPER, ship
 
@@ -83,6 +83,11 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judged_pages(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
+@register
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.codec_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
 def _fold(column: str) -> str:
     return f"translate({column}, '{UPPER}', '{LOWER}')"
 
