@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm import (bpe, byte_bpe, class_lm, exact_dedup, host_reputation, language, near_dups, packing, personal_data, top_k,
-                          toxicity)
+from carelens.llm import (bpe, byte_bpe, class_lm, exact_dedup, host_reputation, language, near_dups, packing, personal_data, spelling,
+                          top_k, toxicity)
 from carelens.llm.common import LOWER, UPPER, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,12 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.codec_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+@register
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), damage_every=31)
+    return spelling.variant_groups(spark, words)
+
+
 def _fold(column: str) -> str:
     return f"translate({column}, '{UPPER}', '{LOWER}')"
 
