@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm import (bpe, byte_bpe, class_lm, exact_dedup, host_reputation, language, near_dups, packing, personal_data, spelling,
+from carelens.llm import (bpe, byte_bpe, class_lm, collocations, exact_dedup, host_reputation, language, near_dups, packing, personal_data, spelling,
                           top_k, toxicity)
 from carelens.llm.common import LOWER, UPPER, ship
 
@@ -94,6 +94,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(spark, words)
 
 
+@register
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, table(spark, sf_dir, "documents"))
+
+
 def _fold(column: str) -> str:
     return f"translate({column}, '{UPPER}', '{LOWER}')"
 
