@@ -173,12 +173,26 @@ def q_correction_backup(spark, sf_dir):
     return C.backup(_tables(spark, sf_dir).encounter, _corrections(spark, sf_dir)[0], "visit_id", "before")
 
 
+def _shared_root(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/carelens-{uuid.uuid4().hex}"
+
+
 @register("correction_verify", _sql("correction_verify"))
 def q_correction_verify(spark, sf_dir):
     """Applies the requests as written tables in the shared folder and compares what is stored."""
     t = _tables(spark, sf_dir)
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/carelens-{uuid.uuid4().hex}"
-    return spark.read.parquet(C.apply_corrections(t.encounter, t.visit, *_corrections(spark, sf_dir), root, "check")["report"])
+    return spark.read.parquet(C.apply_corrections(t.encounter, t.visit, *_corrections(spark, sf_dir), _shared_root(spark), "check")["report"])
+
+
+@register("outside_changes", _sql("outside_changes"))
+def q_outside_changes(spark, sf_dir):
+    """A faulty snapshot: beyond the requested visits some rows are lost, some changed, some new."""
+    t = _tables(spark, sf_dir)
+    targets = C.requested_visits(*_corrections(spark, sf_dir))
+    after = C.correct_encounters(t.encounter, _corrections(spark, sf_dir)[0], None).filter("NOT (form_id = 30 AND voided = 1)")
+    after = after.withColumn("provider_id", F.expr("IF(encounter_type = 25 AND form_id = 13, NULL, provider_id)"))
+    after = after.unionByName(t.encounter.filter("form_id = 14 AND voided = 1").withColumn("encounter_id", -F.col("encounter_id")))
+    return C.outside_report({"encounter": (t.encounter, after, "encounter_id"), "visit": (t.visit, t.visit, "visit_id")}, targets, "visit_id")
 
 
 def _same_day_duplicates(t):
@@ -194,10 +208,23 @@ def q_biometric_purge(spark, sf_dir):
 
 @register("purge_verify", _sql("purge_verify"))
 def q_purge_verify(spark, sf_dir):
+    """Purges into written tables in the shared folder and counts what is stored before and after."""
+    t = _tables(spark, sf_dir)
+    return spark.read.parquet(C.apply_purge(t.biometricinfo, t.biometricverificationinfo, _same_day_duplicates(t),
+                                            _shared_root(spark), "check")["report"])
+
+
+PURGED_AT = dt.datetime(2024, 1, 15, 12)
+
+
+@register("purge_log_reload", _sql("purge_log_reload"))
+def q_purge_log_reload(spark, sf_dir):
+    """After a logged purge the old table is loaded again: who has been captured since the purge."""
     t = _tables(spark, sf_dir)
-    dupes = _same_day_duplicates(t)
-    cap, ver = C.purge_biometrics(t.biometricinfo, t.biometricverificationinfo, dupes)
-    return C.purge_report(t.biometricinfo, t.biometricverificationinfo, cap, ver, dupes)
+    root = _shared_root(spark)
+    C.apply_purge(t.biometricinfo, t.biometricverificationinfo, _same_day_duplicates(t), root, "check", PURGED_AT)
+    log = C.purge_log(spark, root)
+    return C.reenrolment_check(log, C.without_purged(t.biometricinfo, log))
 
 
 @register("reenrolment_check", _sql("reenrolment_check"))

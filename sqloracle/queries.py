@@ -171,6 +171,24 @@ SELECT t.visit_id, CAST(coalesce(p.n, 0) AS BIGINT) AS n_encounters,
 FROM targets t LEFT JOIN per_visit p ON p.visit_id = t.visit_id LEFT JOIN vis ON vis.visit_id = t.visit_id"""
 
 
+def outside_changes() -> str:
+    return f"""{_w('encounter', 'visit', 'encounter_corrections', 'visit_corrections')},
+targets AS (SELECT visit_id FROM encounter_corrections UNION SELECT visit_id FROM visit_corrections),
+beyond AS (SELECT * FROM encounter WHERE visit_id IS NULL OR visit_id NOT IN (SELECT visit_id FROM targets))
+SELECT 'encounter' AS table_name, encounter_id AS row_id, 'removed' AS status FROM beyond WHERE form_id = 30 AND voided = 1
+UNION ALL SELECT 'encounter', encounter_id, 'changed' FROM beyond WHERE encounter_type = 25 AND form_id = 13
+UNION ALL SELECT 'encounter', -encounter_id, 'added' FROM beyond WHERE form_id = 14 AND voided = 1"""
+
+
+def purge_log_reload() -> str:
+    at = "TIMESTAMP '2024-01-15 12:00:00'"
+    return f"""{_w('biometricinfo')}
+SELECT d.patient_id, {at} AS purged_at, count(b.patient_id) AS n_new, min(b.date_created) AS first_new_at,
+  CASE WHEN count(b.patient_id) > 0 THEN 're_enrolled' ELSE 'missing' END AS status
+FROM ({SAME_DAY}) d LEFT JOIN biometricinfo b ON b.patient_id = d.patient_id AND b.date_created > {at}
+GROUP BY d.patient_id"""
+
+
 def _dupes() -> str:
     return "SELECT patient_id FROM biometricinfo GROUP BY patient_id HAVING count(*) > 1"
 

@@ -194,3 +194,154 @@ def test_whole_rows_are_kept(spark, tmp_path):
     assert spark.read.parquet(out["backups"] + "/biometricinfo").filter("template = 'x'").count() == 2
     assert spark.read.parquet(out["report"]).first()["status"] == "purged"
     assert "template" in I.biometric_records(cap, t.biometricverificationinfo).columns
+
+
+class Stop(Exception):
+    pass
+
+
+def _stop_after(monkeypatch, n):
+    """Runs fail when the n-th manifest entry has been written; returns the list of entries."""
+    from carelens.operators import runs
+
+    real, seen = runs.Run._record, []
+
+    def record(self, step, *args):
+        real(self, step, *args)
+        seen.append(step)
+        if len(seen) == n:
+            raise Stop(step)
+
+    monkeypatch.setattr(runs.Run, "_record", record)
+    return seen
+
+
+def _content(spark, paths, names):
+    out = {n: sorted(map(str, spark.read.parquet(paths[n]).collect())) for n in names}
+    for t in ("encounter", "visit"):
+        out["backup " + t] = sorted(map(str, spark.read.parquet(f"{paths['backups']}/{t}").collect()))
+    return out
+
+
+def test_a_failed_run_goes_on(spark, tmp_path, monkeypatch):
+    """Whatever the step after which a run fails, calling it again ends with the same tables."""
+    t = tables(spark)
+    enc, vis = requests(spark)
+    seen = _stop_after(monkeypatch, 0)
+    whole = C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path / "whole"), "r1")
+    steps = list(seen)
+    names = ("encounter", "visit", "report", "outside")
+    want = _content(spark, whole, names)
+    assert steps[:3] == ["encounter_requests", "visit_requests", "targets"] and steps[5] == "inputs" and steps[-1] == "report"
+    for n in (3, 6, 7, 9, 12):
+        root = str(tmp_path / f"fails{n}")
+        with monkeypatch.context() as m:
+            _stop_after(m, n)
+            with pytest.raises(Stop):
+                C.apply_corrections(t.encounter, t.visit, enc, vis, root, "r1")
+        done = _stop_after(monkeypatch, 0)
+        paths = C.apply_corrections(t.encounter, t.visit, enc, vis, root, "r1")
+        assert done == (steps if n < 6 else steps[n:]) and _content(spark, paths, names) == want
+        monkeypatch.undo()
+    done = _stop_after(monkeypatch, 0)
+    assert C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path / "whole"), "r1") == whole and done == []
+
+
+def test_a_half_written_step_is_written_anew(spark, tmp_path):
+    t = tables(spark)
+    enc, vis = requests(spark)
+    t.encounter.limit(1).write.parquet(str(tmp_path / "r1" / "encounter"))  # without a manifest entry
+    t.encounter.limit(1).write.parquet(str(tmp_path / "backups" / "encounter" / "backup_run=r1"))
+    paths = C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path), "r1")
+    assert spark.read.parquet(paths["encounter"]).count() == 4
+    assert spark.read.parquet(paths["backups"] + "/encounter").count() == 2
+
+
+def test_another_input_is_refused(spark, tmp_path):
+    from carelens.operators.runs import RunIdTaken
+
+    t = tables(spark)
+    enc, vis = requests(spark)
+    C.apply_corrections(t.encounter, t.visit, enc, vis, str(tmp_path), "r1")
+    one_more = t.visit.unionByName(t.visit.limit(1).withColumn("visit_id", F.lit(99).cast("long")))
+    for args, what in (((t.encounter, one_more, enc, vis), "visit"),
+                       ((t.encounter, t.visit, enc.filter("false"), vis), "encounter_requests"),
+                       ((t.encounter.withColumn("x", F.lit(1)), t.visit, enc, vis), "encounter")):
+        with pytest.raises(RunIdTaken, match=what):
+            C.apply_corrections(*args, str(tmp_path), "r1")
+
+
+ODD_NAMES = ["a.b", "corrected", "new_datetime", "bad_datetime", "_visit_id", "backup_run", "new_start", "tick`s", "id", "k", "h", "bucket", "inside"]
+
+
+def test_stored_names_do_not_clash(spark, tmp_path):
+    """Dots, backticks and the names of requests and helpers are ordinary stored columns."""
+    t = tables(spark)
+    enc, vis = requests(spark)
+    e, v, cap = t.encounter, t.visit, t.biometricinfo
+    for c in ODD_NAMES:
+        e, v, cap = e.withColumn(c, F.lit("own")), v.withColumn(c, F.lit("own")), cap.withColumn(c, F.lit("own"))
+    paths = C.apply_corrections(e, v, enc, vis, str(tmp_path), "r")
+    after = spark.read.parquet(paths["encounter"])
+    assert after.columns == e.columns and spark.read.parquet(paths["visit"]).columns == v.columns
+    assert after.filter("encounter_id = 100 AND encounter_datetime = timestamp_ntz'2015-06-24 00:00:00' AND `a.b` = 'own' AND corrected = 'own'").count() == 1
+    kept = spark.read.schema(e.schema).parquet(paths["backups"] + "/encounter/backup_run=r")
+    assert kept.filter("backup_run = 'own'").count() == 2
+    assert spark.read.parquet(paths["report"]).first()["status"] == "applied" and spark.read.parquet(paths["outside"]).count() == 0
+    assert C.correct_encounters(e, enc).filter("corrected_1").count() == 1 and C.correct_visits(v, vis).filter("corrected_1").count() == 1
+    assert C.backup(e, enc, "visit_id", "x").filter("backup_run_1 = 'x'").count() == 2
+    out = C.apply_purge(cap, t.biometricverificationinfo, spark.createDataFrame([(1,)], "patient_id long"), str(tmp_path), "p")
+    assert spark.read.parquet(out["biometricinfo"]).columns == cap.columns
+
+
+def test_changes_beyond_the_request_are_seen(spark):
+    t = tables(spark)
+    targets = spark.createDataFrame([(10,)], "visit_id long")
+
+    def found(after, before=t.encounter):
+        return {(r["row_id"], r["status"]) for r in C.outside_report({"encounter": (before, after, "encounter_id")}, targets, "visit_id").collect()}
+
+    assert found(t.encounter.repartition(3).orderBy(F.desc("encounter_id"))) == set()
+    assert found(t.encounter.filter("encounter_id <> 102")) == {(102, "removed")}
+    assert found(t.encounter.filter("encounter_id <> 100")) == set()  # inside: the report's concern
+    assert found(t.encounter.withColumn("form_id", F.expr("IF(encounter_id IN (101, 103), NULL, form_id)"))) == {(103, "changed")}
+    assert found(t.encounter.withColumn("encounter_id", F.expr("IF(encounter_id = 103, 900, encounter_id)"))) == {(103, "removed"), (900, "added")}
+    # A copy of a row, and a value that moved to the next column, are changes.
+    assert found(t.encounter.unionByName(t.encounter.filter("encounter_id = 102"))) == {(102, "changed")}
+    swapped = t.encounter.withColumn("provider_id", F.expr("IF(encounter_id = 102, NULL, provider_id)"))
+    other = t.encounter.withColumn("provider_id", F.expr("IF(encounter_id = 102, location_id, provider_id)")).withColumn(
+        "location_id", F.expr("IF(encounter_id = 102, NULL, location_id)"))
+    assert found(swapped.withColumn("location_id", F.lit(8)), other) >= {(102, "changed")}
+    # Rows without an id, and columns of any type.
+    odd = t.encounter.withColumn("encounter_id", F.expr("IF(encounter_id = 102, NULL, encounter_id)")).withColumn(
+        "m", F.expr("map('a', 1, 'b', 2)")).withColumn("s", F.expr("struct(array(1, NULL) AS x)"))
+    assert found(odd, odd.withColumn("m", F.expr("map('b', 2, 'a', 1)"))) == set()
+    assert found(odd.filter("encounter_id IS NOT NULL"), odd) == {(None, "removed")}
+
+
+def test_report_sees_other_columns(spark):
+    t = tables(spark)
+    ids = spark.createDataFrame([(10,)], "visit_id long")
+    after = t.encounter.withColumn("provider_id", F.expr("IF(encounter_id = 101, 77, provider_id)"))
+    assert C.correction_report(t.encounter, after, t.visit, t.visit, ids).first()["status"] == "damaged"
+
+
+def test_a_failed_purge_goes_on_and_old_rows_stay_away(spark, tmp_path, monkeypatch):
+    t = tables(spark)
+    ids = spark.createDataFrame([(1,), (None,)], "patient_id long")
+    at = T(2023, 1, 1, 2)
+    with monkeypatch.context() as m:
+        _stop_after(m, 4)
+        with pytest.raises(Stop):
+            C.apply_purge(t.biometricinfo, t.biometricverificationinfo, ids, str(tmp_path), "p", at)
+    out = C.apply_purge(t.biometricinfo, t.biometricverificationinfo, ids, str(tmp_path), "p")  # keeps the first time
+    assert {(r["patient_id"], r["status"]) for r in spark.read.parquet(out["report"]).collect()} == {(1, "purged"), (None, "purged")}
+    log = C.purge_log(spark, str(tmp_path))
+    assert [tuple(r) for r in log.collect()] == [(1, at)]
+    # The old table is loaded again, with a row without a time: only what came after the purge is seen.
+    again = t.biometricinfo.unionByName(spark.createDataFrame([(1, None), (3, None)], t.biometricinfo.schema))
+    left = C.without_purged(again, log)
+    assert sorted(map(str, left.collect())) == sorted(map(str, again.filter("patient_id <> 1 OR date_created > timestamp_ntz'2023-01-01 02:00:00'").collect()))
+    assert C.reenrolment_check(log, left).first()["status"] == "re_enrolled"
+    C.apply_purge(left, t.biometricverificationinfo, ids, str(tmp_path), "p2", T(2024, 1, 1))
+    assert C.purge_log(spark, str(tmp_path)).count() == 2 and C.without_purged(again, C.purge_log(spark, str(tmp_path))).filter("patient_id = 1").count() == 0
