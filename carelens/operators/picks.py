@@ -19,6 +19,9 @@ among the rows at the best time, which is what the report's MAX over tied rows g
 Both aggregations are partial before their shuffle, so a patient with a huge history, or a
 huge set of rows stamped with one instant, ships at most one row per spec per map task.
 
+``best_values`` is the cheaper form for reports that read few columns of each answer: rank and tie are packed into one
+decimal number, every read value into a long or a double, and a hash aggregate keeps the value with the largest key.
+
 ``choose`` keeps the tall form instead (all best rows, ties included) with a ranked window.
 """
 
@@ -137,13 +140,15 @@ OBS_COLUMNS = ["obs_id", "person_id", "encounter_id", "concept_id", "obs_datetim
 
 
 def enrich_obs(obs: DataFrame, encounter: DataFrame, concept_name: DataFrame, concepts: list[int],
-               encounter_types: list[int], forms: list[int], encounter_facts: DataFrame | None = None) -> DataFrame:
+               encounter_types: list[int], forms: list[int], encounter_facts: DataFrame | None = None,
+               names: DataFrame | None = None) -> DataFrame:
     """Non-voided observations of ``concepts`` with their (non-voided) encounter and coded-value name.
 
     The encounter side is cut to the types and forms any spec can use before the join.
     ``encounter_facts`` (one row per encounter_id) is attached to it first, so ``obs`` is joined
     once, on a shuffle of its own: adaptive execution can split a hot or NULL encounter_id there
-    (two joins in a row on one shuffle would not be split).
+    (two joins in a row on one shuffle would not be split). ``names`` (value_coded, name): what to attach
+    as ``name`` instead of the coded value's name itself.
     """
     def listed(values) -> str:
         return ", ".join(str(int(v)) for v in values) or "NULL"
@@ -155,7 +160,8 @@ def enrich_obs(obs: DataFrame, encounter: DataFrame, concept_name: DataFrame, co
         "encounter_id", "encounter_type", "form_id", "encounter_datetime")
     if encounter_facts is not None:
         e = e.join(encounter_facts, "encounter_id", "full")
-    return coded_value_names(o.join(e, "encounter_id", "left"), concept_name)
+    joined = o.join(e, "encounter_id", "left")
+    return coded_value_names(joined, concept_name) if names is None else joined.join(names, "value_coded", "left")
 
 
 def _pick_column(code_col: str, names: tuple[str, ...], offset: int) -> Column:
@@ -218,6 +224,62 @@ def best_per_spec(cands: DataFrame, columns: list[str], derived: dict[str, Colum
          else f"CASE WHEN _ties THEN NULL ELSE _best.`{c}` END AS `{c}`") for c in cols])
 
 
+#: Bounds of a packed key's parts: times lie within +-10^18 microseconds, ties (64 bits) within +-10^19.
+NO_TIME = -(10 ** 18)
+TIE_SPAN = 2 * 10 ** 19
+NO_VALUE = -(2 ** 63)
+
+
+def double_order(x: str) -> str:
+    """SQL for a long that orders as the double ``x`` does (exact; NaN is largest, NULL stays NULL)."""
+    a = f"abs({x})"
+    e = f"CAST(floor(log2({a})) AS int)"
+    e = f"({e} + CASE WHEN {a} >= pow(2D, {e} + 1) THEN 1 WHEN {a} < pow(2D, {e}) THEN -1 ELSE 0 END)"  # log2 is rounded
+    size = (f"CASE WHEN isnan({x}) THEN 9223372036854775807 WHEN {a} > 1.7976931348623157E308D THEN 9223372036854775806 "
+            f"WHEN {a} < 2.2250738585072014E-308D THEN CAST({a} / 4.9E-324D AS long) "
+            f"ELSE ({e} + 1023) * 4503599627370496L + CAST(({a} / pow(2D, {e}) - 1) * 4503599627370496D AS long) END")
+    return f"CASE WHEN {x} IS NOT NULL THEN IF({x} < 0, -1L, 1L) * ({size}) END"
+
+
+def micros(timestamp: str) -> str:
+    """SQL for the microseconds since 1970 of a wall-clock timestamp."""
+    return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {timestamp})"
+
+
+def from_micros(value: str) -> str:
+    return f"timestampadd(MICROSECOND, {value}, TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+
+
+def packed_key(time: str, tie: str) -> str:
+    """SQL for one number that orders by ``time`` (a long, NULL least), then by ``tie`` (a long, NULL least)."""
+    return (f"CAST(coalesce({time}, {NO_TIME}L) AS decimal(38, 0)) * {TIE_SPAN} + "
+            f"CAST(coalesce({tie}, CAST('{NO_VALUE}' AS long)) AS decimal(38, 0))")
+
+
+def best_values(cands: DataFrame, plan: PickPlan, reads: list[tuple[str, str]], longs: dict[str, str],
+                doubles: dict[str, str]) -> DataFrame:
+    """person_id, read_idx, v, d: of each (question, column) in ``reads`` the column's value in the person's best row.
+
+    ``longs`` and ``doubles`` say by SQL what a column's number is (in ``v`` or ``d``). For ``keep_ties`` questions it is the
+    largest value among the rows at the best time. All state is fixed-width, so this is a hash aggregate, partial
+    before its shuffle, and a row of the shuffle holds one value.
+    """
+    names = [*longs, *doubles]
+    rows = [(plan.index[k], i, names.index(c)) for i, (k, c) in enumerate(reads)]
+    table = cands.sparkSession.createDataFrame(rows, "spec_idx int, read_idx int, read_column int")  # a fixed list
+
+    def lane(columns: dict[str, str]) -> str:
+        whens = " ".join(f"WHEN {names.index(c)} THEN {e}" for c, e in columns.items() if any(c == x for _, x in reads))
+        return f"CASE read_column {whens} END" if whens else "NULL"
+
+    x = cands.join(F.broadcast(table), "spec_idx").selectExpr(
+        "person_id", "read_idx", "s_ties", "_k", "_tb", f"read_column >= {len(longs)} AS is_double",
+        f"CAST({lane(longs)} AS long) AS v", f"CAST({lane(doubles)} AS double) AS d")
+    tie = f"CASE WHEN NOT s_ties THEN _tb WHEN is_double THEN {double_order('d')} ELSE v END"
+    x = x.selectExpr("person_id", "read_idx", "v", "d", f"{packed_key('_k', tie)} AS best")
+    return x.groupBy("person_id", "read_idx").agg(F.expr("max_by(v, best) AS v"), F.expr("max_by(d, best) AS d"))
+
+
 def choose(cands: DataFrame, keep: list[str]) -> DataFrame:
     """Tall answers: the best row per (person, spec), every tied row for ``keep_ties`` specs.
 
@@ -238,7 +300,7 @@ CARRIED = ["obs_id", "encounter_id", "obs_datetime", "value_coded", "value_numer
 
 def plan_candidates(spark: SparkSession, obs: DataFrame, encounter: DataFrame, concept_name: DataFrame,
                     plan: PickPlan, cutoffs: dict[str, dt.datetime], extra_forms: list[int] = (),
-                    encounter_facts: DataFrame | None = None) -> DataFrame:
+                    encounter_facts: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """Qualifying rows of every spec in ``plan`` (see ``candidates``).
 
     ``extra_forms``: encounter forms whose id must be visible on rows even though no spec
@@ -246,7 +308,7 @@ def plan_candidates(spark: SparkSession, obs: DataFrame, encounter: DataFrame, c
     """
     types = sorted({s.encounter_type for s in plan.specs if s.encounter_type is not None})
     forms = sorted({s.form_id for s in plan.specs if s.form_id is not None} | set(extra_forms))
-    enriched = enrich_obs(obs, encounter, concept_name, plan.concepts, types, forms, encounter_facts)
+    enriched = enrich_obs(obs, encounter, concept_name, plan.concepts, types, forms, encounter_facts, names)
     return candidates(enriched, plan.spec_frame(spark, cutoffs))
 
 

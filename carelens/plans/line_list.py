@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from carelens.functions.dates import (
     FORMAT_DMONY, FORMAT_DMY, FORMAT_ISO, add_whole_days, day_after, end_of_day, midnight, minus_months_py,
-    outcome_status, parse_report_date, quarter_end_py, whole_months, whole_years,
+    outcome_status, quarter_end_py, whole_months, whole_years,
 )
 from carelens.functions.text import non_empty, number_text, text_is
 from carelens.operators import patients as P
-from carelens.operators.picks import PickPlan, best_per_spec, plan_candidates, pivot
+from carelens.operators.dictionary import ranked_names
+from carelens.operators.picks import PickPlan, best_values, from_micros, micros, pivot, plan_candidates
 from carelens.plans import specs as S
 from carelens.sources.tables import ClinicalTables
 
@@ -120,6 +121,36 @@ def _c(name: str) -> Column:
 # Columns whose report value is the MAX of formatted text over tied rows (legacy mode).
 LEGACY_TEXT_TIES = {"First_TPT_Pickupdate": "L164852", "Last_TPT_Pickupdate": "L166096",
                     "Date_of_TPT_Outcome": "L166008", "Next_Ap_by_careCard": "L5096"}
+# Months in the alphabetical order of their English short names.
+MONTHS_BY_NAME = (4, 8, 12, 2, 1, 7, 6, 3, 5, 11, 10, 9)
+
+
+def text_order(date: str, by_name: bool) -> str:
+    """SQL for a long that orders as the text of a date does: dd-MMM-yyyy (``by_name``) or dd/MM/yyyy."""
+    month = f"array_position(array({', '.join(map(str, MONTHS_BY_NAME))}), month({date}))" if by_name else f"month({date})"
+    return f"(day({date}) * 1000000L + {month} * 10000 + year({date}))"
+
+
+def from_text_order(value: str, by_name: bool) -> str:
+    """SQL for the date of a ``text_order`` number."""
+    month = f"CAST({value} DIV 10000 % 100 AS int)"
+    if by_name:
+        month = f"element_at(array({', '.join(map(str, MONTHS_BY_NAME))}), {month})"
+    return f"make_date(CAST({value} % 10000 AS int), {month}, CAST({value} DIV 1000000 AS int))"
+
+
+# What a read column is, as a number of its own order (see ``best_values``); times are microseconds.
+TIMES = ("obs_datetime", "value_datetime", "encounter_datetime", "care_card_next_at")
+_CARE_CARD = f"CASE WHEN form_id = {S.FORM_CARE_CARD} THEN value_datetime END"
+LONG_READS = {
+    "one": "1", "value_coded": "value_coded", "encounter_id": "encounter_id", "name": "name",
+    "tpt_received_name": f"CASE WHEN value_coded = {S.TPT_RECEIVED_ANSWER} THEN name END",
+    "transferred_out": f"IF(value_coded <=> {S.TRANSFERRED_OUT_ANSWER}, 1, 0)",
+    **{c: micros(c) for c in TIMES[:3]}, "care_card_next_at": micros(_CARE_CARD),
+    "value_text_order": text_order("value_datetime", True), "care_card_text_order": text_order(f"({_CARE_CARD})", True),
+}
+DOUBLE_READS = {"value_numeric": "value_numeric", "encounter_refill": "encounter_refill"}
+NAME_READS = ("name", "tpt_received_name")
 
 
 def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineListParams,
@@ -127,43 +158,37 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
                         keep: frozenset[str] | None = None) -> tuple[DataFrame, DataFrame, PickPlan]:
     """Every observation-derived value of the report, one row per person (``person_id``).
 
-    Returns (answers, qualifying rows, plan).
+    Returns (answers, qualifying rows, plan). Coded values travel as the numbers of their names; names are
+    fetched for the chosen values only.
     """
     plan = plan or S.line_list_plan(params.extended_concepts, keep)
-    cands = plan_candidates(spark, t.obs, t.encounter, t.concept_name, plan, params.cutoffs(),
-                            extra_forms=[S.FORM_CARE_CARD], encounter_facts=encounter_facts(t.obs))
-    # row-level conditions the report applies before taking MAX over tied rows
-    derived = {
-        "tpt_received_name": F.when(F.col("value_coded") == S.TPT_RECEIVED_ANSWER, F.col("name")),
-        "care_card_next_at": F.when(F.col("form_id") == S.FORM_CARE_CARD, F.col("value_datetime")),
-        "transferred_out_flag": F.when(F.col("value_coded") == S.TRANSFERRED_OUT_ANSWER, F.lit(1)),
-    }
-    if legacy_text_max:
-        derived["value_dmony_text"] = F.date_format("value_datetime", FORMAT_DMONY)
-        derived["care_card_next_text"] = F.when(F.col("form_id") == S.FORM_CARE_CARD,
-                                                F.date_format("value_datetime", FORMAT_DMONY))
-    # the columns the report reads from chosen rows; tie-keeping specs (latest / first sets)
-    # are read for the tie columns only
-    read = ["obs_datetime", "value_coded", "value_numeric", "value_datetime", "encounter_datetime", "name",
-            "encounter_refill", "encounter_text"]
-    best = best_per_spec(cands, read, derived, tie_columns=["name", "value_numeric", "value_datetime", "obs_datetime"])
-    v = plan.value
+    names = ranked_names(t.concept_name)
+    cands = plan_candidates(spark, t.obs, t.encounter, t.concept_name, plan, params.cutoffs(), extra_forms=[S.FORM_CARE_CARD],
+                            encounter_facts=encounter_refills(t.obs) if "prevq_pickup" in plan.index else None,
+                            names=names.selectExpr("concept_id AS value_coded", "name_rank AS name"))
     has = plan.index.__contains__
-    aggs: dict[str, Column | str] = {}
-
-    def add(name: str, keys: list[str], column: str | Column | None = None, build=None) -> None:
-        """An answer that reads the questions ``keys``; left out where the plan does not ask them."""
-        if all(map(has, keys)):
-            aggs[name] = build() if build else v(keys[0], column)
+    reads: list[tuple[str, str]] = []
+    aggs: dict[str, str] = {}
+    kinds: dict[str, str] = {}
+
+    def add(name: str, keys: list[str], column: str, value: str | None = None) -> None:
+        """An answer that reads ``column`` of the questions ``keys`` (the largest); left out where the plan does not ask them."""
+        if not all(map(has, keys)):
+            return
+        for k in keys:
+            if (k, column) not in reads:
+                reads.append((k, column))
+        listed = ", ".join(str(reads.index((k, column))) for k in keys)
+        value = value or ("name" if column in NAME_READS else "d" if column in DOUBLE_READS else "v")
+        aggs[name], kinds[name] = f"max(CASE WHEN read_idx IN ({listed}) THEN {value} END)", column
 
     latest_keys = list(S.LATEST_KEYS)
-    add("has_latest", latest_keys, build=lambda: F.max(F.when(plan.any_of(latest_keys), F.lit(1))))
     # any row at the latest time of any latest-set concept carries the "transferred out" answer
-    add("transferred_out", latest_keys, build=lambda: F.max(F.when(plan.any_of(latest_keys), F.col("transferred_out_flag"))))
-    starts = [f"F{c}" for c in S.REGIMEN_CONCEPTS]
-    add("RegimenAtARTStart", starts, build=lambda: F.max(F.when(plan.any_of(starts), F.col("name"))))
+    add("has_latest", latest_keys, "transferred_out", "1")
+    add("transferred_out", latest_keys, "transferred_out", "NULLIF(v, 0)")
+    add("RegimenAtARTStart", [f"F{c}" for c in S.REGIMEN_CONCEPTS], "name")
     for name, key, column in (
-        ("has_pickup_line", "L165708", F.lit(1)), ("last_regimen_line_at", "L165708", "obs_datetime"),
+        ("has_pickup_line", "L165708", "one"), ("last_regimen_line_at", "L165708", "obs_datetime"),
         ("refill", "L159368", "value_numeric"), ("CurrentRegimenLine", "L165708", "name"),
         ("CurrentPregnancyStatus", "L165050", "name"), ("ViralLoadIndication", "L164980", "name"),
         ("outcome_name", "L165470", "name"), ("t160540", "L160540", "name"), ("t165242", "L165242", "name"),
@@ -185,7 +210,7 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
         ("transfer_in_at", "transfer_in_date", "value_datetime"), ("Weight", "weight", "value_numeric"),
         ("Height", "height", "value_numeric"), ("BMI", "bmi", "value_numeric"), ("first_tld_at", "first_tld", "obs_datetime"),
         ("CurrentCD4", "cd4", "value_numeric"), ("cd4_encounter_at", "cd4", "encounter_datetime"),
-        ("care_entry_code", "care_entry", "value_coded"), ("care_entry_text", "care_entry", "encounter_text"),
+        ("care_entry_code", "care_entry", "value_coded"), ("care_entry_encounter", "care_entry", "encounter_id"),
         ("prevq_pickup_at", "prevq_pickup", "obs_datetime"), ("encounter_refill", "prevq_pickup", "encounter_refill"),
         ("prevq_outcome_name", "prevq_outcome", "name"), ("OTZ_Outcome_Date", "O166275", "value_datetime"),
         ("TPT_Outcomes", "L166007", "name"), ("Date_of_TPT_Outcome", "L166008", "value_datetime"),
@@ -195,13 +220,26 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
     ):
         add(name, [key], column)
     for name, c in S.TB_YES_NO:
-        add(name, [f"tb_{c}"], F.when(F.col("value_coded") == 2, "No").when(F.col("value_coded") == 1, "Yes").otherwise(""))
+        add(name, [f"tb_{c}"], "value_coded", "CASE v WHEN 2 THEN 'No' WHEN 1 THEN 'Yes' ELSE '' END")
     for name, c in S.TB_YES:
-        add(name, [f"tb_{c}"], F.when(F.col("value_coded") == 1, "Yes").otherwise(""))
+        add(name, [f"tb_{c}"], "value_coded", "CASE v WHEN 1 THEN 'Yes' ELSE '' END")
     if legacy_text_max:
         for out, key in LEGACY_TEXT_TIES.items():
-            add(f"{out}__text", [key], "care_card_next_text" if key == "L5096" else "value_dmony_text")
+            add(f"{out}__text", [key], "care_card_text_order" if key == "L5096" else "value_text_order")
+    best = best_values(cands, plan, reads, LONG_READS, DOUBLE_READS)
+    named = [i for i, (_, c) in enumerate(reads) if c in NAME_READS]
+    if named:
+        best = best.withColumn("name_rank", F.expr(f"CASE WHEN read_idx IN ({', '.join(map(str, named))}) THEN v END")).join(
+            names.select("name_rank", "name"), "name_rank", "left")
     answers = pivot(best, aggs)
+    decoded = {"care_card_text_order": True, "value_text_order": True}
+    answers = answers.selectExpr("person_id", *[
+        f"{from_micros(f'`{n}`')} AS `{n}`" if kinds[n] in TIMES
+        else f"{from_text_order(f'`{n}`', True)} AS `{n}`" if kinds[n] in decoded else f"`{n}`" for n in aggs])
+    if "care_entry_code" in aggs:
+        texts = encounter_texts(t.obs).withColumnRenamed("encounter_id", "care_entry_encounter")
+        answers = answers.withColumn("care_entry_encounter", F.expr(
+            f"CASE WHEN care_entry_code = {S.CARE_ENTRY_OTHER} THEN care_entry_encounter END")).join(texts, "care_entry_encounter", "left")
     if not params.extended_concepts:
         answers = (answers.withColumn("TPT_Outcomes", F.lit(None).cast("string"))
                    .withColumn("Date_of_TPT_Outcome", F.lit(None).cast("timestamp_ntz"))
@@ -209,17 +247,21 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
     return answers, cands, plan
 
 
-def encounter_facts(obs: DataFrame) -> DataFrame:
-    """Per encounter: refill days recorded in it (largest non-voided value) and the free text of
-    the "other" care entry point (lowest obs id; voided rows count, as in the report)."""
-    refill = (F.col("concept_id") == S.REFILL_DAYS) & (F.col("voided") == 0)
-    text = F.col("concept_id") == S.CARE_ENTRY_OTHER_TEXT
-    return (
-        obs.filter(F.col("concept_id").isin(S.REFILL_DAYS, S.CARE_ENTRY_OTHER_TEXT) & F.col("encounter_id").isNotNull())
-        .groupBy("encounter_id")
-        .agg(F.max(F.when(refill, F.col("value_numeric"))).alias("encounter_refill"),
-             F.min_by(F.when(text, F.col("value_text")), F.when(text, F.col("obs_id"))).alias("encounter_text"))
-    )
+def encounter_refills(obs: DataFrame) -> DataFrame:
+    """Per encounter the refill days recorded in it (largest non-voided value)."""
+    return obs.filter((F.col("concept_id") == S.REFILL_DAYS) & (F.col("voided") == 0) & F.col("encounter_id").isNotNull()).groupBy(
+        "encounter_id").agg(F.max("value_numeric").alias("encounter_refill"))
+
+
+def encounter_texts(obs: DataFrame) -> DataFrame:
+    """Per encounter the free text of the "other" care entry point (lowest obs id; voided rows count, as in the report).
+
+    The lowest id is a hash aggregate; its text is fetched by the id.
+    """
+    rows = obs.filter((F.col("concept_id") == S.CARE_ENTRY_OTHER_TEXT) & F.col("encounter_id").isNotNull())
+    first = rows.groupBy("encounter_id").agg(F.min("obs_id").alias("obs_id"))
+    return rows.select("encounter_id", "obs_id", F.col("value_text").alias("care_entry_text")).join(
+        first, ["encounter_id", "obs_id"], "left_semi").select("encounter_id", "care_entry_text")
 
 
 def encounter_dates(encounter: DataFrame, params: LineListParams) -> DataFrame:
@@ -233,8 +275,8 @@ def encounter_dates(encounter: DataFrame, params: LineListParams) -> DataFrame:
         F.max(F.when((F.col("form_id") == S.FORM_PHARMACY) & (F.col("encounter_type") == S.ENC_PHARMACY)
                      & on_or_before_end, F.col("encounter_datetime"))).alias("pickup_at"),
         F.max(F.when(F.col("form_id") == S.FORM_TRACKING, F.col("encounter_datetime"))).alias("tracking_at"),
-        F.max(F.when(F.col("form_id") == S.FORM_TRACKING, F.date_format("encounter_datetime", FORMAT_DMY)))
-        .alias("tracking_text_max"),
+        # the time whose text is largest (legacy mode; dropped from the plan where nothing reads it)
+        F.max(F.when(F.col("form_id") == S.FORM_TRACKING, F.expr(text_order("encounter_datetime", False)))).alias("tracking_text_max"),
         F.max(F.when((F.col("encounter_type") == S.ENC_TB_SCREEN) & on_or_before_end, F.col("encounter_datetime")))
         .alias("tb_screen_at"),
     )
@@ -302,7 +344,7 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
     transfer_flag = text_is(_c("t160540"), "Transferred in") | text_is(_c("t165242"), "Transfer in with records")
     transfer_date_flag = text_is(_c("t160540"), "Transfer in") | text_is(_c("t165242"), "Transfer in with records")
     if legacy_text_max:
-        outcome_else = F.when(_c("transferred_out") == 1, parse_report_date(_c("tracking_text_max"), FORMAT_DMY))
+        outcome_else = F.when(_c("transferred_out") == 1, F.expr(from_text_order("tracking_text_max", False)))
     else:
         outcome_else = F.when(_c("transferred_out") == 1, _d("tracking_at"))
     cols: dict[str, Column] = {
@@ -396,7 +438,7 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
         # the report keeps the largest *text* among tied rows; typed output parses it back
         for out in LEGACY_TEXT_TIES:
             if f"{out}__text" in answers.columns:
-                cols[out] = parse_report_date(_c(f"{out}__text"), FORMAT_DMONY)
+                cols[out] = _c(f"{out}__text")
     # the current status reads two other columns
     read = wanted | ({"Outcomes", "IIT_Date"} if "CurrentARTStatus" in wanted else set()) | {"patient_id"}
     per_patient = wide.select(*[c.alias(n) for n, c in cols.items() if n in read])

@@ -5,7 +5,7 @@ import datetime as dt
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from carelens.operators.picks import PickPlan, PickSpec, best_per_spec, pivot, plan_candidates
+from carelens.operators.picks import PickPlan, PickSpec, best_per_spec, best_values, double_order, pivot, plan_candidates
 from carelens.sources.tables import tables_from_rows
 
 BASE = dt.datetime(2024, 1, 1)
@@ -90,3 +90,36 @@ def test_engine_matches_brute_force(spark, encs, obs):
     got = {r["person_id"]: {s.key: r[s.key] for s in SPECS}
            for r in pivot(best, {s.key: plan.value(s.key, "value_numeric") for s in SPECS}).collect()}
     assert got == brute(encs, obs)
+    # the packed form gives the same values
+    reads = [(s.key, "value_numeric") for s in SPECS] + [(s.key, "value_coded") for s in SPECS if not s.keep_ties]
+    tall = best_values(cands, plan, reads, {"value_coded": "value_coded"}, {"value_numeric": "value_numeric"}).collect()
+    packed = {}
+    for r in tall:
+        if r["read_idx"] < len(SPECS):
+            packed.setdefault(r["person_id"], {s.key: None for s in SPECS})[reads[r["read_idx"]][0]] = r["d"]
+        else:
+            assert r["v"] in (1, 2, 3) and r["d"] is None
+    assert packed == got
+
+
+def test_numbers_order_like_doubles(spark):
+    import math
+    import random
+    draw = random.Random(1)
+    values = [0.0, 5e-324, 2.2250738585072014e-308, 1.0, 1.5, 2.0, math.nextafter(2, 3), math.nextafter(2, 1), 0.1, 1e300, 1.7976931348623157e308,
+              math.inf, 3.0, 1e-300, 2.0 ** 52, 2.0 ** 53 + 2] + [draw.uniform(0, 1) * 10.0 ** draw.randint(-300, 300) for _ in range(300)]
+    values = sorted({v for x in values for v in (x, -x)})
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").selectExpr("i", f"{double_order('x')} AS o").orderBy("i").collect()
+    orders = [r["o"] for r in rows]
+    assert all(a < b for a, b in zip(orders, orders[1:]))
+    odd = spark.createDataFrame([(math.nan,), (None,)], "x double").selectExpr(f"{double_order('x')} AS o").collect()
+    assert odd[0]["o"] > max(orders) and odd[1]["o"] is None
+
+
+def test_names_are_numbered_in_order(spark):
+    from carelens.operators.dictionary import ranked_names
+    names = ["", "a", "aa", "ab", "b", "Ab", "é", "Zz", "ab c", "\U0001F642", "a"]
+    cn = spark.createDataFrame([(i, n, "en", 1) for i, n in enumerate(names)] + [(99, None, "en", 1)],
+                               "concept_id long, name string, locale string, locale_preferred int")
+    rows = sorted(ranked_names(cn).collect(), key=lambda r: r["name_rank"])
+    assert [r["name"] for r in rows] == sorted(names, key=str.encode) and len({r["name_rank"] for r in rows}) == len(names)

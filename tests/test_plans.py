@@ -25,6 +25,31 @@ def test_line_list_plan_shape(spark):
     assert len(re.findall(r"BroadcastNestedLoopJoin", plan)) <= 3
 
 
+def test_best_rows_of_obs_need_no_sort(spark, tmp_path):
+    """Up to the chosen values there are hash aggregates only; sorted ones read a row per patient and answer."""
+    from carelens.operators.picks import best_values, plan_candidates
+    from carelens.plans import specs as S
+    from carelens.plans.line_list import DOUBLE_READS, LONG_READS, encounter_refills, encounter_texts
+    from carelens.operators.dictionary import ranked_names
+    from carelens.sources.tables import ClinicalTables
+    build().tables(spark).write_parquet(str(tmp_path))
+    t = ClinicalTables.read_parquet(spark, str(tmp_path))
+    p = LineListParams(end=D(2024, 12, 25), today=D(2025, 1, 1))
+    plan = S.line_list_plan()
+    cands = plan_candidates(spark, t.obs, t.encounter, t.concept_name, plan, p.cutoffs(), extra_forms=[S.FORM_CARE_CARD],
+                            encounter_facts=encounter_refills(t.obs),
+                            names=ranked_names(t.concept_name).selectExpr("concept_id AS value_coded", "name_rank AS name"))
+    reads = [(s.key, c) for s in plan.specs for c in [*LONG_READS, *DOUBLE_READS]]
+    text = plan_text(best_values(cands, plan, reads, LONG_READS, DOUBLE_READS))
+    assert "HashAggregate(keys=[person_id" in text and "max_by(" in text
+    sorted_aggregates = re.findall(r"SortAggregate\(key[^\n]*", text)
+    assert all("concept_id" in a and "person_id" not in a for a in sorted_aggregates), sorted_aggregates  # the dictionary's alone
+    assert "SortAggregate" not in plan_text(encounter_texts(t.obs))
+    whole = plan_text(line_list(spark, t, p))
+    obs_sorts = [a for a in re.findall(r"SortAggregate\(key[^\n]*", whole) if "obs_" in a or "value_" in a]
+    assert not obs_sorts, obs_sorts
+
+
 def test_obs_scan_has_pushed_concept_filter(spark, tmp_path):
     from carelens.sources.tables import ClinicalTables
     t = build().tables(spark)
