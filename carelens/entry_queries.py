@@ -19,6 +19,8 @@ from carelens.plans import specs as S
 from carelens.plans.line_list import DISPLAY_FORMATS, SECTIONS, LineListParams, line_list, population, render
 from carelens.session import ensure_checkpoint_dir
 from carelens.sources.driver import REPORT_DAY, TODAY, build_tables
+from carelens.sources.layout import cohort_rows, write_by_patient
+from carelens.sources.versions import folder_version, read_version
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, Callable[[], str]] = {}
@@ -184,6 +186,19 @@ def q_correction_verify(spark, sf_dir):
     return spark.read.parquet(C.apply_corrections(t.encounter, t.visit, *_corrections(spark, sf_dir), _shared_root(spark), "check")["report"])
 
 
+@register("correct_stored_files", _sql("correct_stored_files"))
+def q_correct_stored_files(spark, sf_dir):
+    """Encounters after a correction that rewrites only the stored files with a requested visit."""
+    t = _tables(spark, sf_dir)
+    root = _shared_root(spark)
+    tables = {}
+    for name, df in (("encounter", t.encounter), ("visit", t.visit)):
+        df.repartitionByRange(32, "visit_id").write.parquet(f"{root}/{name}")
+        tables[name] = folder_version(spark, f"{root}/{name}"), df.schema
+    after = C.correct_stored(spark, tables, *_corrections(spark, sf_dir), root, "check")
+    return read_version(spark, after["encounter"], t.encounter.schema)
+
+
 @register("outside_changes", _sql("outside_changes"))
 def q_outside_changes(spark, sf_dir):
     """A faulty snapshot: beyond the requested visits some rows are lost, some changed, some new."""
@@ -270,6 +285,16 @@ def q_patient_visits(spark, sf_dir):
     return I.patient_visits(t.visit, _outside(t).select("patient_id"))
 
 
+@register("bucketed_patient_visits", _sql("patient_visits"))
+def q_bucketed_patient_visits(spark, sf_dir):
+    """Visit histories of the cohort from a table stored by patient bucket."""
+    t = _tables(spark, sf_dir)
+    cohort = _outside(t).select("patient_id").distinct()
+    path = f"{_shared_root(spark)}/visit"
+    write_by_patient(t.visit, path)
+    return I.patient_visits(cohort_rows(spark.read.parquet(path), cohort), cohort)
+
+
 @register("encounter_chronology", _sql("encounter_chronology"))
 def q_encounter_chronology(spark, sf_dir):
     t = _tables(spark, sf_dir)

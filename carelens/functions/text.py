@@ -16,9 +16,17 @@ def non_empty(c: Column) -> Column:
     return F.coalesce(F.rtrim(c) != F.lit(""), F.lit(False))
 
 
+def text_key(c: Column) -> Column:
+    """What the server's default comparison sees of a text: two texts are equal there if their keys are.
+
+    Grouping and joins on such texts use the key, an ordinary (hashable) string; results keep a stored text.
+    """
+    return F.lower(F.rtrim(c))
+
+
 def text_is(c: Column, literal: str) -> Column:
     """Case- and trailing-blank-insensitive equality with a literal; NULL is not equal."""
-    return F.coalesce(F.lower(F.rtrim(c)) == F.lit(literal.rstrip().lower()), F.lit(False))
+    return F.coalesce(text_key(c) == F.lit(literal.rstrip().lower()), F.lit(False))
 
 
 def number_text(c: Column) -> Column:

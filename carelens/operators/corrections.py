@@ -12,10 +12,12 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carelens.operators.fingerprints import changes_outside, digest, fingerprint, row_hash, table_digest
 from carelens.operators.runs import Run
 from carelens.sources.names import free_name, quoted, renamed, whole_row
+from carelens.sources.versions import rewrite_hits
 
 
 def _requests(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -220,6 +222,22 @@ def apply_corrections(encounter: DataFrame, visit: DataFrame, enc_requests: Data
     return {"backups": backups, **{n: f"{run.path}/{n}" for n in ("encounter", "visit", "report", "outside")}}
 
 
+def correct_stored(spark: SparkSession, tables: dict[str, tuple[DataFrame, T.StructType]], enc_requests: DataFrame,
+                   visit_requests: DataFrame, out_root: str, run_id: str) -> dict[str, DataFrame]:
+    """Correct stored versions by file: only files that hold a row of a requested visit are written anew.
+
+    ``tables``: the version (``sources.versions``) and schema of ``encounter`` and ``visit``. Resumable like
+    ``apply_corrections``: requests, then for each table its new version. Returns the new versions by name.
+    """
+    run = Run(spark, out_root, run_id)
+    t, _ = run.prepare({"encounter_requests": enc_requests, "visit_requests": visit_requests}, {},
+                       lambda t, fresh: {n: table_digest(v.select("path")) for n, (v, _) in tables.items()})
+    changes = {"encounter": lambda df: correct_encounters(df, t["encounter_requests"], None),
+               "visit": lambda df: correct_visits(df, t["visit_requests"], None)}
+    return {n: run.step(f"{n}_version", lambda n=n, v=v, schema=schema: rewrite_hits(
+        spark, v, schema, t[f"{n}_requests"], "visit_id", changes[n], f"{run.path}/{n}")) for n, (v, schema) in tables.items()}
+
+
 def apply_purge(biometricinfo: DataFrame, biometricverificationinfo: DataFrame, patients: DataFrame, out_root: str,
                 run_id: str, purged_at: dt.datetime | None = None) -> dict[str, str]:
     """Back up, purge and verify both biometric tables as written tables, and log the purge.

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelens.functions.text import text_is
+
 def english_names(concept_name: DataFrame, key: str = "concept_id", name: str = "name") -> DataFrame:
     """One preferred English name per concept (the smallest if a concept has several)."""
     return (
-        concept_name.filter((F.col("locale") == "en") & (F.col("locale_preferred") == 1) & F.col("name").isNotNull())
+        concept_name.filter(text_is(F.col("locale"), "en") & (F.col("locale_preferred") == 1) & F.col("name").isNotNull())
         .groupBy(F.col("concept_id").alias(key))
         .agg(F.min("name").alias(name))
     )

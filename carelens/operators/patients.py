@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelens.functions.text import text_is, text_key
+
 
 def active_patients(patient: DataFrame, person: DataFrame) -> DataFrame:
     """Non-voided patients that have a person row: (patient_id, gender, birthdate)."""
@@ -19,11 +21,15 @@ def active_patients(patient: DataFrame, person: DataFrame) -> DataFrame:
 
 
 def identifier_rows(patient_identifier: DataFrame, identifier_type: int) -> DataFrame:
-    """One row per (patient, distinct identifier of the type); uuid = smallest of that identifier."""
+    """One row per (patient, identifier of the type); texts that differ in case or trailing blanks are one identifier.
+
+    identifier and uuid are the smallest stored ones.
+    """
     return (
         patient_identifier.filter(F.col("identifier_type") == identifier_type)
-        .groupBy("patient_id", "identifier")
-        .agg(F.min("uuid").alias("uuid"))
+        .groupBy("patient_id", text_key(F.col("identifier")).alias("_key"))
+        .agg(F.min("identifier").alias("identifier"), F.min("uuid").alias("uuid"))
+        .drop("_key")
     )
 
 
@@ -93,16 +99,16 @@ def site_config(global_property: DataFrame, location: DataFrame, address_hierarc
                 datim_property: str = "Facility_Datim_Code", name_property: str = "Facility_Name") -> DataFrame:
     """The report's site header as exactly one row (global aggregates always return one row)."""
     gp = global_property.groupBy().agg(
-        F.min(F.when(F.col("property") == lga_property, F.col("property_value"))).alias("lga_code"),
-        F.min(F.when(F.col("property") == datim_property, F.col("property_value"))).alias("Datim_Code"),
-        F.min(F.when(F.col("property") == name_property, F.col("property_value"))).alias("FacilityName"),
+        F.min(F.when(text_is(F.col("property"), lga_property), F.col("property_value"))).alias("lga_code"),
+        F.min(F.when(text_is(F.col("property"), datim_property), F.col("property_value"))).alias("Datim_Code"),
+        F.min(F.when(text_is(F.col("property"), name_property), F.col("property_value"))).alias("FacilityName"),
     )
     state = location.filter(F.col("location_id") == location_id).groupBy().agg(F.min("state_province").alias("State"))
     # The hierarchy can be large: keep only entries of the configured code (semi join
     # against the one-row property frame), then reduce them to one row.
     lga = (
         address_hierarchy_entry.join(F.broadcast(gp.select("lga_code")),
-                                     F.col("user_generated_id") == F.col("lga_code"), "left_semi")
+                                     text_key(F.col("user_generated_id")) == text_key(F.col("lga_code")), "left_semi")
         .groupBy().agg(F.min("name").alias("LGA"))
     )
     # one-row aggregates as scalar subqueries of the one-row property frame

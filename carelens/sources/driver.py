@@ -142,8 +142,9 @@ def build_obs(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 def build_concept_name(spark: SparkSession, part: DataFrame) -> DataFrame:
     answer_keys = list(ANSWER_CODES)
     base = part.filter((F.col("p_partkey") % 10 != 0) & ~F.col("p_partkey").isin(answer_keys))
+    # the server's comparison ignores case and trailing blanks, so these are all English
     english = base.select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("name"),
-                          F.lit("en").alias("locale"), F.lit(1).alias("locale_preferred"))
+                          F.when(F.col("p_partkey") % 7 == 3, "EN ").otherwise("en").alias("locale"), F.lit(1).alias("locale_preferred"))
     french = base.filter(F.col("p_partkey") % 7 == 0).select(
         F.col("p_partkey").alias("concept_id"), F.concat(F.lit("fr:"), F.col("p_name")).alias("name"),
         F.lit("fr").alias("locale"), F.lit(1).alias("locale_preferred"))
@@ -239,10 +240,10 @@ def build_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
                      F.concat(F.lit("LGA-"), F.col("rk").cast("string")).alias("property_value")),
             F.struct(F.lit("Facility_Datim_Code").alias("property"),
                      F.concat(F.lit("DATIM-"), F.col("cnt").cast("string")).alias("property_value")),
-            F.struct(F.lit("Facility_Name").alias("property"), F.col("nm").alias("property_value")),
+            F.struct(F.lit("FACILITY_name ").alias("property"), F.col("nm").alias("property_value")),
         )).alias("p")).select("p.property", "p.property_value")
     location = r.select((F.col("r_regionkey") + 8).cast("int").alias("location_id"), F.col("r_name").alias("state_province"))
-    address_hierarchy_entry = n.select(F.concat(F.lit("LGA-"), F.col("n_regionkey").cast("string")).alias("user_generated_id"),
+    address_hierarchy_entry = n.select(F.concat(F.lit("lga-"), F.col("n_regionkey").cast("string"), F.lit(" ")).alias("user_generated_id"),
                                        F.col("n_name").alias("name"))
     return ClinicalTables(
         patient=patient, person=person, person_name=person_name, person_address=person_address,

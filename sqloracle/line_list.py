@@ -160,7 +160,7 @@ def line_list_sql(end: dt.date, today: dt.date, partner: str | None = None, vers
                 f"WHEN w.transferred_out = 1 THEN 'Transferred Out' END")
     sql = f"""{with_tables(*ALL)},
 en AS (SELECT concept_id, min(name) AS name FROM concept_name
-       WHERE locale = 'en' AND locale_preferred = 1 AND name IS NOT NULL GROUP BY concept_id),
+       WHERE lower(rtrim(locale)) = 'en' AND locale_preferred = 1 AND name IS NOT NULL GROUP BY concept_id),
 ox AS (SELECT o.*, e.encounter_type, e.form_id, e.encounter_datetime, en.name
        FROM obs o LEFT JOIN (SELECT * FROM encounter WHERE voided = 0) e ON e.encounter_id = o.encounter_id
        LEFT JOIN en ON en.concept_id = o.value_coded WHERE o.voided = 0),
@@ -225,12 +225,12 @@ w AS (SELECT gl.*, lsa.*, fsa.*, vta.*, oza.*,
       LEFT JOIN vta ON vta.person_id = gl.patient_id LEFT JOIN oza ON oza.person_id = gl.patient_id),
 site AS (SELECT
         (SELECT min(state_province) FROM location WHERE location_id = 8) AS State,
-        (SELECT min(name) FROM address_hierarchy_entry WHERE user_generated_id =
-            (SELECT min(property_value) FROM global_property WHERE property = 'partner_reporting_lga_code')) AS LGA,
-        (SELECT min(property_value) FROM global_property WHERE property = 'Facility_Datim_Code') AS Datim_Code,
-        (SELECT min(property_value) FROM global_property WHERE property = 'Facility_Name') AS FacilityName),
-pid AS (SELECT patient_id, identifier AS PEPID, min(uuid) AS uuid FROM patient_identifier WHERE identifier_type = 4
-        GROUP BY patient_id, identifier),
+        (SELECT min(name) FROM address_hierarchy_entry WHERE lower(rtrim(user_generated_id)) =
+            (SELECT lower(rtrim(min(property_value))) FROM global_property WHERE lower(rtrim(property)) = 'partner_reporting_lga_code')) AS LGA,
+        (SELECT min(property_value) FROM global_property WHERE lower(rtrim(property)) = 'facility_datim_code') AS Datim_Code,
+        (SELECT min(property_value) FROM global_property WHERE lower(rtrim(property)) = 'facility_name') AS FacilityName),
+pid AS (SELECT patient_id, min(identifier) AS PEPID, min(uuid) AS uuid FROM patient_identifier WHERE identifier_type = 4
+        GROUP BY patient_id, lower(rtrim(identifier))),
 rws AS (SELECT w.*, pid.PEPID, pid.uuid AS pid_uuid FROM w LEFT JOIN pid ON pid.patient_id = w.patient_id)
 SELECT
   {"CAST(NULL AS VARCHAR)" if partner is None else "'" + partner.replace("'", "''") + "'"} AS IP, site.State, site.LGA, site.Datim_Code, site.FacilityName,

@@ -86,7 +86,7 @@ FROM ids LEFT JOIN obs v ON v.obs_id = ids.obs_id"""
 def coded_value_names() -> str:
     return f"""{_w('encounter', 'obs', 'concept_name')}
 SELECT o.value_coded, o.obs_id, o.concept_id,
-       (SELECT min(name) FROM concept_name cn WHERE cn.concept_id = o.value_coded AND cn.locale = 'en'
+       (SELECT min(name) FROM concept_name cn WHERE cn.concept_id = o.value_coded AND lower(rtrim(cn.locale)) = 'en'
         AND cn.locale_preferred = 1) AS name
 FROM obs o WHERE o.voided = 0"""
 
@@ -109,7 +109,7 @@ def latest_value_spec() -> str:
     union = "\nUNION ALL\n".join(f"({p})" for p in parts)
     return f"""{_w('encounter', 'obs', 'concept_name')},
 en AS (SELECT concept_id, min(name) AS name FROM concept_name
-       WHERE locale = 'en' AND locale_preferred = 1 AND name IS NOT NULL GROUP BY concept_id),
+       WHERE lower(rtrim(locale)) = 'en' AND locale_preferred = 1 AND name IS NOT NULL GROUP BY concept_id),
 ox AS (SELECT o.*, e.encounter_type, e.form_id, e.encounter_datetime, en.name
        FROM obs o LEFT JOIN (SELECT * FROM encounter WHERE voided = 0) e ON e.encounter_id = o.encounter_id
        LEFT JOIN en ON en.concept_id = o.value_coded WHERE o.voided = 0)
@@ -171,6 +171,13 @@ SELECT t.visit_id, CAST(coalesce(p.n, 0) AS BIGINT) AS n_encounters,
 FROM targets t LEFT JOIN per_visit p ON p.visit_id = t.visit_id LEFT JOIN vis ON vis.visit_id = t.visit_id"""
 
 
+def correct_stored_files() -> str:
+    return f"""{_w('encounter', 'visit', 'encounter_corrections')},
+best AS (SELECT visit_id, bad_datetime, min(new_datetime) AS new_datetime FROM encounter_corrections GROUP BY ALL)
+SELECT e.* REPLACE (CASE WHEN b.visit_id IS NOT NULL THEN b.new_datetime ELSE e.encounter_datetime END AS encounter_datetime)
+FROM encounter e LEFT JOIN best b ON b.visit_id = e.visit_id AND b.bad_datetime = e.encounter_datetime"""
+
+
 def outside_changes() -> str:
     return f"""{_w('encounter', 'visit', 'encounter_corrections', 'visit_corrections')},
 targets AS (SELECT visit_id FROM encounter_corrections UNION SELECT visit_id FROM visit_corrections),
