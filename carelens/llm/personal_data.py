@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -132,16 +133,30 @@ def candidates(text: str) -> dict[str, list[tuple[int, int, bool]]]:
             n = len(NOT_DIGIT.sub("", m.group()))
             if 9 <= n <= 15:
                 out["phone"].append((m.start(), m.end(), True))
-    taken = [x for k in KINDS for x in out[k] if x[2]]
+    taken = Covered([x for k in KINDS for x in out[k] if x[2]])
     for m in NATIONAL.finditer(text):
-        if not overlaps(m.start(), m.end(), taken):
+        if not taken.meets(m.start(), m.end()):
             out["phone"].append((m.start(), m.end(), False))
     out["phone"].sort()
     return out
 
 
-def overlaps(start: int, end: int, spans: list[tuple]) -> bool:
-    return any(s[0] < end and start < s[1] for s in spans)
+class Covered:
+    """The union of spans; says in logarithmic time whether another span meets it."""
+
+    def __init__(self, spans: list[tuple]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, *_ in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)  # those before i begin before the span's end, and ends rise with starts
+        return i > 0 and self.ends[i - 1] > start
 
 
 def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int, ...]:
@@ -174,7 +189,7 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int,
 
 
 def traits(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
-    """Further discrete traits: length class, place at a line's edge, repeated in the text."""
+    """Further discrete traits: length class, place at a line's edge, whether it holds a blank or hyphen."""
     span = text[start:end]
     edge = int(text[start - 1:start] in ("", "\n") or text[end:end + 1] in ("", "\n"))
     length = min(7, (end - start) // 4)
@@ -284,14 +299,16 @@ class SpanFinder:
         every = {k: list(v) for k, v in base.items()}
         taken = [s for v in base.values() for s in v]
         for k in KINDS:
+            covered, last = Covered(taken), -1  # candidates of a kind are in order of start
             for a, b, ok in found[k]:
-                if not ok and not overlaps(a, b, taken):
+                if not ok and a >= last and not covered.meets(a, b):
                     p = (k, votes(k, text, a, b, ok), traits(k, text, a, b))
                     if p not in self.known:
                         self.known[p] = self.model.probability(*p) >= self.threshold
                     if self.known[p]:
                         every[k].append((a, b))
                         taken.append((a, b))
+                        last = max(last, b)
             every[k].sort()
         return base, every
 

@@ -113,17 +113,26 @@ def _host_sql() -> str:
     said = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, rules))
     strength = (f"CASE WHEN rho IS NULL OR isnan(rho) OR rho <= 0 THEN {high} ELSE least({high}, greatest({low}, 1 / rho - 1)) END")
     rho = ("SELECT sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0) AS rho FROM ")
+    listed = ", ".join(f"'{x}'" for x in R.SECOND_LEVEL)
+
+    def last(n: int) -> str:
+        return f"array_to_string(list_slice(l, -least({n}, len(l)), NULL), '.')"
+
     return f"""
     WITH p AS (
       SELECT page_id, {_fold("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host,
              regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
     bad AS (SELECT doc_id AS page_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels
             WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
-    hosts AS (SELECT host, split_part(host, '.', -1) AS suffix, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain,
-                     count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k FROM p JOIN bad USING (page_id) GROUP BY host),
+    counted AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k
+                FROM p LEFT JOIN bad USING (page_id) GROUP BY host),
+    labels_of AS (SELECT *, string_split(name, '.') AS l, regexp_matches(name, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') AS ip FROM counted),
+    hosts AS (SELECT host, n, k, CASE WHEN ip THEN name WHEN two THEN {last(2)} ELSE {last(1)} END AS suffix,
+                     CASE WHEN ip THEN name WHEN two THEN {last(3)} ELSE {last(2)} END AS domain
+              FROM (SELECT *, {last(2)} IN ({listed}) AS two FROM labels_of)),
     domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
     suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
-    s0 AS (SELECT *, (SELECT sum(k) / sum(n) FROM suffixes) AS prior FROM suffixes),
+    s0 AS (SELECT *, (SELECT sum(k) / nullif(sum(n), 0) FROM suffixes) AS prior FROM suffixes),
     s1 AS (SELECT suffix, (k + m * prior) / (n + m) AS post FROM s0, (SELECT {strength} AS m FROM ({rho} s0))),
     d0 AS (SELECT d.*, s1.post AS prior FROM domains d JOIN s1 USING (suffix)),
     d1 AS (SELECT domain, (k + m * prior) / (n + m) AS post FROM d0, (SELECT {strength} AS m FROM ({rho} d0))),
@@ -135,6 +144,56 @@ def _host_sql() -> str:
     FROM p LEFT JOIN judged USING (host)"""
 
 
+def _spelling_sql() -> str:
+    """Crc32 byte by byte with a table made by rule; near words by wildcards and deletions; chains by recursion."""
+    return f"""
+    WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b)) AS t),
+    runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all({_fold("coalesce(text, '')")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS w
+             FROM documents),
+    own AS (SELECT doc, w, count(*) AS n FROM runs WHERE length(w) >= 7 GROUP BY ALL),
+    coded AS (SELECT w, n, flatten(list_transform(string_split(doc || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+                ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes FROM own),
+    hashed AS (SELECT w, n, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM coded, crc),
+    kept AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+    words AS (SELECT word, sum(n)::BIGINT AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+    parts AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+    met AS (SELECT x.word, y.word AS near FROM parts x JOIN parts y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+            UNION SELECT x.word, w.word FROM parts x JOIN words w ON w.word = x.a || x.b
+            UNION SELECT w.word, x.word FROM parts x JOIN words w ON w.word = x.a || x.b),
+    best AS (SELECT met.word, count(*) AS n_near, arg_min(near, (-w.n, near)) AS form, max(w.n) AS form_n
+             FROM met JOIN words w ON w.word = near GROUP BY met.word),
+    chosen AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form,
+                      CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+    walk(word, here, further) AS (SELECT word, word, form FROM chosen UNION ALL
+                                SELECT walk.word, c.word, c.form FROM walk JOIN chosen c ON c.word = walk.further)
+    SELECT c.word, c.form, walk.here AS root, c.n, c.n_near, c.form_n FROM chosen c JOIN walk ON walk.word = c.word AND walk.further IS NULL"""
+
+
+def _collocations_sql() -> str:
+    """Every phrase of up to three words counted, scored at both cuts, dropped where a longer one covers it."""
+    def grams(k: int) -> str:
+        return (f"SELECT lang, array_to_string(g, ' ') AS g, {k} AS k FROM (SELECT lang, unnest(list_transform(range(1, len(w) - {k - 2}), "
+                f"lambda i: w[i:i + {k - 1}])) AS g FROM words)")
+
+    return f"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_fold("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+    words AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+    f AS (SELECT lang, g, k, count(*) AS a FROM ({grams(1)} UNION ALL {grams(2)} UNION ALL {grams(3)}) GROUP BY ALL HAVING count(*) >= 10),
+    split AS (SELECT *, string_split(g, ' ') AS w FROM f WHERE k > 1),
+    cuts AS (SELECT s.lang, s.g, s.k, s.a, l.a AS l, r.a AS r, l.k AS cut, (1000000::HUGEINT * s.a * s.a) // (l.a::HUGEINT * r.a) AS score
+             FROM split s JOIN f l ON l.lang = s.lang AND l.k < s.k AND l.g = array_to_string(s.w[1:l.k], ' ')
+             JOIN f r ON r.lang = s.lang AND r.k = s.k - l.k AND r.g = array_to_string(s.w[l.k + 1:], ' ')),
+    scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+    longer AS (SELECT lang, array_to_string(w[1:2], ' ') AS g, a FROM split WHERE k = 3
+               UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM split WHERE k = 3),
+    most AS (SELECT lang, g, max(a) AS most FROM longer GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score::BIGINT AS score
+    FROM scored JOIN totals USING (lang) LEFT JOIN most USING (lang, g) WHERE k = 3 OR most IS NULL OR 100 * most < 50 * a
+    QUALIFY rank <= 2000"""
+
+
 #: DuckDB SQL over the same tables; the other queries are tested against brute force.
 ORACLE: dict[str, str] = {
     "op2_top_k": """
@@ -165,4 +224,6 @@ ORACLE: dict[str, str] = {
     SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.component_id, s.doc_id = r.component_id AS kept
     FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)""",
     "op10_host_reputation": _host_sql(),
+    "op12_spelling": _spelling_sql(),
+    "op13_collocations": _collocations_sql(),
 }

@@ -18,9 +18,10 @@ def brute(pages, outcomes):
             worst[i] = max(worst.get(i, 0), b)
     hosts = defaultdict(lambda: [0, 0])
     for i, _ in pages:
+        counts = hosts[parts[i][0]]  # also of hosts without an outcome
         if i in worst:
-            hosts[parts[i][0]][0] += 1
-            hosts[parts[i][0]][1] += worst[i]
+            counts[0] += 1
+            counts[1] += worst[i]
 
     def up(groups, key):
         out = defaultdict(lambda: [0, 0])
@@ -35,9 +36,21 @@ def brute(pages, outcomes):
         rho = a / b if b else 0
         return max(1.0, min(10_000.0, 1 / rho - 1)) if rho > 0 else 10_000.0
 
-    domain, suffix = (lambda h: ".".join(h.split(".")[-2:])), (lambda h: h.split(".")[-1])
+    def level(h, n):
+        name = re.sub(":[0-9]*$", "", h)
+        if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", name):
+            return name
+        labels = name.split(".")
+        return ".".join(labels[-(n + (".".join(labels[-2:]) in H.SECOND_LEVEL)):])
+
+    def domain(h):
+        return level(h, 2)
+
+    def suffix(h):
+        return level(h, 1)
+
     domains, blocked = up(hosts, domain), set()
-    if hosts:
+    if any(n for n, _ in hosts.values()):
         suffixes = up(domains, suffix)
         n, k = (sum(v[j] for v in suffixes.values()) for j in (0, 1))
         prior = {s: k / n for s in suffixes}
@@ -59,6 +72,7 @@ def brute(pages, outcomes):
 
 URLS = ["http://www.example.com/en/1", "https://Example.COM/en/x?q#f", "http://b.example.com/en", "http://x.net/es/1?a", "http://x.net/ES/", None, "",
         "no scheme", "ftp://a.b.net/fr/", "http://com/", "http://com", "http://example.org?x=/en/", "http://ÉX.org/pÀ", "a://b://c.com/d", "http://bad.org/1"]
+MORE = ["http://a.shop.co.uk/", "http://b.shop.co.uk/x", "https://c.other.co.uk", "http://co.uk/", "http://x.com:8080/a", "http://10.1.2.3/q", "http://10.1.2.3:81/"]
 
 
 def test_like_brute_force(spark):
@@ -79,3 +93,15 @@ def test_edges(spark):
     assert H.judged_pages(p.limit(0), none).count() == 0
     plan = H.judged_pages(p, none)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_hosts_without_an_outcome(spark):
+    """A new host takes its domain's rate, a new domain its suffix's; two-label suffixes, ports and addresses."""
+    urls = [f"http://h{i}.bad.org/{j}" for i in range(40) for j in range(5)] + [f"http://ok{i}.com/{j}" for i in range(40) for j in range(5)]
+    urls += ["http://new.bad.org/", "http://new.ok1.com/", "http://new.com/"] + MORE * 6
+    pages = list(enumerate(urls))
+    outcomes = [(i, int("bad" in u or "shop" in u)) for i, u in pages if "new" not in u and "b.shop" not in u]
+    rows = H.judged_pages(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int")).collect()
+    assert set(map(tuple, rows)) == brute(pages, outcomes)
+    said = {r["host"]: r["verdict"] for r in rows}
+    assert said["new.bad.org"] == "block" and said["new.com"] == said["new.ok1.com"] == said["c.other.co.uk"] == "allow"

@@ -70,3 +70,45 @@ def test_redaction_keeps_the_rest(spark, frame):
 def test_long_runs_take_linear_time():
     for text in ("1" * 300_000, "a" * 300_000, "1." * 150_000, "+" * 300_000, "+1" + " " * 300_000, "@" * 100_000, "1 " * 100_000):
         P.candidates(text)
+
+
+def plain_overlaps(a, b, spans):
+    return any(s[0] < b and a < s[1] for s in spans)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 8)).map(lambda x: (x[0], x[0] + x[1])), max_size=12), st.integers(0, 45), st.integers(1, 9))
+def test_covered_like_a_plain_search(spans, a, n):
+    assert P.Covered(spans).meets(a, a + n) == plain_overlaps(a, a + n, spans)
+
+
+class Says:
+    """A model that adds what has an even number of characters (by a hash of the votes elsewhere)."""
+
+    def probability(self, kind, v, t):
+        return (hash((kind, v, t)) % 3) / 2
+
+
+@settings(max_examples=400, deadline=None)
+@given(PARTS)
+def test_added_spans_like_a_plain_search(text):
+    """Candidates in order of kind and start join unless they meet a base span or one that joined before."""
+    found = P.candidates(text)
+    base = {k: [(a, b) for a, b, ok in found[k] if ok] for k in P.KINDS}
+    want, taken = {k: list(v) for k, v in base.items()}, [s for v in base.values() for s in v]
+    model = Says()
+    for k in P.KINDS:
+        for a, b, ok in found[k]:
+            if not ok and not plain_overlaps(a, b, taken) and model.probability(k, P.votes(k, text, a, b, ok), P.traits(k, text, a, b)) >= 0.5:
+                want[k].append((a, b))
+                taken.append((a, b))
+    assert P.SpanFinder(model, 0.5).spans(text) == (base, {k: sorted(v) for k, v in want.items()})
+
+
+def test_many_spans_take_linear_time():
+    import time
+    text = "call 212 555 0143 or +1 212 555 0199 " * 60_000  # 2.2 MB, 120,000 spans
+    start = time.perf_counter()
+    base, every = P.SpanFinder(Says(), -1).spans(text)
+    assert len(base["phone"]) == 60_000 and len(every["phone"]) == 120_000
+    assert time.perf_counter() - start < 30
