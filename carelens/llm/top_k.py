@@ -10,8 +10,8 @@ for a query; a last step keeps the best k.
 
 Defined cases: vectors that are NULL or hold a NULL or non-finite component take no part, as
 rows with a NULL id; vectors of different dimension are never compared; of equal scores the
-smaller id ranks first; of rows that repeat an id the one with the largest vector (in array
-order) counts; scores beyond 64 bits stop at its ends; an empty table gives an empty result; extra columns are ignored.
+smaller id ranks first; rows that repeat an id with different vectors are all searched (none is a
+partner of its own id), equal rows count once; scores beyond 64 bits stop at its ends; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,13 +149,12 @@ def top_inner_products(spark: SparkSession, vectors: DataFrame, queries: str, k:
     work, so a task holds a few blocks, whatever the size of the table.
     """
     rows = quantised(vectors, vec_id, vector, scale)
-    one = rows.groupBy("vec_id").agg(F.max(F.struct("x", "dim", "sq")).alias("v")).select("vec_id", "v.*")
-    v = saved(spark, one, "vectors")
+    v = saved(spark, rows.dropDuplicates(["vec_id", "x"]), "vectors")
     n = v.count()
     turn = spark.sparkContext.broadcast(rotations(v))
     asked = v.filter(queries)
     blocks = _blocks(v, vector_block, max(1, -(-n // vector_block)))
-    asked_blocks = _blocks(asked, query_block, max(1, -(-n // (50 * query_block))))
+    asked_blocks = _blocks(asked, query_block, max(1, -(-asked.count() // query_block)))
     blocks, asked_blocks = saved(spark, _numbered(blocks), "blocks"), saved(spark, _numbered(asked_blocks), "queries")
     tiles = blocks.agg(F.coalesce(F.max("block") + 1, F.lit(0))).first()[0]
     q_tiles = asked_blocks.agg(F.coalesce(F.max("block") + 1, F.lit(0))).first()[0]

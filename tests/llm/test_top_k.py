@@ -43,3 +43,21 @@ def test_edges(spark):
             (8, [-0.001, 0.5]), (None, [1.0, 1.0]), (200, [1.0])]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == {}
+
+
+def test_repeated_ids_like_the_sql(spark):
+    """All rows of an id are searched, as the registered SQL does; equal rows are left out here."""
+    import duckdb
+
+    from carelens.llm.queries import ORACLE
+    rng = np.random.default_rng(5)
+    rows = [(50, [1.0, 2.0]), (1, [1.0, 1.0]), (1, [2.0, 0.5]), (2, [0.5, 0.5]), (2, [3.0, 0.0]), (50, [-1.0, 4.0])]
+    rows += [(int(i), [float(c) for c in rng.normal(size=2)]) for i in rng.integers(0, 120, 300)]
+    import pandas as pd
+    embeddings = pd.DataFrame({"vec_id": [r[0] for r in rows], "embedding": [np.asarray(r[1], np.float32) for r in rows]})
+    con = duckdb.connect()
+    con.register("embeddings", embeddings)
+    want = sorted((q, k, s) for q, k, _, s in con.execute(ORACLE["op2_top_k"]).fetchall())
+    df = spark.createDataFrame([(i, [float(np.float32(c)) for c in e]) for i, e in rows], "vec_id long, embedding array<float>")
+    got = top_k.top_inner_products(spark, df, "vec_id % 50 = 0", 5, query_block=3, vector_block=20).collect()
+    assert sorted((r["query_id"], r["rank"], r["score"]) for r in got) == want
