@@ -1,4 +1,4 @@
-"""Writers: report tables, audit backups and corrected snapshots (Parquet, new paths only)."""
+"""Writers of report tables (Parquet)."""
 
 from __future__ import annotations
 
@@ -21,14 +21,3 @@ def save_line_list(df: DataFrame, path: str) -> None:
     if missing:
         raise ValueError(f"not a line list, missing columns: {missing[:5]}")
     save_table(df, path)
-
-
-def append_backup(before: DataFrame, root: str, table: str, run_id: str) -> str:
-    """Write the before image of one run to ``root/<table>/backup_run=<run_id>``.
-
-    A run's slice is written once: a run id that has one already is an error, so a second run can
-    never replace the rows from before the first one by those after it.
-    """
-    path = f"{root.rstrip('/')}/{table}"
-    before.drop("backup_run").write.mode("error").parquet(f"{path}/backup_run={run_id}")
-    return path
