@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.functions.dates import end_of_day, quarter_end
+from carelens.functions.dates import end_of_day, parse_report_date, quarter_end
 from carelens.operators import corrections as C
 from carelens.operators import investigate as I
 from carelens.operators import latest as LT
@@ -85,6 +85,13 @@ def q_date_format_edges(spark, sf_dir):
     return render(df)
 
 
+@register("parsed_report_dates", _sql("parsed_report_dates"))
+def q_parsed_report_dates(spark, sf_dir):
+    """The rendered date columns read back from their text."""
+    text = q_date_format_edges(spark, sf_dir)
+    return text.select("patient_id", "PEPID", *[parse_report_date(F.col(f"`{c}`"), fmt).alias(c) for c, fmt in DISPLAY_FORMATS.items()])
+
+
 @register("population_gate", _sql("population_gate"))
 def q_population_gate(spark, sf_dir):
     return population(_tables(spark, sf_dir), PARAMS)

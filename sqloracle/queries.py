@@ -17,8 +17,8 @@ def _w(*names: str) -> str:
     return with_tables(*names)
 
 
-def date_format_edges() -> str:
-    formats = {
+def _date_formats() -> dict[str, list[str]]:
+    return {
         "%d/%m/%Y": ["DateConfirmedHIV+", "ARTStartDate", "Pharmacy_LastPickupdate", "Pharmacy_LastPickupdate_PreviousQuarter",
                      "DateofCurrentViralLoad", "DateResultReceivedFacility", "Outcomes_Date", "DOB", "Date_Transfered_In",
                      "DateofFirstTLD_Pickup", "IPT_Screening_Date", "Date_Enrolled_Into_OTZ", "OTZ_Outcome_Date", "PBS_Capture_Date"],
@@ -27,10 +27,18 @@ def date_format_edges() -> str:
                      "Date_Enrolled_Into_OTZ_Plus"],
         "%Y-%m-%d": ["IIT_Date", "CurrentCD4Date", "EstimatedNextAppointmentPharmacy", "PBS_Recapture_Date"],
     }
-    cols = ", ".join(f"strftime(\"{c}\", '{fmt}') AS \"{c}\"" for fmt, names in formats.items() for c in names)
+
+
+def date_format_edges() -> str:
+    cols = ", ".join(f"strftime(\"{c}\", '{fmt}') AS \"{c}\"" for fmt, names in _date_formats().items() for c in names)
     return f"SELECT patient_id, PEPID, {cols} FROM ({line_list_sql(REPORT_DAY, TODAY)}) ll"
 
 
+def parsed_report_dates() -> str:
+    cols = ", ".join(f"CAST(try_strptime(\"{c}\", '{fmt}') AS DATE) AS \"{c}\"" for fmt, names in _date_formats().items() for c in names)
+    return f"SELECT patient_id, PEPID, {cols} FROM ({date_format_edges()}) t"
+
+
 def population_gate() -> str:
     latest = ", ".join(map(str, S.LATEST_SET))
     return f"""{_w('patient', 'person', 'encounter', 'obs')}
