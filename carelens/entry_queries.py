@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from carelens.operators import latest as LT
 from carelens.operators import quality as Q
 from carelens.operators.dictionary import coded_value_names
 from carelens.plans import specs as S
+from carelens.plans.as_of import STATE, advanced, report_state
 from carelens.plans.line_list import DISPLAY_FORMATS, SECTIONS, LineListParams, line_list, population, render
 from carelens.session import ensure_checkpoint_dir
 from carelens.sources.driver import REPORT_DAY, TODAY, build_tables
@@ -53,6 +55,21 @@ def q_line_list(spark, sf_dir):
     return line_list(spark, _tables(spark, sf_dir), PARAMS)
 
 
+@register("line_list_advanced", _ll_sql)
+def q_line_list_advanced(spark, sf_dir):
+    """The line list from a state kept 45 days before, when a tenth of the observations were not loaded yet and some
+    patients had other voided flags."""
+    t = _tables(spark, sf_dir)
+    loaded, changed = F.col("obs_id") % 10 == 3, F.col("person_id") % 17 == 0
+    earlier = t.obs.filter(~loaded).withColumn("voided", F.when(changed, 1 - F.col("voided")).otherwise(F.col("voided")))
+    before = replace(PARAMS, end=REPORT_DAY - dt.timedelta(days=45))
+    path = f"{_shared_root(spark)}/state"
+    report_state(spark, t.with_tables(obs=earlier), before).write.parquet(path)
+    state = advanced(spark, spark.read.schema(STATE).parquet(path), t, before, PARAMS, t.obs.filter(loaded).select("obs_id"),
+                     t.obs.filter(changed).select("person_id"))
+    return line_list(spark, t, PARAMS, state=state)
+
+
 def _section(key: str, cols: list[str]):
     def q(spark, sf_dir):
         return line_list(spark, _tables(spark, sf_dir), PARAMS, section=key)

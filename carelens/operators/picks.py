@@ -256,9 +256,10 @@ def packed_key(time: str, tie: str) -> str:
             f"CAST(coalesce({tie}, CAST('{NO_VALUE}' AS long)) AS decimal(38, 0))")
 
 
-def best_values(cands: DataFrame, plan: PickPlan, reads: list[tuple[str, str]], longs: dict[str, str],
-                doubles: dict[str, str]) -> DataFrame:
-    """person_id, read_idx, v, d: of each (question, column) in ``reads`` the column's value in the person's best row.
+def best_state(cands: DataFrame, plan: PickPlan, reads: list[tuple[str, str]], longs: dict[str, str],
+               doubles: dict[str, str]) -> DataFrame:
+    """person_id, read_idx, best, v, d: of each (question, column) in ``reads`` the column's value in the person's best row,
+    and that row's packed key (states of one list of reads can be merged, see ``merged``).
 
     ``longs`` and ``doubles`` say by SQL what a column's number is (in ``v`` or ``d``). For ``keep_ties`` questions it is the
     largest value among the rows at the best time. All state is fixed-width, so this is a hash aggregate, partial
@@ -277,7 +278,19 @@ def best_values(cands: DataFrame, plan: PickPlan, reads: list[tuple[str, str]],
         f"CAST({lane(longs)} AS long) AS v", f"CAST({lane(doubles)} AS double) AS d")
     tie = f"CASE WHEN NOT s_ties THEN _tb WHEN is_double THEN {double_order('d')} ELSE v END"
     x = x.selectExpr("person_id", "read_idx", "v", "d", f"{packed_key('_k', tie)} AS best")
-    return x.groupBy("person_id", "read_idx").agg(F.expr("max_by(v, best) AS v"), F.expr("max_by(d, best) AS d"))
+    return merged(x)
+
+
+def merged(states: DataFrame) -> DataFrame:
+    """The best of several states (a union of them): the value with the largest key."""
+    return states.groupBy("person_id", "read_idx").agg(
+        F.expr("max(best) AS best"), F.expr("max_by(v, best) AS v"), F.expr("max_by(d, best) AS d"))
+
+
+def best_values(cands: DataFrame, plan: PickPlan, reads: list[tuple[str, str]], longs: dict[str, str],
+                doubles: dict[str, str]) -> DataFrame:
+    """person_id, read_idx, v, d of ``best_state``."""
+    return best_state(cands, plan, reads, longs, doubles).drop("best")
 
 
 def choose(cands: DataFrame, keep: list[str]) -> DataFrame:

@@ -153,19 +153,18 @@ DOUBLE_READS = {"value_numeric": "value_numeric", "encounter_refill": "encounter
 NAME_READS = ("name", "tpt_received_name")
 
 
-def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineListParams,
-                        plan: PickPlan | None = None, legacy_text_max: bool = False,
-                        keep: frozenset[str] | None = None) -> tuple[DataFrame, DataFrame, PickPlan]:
-    """Every observation-derived value of the report, one row per person (``person_id``).
+def qualifying_rows(spark: SparkSession, t: ClinicalTables, params: LineListParams, plan: PickPlan, facts: DataFrame | None = None) -> DataFrame:
+    """The observations that qualify for each question of ``plan``; coded values carry the numbers of their names.
 
-    Returns (answers, qualifying rows, plan). Coded values travel as the numbers of their names; names are
-    fetched for the chosen values only.
+    ``facts``: the observations from which refill counts are taken, if not those of ``t``.
     """
-    plan = plan or S.line_list_plan(params.extended_concepts, keep)
-    names = ranked_names(t.concept_name)
-    cands = plan_candidates(spark, t.obs, t.encounter, t.concept_name, plan, params.cutoffs(), extra_forms=[S.FORM_CARE_CARD],
-                            encounter_facts=encounter_refills(t.obs) if "prevq_pickup" in plan.index else None,
-                            names=names.selectExpr("concept_id AS value_coded", "name_rank AS name"))
+    return plan_candidates(spark, t.obs, t.encounter, t.concept_name, plan, params.cutoffs(), extra_forms=[S.FORM_CARE_CARD],
+                           encounter_facts=encounter_refills(t.obs if facts is None else facts) if "prevq_pickup" in plan.index else None,
+                           names=ranked_names(t.concept_name).selectExpr("concept_id AS value_coded", "name_rank AS name"))
+
+
+def answer_reads(plan: PickPlan, legacy_text_max: bool = False) -> tuple[list[tuple[str, str]], dict[str, str], dict[str, str]]:
+    """What the report's answers read: the (question, column) pairs, the pivot aggregate and the column of each answer."""
     has = plan.index.__contains__
     reads: list[tuple[str, str]] = []
     aggs: dict[str, str] = {}
@@ -226,7 +225,24 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
     if legacy_text_max:
         for out, key in LEGACY_TEXT_TIES.items():
             add(f"{out}__text", [key], "care_card_text_order" if key == "L5096" else "value_text_order")
-    best = best_values(cands, plan, reads, LONG_READS, DOUBLE_READS)
+    return reads, aggs, kinds
+
+
+def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineListParams,
+                        plan: PickPlan | None = None, legacy_text_max: bool = False,
+                        keep: frozenset[str] | None = None, state: DataFrame | None = None) -> DataFrame:
+    """Every observation-derived value of the report, one row per person (``person_id``).
+
+    Names are fetched for the chosen values only. ``state``: the best values as kept by ``plans.as_of``
+    (of the whole plan) instead of a pass over ``obs``.
+    """
+    plan = plan or S.line_list_plan(params.extended_concepts, keep)
+    names = ranked_names(t.concept_name)
+    reads, aggs, kinds = answer_reads(plan, legacy_text_max)
+    if state is None:
+        best = best_values(qualifying_rows(spark, t, params, plan), plan, reads, LONG_READS, DOUBLE_READS)
+    else:
+        best = state.select("person_id", "read_idx", "v", "d")
     named = [i for i, (_, c) in enumerate(reads) if c in NAME_READS]
     if named:
         best = best.withColumn("name_rank", F.expr(f"CASE WHEN read_idx IN ({', '.join(map(str, named))}) THEN v END")).join(
@@ -244,7 +260,7 @@ def observation_answers(spark: SparkSession, t: ClinicalTables, params: LineList
         answers = (answers.withColumn("TPT_Outcomes", F.lit(None).cast("string"))
                    .withColumn("Date_of_TPT_Outcome", F.lit(None).cast("timestamp_ntz"))
                    .withColumn("Date_Enrolled_Into_OTZ_Plus", F.lit(None).cast("timestamp_ntz")))
-    return answers, cands, plan
+    return answers
 
 
 def encounter_refills(obs: DataFrame) -> DataFrame:
@@ -289,14 +305,17 @@ def _care_entry_point(code: str, text: str) -> Column:
 
 
 def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, display: bool = False,
-              legacy_text_max: bool = False, section: str | None = None) -> DataFrame:
+              legacy_text_max: bool = False, section: str | None = None, state: DataFrame | None = None) -> DataFrame:
     """The 114-column line list: one row per listed patient and type-4 identifier.
 
     ``display=True`` renders dates as the report's text formats; ``legacy_text_max``
     reproduces the report's text maximum for the outcome date (``31/01/2020`` beats
     ``01/12/2024``). ``section`` (a key of ``SECTIONS``) computes only the observation
-    questions that section reads and returns its columns.
+    questions that section reads and returns its columns. ``state``: kept best values (``plans.as_of``;
+    not with a section or the legacy mode).
     """
+    if state is not None and (section or legacy_text_max):
+        raise ValueError("a kept state answers the whole report")
     wanted = set(SECTIONS[section]) if section else set(COLUMNS)
     if section:
         keep = S.SECTION_SPECS[section] | (S.EXTENDED_SECTION_SPECS.get(section, frozenset()) if params.extended_concepts else frozenset())
@@ -304,7 +323,7 @@ def line_list(spark: SparkSession, t: ClinicalTables, params: LineListParams, di
         keep = None
     answers = None
     if keep is None or keep:
-        answers, _, _ = observation_answers(spark, t, params, legacy_text_max=legacy_text_max, keep=keep)
+        answers = observation_answers(spark, t, params, legacy_text_max=legacy_text_max, keep=keep, state=state)
         if params.checkpoint_answers:
             from carelens.session import ensure_checkpoint_dir
             ensure_checkpoint_dir(spark)
