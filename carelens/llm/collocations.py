@@ -25,7 +25,6 @@ extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -37,30 +36,49 @@ from pyspark.sql import functions as F
 from carelens.llm.common import column, saved, text_slices
 from carelens.llm.spelling import lower_ascii
 
-#: The characters at which texts are cut into pieces, and pieces into words.
-TOKEN = re.compile(r"[^ \t.,;:!?\n\x0b\x0c\r]+|[.,;:!?\n\x0b\x0c\r]")
-BREAKS = frozenset(".,;:!?\n\x0b\x0c\r")
+#: The characters at which texts are cut into pieces (pieces are cut into words at blanks and tabs).
+BREAKS = "\n.,;:!?\x0b\x0c\r"
 SCALE = 1_000_000
 LEAST = 10
 TOP = 2000
 #: A longer candidate covers a phrase if it is at least so many hundredths as frequent.
 COVER = 50
-#: Bits of a filter: 8 MB.
-FILTER_BITS = 1 << 26
-HELD_WORDS = 400_000
+#: Bits of a filter (4 MB).
+FILTER_BITS = 1 << 25
+HELD_WORDS = 120_000
 #: Words handled at a time when phrases are counted.
-PART = 1 << 21
-BREAK = -1
+PART = 1 << 19
+#: Words in a row of coded texts.
+ROW = 512
+BREAK, NOTHING = -1, -2
 
 
 def word_hash(lang: str, word: str, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{lang}\n{word}".encode(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little") >> 1
 
 
+def tokens(texts: list[str]) -> list[str]:
+    """The words of texts, with a line feed for each piece end (also between texts) and empty strings to be left out."""
+    s = lower_ascii("\n".join(texts)).replace("\t", " ")
+    for c in BREAKS:
+        if c in s:
+            s = s.replace(c, " \n ")
+    return s.split(" ")
+
+
 def _language_rows(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("coalesce(CAST(lang AS string), 'und') AS lang", "text")
 
 
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
+    """(lang, texts) of a batch, about a megabyte of text at a time."""
+    for part, texts in text_slices(batch):
+        groups: dict[str, list[str]] = defaultdict(list)
+        for lang, text in zip(column(part, "lang").to_pylist(), texts):
+            groups[lang].append(text)
+        yield from groups.items()
+
+
 def vocabulary(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, int]:
     """(lang, word, h, n for every word of ``docs`` (text, lang); the seed with which no two share h)."""
     for seed in range(1 << 30):
@@ -69,7 +87,7 @@ def vocabulary(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, int]:
 
             def out() -> Iterator[pa.RecordBatch]:
                 for lang, own in held.items():
-                    words = [w for w in own if w not in BREAKS]
+                    words = [w for w in own if w and w != "\n"]
                     for at in range(0, len(words), 50_000):
                         part = words[at:at + 50_000]
                         yield pa.RecordBatch.from_arrays(
@@ -79,9 +97,8 @@ def vocabulary(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, int]:
                 held.clear()
 
             for batch in batches:
-                for part, texts in text_slices(batch):
-                    for lang, text in zip(column(part, "lang").to_pylist(), texts):
-                        held[lang].update(TOKEN.findall(lower_ascii(text)))
+                for lang, texts in _by_language(batch):
+                    held[lang].update(tokens(texts))
                     if sum(map(len, held.values())) > HELD_WORDS:
                         yield from out()
             yield from out()
@@ -116,10 +133,6 @@ class Filter:
         self.size = size
         self.cells = np.zeros(size // 64, np.uint64)
 
-    def add(self, *keys: np.ndarray) -> None:
-        for b in _bits(_mixed(*keys), self.size):
-            np.bitwise_or.at(self.cells, b >> np.uint64(6), np.uint64(1) << (b & np.uint64(63)))
-
     def has(self, *keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys[0]), bool)
         for b in _bits(_mixed(*keys), self.size):
@@ -128,61 +141,71 @@ class Filter:
 
 
 def filter_of(rows: DataFrame, keys: list[str], size: int = FILTER_BITS) -> Filter:
-    """A filter that holds the rows of hashes; at most size / 64 cells come to the driver."""
+    """A filter that holds the rows of hashes. Its cells are joined by Spark; only the whole (of fixed size) comes to the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(size)
         for batch in batches:
-            own.add(*(column(batch, k).to_numpy() for k in keys))
-        at = np.flatnonzero(own.cells)
-        for i in range(0, len(at), 100_000):
-            some = at[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own.cells[some].view(np.int64))], ["cell", "bits"])
+            mixed = _mixed(*(column(batch, k).to_numpy() for k in keys))
+            bit = np.unique(np.concatenate(_bits(mixed, size)))
+            cell = bit >> np.uint64(6)
+            first = np.flatnonzero(np.diff(cell.astype(np.int64), prepend=-1))
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first) if len(bit) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[first].astype(np.int64)), pa.array(bits.view(np.int64))], ["cell", "bits"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [column(batch, c).to_numpy().tobytes() for c in ("cell", "bits")]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["cells", "bits"])
 
-    cells = rows.select(*keys).mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+    cells = rows.select(*keys).mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.expr("bit_or(bits)").alias("bits"))
     out = Filter(size)
-    out.cells[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
+    for r in cells.mapInArrow(packed, "cells binary, bits binary").collect():  # size / 64 cells at most
+        out.cells[np.frombuffer(r["cells"], np.int64)] = np.frombuffer(r["bits"], np.uint64)
     return out
 
 
 def coded_texts(spark: SparkSession, docs: DataFrame, seed: int, frequent: Filter) -> DataFrame:
-    """seq: the hashes of the words of each text (packed), BREAK for piece ends and rare words."""
+    """seq: the hashes of the words of some texts of a language (packed), BREAK for piece ends and rare words."""
     shared = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[str, int]] = defaultdict(dict)
-        size = 0
+        known: dict[str, dict[str, int]] = {}
         for batch in batches:
-            for part, texts in text_slices(batch):
-                out = []
-                for lang, text in zip(column(part, "lang").to_pylist(), texts):
-                    tokens = TOKEN.findall(lower_ascii(text))
-                    own = known[lang]
-                    new = [w for w in set(tokens) if w not in own]
-                    if new:
-                        if size + len(new) > HELD_WORDS:
-                            known.clear()
-                            own, new, size = known[lang], list(set(tokens)), 0
-                        h = np.fromiter((BREAK if w in BREAKS else word_hash(lang, w, seed) for w in new), np.int64, len(new))
-                        h[~shared.value.has(h)] = BREAK
-                        own.update(zip(new, h.tolist()))
-                        size += len(new)
-                    s = np.fromiter(map(own.__getitem__, tokens), np.int64, len(tokens))
-                    # Pieces of one word hold no phrase.
-                    live = s != BREAK
-                    near = np.zeros(len(s), bool)
-                    near[1:] |= live[:-1]
-                    near[:-1] |= live[1:]
-                    s = np.where(live & near, s, BREAK)
-                    keep = np.ones(len(s), bool)
-                    keep[1:] = (s[1:] != BREAK) | (s[:-1] != BREAK)
-                    out.append(s[keep].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["seq"])
+            for lang, texts in _by_language(batch):
+                words = tokens(texts)
+                own = known.setdefault(lang, {"": NOTHING, "\n": BREAK})
+                codes = list(map(own.get, words))
+                new = list({w for w, c in zip(words, codes) if c is None})
+                if new:
+                    if sum(map(len, known.values())) + len(new) > HELD_WORDS:
+                        known.clear()
+                        own = known[lang] = {"": NOTHING, "\n": BREAK}
+                        new = list(set(words) - {"", "\n"})
+                    h = np.fromiter((word_hash(lang, w, seed) for w in new), np.int64, len(new))
+                    h[~shared.value.has(h)] = BREAK
+                    own.update(zip(new, h.tolist()))
+                    codes = map(own.__getitem__, words)
+                s = np.fromiter(codes, np.int64, len(words))
+                s = s[s != NOTHING]
+                # Pieces of one word hold no phrase.
+                live = s != BREAK
+                near = np.zeros(len(s), bool)
+                near[1:] |= live[:-1]
+                near[:-1] |= live[1:]
+                s = np.where(live & near, s, BREAK)
+                keep = np.ones(len(s), bool)
+                keep[1:] = (s[1:] != BREAK) | (s[:-1] != BREAK)
+                s = s[keep]
+                # Small rows, cut where pieces end, so that Arrow batches stay small.
+                ends = np.flatnonzero(s == BREAK)
+                cuts = np.unique(np.append(ends, len(s))[np.searchsorted(ends, np.arange(ROW, len(s) + ROW, ROW))])
+                rows = [x.tobytes() for x in np.split(s, cuts) if len(x) > 1]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["seq"])
 
     return saved(spark, _language_rows(docs).mapInArrow(run, "seq binary"), "coded")
 
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The texts in a row, with a BREAK after each, about PART words at a time (one text at least)."""
+    """The texts in a row, with a BREAK after each row, about PART words at a time (one row at least)."""
     stop = np.asarray([BREAK], np.int64).tobytes()
     held, size = [], 0
     for batch in batches:
