@@ -40,6 +40,8 @@ CLASS_WORDS = 800
 CLASSES = 48
 LEAST = 5
 FEW = 0.05
+#: Tokens whose neighbour counts a task adds up before they are shuffled.
+NEIGHBOURS = 1 << 22
 
 
 def tokens(text: str) -> list[bytes]:
@@ -173,7 +175,7 @@ def neighbour_classes(coded: DataFrame, of: np.ndarray, size: int, first: int, s
         cls = shared.value
         for batch in batches:
             others = column(batch, "words").to_pylist() if rare else []
-            for start, end, texts in _pieces(batch, "seq", "<i4"):
+            for start, end, texts in _pieces(batch, "seq", "<i4", NEIGHBOURS):
                 numbers: dict[bytes, int] = {}
                 if rare:
                     moved = []
