@@ -17,6 +17,7 @@ are packed each on its own; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -35,6 +36,8 @@ PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_token
                 "sequence_id long, offset long, sequence_tokens long")
 #: Sequence numbers one task may use; partition number times this is the task's first number.
 SEQUENCES_PER_TASK = 1 << 40
+#: Fixed value: the pre-token pattern of the tokenizers that can be encoded word by word.
+WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Longer words are not kept in the cache.
 LONG_WORD = 200
 #: Where Python and tokenizers may disagree on what is white space, only ASCII spaces cut words.
@@ -125,26 +128,48 @@ def pack(pieces: list[tuple[int, int]], window: int, fill: float) -> list[tuple[
     return out
 
 
+class Cache(dict):
+    """A dictionary that is emptied before it holds more than about ``budget`` bytes."""
+
+    #: Bytes of an entry besides its text and ids: object headers and its place in the dictionary.
+    ENTRY = 120
+
+    def __init__(self, budget: int):
+        super().__init__()
+        self.budget = budget
+        self.size = 0
+
+    def room(self, new: int, text: int) -> bool:
+        """Make room for ``new`` entries with ``text`` characters; False if all others had to go for it."""
+        self.size += new * self.ENTRY + 2 * text
+        if self.size <= self.budget:
+            return True
+        self.clear()
+        self.size = 0
+        return False
+
+
 class WordIds:
     """Token ids (as little-endian uint32 bytes) of texts, cached by white-space separated word.
 
-    Only for tokenizers that drop white space, never join across it, fold case, and cut between
-    letters or digits and other characters: then a text's ids are its words' ids in a row, and a
+    Where a tokenizer drops white space, never joins across it, folds case, and cuts between
+    letters or digits and other characters, a text's ids are its words' ids in a row, and a
     word's those of its lower case without its trailing punctuation, then of that punctuation.
-    Words that may hold a special token are encoded as they are. A cache that holds ``limit``
-    words is emptied.
+    Words that may hold a special token are encoded as they are. Other tokenizers (see
+    ``by_words``) encode whole texts. The caches hold about ``budget`` bytes together.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, budget: int = 160 << 20):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.by_words = by_words(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = tuple({t.content[:1] for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.limit = limit
-        self.words: dict[str, bytes] = {}  # by word as it stands
-        self.parts: dict[str, bytes] = {"": b""}  # by folded word or punctuation
+        self.words = Cache(budget * 5 // 8)  # by word as it stands
+        self.parts = Cache(budget * 3 // 8)  # by folded word or punctuation
 
     def _split(self, word: str) -> tuple[str, str]:
         """A word as two parts that are encoded alone."""
@@ -174,19 +199,21 @@ class WordIds:
             self.parts.update(zip(some, [ids[a:b] for a, b in zip(cut, cut[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         rows = [ASCII_SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in texts]
         words, parts = self.words, self.parts
         missing = set().union(*rows).difference(words)
-        if len(words) + len(missing) > self.limit:
-            words.clear()
+        if not words.room(len(missing), sum(map(len, missing))):
             missing = set().union(*rows)
+            words.room(len(missing), sum(map(len, missing)))
         split = {w: self._split(w) for w in missing}
         new = set().union(*split.values()).difference(parts)
-        if len(parts) + len(new) > self.limit:
-            parts.clear()
-            parts[""] = b""
-            new = set().union(*split.values()).difference(parts)
-        self._learn(list(new))
+        if not parts.room(len(new), sum(map(len, new))):
+            new = set().union(*split.values())
+            parts.room(len(new), sum(map(len, new)))
+        parts[""] = b""
+        self._learn([p for p in new if p])
         words.update({w: parts[a] + parts[b] if b else parts[a] for w, (a, b) in split.items()})
         out = [b"".join([words[w] for w in r]) for r in rows]
         for cache, added in ((words, missing), (parts, new)):
@@ -196,6 +223,26 @@ class WordIds:
         return out
 
 
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer file (as JSON) is of the kind whose texts can be encoded word by word.
+
+    Its normalizer composes characters, makes any white space one space and folds case; its
+    pre-tokenizer drops spaces and cuts letters, digits and other characters apart; nothing is
+    added around a text.
+    """
+    def steps(part: dict | None, inner: str) -> list[dict]:
+        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+    normal = steps(spec.get("normalizer"), "normalizers")
+    cuts = steps(spec.get("pre_tokenizer"), "pretokenizers")
+    folds = [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"]
+    spaces = folds and normal[1]["pattern"] == {"Regex": r"\s+"} and normal[1]["content"] == " "
+    parts = [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": WORD_PARTS} and (
+        cuts[0]["behavior"], cuts[0]["invert"], cuts[1]["add_prefix_space"], cuts[1]["use_regex"]) == ("Removed", True, False, False)
+    plain = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+    return spaces and parts and plain and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
+
+
 _ENCODERS: dict[str, WordIds] = {}
 
 
@@ -210,45 +257,54 @@ def word_ids(path: str) -> WordIds:
 
 
 def packed_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, separator: int = SEPARATOR,
-                  fill: float = 0.97, buffer_ids: int = 16_000_000, with_ids: bool = False) -> DataFrame:
+                  fill: float = 0.97, buffer_ids: int = 8_000_000, with_ids: bool = False) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): where it lies in its document and its sequence.
 
-    ``with_ids`` adds the piece's token ids (array of int), for writing training files.
+    ``with_ids`` adds the piece's token ids (array of int), for writing training files. A task holds
+    4 bytes for each id of its buffer, and its rows only until a thousand of them go on.
     """
     fields = [pa.field(n.split()[0], pa.int64()) for n in PIECE_SCHEMA.split(", ")]
     if with_ids:
         fields.append(pa.field("ids", pa.list_(pa.int32())))
     schema = pa.schema(fields)
     end = np.asarray([separator], "<u4").tobytes()
-    emit_rows = 1_000 if with_ids else 10_000
+    emit_rows = 1_000
+
+    def record_batch(rows: list[tuple]) -> pa.RecordBatch:
+        """Rows (doc_id, start, ids as bytes, doc_tokens, sequence_id, offset, sequence_tokens) as a batch."""
+        doc, start, ids, doc_tokens, sequence, offset, total = zip(*rows)
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        columns = [doc, start, n, list(map(zlib.crc32, ids)), doc_tokens, sequence, offset, total]
+        arrays = [pa.array(c, pa.int64()) for c in columns]
+        if with_ids:
+            cut = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what this worker's earlier tasks have left
         encoder = word_ids(tokenizer_path)
         next_sequence = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         rows: list[tuple] = []
-        remnants: list[tuple[int, int]] = []
         held: list[tuple] = []
         held_ids = 0
 
-        def emit() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(rows), emit_rows):
-                part = rows[at:at + emit_rows]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), fields)], schema=schema)
-            rows.clear()
-
-        def row(doc, start, ids: bytes, doc_tokens, sequence, offset, sequence_tokens):
-            out = (doc, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, sequence, offset, sequence_tokens)
-            return out + (np.frombuffer(ids, "<u4").astype(np.int32),) if with_ids else out
-
-        def flush() -> None:
+        def flush() -> Iterator[pa.RecordBatch]:
+            """The held remnants, packed; each is let go once its last part is out."""
             nonlocal next_sequence, held_ids
-            last = -1
-            for i, at, n, seq, offset, total in pack(remnants, window, fill):
+            first, last, out = next_sequence, -1, []
+            for i, at, n, seq, offset, total in pack([(i, len(h[2]) // 4) for i, h in enumerate(held)], window, fill):
                 doc, start, ids, doc_tokens = held[i]
-                rows.append(row(doc, start + at, ids[4 * at:4 * (at + n)], doc_tokens, next_sequence + seq, offset, total))
+                out.append((doc, start + at, ids[4 * at:4 * (at + n)], doc_tokens, first + seq, offset, total))
+                if 4 * (at + n) == len(ids):
+                    held[i] = None
                 last = max(last, seq)
-            next_sequence += last + 1
-            remnants.clear()
+                if len(out) >= emit_rows:
+                    yield record_batch(out)
+                    out = []
+            if out:
+                yield record_batch(out)
+            next_sequence = first + last + 1
             held.clear()
             held_ids = 0
 
@@ -259,17 +315,18 @@ def packed_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, se
                     n = len(ids) // 4
                     whole = n // window * window
                     for start in range(0, whole, window):
-                        rows.append(row(doc, start, ids[4 * start:4 * (start + window)], n, next_sequence, 0, window))
+                        rows.append((doc, start, ids[4 * start:4 * (start + window)], n, next_sequence, 0, window))
                         next_sequence += 1
+                        if len(rows) >= emit_rows:
+                            yield record_batch(rows)
+                            rows = []
                     if whole < n:
-                        remnants.append((len(held), n - whole))
                         held.append((doc, whole, ids[4 * whole:], n))
                         held_ids += n - whole
                 if held_ids >= buffer_ids:
-                    flush()
-                if len(rows) >= emit_rows:
-                    yield from emit()
-        flush()
-        yield from emit()
+                    yield from flush()
+        if rows:
+            yield record_batch(rows)
+        yield from flush()
 
     return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(run, PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))

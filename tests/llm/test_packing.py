@@ -99,7 +99,27 @@ def test_ids_like_the_library(library, texts):
 
 
 def test_caches_are_bounded(library):
-    small = packing.WordIds(PATH, limit=8)
-    for text in ("one two three four five six", "Seven, eight. nine ten! eleven 12 13", "x" * 900 + " one"):
+    small = packing.WordIds(PATH, budget=4000)
+    for text in ("one two three four five six", "Seven, eight. nine ten! eleven 12 13", "x" * 900 + " one", " ".join(f"w{i}" for i in range(500))):
         assert np.frombuffer(small.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
-    assert len(small.words) < 20 and len(small.parts) < 20
+    own = packing.WordIds(PATH, budget=200_000)
+    for i in range(40):
+        text = " ".join(f"w{i}x{j}" for j in range(200))
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    for cache in (own.words, own.parts):
+        assert 0 < sum(cache.ENTRY + len(k) + len(v) for k, v in cache.items()) < 2 * cache.budget
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path, library):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.by_words(spec)
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:1]  # case is not folded
+    assert not packing.by_words(spec)
+    own = tmp_path / "cased.json"
+    own.write_text(json.dumps(spec))
+    text = "Hello World, it's  A Test"
+    got = np.frombuffer(packing.WordIds(str(own)).encode([text])[0], "<u4").tolist()
+    assert got == Tokenizer.from_file(str(own)).encode(text, add_special_tokens=False).ids != library.encode(text, add_special_tokens=False).ids
