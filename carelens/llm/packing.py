@@ -128,23 +128,25 @@ def pack(pieces: list[tuple[int, int]], window: int, fill: float) -> list[tuple[
     return out
 
 
-class Cache(dict):
-    """A dictionary that is emptied before it holds more than about ``budget`` bytes."""
+class Room:
+    """Keeps a dictionary below about ``budget`` bytes by emptying it.
+
+    The dictionary itself stays a plain one: set operations and lookups are much slower on subclasses.
+    """
 
     #: Bytes of an entry besides its text and ids: object headers and its place in the dictionary.
     ENTRY = 120
 
     def __init__(self, budget: int):
-        super().__init__()
         self.budget = budget
         self.size = 0
 
-    def room(self, new: int, text: int) -> bool:
+    def make(self, cache: dict, new: int, text: int) -> bool:
         """Make room for ``new`` entries with ``text`` characters; False if all others had to go for it."""
         self.size += new * self.ENTRY + 2 * text
         if self.size <= self.budget:
             return True
-        self.clear()
+        cache.clear()
         self.size = 0
         return False
 
@@ -168,8 +170,9 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = tuple({t.content[:1] for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.words = Cache(budget * 5 // 8)  # by word as it stands
-        self.parts = Cache(budget * 3 // 8)  # by folded word or punctuation
+        self.words: dict[str, bytes] = {}  # by word as it stands
+        self.parts: dict[str, bytes] = {}  # by folded word or punctuation
+        self.word_room, self.part_room = Room(budget * 5 // 8), Room(budget * 3 // 8)
 
     def _split(self, word: str) -> tuple[str, str]:
         """A word as two parts that are encoded alone."""
@@ -204,14 +207,14 @@ class WordIds:
         rows = [ASCII_SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in texts]
         words, parts = self.words, self.parts
         missing = set().union(*rows).difference(words)
-        if not words.room(len(missing), sum(map(len, missing))):
+        if not self.word_room.make(words, len(missing), sum(map(len, missing))):
             missing = set().union(*rows)
-            words.room(len(missing), sum(map(len, missing)))
+            self.word_room.make(words, len(missing), sum(map(len, missing)))
         split = {w: self._split(w) for w in missing}
         new = set().union(*split.values()).difference(parts)
-        if not parts.room(len(new), sum(map(len, new))):
+        if not self.part_room.make(parts, len(new), sum(map(len, new))):
             new = set().union(*split.values())
-            parts.room(len(new), sum(map(len, new)))
+            self.part_room.make(parts, len(new), sum(map(len, new)))
         parts[""] = b""
         self._learn([p for p in new if p])
         words.update({w: parts[a] + parts[b] if b else parts[a] for w, (a, b) in split.items()})

@@ -106,8 +106,8 @@ def test_caches_are_bounded(library):
     for i in range(40):
         text = " ".join(f"w{i}x{j}" for j in range(200))
         assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
-    for cache in (own.words, own.parts):
-        assert 0 < sum(cache.ENTRY + len(k) + len(v) for k, v in cache.items()) < 2 * cache.budget
+    for cache, room in ((own.words, own.word_room), (own.parts, own.part_room)):
+        assert 0 < sum(room.ENTRY + len(k) + len(v) for k, v in cache.items()) < 2 * room.budget
 
 
 def test_other_tokenizers_encode_whole_texts(tmp_path, library):
