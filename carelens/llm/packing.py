@@ -161,7 +161,7 @@ class WordIds:
     ``by_words``) encode whole texts. The caches hold about ``budget`` bytes together.
     """
 
-    def __init__(self, path: str, budget: int = 160 << 20):
+    def __init__(self, path: str, budget: int = 224 << 20):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
