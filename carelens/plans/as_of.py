@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelens.functions.dates import day_after
-from carelens.operators.picks import best_state, merged
+from carelens.operators.picks import best_state, merged, spread_left_join
 from carelens.plans import specs as S
 from carelens.plans.line_list import DOUBLE_READS, LONG_READS, LineListParams, answer_reads, qualifying_rows
 from carelens.sources.tables import ClinicalTables
@@ -48,8 +48,8 @@ def advanced(spark: SparkSession, state: DataFrame, t: ClinicalTables, before: L
     redo = redo.select("person_id").distinct()
     late = day_after(before.end)
     encounters = t.encounter.filter(F.col("encounter_datetime") >= late).select("encounter_id")
-    fresh = t.obs.join(loaded.select("obs_id").distinct().withColumn("is_loaded", F.lit(True)), "obs_id", "left").join(
-        encounters.distinct().withColumn("is_late", F.lit(True)), "encounter_id", "left").filter(
+    fresh = t.obs.join(loaded.select("obs_id").distinct().withColumn("is_loaded", F.lit(True)), "obs_id", "left")
+    fresh = spread_left_join(fresh, encounters.distinct().withColumn("is_late", F.lit(True)), "encounter_id", "obs_id").filter(
         F.col("is_loaded") | F.col("is_late") | (F.col("obs_datetime") >= late) | (F.col("value_datetime") >= late)).select(t.obs.columns)
 
     def part(obs: DataFrame) -> DataFrame:

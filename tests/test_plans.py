@@ -199,3 +199,43 @@ def test_checkpoint_folder_is_required_on_a_cluster():
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(cluster)
+
+
+def _no_broadcast(spark, frame):
+    """``frame()`` planned with joins of shuffled rows only, and the plan's text."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = frame()
+        return df, plan_text(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_mostly_null_keys_do_not_deal_out_rows(spark):
+    """Most best values read no name and most patients no free text: such rows must not meet in one task."""
+    t = build().tables(spark)
+    for section in (None, "treatment_outcome", "care_entry_point"):
+        params = LineListParams(end=D(2024, 12, 25), today=D(2025, 1, 1))
+        _, plan = _no_broadcast(spark, lambda: line_list(spark, t, params, section=section))
+        assert not re.findall(r"Exchange hashpartitioning\((?:name_rank|care_entry_encounter)#\d+L?, \d+\)", plan)
+
+
+def test_rows_without_a_key_are_dealt_out_by_another_column(spark):
+    from pyspark.sql import functions as F
+
+    from carelens.operators.picks import spread_left_join
+    left = spark.range(4000).select(F.col("id").alias("n"), F.expr("IF(id % 10 = 3, id % 7, NULL)").alias("k"))
+    right = spark.createDataFrame([(i, f"t{i}") for i in range(5)] + [(2, "again"), (None, "none")], "k long, t string")
+    df, _ = _no_broadcast(spark, lambda: spread_left_join(left, right, "k", "n"))
+    want = left.join(right, "k", "left").select("n", "k", "t")
+    assert sorted(map(str, df.select("n", "k", "t").collect())) == sorted(map(str, want.collect()))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, ("-1", "false")):
+            spark.conf.set(k, v)
+        sizes = [r["count"] for r in spread_left_join(left, right, "k", "n").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert max(sizes) < 2 * sum(sizes) / 4
