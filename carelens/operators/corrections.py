@@ -106,9 +106,10 @@ def correction_report(enc_before: DataFrame, enc_after: DataFrame, vis_before: D
         rest = [c for c in before.columns if c not in columns]
 
         def side(df: DataFrame, end: str) -> DataFrame:
-            return df.join(ids, "visit_id", "left_semi").select(
-                F.col("visit_id").alias(f"_v{end}"), F.col(row_id).alias(f"_{end}"), F.struct(*columns).alias(f"_times_{end}"),
-                row_hash(df, rest).alias(f"_rest_{end}"))
+            # the few compared values are made first, so that no whole row is shuffled
+            rows = df.select(F.col("visit_id").alias(f"_v{end}"), F.col(row_id).alias(f"_{end}"), F.struct(*columns).alias(f"_times_{end}"),
+                             row_hash(df, rest).alias(f"_rest_{end}"))
+            return rows.join(ids.withColumnRenamed("visit_id", f"_v{end}"), f"_v{end}", "left_semi")
 
         j = side(before, "b").join(side(after, "a"), F.col("_b") == F.col("_a"), "full")
         both = F.col("_b").isNotNull() & F.col("_a").isNotNull()

@@ -35,15 +35,19 @@ def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.xxhash64(F.lit(len(parts)), *parts, *[F.col(quoted(f.name)).isNull() for f in fields])
 
 
-def _marked(df: DataFrame, row_id: str, inside: DataFrame | None, key: str, buckets: int) -> DataFrame:
-    """id, inside, bucket, h of every row; ``inside``: the keys that make a row inside."""
+def _marked(df: DataFrame, row_id: str, inside: DataFrame | None, key: str, buckets: int, only: DataFrame | None = None) -> DataFrame:
+    """id, inside, bucket, h of every row; ``inside``: the keys that make a row inside. ``only``: rows of these buckets (a few
+    thousand at most), picked before any row is shuffled."""
     rows = df.select(F.col(quoted(row_id)).alias("id"), F.col(quoted(key)).alias("k"), row_hash(df).alias("h"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("long"))
+    if only is not None:
+        rows = rows.join(F.broadcast(only), "bucket", "left_semi")
     if inside is None:
         rows = rows.withColumn("inside", F.lit(False))
     else:
         ids = inside.select(F.col(quoted(key)).alias("k")).distinct().withColumn("hit", F.lit(True))
         rows = rows.join(ids, "k", "left").withColumn("inside", F.coalesce("hit", F.lit(False)))
-    return rows.select("id", "inside", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("long").alias("bucket"), "h")
+    return rows.select("id", "inside", "bucket", "h")
 
 
 def fingerprint(df: DataFrame, row_id: str, inside: DataFrame | None = None, key: str | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -88,7 +92,7 @@ def changes_outside(before: DataFrame, after: DataFrame, row_id: str, inside: Da
     differing = unequal_buckets(fb, fa)  # at most ``buckets`` rows
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = _marked(df, row_id, inside, key, buckets).filter("NOT inside").join(F.broadcast(differing), "bucket", "left_semi")
+        rows = _marked(df, row_id, inside, key, buckets, differing).filter("NOT inside")
         return rows.groupBy("id").agg(F.struct(F.count(F.lit(1)), F.expr("bit_xor(h)"), F.sum(F.col("h").cast("decimal(38,0)"))).alias(name))
 
     b, a = side(before, "b"), side(after, "a").withColumnRenamed("id", "id_a")

@@ -345,3 +345,58 @@ def test_a_failed_purge_goes_on_and_old_rows_stay_away(spark, tmp_path, monkeypa
     assert C.reenrolment_check(log, left).first()["status"] == "re_enrolled"
     C.apply_purge(left, t.biometricverificationinfo, ids, str(tmp_path), "p2", T(2024, 1, 1))
     assert C.purge_log(spark, str(tmp_path)).count() == 2 and C.without_purged(again, C.purge_log(spark, str(tmp_path))).filter("patient_id = 1").count() == 0
+
+
+def _driver_rows(spark, root):
+    """A few rows of the driver tables the clinical ones are made from."""
+    import datetime as dt
+    day = lambda n: dt.datetime(1998, 1, 1) + dt.timedelta(days=n)
+    frames = {
+        "customer": ([(i, f"c{i}", i % 3, 0.0, "X") for i in range(20)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "orders": ([(i, i % 20, "O", 1.0, day(i % 90), "1-URGENT") for i in range(300)],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+        "lineitem": ([(i % 300, i % 50, i % 7, i % 5, 1.0, 1.0, 0.0, 0.0, "N", "O", day(i % 80)) for i in range(900)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                     "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+        "part": ([(i, f"p{i}", "b", "t", 1, 1.0) for i in range(50)],
+                 "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+        "nation": ([(i, f"n{i}", 0) for i in range(3)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "r")], "r_regionkey int, r_name string"),
+        "events": ([(1, day(1), 1, "signup", 1.0, "{}")], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"),
+    }
+    for name, (rows, schema) in frames.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+def test_visits_are_grouped_once_for_the_workflows(spark, tmp_path, monkeypatch):
+    """Visits come from all observations; a workflow that reads them many times must not group them anew each time."""
+    from carelens import entry_queries as Q
+    d = _driver_rows(spark, tmp_path)
+    outside = Q.QUERIES["outside_changes"](spark, d)
+    assert "l_shipdate" not in outside._jdf.queryExecution().executedPlan().toString()
+    assert outside.count() > 0
+    read = []
+    apply = Q.C.apply_corrections
+    monkeypatch.setattr(Q.C, "apply_corrections", lambda enc, vis, *a: read.append((enc, vis)) or apply(enc, vis, *a))
+    assert Q.QUERIES["correction_verify"](spark, d).count() > 0
+    assert "l_shipdate" not in read[0][1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_equal_buckets_are_left_out_before_the_shuffle(spark):
+    from carelens.operators.fingerprints import changes_outside, fingerprint
+    before = spark.range(500).selectExpr("id", "id % 50 AS visit_id", "id * 2 AS v")
+    after = before.selectExpr("id", "visit_id", "IF(id IN (7, 60), 0L, v) AS v").filter("id <> 8")
+    inside = spark.createDataFrame([(10,)], "visit_id long")
+    found = changes_outside(before, after, "id", inside, "visit_id")
+    assert sorted(map(tuple, found.collect())) == [(7, "changed"), (8, "removed")]
+    prints = tuple(fingerprint(x, "id", inside, "visit_id") for x in (before, after))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = changes_outside(before, after, "id", inside, "visit_id", fingerprints=prints)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    at = plan.index("BroadcastHashJoin [bucket")
+    marked = plan.index("LeftOuter", plan.index("SortMergeJoin [k#"))
+    assert marked < at  # nearer to the scan: the rows are cut first
