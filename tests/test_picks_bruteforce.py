@@ -123,3 +123,30 @@ def test_names_are_numbered_in_order(spark):
                                "concept_id long, name string, locale string, locale_preferred int")
     rows = sorted(ranked_names(cn).collect(), key=lambda r: r["name_rank"])
     assert [r["name"] for r in rows] == sorted(names, key=str.encode) and len({r["name_rank"] for r in rows}) == len(names)
+
+
+def test_tall_answers_are_made_in_one_pass(spark):
+    """Tied and repeated rows stay, rows without a person or after the cutoff do not count; observations are read once."""
+    from carelens.operators.picks import pick
+    at = lambda day, hour=0: dt.datetime(2020, 1, day, hour)
+    cols = "obs_id long, person_id long, encounter_id long, concept_id long, obs_datetime timestamp_ntz, value_coded long, " \
+           "value_numeric double, value_text string, value_datetime timestamp_ntz, voided int"
+    rows = [(1, 1, None, 7, at(1), None, 1.0, "a", None, 0), (2, 1, None, 7, at(2), None, 2.0, "b", None, 0),
+            (3, 1, None, 7, at(2), None, 3.0, "c", None, 0), (3, 1, None, 7, at(2), None, 3.0, "c", None, 0),
+            (4, 1, None, 7, at(9), None, 4.0, "late", None, 0), (5, None, None, 7, at(2), None, 5.0, "nobody", None, 0),
+            (6, 2, None, 7, None, None, 6.0, "no time", None, 0), (7, 3, None, 8, at(9), None, 7.0, "any time", None, 0)]
+    obs = spark.createDataFrame(rows, cols)
+    encounter = spark.createDataFrame([], "encounter_id long, encounter_type int, form_id int, encounter_datetime timestamp_ntz, voided int")
+    names = spark.createDataFrame([], "concept_id long, name string, locale string, locale_preferred int")
+    plan = PickPlan([PickSpec("ties", (7,), keep_ties=True), PickSpec("one", (7,)), PickSpec("first", (7,), descending=False),
+                     PickSpec("open", (8,), cutoff_on=None), PickSpec("open_too", (7,), cutoff_on=None)])
+    assert plan.last_times({"end": at(5)}) == {}
+    tall = pick(spark, obs, encounter, names, plan, {"end": at(5)}, carried=["obs_id", "value_text"])
+    want = [(1, 0, 2, "b"), (1, 0, 3, "c"), (1, 0, 3, "c"), (1, 1, 3, "c"), (1, 1, 3, "c"), (1, 2, 1, "a"), (1, 4, 4, "late"),
+            (2, 4, 6, "no time"), (3, 3, 7, "any time")]
+    assert tall._jdf.queryExecution().executedPlan().toString().count("ExistingRDD[obs_id") == 1
+    assert sorted(map(tuple, tall.collect())) == want
+    closed = PickPlan([PickSpec("ties", (7,), keep_ties=True), PickSpec("open", (8,), cutoff_on=None)])
+    assert closed.last_times({"end": at(5)}) == {7: at(5)}
+    tall = pick(spark, obs, encounter, names, closed, {"end": at(5)}, carried=["obs_id", "value_text"])
+    assert sorted(map(tuple, tall.collect())) == [*want[:3], (3, 1, 7, "any time")]
