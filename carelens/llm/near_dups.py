@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm.common import column, saved, text_slices
+from carelens.llm.common import column, kept_by, saved, text_slices
 from carelens.llm.components import components
 
 WORDS = 5
@@ -100,6 +100,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
     schema = "doc_id long, n_shingles long, fp binary, bands binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("near_dups")
         hashes = _WordHash()
         for batch in batches:
             for part, texts in text_slices(batch):
@@ -121,6 +122,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
 def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """fp, shingles (sorted 64-bit hashes as bytes) for ``docs`` (fp, text); other sets' rows go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("near_dups")
         hashes = _WordHash()
         for batch in batches:
             for part, texts in text_slices(batch):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from carelens.llm.common import column, text_slices
+from carelens.llm.common import column, kept_by, text_slices
 
 WINDOW = 2048
 SEPARATOR = 1
@@ -246,17 +246,15 @@ def by_words(spec: dict) -> bool:
     return spaces and parts and plain and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
 
 
-_ENCODERS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """One encoder for each worker process and vocabulary."""
-    if path not in _ENCODERS:
+    """One encoder for each worker process and vocabulary, until a task of another step begins there."""
+    encoders = kept_by("packing")
+    if path not in encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+        encoders[path] = WordIds(path)
+    return encoders[path]
 
 
 def packed_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, separator: int = SEPARATOR,
@@ -285,7 +283,6 @@ def packed_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, se
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what this worker's earlier tasks have left
         encoder = word_ids(tokenizer_path)
         next_sequence = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         rows: list[tuple] = []

@@ -12,7 +12,7 @@ Candidates that reach ``threshold`` and overlap no other span are added.
 Tasks count the patterns (a few thousand combinations at most, whatever the corpus), so only
 those counts reach the driver.
 
-All scans take time in proportion to the text. Defined cases: NULL and empty texts have no
+Texts go to the tasks a few megabytes at a time, however long they are. All scans take time in proportion to the text. Defined cases: NULL and empty texts have no
 spans; repeated rows are judged each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm.common import column, text_slices
+from carelens.llm.common import column, kept_by, small_batches, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.9
@@ -266,6 +266,7 @@ class VoteModel:
 def pattern_counts(docs: DataFrame) -> dict[tuple, int]:
     """How often each (kind, votes, traits) occurs among all candidates of ``docs`` (text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("personal_data")
         held: Counter = Counter()
         for batch in batches:
             for _, texts in text_slices(batch):
@@ -329,6 +330,7 @@ def redact(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def learned(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> SpanFinder:
+    small_batches(spark)
     return SpanFinder(VoteModel(pattern_counts(docs)), threshold)
 
 
@@ -338,6 +340,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, threshold: float = THRES
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("personal_data")
         finder = shared.value
         for batch in batches:
             for part, texts in text_slices(batch):
@@ -353,10 +356,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, threshold: float = THRES
 
 def redacted(spark: SparkSession, docs: DataFrame, finder: SpanFinder) -> DataFrame:
     """``docs`` with the spans in ``text`` replaced; NULL texts stay NULL; other columns as they are."""
-    shared = spark.sparkContext.broadcast(finder)
+    shared = small_batches(spark).sparkContext.broadcast(finder)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("personal_data")
         f = shared.value
         for batch in batches:
             for part, texts in text_slices(batch):

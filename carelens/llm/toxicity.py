@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm.common import column, in_fold, saved, text_slices
+from carelens.llm.common import column, in_fold, kept_by, saved, text_slices
 
 SAMPLE = 20_000
 PREFIXES = (3, 4, 5, 6, 7)
@@ -211,6 +211,7 @@ def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
     rows = labelled_sample(docs, labels, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         held: list[Counter] = [Counter(), Counter()]
         for batch in batches:
             for part, texts in text_slices(batch):
@@ -232,6 +233,7 @@ def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
     shared = spark.sparkContext.broadcast(odds)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         o = shared.value
         for batch in batches:
             for part, texts in text_slices(batch):
@@ -257,6 +259,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: ToxicityModel) -> DataFr
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         m = shared.value
         for batch in batches:
             for part, texts in text_slices(batch):
@@ -273,6 +276,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, model: ToxicityModel, th
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         m = shared.value
         for batch in batches:
             for part, texts in text_slices(batch):

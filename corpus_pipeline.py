@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from carelens.llm import exact_dedup, near_dups, packing, personal_data
 from carelens.llm import toxicity as toxic_segments
-from carelens.llm.common import in_fold, saved, ship
+from carelens.llm.common import in_fold, saved, ship, small_batches
 from carelens.llm.queries import tokenizer
 
 #: The stages cannot be expressed in SQL (learned models, MinHash, tokenizer); tests use brute force.
@@ -24,7 +24,7 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that score as toxic; learned from the labels outside the held-out fold."""
-    ship(spark)
+    small_batches(ship(spark))
     known = ~in_fold("doc_id", 5, 0)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxic_segments.without_toxic(spark, docs, toxic_segments.learned(spark, docs.filter(known), labels.filter(known)))
@@ -37,7 +37,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near copies."""
-    ship(spark)
+    small_batches(ship(spark))
     said = near_dups.near_duplicates(spark, docs).groupBy(F.col("doc_id").alias("gone")).agg(F.max("kept").alias("kept"))
     gone = said.filter("NOT kept AND gone IS NOT NULL").select("gone")
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts by the name of its kind; n_chars follows."""
-    ship(spark)
+    small_batches(ship(spark))
     out = personal_data.redacted(spark, docs, personal_data.learned(spark, docs))
     if "n_chars" in out.columns:
         kind = out.schema["n_chars"].dataType
@@ -55,7 +55,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their places in fixed windows."""
-    ship(spark)
+    small_batches(ship(spark))
     return packing.packed_pieces(docs, tokenizer("word_bpe_49k.json"), with_ids=True)
 
 

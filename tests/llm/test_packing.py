@@ -123,3 +123,15 @@ def test_other_tokenizers_encode_whole_texts(tmp_path, library):
     text = "Hello World, it's  A Test"
     got = np.frombuffer(packing.WordIds(str(own)).encode([text])[0], "<u4").tolist()
     assert got == Tokenizer.from_file(str(own)).encode(text, add_special_tokens=False).ids != library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_worker_keeps_the_caches_of_one_step():
+    import weakref
+
+    from carelens.llm import common
+    encoder = packing.word_ids(PATH)
+    assert packing.word_ids(PATH) is encoder
+    gone = weakref.ref(encoder)
+    del encoder
+    common.kept_by("personal_data")
+    assert gone() is None

@@ -112,3 +112,29 @@ def test_many_spans_take_linear_time():
     base, every = P.SpanFinder(Says(), -1).spans(text)
     assert len(base["phone"]) == 60_000 and len(every["phone"]) == 120_000
     assert time.perf_counter() - start < 30
+
+
+def test_texts_reach_the_tasks_in_small_batches(spark, frame):
+    """Rows of 100 KB do not meet in one batch of a partition; results and order stay."""
+    import pyarrow as pa
+    rows = [(i, f"mail a{i}@c.de " + "x" * 100_000, "en", "s", 1) for i in range(100)]
+    docs = frame(rows).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for step in (lambda: P.redacted(spark, docs, P.SpanFinder(P.VoteModel({}))), lambda: P.personal_data(spark, docs)):
+        spark.conf.unset(limit)
+        out = step()
+        got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in got) == 100 and max(r["bytes"] for r in got) < 4 << 20
+        if "text" in out.columns:
+            assert [r["text"] for r in out.collect()] == [t.replace(f"a{i}@c.de", "<EMAIL>") for i, t, *_ in rows]
+        else:
+            assert out.agg({"n_email": "sum"}).first()[0] == 100
+    spark.conf.set(limit, "8m")
+    P.redacted(spark, docs, P.SpanFinder(P.VoteModel({})))
+    assert spark.conf.get(limit) == "8m"
+    spark.conf.unset(limit)
