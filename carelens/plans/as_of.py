@@ -7,17 +7,24 @@ states merge by taking the larger key. To go from one report day to a later one
   encounter time lies after the old day);
 * all rows of persons that the caller names, because something of theirs was voided, changed or removed;
 * all rows for questions whose other cutoffs (a quarter's end) have moved.
+
+Only these rows go through the joins with encounters and names. Each kind is found by a semi join of its own, which
+keeps no row that it does not need, and what was found is stored once, so nothing of it is made again for a second use.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelens.functions.dates import day_after
-from carelens.operators.picks import best_state, merged, spread_left_join
+from carelens.operators.picks import PickPlan, best_state, merged
 from carelens.plans import specs as S
 from carelens.plans.line_list import DOUBLE_READS, LONG_READS, LineListParams, answer_reads, qualifying_rows
+from carelens.session import ensure_checkpoint_dir, stored
 from carelens.sources.tables import ClinicalTables
 
 STATE = "person_id long, read_idx int, best decimal(38,0), v long, d double"
@@ -45,26 +52,53 @@ def advanced(spark: SparkSession, state: DataFrame, t: ClinicalTables, before: L
     old, new = before.cutoffs(), after.cutoffs()
     moved = {s.key for s in plan.specs if s.cutoff_on and s.cutoff != "end" and old[s.cutoff] != new[s.cutoff]}
     again = [i for i, (k, _) in enumerate(reads) if k in moved]
-    redo = redo.select("person_id").distinct()
+    listed = ", ".join(map(str, again)) or "-1"
     late = day_after(before.end)
-    encounters = t.encounter.filter(F.col("encounter_datetime") >= late).select("encounter_id")
-    fresh = t.obs.join(loaded.select("obs_id").distinct().withColumn("is_loaded", F.lit(True)), "obs_id", "left")
-    fresh = spread_left_join(fresh, encounters.distinct().withColumn("is_late", F.lit(True)), "encounter_id", "obs_id").filter(
-        F.col("is_loaded") | F.col("is_late") | (F.col("obs_datetime") >= late) | (F.col("value_datetime") >= late)).select(t.obs.columns)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/carelens-{uuid.uuid4().hex}"
+    # Refill counts belong to encounters: a fresh one can change the value of an older best row of its encounter.
+    refills = _fresh(t, late, loaded, t.obs.filter((F.col("concept_id") == S.REFILL_DAYS) & F.col("encounter_id").isNotNull()))
+    redo = redo.select("person_id").unionByName(t.obs.join(refills.select("encounter_id"), "encounter_id", "left_semi").select("person_id"))
+    redo = stored(redo.filter("person_id IS NOT NULL").distinct(), f"{root}/redo")
 
     def part(obs: DataFrame) -> DataFrame:
         rows = qualifying_rows(spark, t.with_tables(obs=obs), after, plan, facts=t.obs)
         return best_state(rows, plan, reads, LONG_READS, DOUBLE_READS)
 
-    listed = ", ".join(map(str, again)) or "-1"
-    # Refill counts belong to encounters: a fresh one can change the value of an older best row of its encounter.
-    refilled = fresh.filter((F.col("concept_id") == S.REFILL_DAYS) & F.col("encounter_id").isNotNull()).select("encounter_id").distinct()
-    redo = redo.unionByName(t.obs.join(refilled, "encounter_id", "left_semi").select("person_id")).distinct()
-    kept = state.join(redo, "person_id", "left_anti").filter(f"read_idx NOT IN ({listed})")
-    out = kept.unionByName(part(fresh.join(redo, "person_id", "left_anti")).filter(f"read_idx NOT IN ({listed})"))
-    out = out.unionByName(part(t.obs.join(redo, "person_id", "left_semi").select(t.obs.columns)).filter(f"read_idx NOT IN ({listed})"))
+    rows = _newly_under(t, plan, late, new["end"]).unionByName(_loaded(t.obs, loaded))
+    rows = rows.unionByName(t.obs.join(redo, "person_id", "left_semi").select(t.obs.columns))
+    out = part(rows).filter(f"read_idx NOT IN ({listed})")
     if again:
         concepts = sorted({c for s in plan.specs if s.key in moved for c in s.concepts} | {S.REFILL_DAYS})
         out = out.unionByName(part(t.obs.filter(F.col("concept_id").isin(concepts))).filter(f"read_idx IN ({listed})"))
-    return merged(out)
+    out = stored(out, f"{root}/new")
+    # The kept rows of redone persons leave behind the one shuffle by person, which the merging groups use as well.
+    both = state.filter(f"read_idx NOT IN ({listed})").withColumn("is_kept", F.lit(True)).unionByName(out.withColumn("is_kept", F.lit(False)))
+    both = both.join(redo.withColumn("is_redone", F.lit(True)), "person_id", "left")
+    return merged(both.filter("NOT (is_kept AND is_redone IS NOT NULL)"))
+
+
+def _loaded(obs: DataFrame, loaded: DataFrame) -> DataFrame:
+    return obs.join(loaded.select("obs_id"), "obs_id", "left_semi").select(obs.columns)
+
+
+def _fresh(t: ClinicalTables, late: dt.datetime, loaded: DataFrame | None, obs: DataFrame) -> DataFrame:
+    """Rows of ``obs`` loaded since, or whose own, value or encounter time is not before ``late`` (some come twice)."""
+    encounters = t.encounter.filter(F.col("encounter_datetime") >= late).select("encounter_id")
+    out = obs.filter((F.col("obs_datetime") >= late) | (F.col("value_datetime") >= late))
+    out = out.unionByName(obs.join(encounters, "encounter_id", "left_semi").select(obs.columns))
+    return out if loaded is None else out.unionByName(_loaded(obs, loaded))
+
+
+def _newly_under(t: ClinicalTables, plan: PickPlan, late: dt.datetime, end: dt.datetime) -> DataFrame:
+    """Observations with a time from ``late`` to ``end`` that some question compares with the report day (some come twice).
+
+    Rows without an id, which no list of loaded ones can name, count by any time from ``late`` on.
+    """
+    def on(column: str):
+        return F.col("concept_id").isin(sorted({c for s in plan.specs if s.cutoff_on == column for c in s.concepts}))
 
+    encounters = t.encounter.filter(F.col("encounter_datetime").between(late, end)).select("encounter_id")
+    out = t.obs.filter(F.col("obs_id").isNotNull() & ((on("obs_datetime") & F.col("obs_datetime").between(late, end))
+                                                      | (on("value_datetime") & F.col("value_datetime").between(late, end))))
+    by_encounter = t.obs.filter(F.col("obs_id").isNotNull() & on("encounter_datetime")).join(encounters, "encounter_id", "left_semi")
+    return out.unionByName(by_encounter.select(t.obs.columns)).unionByName(_fresh(t, late, None, t.obs.filter(F.col("obs_id").isNull())))
