@@ -55,17 +55,23 @@ def advanced(spark: SparkSession, state: DataFrame, t: ClinicalTables, before: L
     listed = ", ".join(map(str, again)) or "-1"
     late = day_after(before.end)
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/carelens-{uuid.uuid4().hex}"
-    # Refill counts belong to encounters: a fresh one can change the value of an older best row of its encounter.
+    # Refill counts belong to encounters: a fresh one can change the value of an older best row of its encounter, so the
+    # one question that reads them is answered anew for the persons of that encounter.
     refills = _fresh(t, late, loaded, t.obs.filter((F.col("concept_id") == S.REFILL_DAYS) & F.col("encounter_id").isNotNull()))
-    redo = redo.select("person_id").unionByName(t.obs.join(refills.select("encounter_id"), "encounter_id", "left_semi").select("person_id"))
-    redo = stored(redo.filter("person_id IS NOT NULL").distinct(), f"{root}/redo")
+    touched = t.obs.join(refills.select("encounter_id"), "encounter_id", "left_semi")
+    persons = redo.selectExpr("person_id", "true AS whole").unionByName(touched.selectExpr("person_id", "false AS whole"))
+    persons = stored(persons.filter("person_id IS NOT NULL").groupBy("person_id").agg(F.max("whole").alias("whole")), f"{root}/redo")
+    counted = plan.specs[plan.index["prevq_pickup"]]
+    by_refill = ", ".join(str(i) for i, (k, _) in enumerate(reads) if k == counted.key)
 
     def part(obs: DataFrame) -> DataFrame:
         rows = qualifying_rows(spark, t.with_tables(obs=obs), after, plan, facts=t.obs)
         return best_state(rows, plan, reads, LONG_READS, DOUBLE_READS)
 
     rows = _newly_under(t, plan, late, new["end"]).unionByName(_loaded(t.obs, loaded))
-    rows = rows.unionByName(t.obs.join(redo, "person_id", "left_semi").select(t.obs.columns))
+    rows = rows.unionByName(t.obs.join(redo.select("person_id"), "person_id", "left_semi").select(t.obs.columns))
+    recount = t.obs.filter(F.col("concept_id").isin(list(counted.concepts)) | F.col("obs_id").isNull())
+    rows = rows.unionByName(recount.join(persons, "person_id", "left_semi").select(t.obs.columns))
     out = part(rows).filter(f"read_idx NOT IN ({listed})")
     if again:
         concepts = sorted({c for s in plan.specs if s.key in moved for c in s.concepts} | {S.REFILL_DAYS})
@@ -73,8 +79,8 @@ def advanced(spark: SparkSession, state: DataFrame, t: ClinicalTables, before: L
     out = stored(out, f"{root}/new")
     # The kept rows of redone persons leave behind the one shuffle by person, which the merging groups use as well.
     both = state.filter(f"read_idx NOT IN ({listed})").withColumn("is_kept", F.lit(True)).unionByName(out.withColumn("is_kept", F.lit(False)))
-    both = both.join(redo.withColumn("is_redone", F.lit(True)), "person_id", "left")
-    return merged(both.filter("NOT (is_kept AND is_redone IS NOT NULL)"))
+    both = both.join(persons, "person_id", "left")
+    return merged(both.filter(f"NOT is_kept OR whole IS NULL OR (NOT whole AND read_idx NOT IN ({by_refill}))"))
 
 
 def _loaded(obs: DataFrame, loaded: DataFrame) -> DataFrame:
